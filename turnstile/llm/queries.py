@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import decontam, lm_scoring, mixing, quality, sharding, simhash
+from turnstile.llm import decontam, licenses, lm_scoring, mixing, quality, sentence_dedup, sharding, simhash, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,24 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_dedup.dedup_sentences(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", "n_bytes", "n_removed_bytes", "kept_sha256")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.cascade(docs, measure=True).select(
@@ -67,13 +85,21 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (op1_mix_sources, op2_lattice_scores, op3_simhash, op4_decontaminate, op9_quality, op10_shards)
+        for f in (
+            op1_mix_sources,
+            op2_lattice_scores,
+            op3_simhash,
+            op4_decontaminate,
+            op5_suffix_dedup,
+            op6_licenses,
+            op7_toxicity,
+            op8_sentence_dedup,
+            op9_quality,
+            op10_shards,
+        )
     }
 
 
-#: Fixed patterns of the contracts in DuckDB's syntax.
-_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
-
 OP4_SQL = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -133,5 +159,72 @@ FROM judged
 """
 
 
+def _op6_sql() -> str:
+    """Every window against every template, without markers or bands."""
+    quoted = ", ".join(
+        f"('{name}', {licenses.stride_of(text)}, {len(licenses.template_shingles(text))}, '{g}')"
+        for name, text in licenses.TEMPLATES.items()
+        for g in licenses.template_shingles(text)
+    )
+    return rf"""
+WITH tpl(license, stride, n_shingles, g) AS (VALUES {quoted}),
+doc AS (
+  SELECT DISTINCT doc_id, text,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+running AS (
+  SELECT doc_id, text, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS g, false AS line
+  FROM doc, unnest(range(1, len(w) - 3)) AS t(i)),
+lines AS (
+  SELECT doc_id, text, pos, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w
+  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM doc)),
+shingle AS (
+  SELECT * FROM running
+  UNION ALL
+  SELECT doc_id, text, pos, array_to_string(w, ' '), true FROM lines WHERE len(w) BETWEEN 1 AND 4),
+hit AS (
+  SELECT doc_id, text, license, n_shingles, shingle.g,
+         unnest(CASE WHEN stride = 0 THEN [pos] ELSE [pos // stride - 1, pos // stride] END) AS win
+  FROM shingle JOIN tpl ON shingle.g = tpl.g AND line = (stride = 0)),
+own AS (
+  SELECT doc_id, text, license, n_shingles, win, count(DISTINCT g) AS n_shared
+  FROM hit GROUP BY doc_id, text, license, n_shingles, win)
+SELECT doc_id, license, CAST(max(n_shared) AS BIGINT) AS n_shared, max(n_shared) / max(n_shingles) AS containment
+FROM own WHERE n_shared >= {licenses.LEAST} * n_shingles GROUP BY doc_id, text, license
+"""
+
+
+OP8_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+piece AS (
+  SELECT r, doc_id, text, generate_subscripts(p, 1) AS k, unnest(p) AS x
+  FROM (SELECT r, doc_id, text,
+               string_split(regexp_replace(regexp_replace(text, chr(10), chr(10) || chr(1), 'g'),
+                                           '([.!?]+)([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM doc)),
+norm AS (
+  SELECT *, translate(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' '),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM piece),
+sent AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM norm WHERE s <> ''),
+span AS (
+  SELECT r, doc_id, text, i, s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w AS g
+  FROM sent WINDOW w AS (PARTITION BY r ORDER BY i)),
+later AS (
+  SELECT r, i FROM (
+    SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, r, i) AS n FROM span WHERE g IS NOT NULL)
+  WHERE n > 1),
+gone AS (SELECT DISTINCT r, j FROM later, unnest(range(i, i + 3)) AS t(j)),
+kept AS (
+  SELECT norm.r, count(sent.i) AS n_sentences, count(gone.j) AS n_removed,
+         coalesce(string_agg(norm.x, '' ORDER BY norm.k) FILTER (WHERE gone.j IS NULL), '') AS left_text
+  FROM norm LEFT JOIN sent ON norm.r = sent.r AND norm.k = sent.k LEFT JOIN gone ON gone.r = sent.r AND gone.j = sent.i
+  GROUP BY norm.r)
+SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(n_removed AS BIGINT) AS n_removed,
+       CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes,
+       CAST(octet_length(encode(text)) - octet_length(encode(left_text)) AS BIGINT) AS n_removed_bytes,
+       sha256(left_text) AS kept_sha256
+FROM doc JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op9_quality": OP9_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op6_licenses": _op6_sql(), "op8_sentence_dedup": OP8_SQL, "op9_quality": OP9_SQL}
