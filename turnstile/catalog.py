@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnstile.operators import evals, gate, reconcile, search, spatial, stats, texts  # noqa: F401  (they register)
+from turnstile.plans import registry
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Name of the query that ``entry`` runs.
-FLAGSHIP = "stage_metrics"
+FLAGSHIP = "cosine_top1"
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: registry.spark_query(name) for name in registry.names()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: registry.duckdb_sql(name) for name in registry.names()}
