@@ -98,9 +98,11 @@ def test_stream_equals_batch(spark, tmp_path):
     )
     spark.createDataFrame(rows).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("run_id long, frame long, n long, x double, y double, w double, h double").parquet(str(tmp_path / "in"))
-    q = track_stream(stream).writeStream.format("memory").queryName("tracks").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = track_stream(stream, idle_ms=0).writeStream.format("memory").queryName("tracks").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(90), "the stream did not end"
+    finally:
+        q.stop()
     got = sorted(map(tuple, spark.table("tracks").collect()))
     want = sorted(tuple(map(int, x)) for _, g in rows.groupby("run_id") for x in track_run(g).itertuples(index=False))
     assert got == want and got

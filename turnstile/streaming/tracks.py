@@ -17,7 +17,7 @@ TRACKS = "run_id long, frame long, n long, track long"
 IDLE_MS = 3_600_000
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = 0) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -29,18 +29,21 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         numbers = group["n"].tolist()
         out += [(key[0], int(frame), int(numbers[j]), t) for j, t in tracker.step(boxes)]
     state.update((pickle.dumps(tracker),))
-    state.setTimeoutDuration(IDLE_MS)
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["run_id", "frame", "n", "track"])
 
 
-def track_stream(boxes: DataFrame) -> DataFrame:
+def track_stream(boxes: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     """Confirmed tracks of a stream of ``run_id, frame, n, x, y, w, h``, frames in order per run.
 
     The same fold as the batch tracker; its state is the tracker of each run.
+    ``idle_ms`` drops idle trackers; 0 keeps them. With it the query runs batches
+    without data for as long as it lives, as Spark does for such timeouts.
     """
-    return boxes.groupBy("run_id").applyInPandasWithState(
-        _advance, TRACKS, "tracker binary", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    advance = lambda key, frames, state: _advance(key, frames, state, idle_ms)
+    return boxes.groupBy("run_id").applyInPandasWithState(advance, TRACKS, "tracker binary", "append", timeout)
 
 
 def crossings_stream(sightings: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
