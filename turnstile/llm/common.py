@@ -76,6 +76,22 @@ def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield tuple(c[i].as_py() for c in columns)
 
 
+def hashed_sample(df: DataFrame, rows: int, draw: Column) -> DataFrame:
+    """The ``rows`` rows with the smallest ``draw``, a seeded xxhash64.
+
+    The rows are counted first and a threshold lets about twice as many pass, so
+    what the tasks send is bounded by ``rows`` and not by their number. A table
+    whose hashes leave too few is drawn as a whole.
+    """
+    total = df.count()
+    if total > 8 * rows:
+        most = int(-(1 << 63) + (1 << 64) * (2 * rows + 64) / total)
+        part = df.where(draw < F.lit(most))
+        if part.limit(rows).count() >= rows:
+            df = part
+    return df.orderBy(draw).limit(rows)
+
+
 class Sink:
     """Collects output rows and hands them over in batches of bounded size."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import Sink, rows_of, utf8
+from turnstile.llm.common import Sink, hashed_sample, rows_of, utf8
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -143,7 +143,7 @@ def plan_cascade(texts: Sequence[bytes], rules: Sequence[Rule] = RULES) -> list[
 def sample_texts(docs: DataFrame, rows: int, nbytes: int, *, id_col: str, text_col: str, seed: int) -> list[bytes]:
     """At most ``rows`` texts of at most ``nbytes`` each, by seeded hash; it only orders rules."""
     short = docs.select(id_col, utf8(text_col).alias("t")).where(F.octet_length("t") <= nbytes)
-    drawn = short.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), "t").limit(rows)
+    drawn = hashed_sample(short, rows, F.xxhash64(F.lit(seed), F.col(id_col)))
     return [bytes(r.t) for r in drawn.collect()]
 
 

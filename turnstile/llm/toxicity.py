@@ -26,7 +26,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import Sink, rows_of, utf8
+from turnstile.llm.common import Sink, hashed_sample, rows_of, utf8
 
 GRAM = 5
 #: Savings, in bytes, that are counted apart.
@@ -200,7 +200,7 @@ def labelled_sample(
     own = own.where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & (F.pmod(crc, F.lit(folds)) != fold))
     own = own.groupBy("id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64(F.lit(seed), F.col("id"))
-    drawn = own.where("toxic = 1").orderBy(draw, "id").limit(rows).unionByName(own.where("toxic = 0").orderBy(draw, "id").limit(rows))
+    drawn = hashed_sample(own.where("toxic = 1"), rows, draw).unionByName(hashed_sample(own.where("toxic = 0"), rows, draw))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t")).where(F.octet_length("t") <= nbytes)
     found = texts.join(F.broadcast(drawn), "id").orderBy("toxic", draw, "id", "t").limit(3 * rows).select("toxic", "t").collect()
     return [bytes(r.t) for r in found if r.toxic], [bytes(r.t) for r in found if not r.toxic]
