@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import materialize, utf8
+from turnstile.llm.common import discard, materialize, utf8
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,4 +31,6 @@ def only_repeated(short: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     join key in the second, which Spark can split.
     """
     twice = materialize(short.groupBy("h").count().where("count > 1").select("h"), f"{name}-twice")
-    return materialize(rows.join(twice, "h", "left_semi"), name)
+    found = materialize(rows.join(twice, "h", "left_semi"), name)
+    discard(twice)
+    return found

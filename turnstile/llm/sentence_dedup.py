@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -43,7 +44,7 @@ def spans(text: bytes, span: int = SPAN) -> Iterator[tuple[int, bytes]]:
 
 
 def _halves(digest: bytes) -> tuple[int, int]:
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+    return struct.unpack(">qq", digest)
 
 
 def repeated_sentences(docs: DataFrame, span: int = SPAN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

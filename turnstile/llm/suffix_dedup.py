@@ -28,7 +28,9 @@ What goes to a document is the runs of windows that repeat; their union is cut.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import Sink, map_rows, materialize, rows_of, utf8
+from turnstile.llm.common import Sink, discard, map_rows, materialize, rows_of, utf8
 from turnstile.llm.repeats import only_repeated
 from turnstile.llm.suffix_array import adjacent_prefixes, two_stage_order
 
@@ -53,15 +55,15 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of every ``GRAM`` consecutive bytes, by doubling (``GRAM`` is a power of two)."""
+    """A hash of every ``GRAM`` consecutive bytes of each row, by doubling (``GRAM`` is a power of two)."""
     h = data.astype(np.uint64)
     h += np.uint64(1)
     h *= _A
     h ^= h >> np.uint64(29)
     width = 1
     while width < GRAM:
-        right = h[width:]
-        h = (h[:-width] * _B + (right ^ (right >> np.uint64(31)))) * _C
+        right = h[..., width:]
+        h = (h[..., :-width] * _B + (right ^ (right >> np.uint64(31)))) * _C
         h ^= h >> np.uint64(32)
         width *= 2
     return h
@@ -138,6 +140,11 @@ def _anchor_rows(source: DataFrame, names: bool) -> DataFrame:
     return source.select(*inputs).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
+def _content(data: bytes) -> tuple[int, int]:
+    """A 128-bit hash, as two longs."""
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(data))
+
+
 def _segment(text: bytes, place: int) -> bytes:
     _, a, b = unpack(place)
     return text[a : b + DEPTH]
@@ -152,13 +159,18 @@ def _occurrences(source: DataFrame, found: DataFrame) -> DataFrame:
     joined = source.join(own, "name").select("name", "doc_id", "t", F.col("own.h").alias("hs"), F.col("own.place").alias("places"))
 
     def row(name, doc, text, hs, places) -> Iterable[tuple]:
-        for h, place in zip(hs, places, strict=True):
-            p, a, b = unpack(place)
-            # Names are 64 bits: the anchor itself says whether the place is this text's.
-            if b + DEPTH > len(text) or int(_gram_hashes(np.frombuffer(text[p : p + GRAM], np.uint8)).view(np.int64)[0]) != h:
-                continue
-            d = xxhash.xxh3_128_digest(text[a : b + DEPTH])
-            yield int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), h, doc, name, place
+        p, a, b = unpack(np.array(places))
+        # Names are 64 bits: the anchors themselves say whether the places are this text's.
+        if b.max() + DEPTH > len(text):
+            return
+        grams = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), GRAM)
+        for i in range(0, len(p), 4096):
+            part = slice(i, i + 4096)
+            own = _gram_hashes(grams[p[part]])[:, 0].view(np.int64)
+            for h, place, first, last, found in zip(hs[part], places[part], a[part].tolist(), b[part].tolist(), own.tolist(), strict=True):
+                if found == h:
+                    x, y = _content(text[first : last + DEPTH])
+                    yield x, y, h, doc, name, place
 
     names = ["x", "y", "h", "doc_id", "name", "place"]
     return map_rows(joined, ["name", "doc_id", "t", "hs", "places"], pa.schema([(n, _LONG) for n in names]), ", ".join(f"{n} long" for n in names), row)
@@ -275,8 +287,7 @@ def _by_windows(contents: DataFrame) -> DataFrame:
     def row(last, doc, name, place, s) -> Iterable[tuple]:
         _, a, b = unpack(place)
         for i in range(b - a + 1):
-            d = xxhash.xxh3_128_digest(s[i : i + DEPTH])
-            yield int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), last, doc, name, a + i
+            yield *_content(s[i : i + DEPTH]), last, doc, name, a + i
 
     schema = pa.schema([("x", _LONG), ("y", _LONG), ("last", pa.bool_()), ("doc_id", _LONG), ("name", _LONG), ("place", _LONG)])
     ddl = "x long, y long, last boolean, doc_id long, name long, place long"
@@ -290,23 +301,28 @@ def repeated_starts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``name, lo, hi``: starts, by document name, of strings that also start earlier."""
     source = _named(docs, id_col, text_col)
     found = only_repeated(_anchor_rows(source, False), _anchor_rows(source, True), "anchors")
-    seen = materialize(_occurrences(source, found).withColumn("last", F.col("doc_id").isNull()), "segments")
-    classes = seen.groupBy("x", "y").agg(F.min(F.struct(*_FIRST)).alias("first"), F.min("h").alias("h"), F.count("*").alias("n"))
+    seen = materialize(_occurrences(source, found), "segments")
+    discard(found)
+    seen_rows = seen.withColumn("last", F.col("doc_id").isNull())
+    classes = seen_rows.groupBy("x", "y").agg(F.min(F.struct(*_FIRST)).alias("first"), F.min("h").alias("h"), F.count("*").alias("n"))
     classes = materialize(classes, "segment-classes")
-    later = seen.join(classes.where("n > 1").select("x", "y", "first"), ["x", "y"]).where(F.struct(*_FIRST) != F.col("first"))
+    later = seen_rows.join(classes.where("n > 1").select("x", "y", "first"), ["x", "y"]).where(F.struct(*_FIRST) != F.col("first"))
     p = F.shiftright("place", 14)
     whole = later.select(
         "name",
         (p - F.shiftright("place", 7).bitwiseAND(F.lit(127))).alias("lo"),
         (p - F.col("place").bitwiseAND(F.lit(127))).alias("hi"),
     )
+    # Each part is written by itself, so that its shuffles go before the next one's begin.
+    whole = materialize(whole, "whole-repeats")
+    discard(seen)
     sizes = classes.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1")
     reps = classes.join(sizes, "h").select("h", "contents", "first.*")
-    small = _by_suffixes(_contents(source, reps.where(F.col("contents") <= GROUP)))
-    ranges = whole.unionByName(small)
+    parts = [whole, materialize(_by_suffixes(_contents(source, reps.where(F.col("contents") <= GROUP))), "suffix-repeats")]
     if sizes.where(F.col("contents") > GROUP).limit(1).count():
-        ranges = ranges.unionByName(_by_windows(_contents(source, reps.where(F.col("contents") > GROUP))))
-    return materialize(ranges, "repeats")
+        parts.append(materialize(_by_windows(_contents(source, reps.where(F.col("contents") > GROUP))), "window-repeats"))
+    discard(classes)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
