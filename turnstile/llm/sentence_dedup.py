@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import map_rows
+from turnstile.llm.common import map_rows, materialize
 from turnstile.llm.repeats import first_in_order, keyed_texts, only_repeated
 
 SPAN = 3
@@ -69,7 +69,8 @@ def repeated_sentences(docs: DataFrame, span: int = SPAN, *, id_col: str = "doc_
         whole,
     )
     found = only_repeated(hashes, places, "spans")
-    first = found.groupBy("h", "g").agg(F.min(first_in_order("at")).alias("first"))
+    # Written, so that the join reads both sides as they are dealt and Spark can split a hot run.
+    first = materialize(found.groupBy("h", "g").agg(F.min(first_in_order("at")).alias("first")), "first-spans")
     later = found.join(first, ["h", "g"]).where(first_in_order("at") != F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
 
