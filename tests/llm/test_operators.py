@@ -426,20 +426,41 @@ def test_toxicity_on_held_out_texts(spark):
 # ---------------------------------------------------------------- sentences
 
 
-def brute_sentences(rows, span=3):
+def brute_sentences(rows):
     named = sorted({(i is None, i or 0, t or "") for i, t, _ in rows}, key=lambda x: x[:2])
     first, out = {}, {}
     for last, i, text in named:
-        parts = list(sentence_dedup.sentences(text.encode()))
+        parts = [w for _, _, w in sentence_dedup.sentences(text.encode())]
         gone = set()
-        for s in range(len(parts) - span + 1):
-            g = tuple(p[2] for p in parts[s : s + span])
-            if first.setdefault(g, (i, text, s)) != (i, text, s):
-                gone |= set(range(s, s + span))
+        for s in range(len(parts)):
+            e = next((e for e in range(s + 3, len(parts) + 1) if sum(map(len, parts[s:e])) >= 15), None)
+            if e:
+                g = tuple(map(tuple, parts[s:e]))
+                if first.setdefault(g, (i, text, s)) != (i, text, s):
+                    gone |= set(range(s, e))
         out[(None if last else i, text)] = (len(parts), len(gone))
     return out
 
 
+@pytest.mark.parametrize("points", [0, 3, 40])
+def test_every_passage_of_fifty_words_holds_a_span(points):
+    rng = random.Random(points)
+    for _ in range(100):
+        passage = [rng.choice(WORDS) + rng.choice(["", "a", "b"]) + ("." if points and rng.randrange(points) == 0 else "") for _ in range(50)]
+        found = []
+        for _ in range(2):
+            text = " ".join([prose(rng, rng.randint(0, 40)), *passage, prose(rng, rng.randint(0, 40))])
+            found.append({d for _, _, d in sentence_dedup.span_hashes(text.encode())})
+        assert found[0] & found[1]
+
+
+def test_sentences_hold_the_whole_text(corpus):
+    for _, text, _ in corpus:
+        b = (text or "").encode()
+        assert [w for _, _, own in sentence_dedup.sentences(b) for w in own] == b.lower().split()
+        assert all(b[x:y].lower().split() == own for x, y, own in sentence_dedup.sentences(b))
+
+
 def test_sentence_dedup(spark, docs, corpus):
     got = sentence_dedup.dedup_sentences(docs).collect()
     assert len(got) == len(corpus)

@@ -201,18 +201,31 @@ piece AS (
   FROM (SELECT r, doc_id, text,
                string_split(regexp_replace(regexp_replace(text, chr(10), chr(10) || chr(1), 'g'),
                                            '([.!?]+)([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM doc)),
+tok AS (
+  SELECT *, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS t, regexp_extract(x, '[\x20\x09-\x0D]*$') AS tail,
+         list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), lambda v: translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM piece),
+cut AS (
+  SELECT *, list_sort(list_distinct(list_prepend(1, CASE WHEN len(w) > 12 THEN
+    list_transform(range(1, len(w) - 4), lambda s: s - 1 + list_position(w[s:s + 5], list_min(w[s:s + 5]))) ELSE [] END))) AS c FROM tok),
 norm AS (
-  SELECT *, translate(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' '),
-                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM piece),
-sent AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM norm WHERE s <> ''),
-span AS (
-  SELECT r, doc_id, text, i, s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w AS g
-  FROM sent WINDOW w AS (PARTITION BY r ORDER BY i)),
+  SELECT r, doc_id, text, k * 1000000 + q AS k,
+         CASE WHEN len(w) = 0 THEN x ELSE array_to_string(t[c[q]:coalesce(c[q + 1] - 1, len(t))], '') || CASE WHEN q = len(c) THEN tail ELSE '' END END AS x,
+         w[c[q]:coalesce(c[q + 1] - 1, len(w))] AS v
+  FROM cut, unnest(range(1, len(c) + 1)) AS u(q)),
+sent AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM norm WHERE len(v) > 0),
+doc_sent AS (
+  SELECT r, any_value(doc_id) AS doc_id, list(array_to_string(v, ' ') ORDER BY i) AS s, list_prepend(0, list(n ORDER BY i)) AS n
+  FROM (SELECT *, sum(len(v)) OVER (PARTITION BY r ORDER BY i) AS n FROM sent) GROUP BY r),
+ends AS (
+  SELECT r, doc_id, s, i, list_filter(range(i + 2, least(i + 15, len(s)) + 1), lambda j: n[j + 1] - n[i] >= 15)[1] AS e
+  FROM doc_sent, unnest(range(1, len(s) + 1)) AS u(i)),
+span AS (SELECT r, doc_id, i, e, array_to_string(s[i:e], chr(10)) AS g FROM ends WHERE e IS NOT NULL),
 later AS (
-  SELECT r, i FROM (
-    SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, r, i) AS n FROM span WHERE g IS NOT NULL)
-  WHERE n > 1),
-gone AS (SELECT DISTINCT r, j FROM later, unnest(range(i, i + 3)) AS t(j)),
+  SELECT r, i, e FROM (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, r, i) AS place FROM span)
+  WHERE place > 1),
+gone AS (SELECT DISTINCT r, j FROM later, unnest(range(i, e + 1)) AS t(j)),
 kept AS (
   SELECT norm.r, count(sent.i) AS n_sentences, count(gone.j) AS n_removed,
          coalesce(string_agg(norm.x, '' ORDER BY norm.k) FILTER (WHERE gone.j IS NULL), '') AS left_text

@@ -1,9 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a line's end or at ``. ! ?`` before white space. Every run of
-``SPAN`` consecutive sentences of a text is hashed, lower-cased and with single
-blanks; of equal runs, anywhere, the first stays (smallest id, then place) and
-the sentences under every other one are removed from their texts.
+A sentence ends at a line's end or at ``. ! ?`` before white space. Text without
+such ends is common, so a sentence of over ``LONGEST`` words is cut further,
+before words that are the smallest of some ``WITHIN`` consecutive ones: that
+depends on the words around alone, so that one passage is cut alike wherever it
+stands, into parts of at most ``WITHIN`` words.
+
+A span is a run of at least ``SPAN`` consecutive sentences with at least
+``LEAST`` words. Every span of a text is hashed, lower-cased and with single
+blanks; of equal spans, anywhere, the first stays (smallest id, then place) and
+the sentences under every other one are removed from their texts. Any passage of
+50 words holds a whole span.
 """
 
 from __future__ import annotations
@@ -22,77 +29,111 @@ from turnstile.llm.common import map_rows, materialize
 from turnstile.llm.repeats import first_in_order, keyed_texts, only_repeated
 
 SPAN = 3
+LEAST = 15
+LONGEST = 12
+WITHIN = 6
 #: Fixed pattern: where sentences end.
 END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|\n")
+#: A word with the white space before it.
+TOKEN = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 
-def sentences(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(from, to, normalised) of each sentence with a word; together they hold all words."""
+def cuts(words: list[bytes]) -> list[int]:
+    """Words of a long sentence before which it is cut: the first smallest of each ``WITHIN`` consecutive ones."""
+    found = set()
+    for i in range(len(words) - WITHIN + 1):
+        part = words[i : i + WITHIN]
+        found.add(i + part.index(min(part)))
+    return sorted(found - {0})
+
+
+def sentences(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, lower-cased words) of each sentence with a word; together they hold all words."""
     at = 0
     for stop in [m.end() for m in END.finditer(text)] + [len(text)]:
         words = text[at:stop].lower().split()
-        if words:
-            yield at, stop, b" ".join(words)
+        if len(words) > LONGEST:
+            own = cuts(words)
+            starts = [m.start() for m in TOKEN.finditer(text, at, stop)]
+            edges = [at, *(starts[i] for i in own), stop]
+            for a, b, i, j in zip(edges, edges[1:], [0, *own], [*own, len(words)], strict=False):
+                yield a, b, words[i:j]
+        elif words:
+            yield at, stop, words
         at = stop
 
 
-def spans(text: bytes, span: int = SPAN) -> Iterator[tuple[int, bytes]]:
-    """(number of its first sentence, hash) of each run; a text with fewer sentences has none."""
-    parts = [s for _, _, s in sentences(text)]
-    for i in range(len(parts) - span + 1):
-        yield i, xxhash.xxh3_128_digest(b"\n".join(parts[i : i + span]))
+def spans(parts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """(first, last) sentence of each span: the shortest from each sentence on."""
+    size, last = 0, -1
+    for first in range(len(parts)):
+        if first:
+            size -= len(parts[first - 1])
+        while last + 1 < len(parts) and (size < LEAST or last - first + 1 < SPAN):
+            last += 1
+            size += len(parts[last])
+        if size < LEAST or last - first + 1 < SPAN:
+            return
+        yield first, last
+
+
+def span_hashes(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first, last, hash) of each span of a text."""
+    parts = [words for _, _, words in sentences(text)]
+    joined = [b" ".join(words) for words in parts]
+    for first, last in spans(parts):
+        yield first, last, xxhash.xxh3_128_digest(b"\n".join(joined[first : last + 1]))
 
 
 def _halves(digest: bytes) -> tuple[int, int]:
     return struct.unpack(">qq", digest)
 
 
-def repeated_sentences(docs: DataFrame, span: int = SPAN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``key`` and ``starts``: first sentences of the runs that aren't the first of their kind."""
+def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``key`` and ``later``: (first, last) sentences of spans that aren't the first of their kind."""
     source = keyed_texts(docs, id_col, text_col)
 
     def short(text: bytes) -> Iterable[tuple]:
-        for _, d in spans(text, span):
+        for _, _, d in span_hashes(text):
             yield (_halves(d)[0],)
 
     def whole(doc, key, text) -> Iterable[tuple]:
-        for i, d in spans(text, span):
-            yield (*_halves(d), doc, key, i)
+        for i, j, d in span_hashes(text):
+            yield (*_halves(d), doc, key, i, j)
 
     long = pa.int64()
     hashes = map_rows(source, ["t"], pa.schema([("h", long)]), "h long", short)
     places = map_rows(
         source,
         ["doc_id", "key", "t"],
-        pa.schema([("h", long), ("g", long), ("doc_id", long), ("key", long), ("at", long)]),
-        "h long, g long, doc_id long, key long, at long",
+        pa.schema([("h", long), ("g", long), ("doc_id", long), ("key", long), ("at", long), ("end", long)]),
+        "h long, g long, doc_id long, key long, at long, end long",
         whole,
     )
     found = only_repeated(hashes, places, "spans")
     # Written, so that the join reads both sides as they are dealt and Spark can split a hot run.
     first = materialize(found.groupBy("h", "g").agg(F.min(first_in_order("at")).alias("first")), "first-spans")
     later = found.join(first, ["h", "g"]).where(first_in_order("at") != F.col("first"))
-    return later.groupBy("doc_id", "key").agg(F.collect_set("at").alias("starts"))
+    return later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "end")).alias("later"))
 
 
-def dedup_sentences(docs: DataFrame, span: int = SPAN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs`` with what is left of its text.
 
     Columns: ``doc_id``, ``n_sentences``, ``n_removed``, ``n_bytes``,
     ``n_removed_bytes`` (long), ``kept_sha256`` and ``kept_text``.
 
-    A null text is empty. Texts of fewer than ``span`` sentences have no run and
-    stay whole. Null ids come last in the order of documents. Rows with one id
+    A null text is empty. A text too short for a span stays whole. Null ids come last in the order of documents. Rows with one id
     and one text are one document and never remove each other. Other columns are
     not read. An empty table gives an empty table.
     """
-    removed = repeated_sentences(docs, span, id_col=id_col, text_col=text_col)
+    removed = repeated_sentences(docs, id_col=id_col, text_col=text_col)
     source = keyed_texts(docs, id_col, text_col)
-    found = removed.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "starts")
+    found = removed.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), F.col("later.at").alias("at"), F.col("later.end").alias("end"))
     joined = source.join(found, F.col("key").eqNullSafe(F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
 
-    def row(doc, text, starts) -> Iterable[tuple]:
-        gone = {i + k for i in starts or () for k in range(span)}
+    def row(doc, text, at, end) -> Iterable[tuple]:
+        gone = {k for i, j in zip(at or (), end or (), strict=True) for k in range(i, j + 1)}
         kept, n = [], 0
         last = 0
         for n, (a, b, _) in enumerate(sentences(text), 1):
@@ -111,7 +152,7 @@ def dedup_sentences(docs: DataFrame, span: int = SPAN, *, id_col: str = "doc_id"
     )
     return map_rows(
         joined,
-        ["doc_id", "t", "starts"],
+        ["doc_id", "t", "at", "end"],
         schema,
         "doc_id long, n_sentences long, n_removed long, n_bytes long, n_removed_bytes long, kept_sha256 string, kept_text string",
         row,
