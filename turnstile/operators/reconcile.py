@@ -47,7 +47,7 @@ def different_bodies(d: Dialect) -> str:
 
 @sql
 def co_presence(d: Dialect) -> str:
-    """Pairs of people seen in one frame, without staff: the first frame of each pair, at most {cap} a run."""
+    """Pairs of people seen in one frame, without staff: the first frame of each pair, capped per run."""
     return f"""SELECT run_id, key_a, key_b, seq FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq, key_a, key_b) AS rn FROM (
       SELECT a.frame % 8 AS run_id, a.key AS key_a, b.key AS key_b, min(a.frame) AS seq FROM {_verdicts(d)} AS a
       JOIN {_verdicts(d)} AS b ON a.frame = b.frame AND a.key < b.key WHERE NOT a.staff AND NOT b.staff GROUP BY a.frame % 8, a.key, b.key) AS p) AS r
