@@ -1,7 +1,8 @@
 """Vector search over templates, and what a gallery learns.
 
-Probes are a stated query set and run against one run's gallery, which Spark
-broadcasts while it is small; the best row per probe is a partial aggregate.
+Probes are a stated query set and meet the gallery of their own run, which is the
+join's key: galleries of runs lie apart, and Spark broadcasts them while they are
+small. The best row per probe is a rank within the probe.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ def _scored(d: Dialect, extra: str = "") -> str:
     """Every probe with every gallery row, and their cosine (vectors are unit)."""
     return f"""SELECT p.id AS probe, p.key AS probe_key, p.appearance AS probe_look, p.quality AS probe_quality,
       g.id AS id, g.key AS key, g.appearance AS look, {d.dot('p.vec', 'g.vec')} AS cosine
-      FROM {probes(d)} AS p JOIN {gallery(d)} AS g ON g.run_id >= 0 {extra}"""
+      FROM {probes(d)} AS p JOIN {gallery(d)} AS g ON g.run_id = p.run_id {extra}"""
 
 
 def _ranked(d: Dialect, by: str = "probe", extra: str = "") -> str:
@@ -125,7 +126,7 @@ def _with_looks(d: Dialect) -> str:
     """The best clothing overlap with the matched key; null where either side has none."""
     return f"""SELECT t.*, l.likeness FROM ({_best(d)}) AS t LEFT JOIN (
       SELECT p.id AS probe, g.key AS key, max({d.overlap('p.appearance', 'g.appearance')}) AS likeness
-      FROM {probes(d)} AS p JOIN {gallery(d)} AS g ON p.appearance IS NOT NULL AND g.appearance IS NOT NULL GROUP BY p.id, g.key) AS l
+      FROM {probes(d)} AS p JOIN {gallery(d)} AS g ON p.run_id = g.run_id AND p.appearance IS NOT NULL AND g.appearance IS NOT NULL GROUP BY p.id, g.key) AS l
       ON l.probe = t.probe AND l.key = t.key"""
 
 
@@ -170,7 +171,7 @@ def review_queue(d: Dialect) -> str:
         count(*) OVER () AS considered FROM (
         SELECT key_a, key_b, max(cosine) AS cosine,
           max(CASE WHEN look_a IS NOT NULL AND look_b IS NOT NULL THEN {d.overlap('look_a', 'look_b')} END) AS likeness
-        FROM ({_pairs(d, 'a.key < b.key')}) AS p0 GROUP BY key_a, key_b
+        FROM ({_pairs(d, 'a.run_id = b.run_id AND a.key < b.key')}) AS p0 GROUP BY key_a, key_b
         HAVING max(cosine) >= {K.review_floor} AND max(cosine) < {K.match_threshold}) AS q
       WHERE NOT EXISTS (SELECT 1 FROM {cannot_link(d)} AS c WHERE c.a = q.key_a AND c.b = q.key_b)) AS r
       WHERE place <= {K.review_limit}"""
