@@ -52,6 +52,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def bound_batches(spark: SparkSession, rows: int = 1024, nbytes: int = 8 << 20) -> None:
+    """Smaller Arrow batches than the defaults, as rows here are whole texts.
+
+    A batch stands in memory several times on its way to Python and back, in
+    each of an executor's tasks at once. Settings that are smaller already stay.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", nbytes)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)  # a number, or a size such as 64m
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing will read again."""
     for table in tables:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import Sink, rows_of, utf8
+from turnstile.llm.common import Sink, bound_batches, rows_of, utf8
 
 WINDOW = 13
 #: Fixed values of the contract: bytes that never belong to a word, after lower-casing A-Z.
@@ -112,6 +112,7 @@ def find_windows(
     id; items without words have no window; repeated items count once. Columns
     of ``docs`` with the added names are replaced. Empty tables are fine.
     """
+    bound_batches(docs.sparkSession)
     added = T.StructType.fromDDL(
         "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, "
         "contaminated boolean, spans array<struct<start:long,stop:long>>"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import Sink, materialize, rows_of, utf8
+from turnstile.llm.common import Sink, bound_batches, materialize, rows_of, utf8
 from turnstile.llm.lattice import Lattice
 
 #: At most so many words are sent to the executors.
@@ -154,6 +154,7 @@ def score_texts(
     written down first.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
     words = materialize(count_words(source, folds, fold), "words")
     sums = words.agg(F.sum("c").alias("n"), F.sum("everywhere").alias("all"), F.count_if(F.col("c") > 0).alias("v")).first()

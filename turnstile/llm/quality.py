@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import Sink, hashed_sample, rows_of, utf8
+from turnstile.llm.common import Sink, bound_batches, hashed_sample, rows_of, utf8
 
 #: Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -168,6 +168,7 @@ def cascade(
     empty table gives an empty table. The sample (at most ``sample_rows`` texts
     of at most ``sample_bytes``) decides the order of the rules alone.
     """
+    bound_batches(docs.sparkSession)
     order = [s.name for s in plan_cascade(sample_texts(docs, sample_rows, sample_bytes, id_col=id_col, text_col=text_col, seed=seed), rules)]
     named = {r.name: r for r in rules}
     ordered = [named[n] for n in order]

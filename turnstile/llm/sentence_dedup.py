@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import map_rows, materialize
+from turnstile.llm.common import bound_batches, map_rows, materialize
 from turnstile.llm.repeats import first_in_order, keyed_texts, only_repeated
 
 SPAN = 3
@@ -127,6 +127,7 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and one text are one document and never remove each other. Other columns are
     not read. An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     removed = repeated_sentences(docs, id_col=id_col, text_col=text_col)
     source = keyed_texts(docs, id_col, text_col)
     found = removed.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), F.col("later.at").alias("at"), F.col("later.end").alias("end"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import Sink, map_rows, materialize, utf8
+from turnstile.llm.common import Sink, bound_batches, map_rows, materialize, utf8
 
 SHINGLE = 4
 SEED = 42
@@ -258,6 +258,7 @@ def near_duplicates(
     component's id, null if all its members' ids are null. Repeated rows stay.
     Other columns are not read. An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), radius))

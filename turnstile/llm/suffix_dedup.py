@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import Sink, discard, map_rows, materialize, rows_of, utf8
+from turnstile.llm.common import Sink, bound_batches, discard, map_rows, materialize, rows_of, utf8
 from turnstile.llm.repeats import only_repeated
 from turnstile.llm.suffix_array import adjacent_prefixes, two_stage_order
 
@@ -337,6 +337,7 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     document and never remove each other; of texts with one id the order is that
     of their names. Other columns are not read. An empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     ranges = repeated_starts(docs, id_col=id_col, text_col=text_col)
     own = ranges.groupBy("name").agg(F.collect_set(F.struct("lo", "hi")).alias("own"))
     source = _named(docs, id_col, text_col)

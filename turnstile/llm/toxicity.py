@@ -26,7 +26,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import Sink, hashed_sample, rows_of, utf8
+from turnstile.llm.common import Sink, bound_batches, hashed_sample, rows_of, utf8
 
 GRAM = 5
 #: Savings, in bytes, that are counted apart.
@@ -230,6 +230,7 @@ def score_toxicity(
     nothing; without labels of both kinds all scores are 0, or 1 if all are
     toxic. Repeated rows are scored each. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     model = train(*labelled_sample(docs, labels, sample, sample_bytes, folds, fold, id_col=id_col, text_col=text_col, seed=seed))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
