@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -184,28 +185,52 @@ def score_texts(
     end_known, end_lp = int(ends > 0), end / _LN10
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each rare word of a text, and one for the text with all that is settled."""
         known = frequent.value
-        schema = pa.schema(
-            [("row", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())]
-        )
-        sink = Sink(schema)
+        rows: list[int] = []
+        words: list[bytes] = []
+        tfs: list[int] = []
+        texts: list[tuple] = []
+
+        def handed() -> pa.RecordBatch:
+            n, (row, doc, tokens, n_known, base, lp) = len(rows), zip(*texts, strict=True)
+            none = np.zeros(n, np.int64)
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*rows, *row], pa.int64()),
+                    # A text's key is no word and no other row's: it meets nothing in the join.
+                    pa.array([*words, *(b" %d" % r for r in row)], pa.binary()),
+                    pa.array([*tfs, *(0 for _ in row)], pa.int64()),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(doc, pa.int64())]),
+                    pa.array(np.concatenate((none, tokens))),
+                    pa.array(np.concatenate((none, n_known))),
+                    pa.array(np.concatenate((none, base)).astype(float)),
+                    pa.array(np.concatenate((none, lp)).astype(float)),
+                ],
+                names=["row", "word", "tf", "doc_id", "n_tokens", "known", "base", "lp"],
+            )
+            for x in (rows, words, tfs, texts):
+                x.clear()
+            return out
+
         for row, doc, text in rows_of(batches, "row", "doc_id", "t"):
             tf = Counter(text.lower().split())
+            hot = tf.keys() & known.keys()
+            rare = tf.keys() - hot
+            words.extend(rare)
+            tfs.extend(map(tf.__getitem__, rare))
+            rows.extend(repeat(row, len(rare)))
             n_known, base, lp = end_known, end_base, end_lp
-            for word, n in tf.items():
-                own = known.get(word)
-                if own is None:
-                    if sink.add(row, word, n, None, 0, 0, 0.0, 0.0, weight=len(word)):
-                        yield sink.flush()
-                else:
-                    n_known += n * own[0]
-                    base += n * own[1]
-                    lp += n * own[2]
-            # A key that is no word and no other row's: it meets nothing in the join.
-            if sink.add(row, b" %d" % row, 0, doc, tf.total() + 1, n_known, base, lp):
-                yield sink.flush()
-        if len(sink):
-            yield sink.flush()
+            for word in hot:
+                n, own = tf[word], known[word]
+                n_known += n * own[0]
+                base += n * own[1]
+                lp += n * own[2]
+            texts.append((row, doc, tf.total() + 1, n_known, base, lp))
+            if len(words) > 50_000 or len(texts) > 10_000:
+                yield handed()
+        if texts:
+            yield handed()
 
     parts = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         settle, "row long, word binary, tf long, doc_id long, n_tokens long, known long, base double, lp double"
