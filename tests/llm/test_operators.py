@@ -430,7 +430,7 @@ def brute_sentences(rows):
     named = sorted({(i is None, i or 0, t or "") for i, t, _ in rows}, key=lambda x: x[:2])
     first, out = {}, {}
     for last, i, text in named:
-        parts = [w for _, _, w in sentence_dedup.sentences(text.encode())]
+        parts = sentence_dedup.sentences(text.encode())
         gone = set()
         for s in range(len(parts)):
             e = next((e for e in range(s + 3, len(parts) + 1) if sum(map(len, parts[s:e])) >= 15), None)
@@ -450,15 +450,25 @@ def test_every_passage_of_fifty_words_holds_a_span(points):
         found = []
         for _ in range(2):
             text = " ".join([prose(rng, rng.randint(0, 40)), *passage, prose(rng, rng.randint(0, 40))])
-            found.append({d for _, _, d in sentence_dedup.span_hashes(text.encode())})
+            found.append(set(sentence_dedup.span_hashes(text.encode())[0]))
         assert found[0] & found[1]
 
 
 def test_sentences_hold_the_whole_text(corpus):
     for _, text, _ in corpus:
         b = (text or "").encode()
-        assert [w for _, _, own in sentence_dedup.sentences(b) for w in own] == b.lower().split()
-        assert all(b[x:y].lower().split() == own for x, y, own in sentence_dedup.sentences(b))
+        parts = sentence_dedup.sentences(b)
+        assert [w for own in parts for w in own] == b.lower().split()
+        assert all(b[x:y].lower().split() == own for (x, y), own in zip(sentence_dedup.places(b, parts), parts, strict=True))
+
+
+def test_cuts_are_the_smallest_of_any_few_words():
+    rng = random.Random(3)
+    for _ in range(100):
+        words = [bytes([rng.choice(b"abcdef")]) for _ in range(rng.randint(0, 60))]
+        n = sentence_dedup.WITHIN
+        want = {i + words[i : i + n].index(min(words[i : i + n])) for i in range(len(words) - n + 1)}
+        assert sentence_dedup.cuts(words) == sorted(want - {0})
 
 
 def test_sentence_dedup(spark, docs, corpus):

@@ -207,10 +207,12 @@ tok AS (
   FROM piece),
 cut AS (
   SELECT *, list_sort(list_distinct(list_prepend(1, CASE WHEN len(w) > 12 THEN
-    list_transform(range(1, len(w) - 4), lambda s: s - 1 + list_position(w[s:s + 5], list_min(w[s:s + 5]))) ELSE [] END))) AS c FROM tok),
+    list_transform(range(1, len(w) - 6), lambda s: s - 1 + list_position(w[s:s + 7], list_min(w[s:s + 7]))) ELSE [] END))) AS c FROM tok),
 norm AS (
   SELECT r, doc_id, text, k * 1000000 + q AS k,
-         CASE WHEN len(w) = 0 THEN x ELSE array_to_string(t[c[q]:coalesce(c[q + 1] - 1, len(t))], '') || CASE WHEN q = len(c) THEN tail ELSE '' END END AS x,
+         CASE WHEN len(w) = 0 THEN '' ELSE array_to_string(t[c[q]:coalesce(c[q + 1] - 1, len(t))], '') END AS x,
+         CASE WHEN len(w) = 0 THEN '' ELSE regexp_extract(t[c[q]], '^[\x20\x09-\x0D]*') END AS lead_ws,
+         CASE WHEN len(w) = 0 THEN x WHEN q = len(c) THEN tail ELSE '' END AS tail_ws,
          w[c[q]:coalesce(c[q + 1] - 1, len(w))] AS v
   FROM cut, unnest(range(1, len(c) + 1)) AS u(q)),
 sent AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS i FROM norm WHERE len(v) > 0),
@@ -228,7 +230,7 @@ later AS (
 gone AS (SELECT DISTINCT r, j FROM later, unnest(range(i, e + 1)) AS t(j)),
 kept AS (
   SELECT norm.r, count(sent.i) AS n_sentences, count(gone.j) AS n_removed,
-         coalesce(string_agg(norm.x, '' ORDER BY norm.k) FILTER (WHERE gone.j IS NULL), '') AS left_text
+         coalesce(string_agg(CASE WHEN gone.j IS NULL THEN norm.x ELSE norm.lead_ws END || norm.tail_ws, '' ORDER BY norm.k), '') AS left_text
   FROM norm LEFT JOIN sent ON norm.r = sent.r AND norm.k = sent.k LEFT JOIN gone ON gone.r = sent.r AND gone.j = sent.i
   GROUP BY norm.r)
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(n_removed AS BIGINT) AS n_removed,

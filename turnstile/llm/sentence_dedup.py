@@ -9,7 +9,8 @@ stands, into parts of at most ``WITHIN`` words.
 A span is a run of at least ``SPAN`` consecutive sentences with at least
 ``LEAST`` words. Every span of a text is hashed, lower-cased and with single
 blanks; of equal spans, anywhere, the first stays (smallest id, then place) and
-the sentences under every other one are removed from their texts. Any passage of
+the sentences under every other one are removed from their texts, from their first
+word to their last; white space stays. Any passage of
 50 words holds a whole span.
 """
 
@@ -17,50 +18,60 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import bound_batches, map_rows, materialize
+from turnstile.llm.common import bound_batches, map_rows, materialize, rows_of
 from turnstile.llm.repeats import first_in_order, keyed_texts, only_repeated
 
 SPAN = 3
 LEAST = 15
 LONGEST = 12
-WITHIN = 6
-#: Fixed pattern: where sentences end.
-END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|\n")
-#: A word with the white space before it.
-TOKEN = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
+WITHIN = 8
+#: Fixed patterns: where sentences end, and what a word is.
+SPLIT = re.compile(rb"(?<=[.!?])(?=[\x20\x09-\x0D])|\n")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def cuts(words: list[bytes]) -> list[int]:
     """Words of a long sentence before which it is cut: the first smallest of each ``WITHIN`` consecutive ones."""
-    found = set()
+    found, at = [], -1
     for i in range(len(words) - WITHIN + 1):
-        part = words[i : i + WITHIN]
-        found.add(i + part.index(min(part)))
-    return sorted(found - {0})
-
-
-def sentences(text: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(from, to, lower-cased words) of each sentence with a word; together they hold all words."""
-    at = 0
-    for stop in [m.end() for m in END.finditer(text)] + [len(text)]:
-        words = text[at:stop].lower().split()
+        if at < i:  # the last smallest one has left
+            part = words[i : i + WITHIN]
+            at = i + part.index(min(part))
+            found.append(at)
+        elif words[i + WITHIN - 1] < words[at]:
+            at = i + WITHIN - 1
+            found.append(at)
+    return found[1:] if found and not found[0] else found
+
+
+def sentences(text: bytes) -> list[list[bytes]]:
+    """Lower-cased words of each sentence with a word; together they hold all words."""
+    out = []
+    for part in SPLIT.split(text.lower()):
+        words = part.split()
         if len(words) > LONGEST:
-            own = cuts(words)
-            starts = [m.start() for m in TOKEN.finditer(text, at, stop)]
-            edges = [at, *(starts[i] for i in own), stop]
-            for a, b, i, j in zip(edges, edges[1:], [0, *own], [*own, len(words)], strict=False):
-                yield a, b, words[i:j]
+            edges = [0, *cuts(words), len(words)]
+            out += [words[i:j] for i, j in zip(edges, edges[1:], strict=False)]
         elif words:
-            yield at, stop, words
-        at = stop
+            out.append(words)
+    return out
+
+
+def places(text: bytes, parts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """(from, to) of each sentence in the text: from its first word to its last."""
+    found = WORD.finditer(text)
+    for words in parts:
+        own = [m.span() for m in islice(found, len(words))]
+        yield own[0][0], own[-1][1]
 
 
 def spans(parts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
@@ -77,40 +88,55 @@ def spans(parts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
         yield first, last
 
 
-def span_hashes(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(first, last, hash) of each span of a text."""
-    parts = [words for _, _, words in sentences(text)]
-    joined = [b" ".join(words) for words in parts]
-    for first, last in spans(parts):
-        yield first, last, xxhash.xxh3_128_digest(b"\n".join(joined[first : last + 1]))
-
-
-def _halves(digest: bytes) -> tuple[int, int]:
-    return struct.unpack(">qq", digest)
+def span_hashes(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """A hash for each span of a text, and the spans."""
+    parts = sentences(text)
+    joined = list(map(b" ".join, parts))
+    own = list(spans(parts))
+    return [xxhash.xxh3_128_digest(b"\n".join(joined[i : j + 1])) for i, j in own], own
+
+
+def _span_rows(source: DataFrame, whole: bool) -> DataFrame:
+    """``h`` of every span, or its 128 bits, document and sentences."""
+    inputs = ["doc_id", "key", "t"] if whole else ["t"]
+    columns = ["h", "g", "doc_id", "key", "at", "end"] if whole else ["h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests: list[bytes] = []
+        own: list[tuple[int, int]] = []
+        docs: list[tuple] = []
+
+        def handed() -> pa.RecordBatch:
+            both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            arrays = [pa.array(np.ascontiguousarray(both[:, 0]))]
+            if whole:
+                at, n = np.array(own, np.int64).reshape(-1, 2), [d[2] for d in docs]
+                take = pa.array(np.repeat(np.arange(len(docs)), n))
+                ids = [pa.array([d[k] for d in docs], pa.int64()).take(take) for k in (0, 1)]
+                arrays += [pa.array(np.ascontiguousarray(both[:, 1])), *ids, *(pa.array(np.ascontiguousarray(at[:, k])) for k in (0, 1))]
+            for x in (digests, own, docs):
+                x.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=columns)
+
+        for row in rows_of(batches, *inputs):
+            found, places_ = span_hashes(row[-1])
+            digests += found
+            if whole:
+                own += places_
+                docs.append((row[0], row[1], len(found)))
+            if len(digests) > 50_000:
+                yield handed()
+        if digests:
+            yield handed()
+
+    return source.select(*inputs).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
 def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``key`` and ``later``: (first, last) sentences of spans that aren't the first of their kind."""
     source = keyed_texts(docs, id_col, text_col)
 
-    def short(text: bytes) -> Iterable[tuple]:
-        for _, _, d in span_hashes(text):
-            yield (_halves(d)[0],)
-
-    def whole(doc, key, text) -> Iterable[tuple]:
-        for i, j, d in span_hashes(text):
-            yield (*_halves(d), doc, key, i, j)
-
-    long = pa.int64()
-    hashes = map_rows(source, ["t"], pa.schema([("h", long)]), "h long", short)
-    places = map_rows(
-        source,
-        ["doc_id", "key", "t"],
-        pa.schema([("h", long), ("g", long), ("doc_id", long), ("key", long), ("at", long), ("end", long)]),
-        "h long, g long, doc_id long, key long, at long, end long",
-        whole,
-    )
-    found = only_repeated(hashes, places, "spans")
+    found = only_repeated(_span_rows(source, False), _span_rows(source, True), "spans")
     # Written, so that the join reads both sides as they are dealt and Spark can split a hot run.
     first = materialize(found.groupBy("h", "g").agg(F.min(first_in_order("at")).alias("first")), "first-spans")
     later = found.join(first, ["h", "g"]).where(first_in_order("at") != F.col("first"))
@@ -134,18 +160,17 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = source.join(found, F.col("key").eqNullSafe(F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
 
     def row(doc, text, at, end) -> Iterable[tuple]:
+        parts = sentences(text)
         gone = {k for i, j in zip(at or (), end or (), strict=True) for k in range(i, j + 1)}
-        kept, n = [], 0
-        last = 0
-        for n, (a, b, _) in enumerate(sentences(text), 1):
-            if a > last:
-                kept.append(text[last:a])  # white space between
-            if n - 1 not in gone:
-                kept.append(text[a:b])
-            last = b
-        kept.append(text[last:])
-        left = b"".join(kept) if gone else text
-        yield doc, n, len(gone), len(text), len(text) - len(left), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")
+        left = text
+        if gone:
+            kept, last = [], 0
+            for k, (a, b) in enumerate(places(text, parts)):
+                if k in gone:
+                    kept.append(text[last:a])
+                    last = b
+            left = b"".join([*kept, text[last:]])
+        yield doc, len(parts), len(gone), len(text), len(text) - len(left), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")
 
     long = pa.int64()
     schema = pa.schema(
