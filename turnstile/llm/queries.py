@@ -207,7 +207,7 @@ tok AS (
   FROM piece),
 cut AS (
   SELECT *, list_sort(list_distinct(list_prepend(1, CASE WHEN len(w) > 12 THEN
-    list_transform(range(1, len(w) - 6), lambda s: s - 1 + list_position(w[s:s + 7], list_min(w[s:s + 7]))) ELSE [] END))) AS c FROM tok),
+    list_transform(range(1, len(w) - 8), lambda s: s - 1 + list_position(w[s:s + 9], list_min(w[s:s + 9]))) ELSE [] END))) AS c FROM tok),
 norm AS (
   SELECT r, doc_id, text, k * 1000000 + q AS k,
          CASE WHEN len(w) = 0 THEN '' ELSE array_to_string(t[c[q]:coalesce(c[q + 1] - 1, len(t))], '') END AS x,
