@@ -27,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; sets a local one only where none is set."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="turnstile-"))
         root = context.getCheckpointDir()
