@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstile.operators import evals, folds, gate, reconcile, search, spatial, stats, texts  # noqa: F401  (they register)
+from turnstile.operators import evals, folds, gate, reconcile, reports, search, spatial, stats, texts  # noqa: F401  (they register)
 from turnstile.plans import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,7 @@ FLAGSHIP = "cosine_top1"
 
 
 def queries() -> dict[str, Query]:
-    return {name: registry.spark_query(name) for name in registry.names()} | folds.FOLDS
+    return {name: registry.spark_query(name) for name in registry.names()} | folds.FOLDS | reports.REPORTS
 
 
 def oracle_sql() -> dict[str, str]:
