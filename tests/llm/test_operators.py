@@ -537,3 +537,28 @@ def test_slots_are_shuffled(spark):
     got = sharding.shard_records(frame(spark, rows), 1).orderBy("slot").collect()
     ids = [r.doc_id for r in got]
     assert ids != sorted(ids) and abs(np.corrcoef(ids, range(len(ids)))[0, 1]) < 0.05
+
+
+# ---------------------------------------------------------------- contracts
+
+CONTRACTS = {
+    "op1_": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op2_": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op3_": "doc_id bigint, fingerprint string, component_id bigint",
+    "op4_": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op5_": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op7_": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op10_": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+}
+
+
+@pytest.mark.parametrize("prefix", CONTRACTS)
+def test_queries_return_the_columns_agreed(spark, prefix):
+    from turnstile.llm.queries import queries
+
+    name = next(n for n in queries() if n.startswith(prefix))
+    types = dict(queries()[name](spark, "/root/testdata/sf0.001").dtypes)
+    for column in CONTRACTS[prefix].split(", "):
+        c, t = column.split(" ")
+        assert types[c] == t

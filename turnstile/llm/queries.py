@@ -77,7 +77,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
-        F.col("slot").cast("int").alias("slot"),
+        F.col("slot").cast("long").alias("slot"),
         "grown_shard",
     )
 
