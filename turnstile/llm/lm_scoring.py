@@ -100,6 +100,18 @@ def count_words(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("everywhere").alias("everywhere"))
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Batches of words, put together: the lattice handles words of one length at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def fit(words: DataFrame, pieces: list[bytes], scores: np.ndarray, ends: int, rounds: int, prior: float) -> tuple[np.ndarray, float]:
     """Scores of the pieces, and of the end, after ``rounds`` steps over ``words(word, c)``.
 
@@ -115,7 +127,7 @@ def fit(words: DataFrame, pieces: list[bytes], scores: np.ndarray, ends: int, ro
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(*sent.value)
             total = np.zeros(len(sent.value[0]))
-            for batch in batches:
+            for batch in _larger(batches):
                 own = [b" " + w for w in batch.column(0).to_pylist()]
                 total += lattice.expect(own, batch.column(1).to_numpy().astype(float))
             ids = np.flatnonzero(total)
@@ -170,7 +182,7 @@ def score_texts(
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
-        for batch in batches:
+        for batch in _larger(batches):
             lp = lattice.score([b" " + w for w in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp / _LN10)], names=["word", "c", "everywhere", "lp"])
 
