@@ -454,6 +454,18 @@ def test_every_passage_of_fifty_words_holds_a_span(points):
         assert found[0] & found[1]
 
 
+def test_repeats_of_twenty_six_words_without_an_end_hold_a_span():
+    """Parts of up to ten words lost many of these; parts of up to six lose none."""
+    rng = random.Random(26)
+    for _ in range(300):
+        passage = [rng.choice(WORDS) + rng.choice(["", "a", "b"]) for _ in range(26)]
+        found = []
+        for _ in range(2):
+            text = " ".join([prose(rng, rng.randint(0, 40)), *passage, prose(rng, rng.randint(0, 40))])
+            found.append(set(sentence_dedup.span_hashes(text.encode())[0]))
+        assert found[0] & found[1]
+
+
 def test_sentences_hold_the_whole_text(corpus):
     for _, text, _ in corpus:
         b = (text or "").encode()

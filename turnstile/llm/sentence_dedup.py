@@ -33,7 +33,7 @@ from turnstile.llm.repeats import first_in_order, keyed_texts, only_repeated
 SPAN = 3
 LEAST = 15
 LONGEST = 12
-WITHIN = 10
+WITHIN = 6
 #: Fixed patterns: where sentences end, and what a word is.
 SPLIT = re.compile(rb"(?<=[.!?])(?=[\x20\x09-\x0D])|\n")
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
