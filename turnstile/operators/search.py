@@ -1,8 +1,9 @@
 """Vector search over templates, and what a gallery learns.
 
-Probes are a stated query set and meet the gallery of their own run, which is the
-join's key: galleries of runs lie apart, and Spark broadcasts them while they are
-small. The best row per probe is a rank within the probe.
+Probes are a stated query set and meet all other templates, of every run, so staff
+of a site are found whatever run enrolled them. The rows that answer are dealt into
+``BLOCKS`` blocks and the probes go to each; every key's best row per probe is a
+partial aggregate, so that keys and not pairs are ranked.
 """
 
 from __future__ import annotations
@@ -13,35 +14,49 @@ from turnstile.settings import DEFAULTS as K
 from turnstile.sources.bindings import cannot_link, gallery, probes, templates
 
 
+#: Blocks of answering rows: the parts of a search.
+BLOCKS = 16
+
+
+def _asking(d: Dialect, rows: str) -> str:
+    """Rows once a block."""
+    return f"(SELECT a0.*, block FROM {rows} AS a0 {d.rows(d.numbers('0', str(BLOCKS - 1)), 'k0', 'block')})"
+
+
+def _answering(rows: str) -> str:
+    """Rows with their block."""
+    return f"(SELECT *, (id % {BLOCKS} + {BLOCKS}) % {BLOCKS} AS block FROM {rows} AS a1)"
+
+
 def _scored(d: Dialect, extra: str = "") -> str:
-    """Every probe with every gallery row, and their cosine (vectors are unit)."""
-    return f"""SELECT p.id AS probe, p.key AS probe_key, p.appearance AS probe_look, p.quality AS probe_quality,
-      g.id AS id, g.key AS key, g.appearance AS look, {d.dot('p.vec', 'g.vec')} AS cosine
-      FROM {probes(d)} AS p JOIN {gallery(d)} AS g ON g.run_id = p.run_id {extra}"""
+    """Every probe with every other template, and their cosine (vectors are unit)."""
+    return f"""SELECT p.id AS probe, p.key AS probe_key, g.id AS id, g.key AS key, {d.dot('p.vec', 'g.vec')} AS cosine
+      FROM {_asking(d, probes(d))} AS p JOIN {_answering(gallery(d))} AS g ON g.block = p.block AND g.id <> p.id {extra}"""
 
 
-def _ranked(d: Dialect, by: str = "probe", extra: str = "") -> str:
-    """Ties go to the lowest id."""
-    return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY cosine DESC, id) AS rn FROM ({_scored(d, extra)}) AS s0"
+def _by_key(d: Dialect, extra: str = "") -> str:
+    """The best row of each key for each probe; ties go to the lowest id."""
+    top = "struct(cosine AS cosine, -id AS back)" if d.spark else "struct_pack(cosine := cosine, back := -id)"
+    return f"""SELECT probe, probe_key, key, top.cosine AS cosine, -top.back AS id
+      FROM (SELECT probe, probe_key, key, max({top}) AS top FROM ({_scored(d, extra)}) AS s0 GROUP BY probe, probe_key, key) AS s1"""
 
 
-def _best(d: Dialect) -> str:
+def _best(d: Dialect, extra: str = "") -> str:
     """Each probe's best row, and the best row of any other key."""
-    return f"""SELECT b.*, r.key AS rival, r.cosine AS rival_cosine FROM (SELECT * FROM ({_ranked(d)}) AS r0 WHERE rn = 1) AS b
-      LEFT JOIN (SELECT probe, key, cosine, row_number() OVER (PARTITION BY probe ORDER BY cosine DESC, id) AS rn
-        FROM (SELECT *, first_value(key) OVER (PARTITION BY probe ORDER BY cosine DESC, id) AS top FROM ({_scored(d)}) AS s1) AS s2
-        WHERE key <> top) AS r ON r.probe = b.probe AND r.rn = 1"""
+    order = "OVER (PARTITION BY probe ORDER BY cosine DESC, id)"
+    return f"""SELECT * FROM (SELECT *, row_number() {order} AS rn, lead(key) {order} AS rival, lead(cosine) {order} AS rival_cosine
+      FROM ({_by_key(d, extra)}) AS b0) AS b1 WHERE rn = 1"""
 
 
 @sql
 def cosine_top1(d: Dialect) -> str:
-    return f"SELECT probe, id, key, round(cosine, 6) AS cosine FROM ({_ranked(d)}) AS t WHERE rn = 1"
+    return f"SELECT probe, id, key, round(cosine, 6) AS cosine FROM ({_best(d)}) AS t"
 
 
 @sql
 def cosine_top1_exclude(d: Dialect) -> str:
     """Whole identities are masked: here the probe's own key."""
-    return f"SELECT probe, id, key, round(cosine, 6) AS cosine FROM ({_ranked(d, extra='AND g.key <> p.key')}) AS t WHERE rn = 1"
+    return f"SELECT probe, id, key, round(cosine, 6) AS cosine FROM ({_best(d, 'AND g.key <> p.key')}) AS t"
 
 
 @sql
@@ -51,11 +66,11 @@ def runner_up(d: Dialect) -> str:
 
 @sql
 def match_verdict(d: Dialect) -> str:
-    """Staff (label 9) first; else a match at the threshold or above, else a new person."""
+    """Staff (label 9, of all runs) first; else a match at the threshold or above, else a new person."""
     return f"""SELECT probe, CASE WHEN staff >= {K.match_threshold} THEN 'staff' WHEN cosine >= {K.match_threshold} THEN 'match' ELSE 'mint' END AS verdict,
       CASE WHEN staff >= {K.match_threshold} THEN NULL WHEN cosine >= {K.match_threshold} THEN key END AS key,
       round(cosine, 6) AS cosine
-      FROM (SELECT t.*, s.staff FROM (SELECT * FROM ({_ranked(d)}) AS r1 WHERE rn = 1) AS t LEFT JOIN (
+      FROM (SELECT t.*, s.staff FROM ({_best(d)}) AS t LEFT JOIN (
         SELECT probe, max(cosine) AS staff FROM ({_scored(d, 'AND g.label = 9')}) AS s1 GROUP BY probe) AS s ON s.probe = t.probe) AS v"""
 
 
@@ -84,10 +99,11 @@ def appearances_for(d: Dialect) -> str:
     return f"SELECT key, id, round({d.total('appearance')}, 6) AS mass FROM {templates(d)} AS t WHERE appearance IS NOT NULL"
 
 
-def _pairs(d: Dialect, on: str) -> str:
+def _pairs(d: Dialect, on: str, blocks: bool = False) -> str:
     return f"""SELECT a.key AS key_a, b.key AS key_b, a.id AS id_a, b.id AS id_b, a.quality AS quality_a, b.quality AS quality_b,
       a.appearance AS look_a, b.appearance AS look_b, {d.dot('a.vec', 'b.vec')} AS cosine
-      FROM {templates(d)} AS a JOIN {templates(d)} AS b ON {on}"""
+      FROM {_asking(d, templates(d)) if blocks else templates(d)} AS a JOIN {_answering(templates(d)) if blocks else templates(d)} AS b
+      ON {'a.block = b.block AND ' if blocks else ''}{on}"""
 
 
 @sql
@@ -115,9 +131,9 @@ def prune_redundant_step(d: Dialect) -> str:
 
 @sql
 def enrol_clauses(d: Dialect) -> str:
-    """The clauses that let a matched probe be learned, one column each."""
+    """The clauses that let a matched probe be learned, one column each; a probe takes no room of its own key."""
     return f"""SELECT probe, key, cosine >= {K.match_threshold} + {K.enrol_confidence} AS confident, cosine < {K.enrol_max_cosine} AS fresh,
-      coalesce(cosine - rival_cosine >= {K.enrol_margin}, true) AS clear_of_rival, n < {K.template_cap} AS has_room
+      coalesce(cosine - rival_cosine >= {K.enrol_margin}, true) AS clear_of_rival, n - CASE WHEN probe_key = key THEN 1 ELSE 0 END < {K.template_cap} AS has_room
       FROM (SELECT t.*, c.n FROM ({_best(d)}) AS t JOIN (SELECT key, count(*) AS n FROM {gallery(d)} AS g GROUP BY key) AS c ON c.key = t.key) AS e
       WHERE cosine >= {K.match_threshold}"""
 
@@ -125,9 +141,10 @@ def enrol_clauses(d: Dialect) -> str:
 def _with_looks(d: Dialect) -> str:
     """The best clothing overlap with the matched key; null where either side has none."""
     return f"""SELECT t.*, l.likeness FROM ({_best(d)}) AS t LEFT JOIN (
-      SELECT p.id AS probe, g.key AS key, max({d.overlap('p.appearance', 'g.appearance')}) AS likeness
-      FROM {probes(d)} AS p JOIN {gallery(d)} AS g ON p.run_id = g.run_id AND p.appearance IS NOT NULL AND g.appearance IS NOT NULL GROUP BY p.id, g.key) AS l
-      ON l.probe = t.probe AND l.key = t.key"""
+      SELECT b.probe, max({d.overlap('p.appearance', 'g.appearance')}) AS likeness
+      FROM ({_best(d)}) AS b JOIN {probes(d)} AS p ON p.id = b.probe JOIN {gallery(d)} AS g ON g.key = b.key AND g.id <> p.id
+      WHERE p.appearance IS NOT NULL AND g.appearance IS NOT NULL GROUP BY b.probe) AS l
+      ON l.probe = t.probe"""
 
 
 @sql
@@ -171,7 +188,7 @@ def review_queue(d: Dialect) -> str:
         count(*) OVER () AS considered FROM (
         SELECT key_a, key_b, max(cosine) AS cosine,
           max(CASE WHEN look_a IS NOT NULL AND look_b IS NOT NULL THEN {d.overlap('look_a', 'look_b')} END) AS likeness
-        FROM ({_pairs(d, 'a.run_id = b.run_id AND a.key < b.key')}) AS p0 GROUP BY key_a, key_b
+        FROM ({_pairs(d, 'a.key < b.key', blocks=True)}) AS p0 GROUP BY key_a, key_b
         HAVING max(cosine) >= {K.review_floor} AND max(cosine) < {K.match_threshold}) AS q
       WHERE NOT EXISTS (SELECT 1 FROM {cannot_link(d)} AS c WHERE c.a = q.key_a AND c.b = q.key_b)) AS r
       WHERE place <= {K.review_limit}"""

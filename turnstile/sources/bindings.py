@@ -20,12 +20,13 @@ def templates(d: Dialect) -> str:
 
 
 def probes(d: Dialect) -> str:
-    """Every tenth template asks; the others answer."""
+    """The query set: every tenth template asks, of whatever run."""
     return f"(SELECT * FROM {templates(d)} AS t0 WHERE id % 10 = 0)"
 
 
 def gallery(d: Dialect) -> str:
-    return f"(SELECT * FROM {templates(d)} AS t0 WHERE id % 10 <> 0)"
+    """Every template answers; a probe leaves itself out where it meets the gallery."""
+    return f"(SELECT * FROM {templates(d)} AS t0)"
 
 
 def cannot_link(d: Dialect) -> str:
