@@ -38,3 +38,24 @@ def test_probes_meet_all_other_templates_of_all_runs(spark, templates):
     for r in catalog.queries()["match_verdict"](spark, SF).collect():
         want = "staff" if staff[r.probe] >= K.match_threshold else "match" if best[r.probe][1] >= K.match_threshold else "mint"
         assert r.verdict == want
+
+
+def inside(x, y, points):
+    odd = False
+    for (xi, yi), (xj, yj) in zip(points, points[-1:] + points[:-1], strict=True):
+        odd ^= (yi > y) != (yj > y) and x < (xj - xi) * (y - yi) / (yj - yi) + xi
+    return odd
+
+
+def test_all_boxes_meet_the_zones(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()
+    want = Counter((r[0], label) for r in rows for label, _, _, points in ZONES if inside(float(r[1] % 120), float(r[2] % 60), points))
+    got = catalog.queries()["point_in_polygon"](spark, SF).collect()
+    assert Counter((r.frame, r.label) for r in got) == want
+    assert any(r.n > 1 for r in got)
+
+
+def test_singletons_count_all_templates(spark, templates):
+    want = Counter(r.label * 6 + r.vec_id % 6 for r in templates)
+    got = catalog.queries()["merge_only_singletons"](spark, SF).collect()
+    assert {r.key: (r.n, r.foldable) for r in got} == {k: (n, n == 1) for k, n in want.items()}

@@ -58,7 +58,7 @@ def _inside(d: Dialect, points: str, key: str, modes: str) -> str:
 
 @sql
 def point_in_polygon(d: Dialect) -> str:
-    points = f"SELECT frame, n, x AS px, y AS py FROM {boxes(d)} AS b WHERE n = 1"
+    points = f"SELECT frame, n, x AS px, y AS py FROM {boxes(d)} AS b"
     return f"SELECT frame, n, label FROM ({_inside(d, points, 'frame, n', chr(39) + 'faces' + chr(39) + ', ' + chr(39) + 'detections' + chr(39))}) AS t"
 
 
