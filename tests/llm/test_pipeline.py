@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against plain Python."""
 
+import random
+
 import corpus_pipeline
 from turnstile.llm import decontam, quality
 
@@ -44,3 +46,21 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_copies_stage_catches_edited_texts_and_rows_without_an_id(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        text = words(120)
+        edited = [*text[:40], "edited", *text[41:]]  # five of about 121 shingles change
+        rows += [(i, " ".join(text)), (100 + i, " ".join(edited))]
+    alone = [" ".join(words(80)) for _ in range(4)]
+    rows += [(None, rows[0][1]), (None, alone[0]), (None, alone[0]), (500, alone[1]), (500, alone[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).collect()
+    assert {r.doc_id for r in out if r.doc_id is not None and r.doc_id < 500} == set(range(60))
+    assert sorted(r.text for r in out if r.doc_id is None) == [alone[0]]
+    assert sorted(r.text for r in out if r.doc_id == 500) == sorted(alone[1:3])
+    assert len(out) == 63

@@ -1,0 +1,88 @@
+"""Near copies for the pipeline: MinHash bands find candidates, exact shingle sets decide.
+
+Two texts link if the Jaccard similarity of their sets of ``SHINGLE``-word shingles
+is at least ``LEAST``. ``BANDS`` bands of ``ROWS`` MinHashes retrieve them: a pair
+at ``LEAST`` shares a band with probability over 0.9999. A band's texts meet its
+smallest and its largest member, so a crowd costs its size and not its square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from turnstile.llm.common import bound_batches, map_rows, materialize
+from turnstile.llm.repeats import first_in_order, keyed_texts
+from turnstile.llm.simhash import components
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 20, 4
+SEED = 43
+_CHUNK = 4096
+_DRAWS = np.array([xxhash.xxh64_intdigest(b"min %d" % i, SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
+
+
+def shingles(text: bytes) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+
+
+def bands(text: bytes) -> list[int]:
+    """One signed hash a band."""
+    own = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text)], np.uint64)
+    low = np.full(len(_DRAWS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), _CHUNK):
+        low = np.minimum(low, (own[at : at + _CHUNK, None] * _DRAWS[None, :]).min(axis=0))
+    parts = low.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(p.tobytes(), i) - (1 << 63) for i, p in enumerate(parts)]
+
+
+def alike(a: bytes, b: bytes) -> bool:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= LEAST * len(x | y)
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``key`` (:func:`keyed_texts`) of one row of each group of near copies.
+
+    It is the one with the smallest id, null last, then the smallest key. Rows
+    without an id take part by their texts.
+    """
+    bound_batches(docs.sparkSession)
+    source = keyed_texts(docs, id_col, text_col)
+
+    def named(doc, key, text) -> Iterable[tuple]:
+        yield doc, key, xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED) - (1 << 63)
+
+    def banded(node, text) -> Iterable[tuple]:
+        for b in bands(text):
+            yield node, b
+
+    long = pa.int64()
+    schema = lambda *names: pa.schema([(n, long) for n in names])
+    rows = materialize(map_rows(source, ["doc_id", "key", "t"], schema("doc_id", "key", "node"), "doc_id long, key long, node long", named), "named")
+    # One row of each text, so that copies are cut into shingles once.
+    first = rows.groupBy("node").agg(F.min("key").alias("key"))
+    texts = source.select("key", "t").join(first, "key").select("node", "t")
+    own = materialize(map_rows(texts, ["node", "t"], schema("node", "band"), "node long, band long", banded).distinct(), "bands")
+    ends = own.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    met = own.join(materialize(ends, "band-ends"), "band").select("node", F.explode(F.array("a", "b")).alias("up"))
+    pairs = materialize(met.where("node != up").select(F.greatest("node", "up").alias("node"), F.least("node", "up").alias("up")).distinct(), "pairs")
+    needed = pairs.select("node").union(pairs.select("up")).distinct()
+    some = materialize(texts.join(needed, "node").groupBy("node").agg(F.first("t").alias("t")), "pair-texts")
+    both = pairs.join(some, "node").join(some.select(F.col("node").alias("up"), F.col("t").alias("u")), "up")
+
+    def checked(node, up, a, b) -> Iterable[tuple]:
+        if alike(a, b):
+            yield node, up
+
+    edges = map_rows(both, ["node", "up", "t", "u"], schema("node", "up"), "node long, up long", checked)
+    roots = components(edges)
+    grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return grouped.groupBy("root").agg(F.min(first_in_order()).alias("one")).select("one.doc_id", "one.key")
