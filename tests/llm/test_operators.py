@@ -423,6 +423,14 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score_toxicity(empty(spark), lab).count() == 0
 
 
+def test_repeated_rows_leave_room_for_toxic_texts(spark):
+    rows = [(0, "an ordinary text", "s")] * 200 + [(i, f"text {i}", "s") for i in range(1, 20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    bad, good = toxicity.labelled_sample(frame(spark, rows), labels, 10, 1000, 1, 9, id_col="doc_id", text_col="text", seed=7)
+    assert sorted(bad) == sorted(f"text {i}".encode() for i in range(1, 20, 2))
+    assert len(good) == 10 and good.count(b"an ordinary text") == 1
+
+
 # ---------------------------------------------------------------- sentences
 
 
