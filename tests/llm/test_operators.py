@@ -116,6 +116,55 @@ def test_pareto_prefers_what_is_tilted(spark):
     assert r[0].n > 2.5 * r[1].n
 
 
+def brute_pareto(spark, rows, want, most):
+    """Rank by odds(U) / odds(p) within each source, whole copies first, a row in if its middle is."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.xxhash64(F.lit(20), "doc_id", "text").alias("tie"))
+    own = defaultdict(list)
+    for r in df.collect():
+        u = (((r.tie % (1 << 64)) >> 11) + 0.5) / (1 << 53)
+        own[r.source].append((u / (1 - u), r.tie, len((r.text or "").split()), r.doc_id, r.text))
+    copies = Counter()
+    for source, of in own.items():
+        total = sum(x[2] for x in of)
+        rate = want[source] / total if total else 0
+        whole, run = math.floor(rate), 0
+        for _, _, size, doc, text in sorted(of, key=lambda x: x[:2]):
+            copies[doc, text] += whole
+            if rate > whole and run + size / 2 <= want[source] - whole * total:
+                copies[doc, text] += 1
+            run += size
+    return copies
+
+
+def test_mix_against_a_brute_ranking(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 40)), f"s{rng.randint(0, 3)}") for i in range(600)]
+    rows += [(7000, "copies of one row", "s1")] * 90 + [(None, "no id", "s2"), (8000, "", "s0"), (8001, None, "s3")]
+    for weights, share in (((5, 2, 1), 1.5), ((1, 1, 1, 1), 0.5), ((1, 2), 0.9)):
+        sizes = defaultdict(int)
+        for _, text, source in rows:
+            sizes[source] += len((text or "").split())
+        want = brute_pareto(spark, rows, targets_by_resharing(sizes, weights, share, 2), 2)
+        got = Counter()
+        for r in mixing.mix(frame(spark, rows), weights=weights, share=share).collect():
+            got[r.doc_id, r.text] += r.copies
+        assert {k: v for k, v in got.items() if k[1]} == {k: v for k, v in want.items() if k[1]}
+
+
+def test_a_sample_that_ends_among_repeated_rows(spark):
+    rows = [(1, "one two three", "a")] * 900 + [(i, "w " * 5, "b") for i in range(10, 300)]
+    found = []
+    for n in (2, 7):
+        got = mixing.mix(frame(spark, rows).repartition(n), weights=(1, 1), share=0.7).collect()
+        assert len(got) == len(rows)
+        assert all(abs(sum(r.size * r.copies for r in got if r.source == s) - next(r.target for r in got if r.source == s)) <= 3 for s in "ab")
+        found.append(sorted((r.doc_id, r.copies) for r in got))
+    assert found[0] == found[1]
+    slim = mixing.mix(frame(spark, rows), weights=(1, 1), share=0.7, columns=["doc_id"])
+    assert slim.columns == ["doc_id", "size", "source_size", "target", "copies"]
+    assert sorted((r.doc_id, r.copies) for r in slim.collect()) == found[0]
+
+
 def test_take_mix_repeats_rows(spark, docs):
     mixed = {(r.doc_id, r.text): r.copies for r in mixing.mix(docs).collect()}
     out = mixing.take_mix(docs)
@@ -228,7 +277,7 @@ def test_near_duplicates(spark, docs, corpus):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("group", [4, 2048])
+@pytest.mark.parametrize("group", [4, 8192])
 def test_chains_and_crowds_of_fingerprints(spark, group, monkeypatch):
     """Chains of four bits, a crowd around one centre, and lone ones; pieces of large groups too."""
     monkeypatch.setattr(simhash, "GROUP", group)
@@ -243,7 +292,7 @@ def test_chains_and_crowds_of_fingerprints(spark, group, monkeypatch):
     prints += [centre ^ (1 << a) ^ (1 << b) for a in range(0, 20) for b in range(a)]
     prints = sorted(set(prints))
     signed = [(p ^ (1 << 63)) - (1 << 63) for p in prints]
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    df = simhash.with_pivots(spark.createDataFrame([(x, 0) for x in signed], "fp long, least long"))
     roots = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
     got = defaultdict(set)
     for x in signed:
@@ -423,6 +472,52 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.score_toxicity(empty(spark), lab).count() == 0
 
 
+def test_scores_against_plain_compression():
+    """Distances are lengths by the two dictionaries; thresholds and the fit follow from them."""
+    import zstandard as zstd
+
+    rng = random.Random(3)
+    good = [prose(rng, 80).encode() for _ in range(120)]
+    bad = [(prose(rng, 40) + " " + rng.choice(["worthless", "pathetic", "disgusting"]) + " " + prose(rng, 30)).encode() for _ in range(60)]
+    model = toxicity.train(bad, good)
+    # The ordinary dictionary is the trainer's, on the windows of ordinary texts.
+    own = [b" " + w + b" " for t in good for w in t.lower().split()]
+    assert model.ordinary == zstd.train_dictionary(toxicity.BASE, own, k=12, d=6, level=3).as_bytes()
+    assert model.toxic.endswith(model.ordinary) and len(model.toxic) <= len(model.ordinary) + toxicity.EXTRA
+    distances = toxicity.Distances(model.toxic, model.ordinary, model.carrier)
+
+    def length(content, window):
+        p = zstd.ZstdCompressionParameters(
+            window_log=16, chain_log=16, hash_log=15, search_log=4, min_match=5, target_length=16, strategy=zstd.STRATEGY_LAZY,
+            write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS,
+        )
+        d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        return len(zstd.ZstdCompressor(dict_data=d, compression_params=p).compress(b" " + window + b" " + model.carrier))
+
+    for w in [b"worthless", b"pathetic", b"disgusting", b"the", b"thbleing", b"q" * 64]:
+        assert distances.of(w) == length(model.ordinary, w) - length(model.toxic, w)
+    assert min(distances.of(w) for w in (b"worthless", b"pathetic", b"disgusting")) >= 3
+    seen = [distances.of(w) for t in good for w in toxicity.windows(t)]
+    for tail, step in zip(toxicity.TAILS, model.steps, strict=True):
+        assert sum(d >= step for d in seen) <= tail * len(seen)
+    score = model.scorer()
+    x = np.array(distances.features(bad[0], model.steps))
+    assert score(bad[0]) == pytest.approx(1 / (1 + math.exp(-float(x @ np.array(model.weights)))))
+    assert np.mean([score(t) >= 0.7 for t in bad]) > 0.95 and not any(score(t) >= 0.7 for t in good)
+    long = b" ".join([*good, bad[0]])  # far over the sample's bytes, scored as a whole
+    assert len(long) > 16_384 and 0 <= score(long) <= 1 and score(long) > score(b" ".join(good))
+
+
+def test_repeated_tables_teach_alike(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    four = docs.union(docs).union(docs).union(docs)
+    once = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels, sample=20).collect()}
+    often = toxicity.score_toxicity(four, labels, sample=20).collect()
+    assert len(often) == 4 * len(once) and all(r.score == once[r.doc_id] for r in often)
+
+
 def test_repeated_rows_leave_room_for_toxic_texts(spark):
     rows = [(0, "an ordinary text", "s")] * 200 + [(i, f"text {i}", "s") for i in range(1, 20)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
@@ -525,10 +620,19 @@ def test_quality_measures_and_cascade(spark, docs, corpus):
 
 
 def test_cascade_orders_rules_by_rejection_per_cost():
-    slow = quality.Rule("slow", lambda m: sum(range(20_000)) < 0 or True)
-    rules = (slow, quality.Rule("never", lambda m: False), quality.Rule("fast", lambda m: True))
-    assert [s.name for s in quality.plan_cascade([b"a"] * 20, rules)][0] == "fast"
-    assert [s.name for s in quality.plan_cascade([b"a"] * 20, rules)][-1] == "never"
+    slow = quality.Rule("slow", (), lambda m: sum(range(20_000)) < 0 or m.text == b"a")
+    rules = (slow, quality.Rule("never", (), lambda m: False), quality.Rule("fast", (), lambda m: m.text == b"a"), quality.Rule("rest", (), lambda m: m.text == b"b"))
+    steps = quality.plan_cascade([b"a"] * 20 + [b"b"] * 2, rules)
+    # What "slow" rejects is gone when "fast" has rejected it.
+    assert [s.name for s in steps][:2] == ["fast", "rest"] and [s.rejected for s in steps][1:] == [1.0, 0.0, 0.0]
+
+
+def test_a_kept_plan_gives_the_same_reasons(spark, docs):
+    steps = quality.plan(docs)
+    one, two = (sorted(map(str, quality.cascade(docs.repartition(n), steps=steps).select("doc_id", "text", "kept", "rejected_by").collect())) for n in (2, 5))
+    assert one == two
+    reverse = quality.cascade(docs, steps=steps[::-1]).select("doc_id", "text", "kept").collect()
+    assert sorted(map(str, reverse)) == sorted(map(str, quality.cascade(docs, steps=steps).select("doc_id", "text", "kept").collect()))
 
 
 # ---------------------------------------------------------------- sharding
@@ -541,15 +645,72 @@ def test_shards(spark, docs, corpus, tmp_path):
     of = {}
     for r in got:
         slots[r.shard].append(r.slot)
-        assert r.size == len((r.text or "").encode()) + 8 and r.key == "k" and r.name == "n"
+        assert r.size == len((r.text or "").encode()) + 8
+        assert r.key == "k" and r.name == "n"
         assert of.setdefault(r.doc_id, r.shard) == r.shard
         assert r.grown_shard in (r.shard, 24)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     grown = {r.doc_id: r.shard for r in sharding.shard_records(docs, 25).collect()}
     assert all(grown[r.doc_id] == r.grown_shard for r in got)
     assert sharding.shard_records(empty(spark)).count() == 0
-    sharding.write_shards(sharding.shard_records(docs, 4), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(corpus)
+    written = sharding.write_shards(sharding.shard_records(docs, 4), str(tmp_path / "s"))
+    assert written.columns == sharding.shard_records(docs, 4).columns and written.count() == len(corpus)
+    assert sorted(map(str, written.collect())) == sorted(map(str, sharding.shard_records(docs, 4).collect()))
+
+
+def brute_fisher_yates(hashes, n):
+    out = []
+    for i, h in zip(range(n), hashes, strict=True):
+        j = h % (i + 1)
+        out.append(i)
+        out[j], out[i] = out[i], out[j]
+    return out
+
+
+def test_fisher_yates_against_a_plain_one(spark):
+    for n in (1, 2, 3, 17, 200):
+        df = spark.range(1).select(sharding.fisher_yates(F.lit(n), F.lit(3), F.lit(7)).alias("p"))
+        draws = [r.h for r in spark.range(n).select(F.xxhash64(F.lit(3), F.lit(7), F.col("id").cast("int")).alias("h"), "id").orderBy("id").collect()]
+        assert df.first().p == brute_fisher_yates(draws, n)
+
+
+def test_slots_follow_from_rows_and_seed_alone(spark, monkeypatch):
+    rows = [(i, f"text {i} " * (i % 9), "s") for i in range(700)] + [(None, None, None)] * 3
+    want = None
+    for partitions, task in ((4, 64 << 20), (16, 5_000), (211, 700)):
+        monkeypatch.setattr(sharding, "TASK_BYTES", task)
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        got = sharding.shard_records(frame(spark, rows).repartition(partitions % 13), 5, bucket_rows=40).collect()
+        found = sorted(((r.doc_id is None, r.doc_id or 0, r.text or ""), r.shard, r.slot, r.grown_shard) for r in got)
+        want = want or found
+        assert found == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_crowd_of_equal_rows_is_scattered(spark):
+    rows = [(1, "the same", "s")] * 3000 + [(i, f"text {i}", "s") for i in range(2, 500)]
+    got = [sharding.shard_records(frame(spark, rows).repartition(n), 3, bucket_rows=50).collect() for n in (3, 8)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1])) and len(got[0]) == len(rows)
+    for s in range(3):
+        own = sorted(r.slot for r in got[0] if r.shard == s)
+        assert own == list(range(len(own)))
+    crowd = sorted(r.slot for r in got[0] if r.doc_id == 1)
+    others = [r for r in got[0] if r.shard == next(r.shard for r in got[0] if r.doc_id == 1) and r.doc_id != 1]
+    assert any(crowd[0] < r.slot < crowd[-1] for r in others)
+
+
+def test_the_law_of_the_shards(spark):
+    """The largest of seeded hashes with the id wins, for 24 shards and for 25; crc32 is zlib's."""
+    from turnstile.llm.queries import queries
+
+    sf = "/root/testdata/sf0.001"
+    ids = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    draws = ids.select("doc_id", "text", F.array(*[F.xxhash64(F.lit(10), F.lit(i), F.col("doc_id")) for i in range(25)]).alias("h")).collect()
+    want = {r.doc_id: (int(np.argmax(r.h[:24])), int(np.argmax(r.h)), zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8) for r in draws}
+    got = queries()["op10_shards"](spark, sf).collect()
+    assert len(got) == len(draws)
+    for r in got:
+        assert (r.shard, r.grown_shard, r.text_crc32, r.size) == want[r.doc_id] and r.law == "key"
 
 
 def test_slots_are_shuffled(spark):

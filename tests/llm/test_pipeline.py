@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from turnstile.llm import decontam, quality
+from turnstile.llm import decontam, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +48,80 @@ def test_stages_take_empty_tables(spark):
         assert stage(spark, docs, SF).count() == 0
 
 
+CLASHING = "kept int, size string, spans string, items long, n_words string, contaminated int, target string, copies string, rejected_by long, key string, root string, `a.b` int, Slot string"
+
+
+def test_stages_keep_columns_nulls_repeats_and_long_texts(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    long, twice = text(60_000), text(50)
+    rows = [(i, text(60), f"s{i % 3}") for i in range(40)]
+    rows += [(100, long, "s0"), (101, twice, "s1"), (101, twice, "s1"), (101, text(40), "s1"), (None, text(30), None), (None, text(30), "s2")]
+    rows += [(102, None, "s0"), (103, "", None), (None, None, None), (104, "   ", "s0")]
+    extra = (5, "big", "x", 7, "many", 3, "t", "c", 9, "k", "r", 1, "slot")
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], f"doc_id long, text string, source string, {CLASHING}").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert all(tuple(r)[3:] == extra for r in got), name
+        ids = [(r.doc_id, r.text) for r in got]
+        if name == "quality":
+            assert sorted(map(str, ids)) == sorted(str(r[:2]) for r in rows if r[1] and r[1].strip())
+        elif name == "near_copies":
+            words = [x for x in ids if x[1] and x[1].strip()]
+            assert sorted(map(str, words)) == sorted(str(x) for x in {r[:2] for r in rows if r[1] and r[1].strip()})
+            assert len(ids) - len(words) == 1  # texts without words are one group
+        elif name == "decontaminate":
+            assert sorted(map(str, ids)) == sorted(str(r[:2]) for r in rows)
+        else:
+            assert set(map(str, ids)) <= {str(r[:2]) for r in rows} and max(map(ids.count, ids)) <= 4
+    assert {c for c, _ in corpus_pipeline.STAGES[-1][1](spark, docs, SF).dtypes} >= {"shard", "slot", "kept", "a.b", "size"}
+
+
+def test_near_copies_of_one_id_keep_their_own_texts(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six"), (2, "seven eight nine ten eleven twelve")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).count() == 3
+
+
+def brute_groups(rows):
+    """Groups by the Jaccard similarity of five-word shingles, all pairs."""
+    sets = [simhash.shingle_set(t.encode()) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if simhash.alike(sets[i], sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return len({find(i) for i in range(len(rows))}), sorted({min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))})
+
+
+def test_near_copies_against_all_pairs(spark):
+    """Edits of one to three words in texts of 60 to 400; links of 0.8 and just under it."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        n = rng.randint(60, 400)
+        text = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        rows.append((1000 * i, " ".join(text)))
+        for k in range(rng.randint(0, 3)):
+            own = list(text)
+            for _ in range(rng.randint(1, 3)):
+                own[rng.randrange(n)] = "edit"
+            rows.append((1000 * i + k + 1, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).collect())
+    n, want = brute_groups(rows)
+    assert set(want) <= set(got) and len(got) <= 1.02 * n
+
+
 def test_near_copies_stage_catches_edited_texts_and_rows_without_an_id(spark):
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]

@@ -3,7 +3,7 @@
 Intermediate tables go to the folder that the cluster names in
 ``spark.checkpoint.dir``: every executor sees it, so a lost executor never
 takes the only copy with it. The setting is read from the session; a local
-folder is made only where it is unset (tests).
+folder is made only where it is unset and everything runs in one process (tests).
 """
 
 from __future__ import annotations
@@ -25,10 +25,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; sets a local one only where none is set."""
+    """The folder all executors share.
+
+    Only a session in one process (``local[...]``, as in tests) may leave it
+    unset and gets a local one; elsewhere a local folder would hold a part of
+    each table on every machine, so that is an error.
+    """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="turnstile-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
@@ -41,17 +48,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the executors that did it. The table goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/turnstile/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     release(spark)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     table = spark.read.schema(df.schema).parquet(path)
     table._shared_path = path
     return table
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/turnstile/{name}-{uuid.uuid4().hex}"
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 def bound_batches(spark: SparkSession, rows: int = 1024, nbytes: int = 8 << 20) -> None:
     """Smaller Arrow batches than the defaults, as rows here are whole texts.
 
@@ -104,14 +116,14 @@ def hashed_sample(df: DataFrame, rows: int, draw: Column) -> DataFrame:
 
     The rows are counted first and a threshold lets about twice as many pass, so
     what the tasks send is bounded by ``rows`` and not by their number. A table
-    whose hashes leave too few is drawn as a whole.
+    whose hashes leave too few is drawn as a whole. Counts read no column but
+    those of ``draw``.
     """
     total = df.count()
     if total > 8 * rows:
         most = int(-(1 << 63) + (1 << 64) * (2 * rows + 64) / total)
-        part = df.where(draw < F.lit(most))
-        if part.limit(rows).count() >= rows:
-            df = part
+        if df.where(draw < F.lit(most)).count() >= rows:
+            df = df.where(draw < F.lit(most))
     return df.orderBy(draw).limit(rows)
 
 
@@ -139,6 +151,17 @@ class Sink:
         return len(self.columns[0])
 
 
+def under_safe_names(docs: DataFrame, keep: Iterable[str], decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``decide`` over ``docs`` whose columns but ``keep`` have names that no operator adds.
+
+    What is left comes back with the columns of ``docs``, in their order and under
+    their names, so that a column which is called like a verdict stays as it was.
+    """
+    kept = set(keep)
+    safe = [c if c in kept else f"__column_{i}" for i, c in enumerate(docs.columns)]
+    return decide(docs.toDF(*safe)).select(*safe).toDF(*docs.columns)
+
+
 def map_rows(
     df: DataFrame, names: list[str], schema: pa.Schema, ddl: str, row: Callable[..., Iterable[tuple]]
 ) -> DataFrame:

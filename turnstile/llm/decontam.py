@@ -1,15 +1,19 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Items are normalised to lower-case words; a window is ``WINDOW`` consecutive
-words of an item, or the whole of a shorter one. The automaton holds every
-window as a sequence of word numbers and reads a document's words once, whatever
-the number of windows. Places are word numbers, which map back to offsets of the
-original text.
+words of an item, or the whole of a shorter one. A window of 13 words holds one of
+the blocks of 7 words that follow each other from the item's start, so the
+automaton's patterns are these blocks, as sequences of word numbers (about one node
+a word instead of 13), and shorter items as a whole. It reads a document's words
+once, whatever the number of items; where it finds a block, the item's words to
+both sides say how far the two agree, and that run is hit if it is as long as a
+window. Places are word numbers, which map back to offsets of the original text.
 
 The items are the query set. Their normalised size is measured first: one
-automaton holds at most ``max_bytes`` of it, and a larger set is dealt over
-several automata, each of which the documents' rows pass in turn without a
-shuffle, so what is sent to the executors at once stays bounded.
+automaton holds at most ``max_bytes`` of it (measured: about 25 MB of a worker's
+memory for each MB of items), and a larger set is dealt over several automata, each
+of which the documents' rows pass in turn without a shuffle, so what is sent to the
+executors at once stays bounded. A worker keeps its automaton for its next task.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +34,8 @@ from pyspark.sql import types as T
 from turnstile.llm.common import Sink, bound_batches, rows_of, utf8
 
 WINDOW = 13
+#: A word's number is cut in two at this base; the lower parts begin at ``LOW``.
+FAN, LOW = 256, 1 << 24
 #: Fixed values of the contract: bytes that never belong to a word, after lower-casing A-Z.
 GAPS = bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
 TO_SPACE = bytes(0x20 if b in set(GAPS) else b for b in range(256))
@@ -38,37 +46,71 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(TO_SPACE).split()
 
 
+def _symbols(numbers: Sequence[int]) -> tuple[int, ...]:
+    """Two symbols a word, from ranges apart: a node then has at most ``FAN`` children for each, which are tried in turn."""
+    own = np.array(numbers, np.int64)
+    out = np.empty(2 * len(own), np.int64)
+    out[0::2], out[1::2] = own // FAN, own % FAN + LOW
+    return tuple(out.tolist())
+
+
 class Windows:
     """The automaton over the windows of some items."""
 
     def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(tuple(words[i : i + window]), set()).add(item)
+        self.items: list[tuple[str, tuple[int, ...]]] = []
+        blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for name, text in dict.fromkeys(items):
+            words = tuple([self.numbers.setdefault(w, len(self.numbers) + FAN) for w in words_of(text)])
+            block = len(words) if len(words) < window else (window + 1) // 2
+            for at in range(0, len(words) - block + 1, max(block, 1)) if words else ():
+                blocks.setdefault(words[at : at + block], []).append((len(self.items), at))
+            self.items.append((name, words))
+        self.window = window
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, own in owners.items():
-            self.automaton.add_word(words, (len(words), tuple(sorted(own))))
-        if owners:
+        for words, own in blocks.items():
+            self.automaton.add_word(_symbols(words), (len(words), own))
+        if blocks:
             self.automaton.make_automaton()
-        self.empty = not owners
+        self.empty = not blocks
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged spans (from, to) of hit words, and the items with an occurring window."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        found: set[str] = set()
         if self.empty or not words:
-            return spans, items
+            return spans, found
         get = self.numbers.get
-        for end, (n, own) in self.automaton.iter(tuple([get(w, 0) for w in words])):
-            start = end - n + 1
-            while spans and spans[-1][1] >= start:
-                start = min(start, spans.pop()[0])
-            spans.append((start, end + 1))
-            items.update(own)
-        return spans, items
+        own = [get(w, 0) for w in words]
+        seen: dict[tuple[int, int], int] = {}  # how far an item has been compared at one shift
+        for end, (n, owners) in self.automaton.iter(_symbols(own)):
+            start = end // 2 - n + 1
+            for item, at in owners:
+                if seen.get((item, start - at), -1) >= start:
+                    continue
+                name, theirs = self.items[item]
+                low, high = 0, n
+                while low < min(start, at) and own[start - low - 1] == theirs[at - low - 1]:
+                    low += 1
+                while start + high < len(own) and at + high < len(theirs) and own[start + high] == theirs[at + high]:
+                    high += 1
+                seen[item, start - at] = start + high - 1
+                if low + high >= min(self.window, len(theirs)):
+                    spans.append((start - low, start + high))
+                    found.add(name)
+        return merge(spans), found
+
+
+#: The last automaton that this worker built, under its broadcast's token.
+_BUILT: dict[str, Windows] = {}
+
+
+def _windows(token: str, items: list[tuple[str, bytes]], window: int) -> Windows:
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = Windows(items, window)
+    return _BUILT[token]
 
 
 def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,7 +138,7 @@ def find_windows(
     benchmark: DataFrame,
     *,
     window: int = WINDOW,
-    max_bytes: int = 1 << 20,
+    max_bytes: int = 8 << 20,
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
@@ -117,52 +159,51 @@ def find_windows(
         "n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, "
         "contaminated boolean, spans array<struct<start:long,stop:long>>"
     )
-    plain = docs.select(*[c for c in docs.columns if c not in added.names])
+    plain = docs.drop(*added.names)
     context = docs.sparkSession.sparkContext
     state = T.StructType.fromDDL("__hit_text binary, __hit_spans binary, __hit_items binary")
     rows = plain.select("*", utf8(text_col).alias("__hit_text"), F.lit(b"").alias("__hit_spans"), F.lit(b"").alias("__hit_items"))
     own, n = plain.columns, len(plain.columns)
     kept, found_names = [*own, *state.names], [*own, *added.names]
 
-    def scanned(rows: DataFrame, items: list[tuple[str, bytes]]) -> DataFrame:
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    digest = pa.schema(
+        [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", span)]
+    )
+    passed_on = pa.schema([("s", pa.binary()), ("i", pa.binary())])
+
+    def scanned(rows: DataFrame, items: list[tuple[str, bytes]], last: bool) -> DataFrame:
+        """One automaton's pass over the rows; the last one also sums up."""
         sent = context.broadcast(items)
+        token = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Windows(sent.value, window)
-            schema = pa.schema([("s", pa.binary()), ("i", pa.binary())])
+            automaton = _windows(token, sent.value, window)
             for batch in batches:
-                sink = Sink(schema)
+                sink = Sink(digest if last else passed_on)
                 for text, spans, found in rows_of([batch], "__hit_text", "__hit_spans", "__hit_items"):
-                    new, ids = automaton.scan(words_of(text))
+                    words = words_of(text)
+                    hit, ids = automaton.scan(words)
                     if spans:
-                        new, ids = merge([*pickle.loads(spans), *new]), ids | pickle.loads(found)
-                    sink.add(pickle.dumps(new) if new else b"", pickle.dumps(ids) if new else b"")
+                        hit, ids = merge([*pickle.loads(spans), *hit]), ids | pickle.loads(found)
+                    if last:
+                        n_hit, names = sum(b - a for a, b in hit), sorted(ids)
+                        sha = hashlib.sha256(",".join(names).encode()).hexdigest()
+                        sink.add(len(words), n_hit, len(names), names, sha, n_hit > 0 and 20 * n_hit >= len(words), _offsets(text, hit))
+                    else:
+                        sink.add(pickle.dumps(hit) if hit else b"", pickle.dumps(ids) if hit else b"")
                 out = sink.flush()
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n + 1)] + out.columns, names=kept)
+                carried = [batch.column(i) for i in range(n if last else n + 1)]
+                yield pa.RecordBatch.from_arrays(carried + out.columns, names=found_names if last else kept)
 
-        return rows.mapInArrow(run, T.StructType([*plain.schema.fields, *state.fields]))
+        return rows.mapInArrow(run, T.StructType([*plain.schema.fields, *(added if last else state).fields]))
 
+    held: list[tuple[str, bytes]] | None = None
     for items in _item_groups(benchmark, item_col, item_text_col, max_bytes):
-        rows = scanned(rows, items)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        schema = pa.schema(
-            [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", span)]
-        )
-        for batch in batches:
-            sink = Sink(schema)
-            for text, spans, found in rows_of([batch], "__hit_text", "__hit_spans", "__hit_items"):
-                n_words = len(words_of(text))
-                hit = merge(pickle.loads(spans)) if spans else []
-                items = sorted(pickle.loads(found)) if found else []
-                n_hit = sum(b - a for a, b in hit)
-                digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-                sink.add(n_words, n_hit, len(items), items, digest, n_hit > 0 and 20 * n_hit >= n_words, _offsets(text, hit))
-            out = sink.flush()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + out.columns, names=found_names)
-
-    return rows.mapInArrow(digest, T.StructType([*plain.schema.fields, *added.fields]))
+        if held is not None:
+            rows = scanned(rows, held, last=False)
+        held = items
+    return scanned(rows, held or [], last=True)
 
 
 def _offsets(text: bytes, spans: list[tuple[int, int]]) -> list[dict]:

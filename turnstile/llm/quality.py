@@ -97,26 +97,45 @@ class Measures:
         return self.n_words < LEAST_WORDS or 100 * self.n_repeat_words > MOST_REPEATED * self.n_words
 
 
+#: What each measure is computed from.
+NEEDS: dict[str, tuple[str, ...]] = {
+    "words": (),
+    "n_words": ("words",),
+    "word_chars": ("words",),
+    "n_symbols": (),
+    "lines": (),
+    "n_dup_lines": ("lines",),
+    "n_repeat_words": ("words", "n_words"),
+    "n_alpha_words": ("words",),
+    "n_stutters": ("words",),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
+    """``uses`` names the measures that ``rejects`` looks at."""
+
     name: str
+    uses: tuple[str, ...]
     rejects: Callable[[Measures], bool]
 
 
 #: Comparisons of whole numbers, so that they hold alike everywhere.
 RULES: tuple[Rule, ...] = (
-    Rule("few_words", lambda m: m.n_words < LEAST_WORDS),
-    Rule("repeated_runs", lambda m: 100 * m.n_repeat_words > MOST_REPEATED * m.n_words),
-    Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
-    Rule("duplicate_lines", lambda m: 2 * m.n_dup_lines > len(m.lines)),
-    Rule("word_length", lambda m: m.word_chars < 2 * m.n_words or m.word_chars > 15 * m.n_words),
-    Rule("letters", lambda m: 2 * m.n_alpha_words < m.n_words),
-    Rule("stutter", lambda m: 10 * m.n_stutters > 3 * m.n_words),
+    Rule("few_words", ("n_words",), lambda m: m.n_words < LEAST_WORDS),
+    Rule("repeated_runs", ("n_repeat_words", "n_words"), lambda m: 100 * m.n_repeat_words > MOST_REPEATED * m.n_words),
+    Rule("symbols", ("n_symbols", "n_words"), lambda m: 10 * m.n_symbols > m.n_words),
+    Rule("duplicate_lines", ("n_dup_lines", "lines"), lambda m: 2 * m.n_dup_lines > len(m.lines)),
+    Rule("word_length", ("word_chars", "n_words"), lambda m: m.word_chars < 2 * m.n_words or m.word_chars > 15 * m.n_words),
+    Rule("letters", ("n_alpha_words", "n_words"), lambda m: 2 * m.n_alpha_words < m.n_words),
+    Rule("stutter", ("n_stutters", "n_words"), lambda m: 10 * m.n_stutters > 3 * m.n_words),
 )
 
 
 @dataclass(frozen=True)
 class Step:
+    """A rule's place in the cascade: what it costs there and the share it rejects of what reaches it."""
+
     name: str
     seconds: float
     rejected: float
@@ -128,23 +147,65 @@ def _schema(plain: DataFrame, fields: list[tuple]) -> T.StructType:
     return T.StructType([*plain.schema.fields, *[T.StructField(n, kinds[k]) for n, _, k in fields]])
 
 
+def _with_needs(measures: Sequence[str]) -> set[str]:
+    return {n for m in measures for n in (m, *_with_needs(NEEDS.get(m, ())))}
+
+
 def plan_cascade(texts: Sequence[bytes], rules: Sequence[Rule] = RULES) -> list[Step]:
-    """Rules by rejection per cost on a sample, best first; ties in the given order."""
-    steps = []
+    """Rules by rejection per cost on a sample, best first; ties in the given order.
+
+    A measure is paid for once, by the first rule that uses it, and a rule is
+    judged on what the rules before it let pass.
+    """
+    spent: dict[str, float] = {}
+    left = [Measures(t) for t in texts]
+    for name in NEEDS:  # in this order each finds what it is computed from
+        start = time.perf_counter()
+        for m in left:
+            getattr(m, name)
+        spent[name] = (time.perf_counter() - start) / max(len(texts), 1)
+    verdicts, own = {}, {}
     for rule in rules:
-        measures = [Measures(t) for t in texts]
         start = time.perf_counter()
-        hits = sum(rule.rejects(m) for m in measures)
-        spent = max(time.perf_counter() - start, 1e-9) / max(len(texts), 1)
-        steps.append(Step(rule.name, spent, hits / max(len(texts), 1)))
-    return sorted(steps, key=lambda s: -s.rejected / s.seconds)
+        verdicts[rule.name] = [rule.rejects(m) for m in left]
+        own[rule.name] = max(time.perf_counter() - start, 1e-9) / max(len(texts), 1)
+    known: set[str] = set()
+    alive = list(range(len(texts)))
+    steps, waiting = [], list(rules)
+    while waiting:
+        judged = []
+        for rule in waiting:
+            seconds = own[rule.name] + sum(spent[m] for m in _with_needs(rule.uses) - known if m in spent)
+            judged.append(Step(rule.name, seconds, sum(verdicts[rule.name][i] for i in alive) / max(len(alive), 1)))
+        best = max(range(len(judged)), key=lambda i: (judged[i].rejected / judged[i].seconds, -i))
+        steps.append(judged[best])
+        rule = waiting.pop(best)
+        known |= _with_needs(rule.uses)
+        alive = [i for i in alive if not verdicts[rule.name][i]]
+    return steps
 
 
 def sample_texts(docs: DataFrame, rows: int, nbytes: int, *, id_col: str, text_col: str, seed: int) -> list[bytes]:
-    """At most ``rows`` texts of at most ``nbytes`` each, by seeded hash; it only orders rules."""
-    short = docs.select(id_col, utf8(text_col).alias("t")).where(F.octet_length("t") <= nbytes)
-    drawn = hashed_sample(short, rows, F.xxhash64(F.lit(seed), F.col(id_col)))
-    return [bytes(r.t) for r in drawn.collect()]
+    """At most ``rows`` texts of at most ``nbytes`` each, by seeded hash of the id; it only orders rules."""
+    text = utf8(text_col)
+    short = F.when(F.octet_length(text) <= nbytes, text)  # a longer one isn't sent
+    source = docs.select(F.col(id_col).alias("id"), short.alias("t"))
+    drawn = hashed_sample(source, rows, F.xxhash64(F.lit(seed), F.col("id")))
+    return [bytes(r.t) for r in drawn.select("t").collect() if r.t is not None]
+
+
+def plan(
+    docs: DataFrame,
+    *,
+    rules: Sequence[Rule] = RULES,
+    sample_rows: int = 256,
+    sample_bytes: int = 32_768,
+    seed: int = 9,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> list[Step]:
+    """The cascade's order for ``docs``. Costs are times: keep the plan where ``rejected_by`` must be the same again."""
+    return plan_cascade(sample_texts(docs, sample_rows, sample_bytes, id_col=id_col, text_col=text_col, seed=seed), rules)
 
 
 def cascade(
@@ -157,9 +218,13 @@ def cascade(
     id_col: str = "doc_id",
     text_col: str = "text",
     measure: bool = False,
+    steps: Sequence[Step] | None = None,
 ) -> DataFrame:
     """All rows of ``docs`` with ``kept`` and ``rejected_by`` (the rule that ended the cascade, or null).
 
+    ``steps`` is a plan kept from :func:`plan`; none makes a new one. Which of
+    several failing rules ends the cascade follows its order, ``kept`` doesn't.
+
     ``measure`` adds the measures of every text, rejected ones too:
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``.
 
@@ -169,12 +234,13 @@ def cascade(
     of at most ``sample_bytes``) decides the order of the rules alone.
     """
     bound_batches(docs.sparkSession)
-    order = [s.name for s in plan_cascade(sample_texts(docs, sample_rows, sample_bytes, id_col=id_col, text_col=text_col, seed=seed), rules)]
+    if steps is None:
+        steps = plan(docs, rules=rules, sample_rows=sample_rows, sample_bytes=sample_bytes, seed=seed, id_col=id_col, text_col=text_col)
     named = {r.name: r for r in rules}
-    ordered = [named[n] for n in order]
+    ordered = [named[s.name] for s in steps]
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     added = ("kept", "rejected_by", *((*counts, "base_failed") if measure else ()))
-    plain = docs.select(*[c for c in docs.columns if c not in added])
+    plain = docs.drop(*added)
     source = plain.withColumn("__quality_text", utf8(text_col))
     fields = [("kept", pa.bool_(), "boolean"), ("rejected_by", pa.string(), "string")]
     if measure:

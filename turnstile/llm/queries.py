@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.llm import decontam, licenses, lm_scoring, mixing, quality, sentence_dedup, sharding, simhash, suffix_dedup, toxicity
+from turnstile.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longer documents get a little more of their source's inclusion odds."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), tilt=F.log2(F.col("size") + 2))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), tilt=F.log2(F.col("size") + 2), columns=["doc_id"])
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
 
@@ -71,7 +72,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = sharding.shard_records(_table(spark, sf_dir, "documents"))
-    return records.select(
+    written = sharding.write_shards(records, shared_path(spark, "shards"))
+    return written.select(
         "doc_id",
         "size",
         F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),

@@ -5,25 +5,35 @@ Two fingerprints link if at most ``radius`` bits differ.
 
 Finding the links, exactly:
 
-* The 64 bits are cut into blocks; of ``radius + k`` blocks a linked pair agrees
-  on ``k`` whole ones, so pairs are sought among fingerprints with ``k`` equal
-  blocks only. ``k`` follows the number of distinct fingerprints, so that groups
-  stay small at any size; every choice finds every link.
-* In a group, each fingerprint's Hamming distances to the ``PIVOTS`` reference
-  fingerprints are laid out as a table. If two rows differ by more than the
-  radius in any coordinate, the triangle inequality rules the pair out; what
-  survives the coordinates is verified bit by bit.
+* The table of pivots: of each distinct fingerprint the Hamming distances to the
+  ``PIVOTS`` reference fingerprints are computed once and go along with it. If two
+  rows of the table differ by more than the radius in any coordinate, the triangle
+  inequality rules the pair out; what survives is verified bit by bit.
+* Not every pair of rows can meet. The 64 bits are cut into blocks; of ``radius + k``
+  blocks a linked pair agrees on ``k`` whole ones, so rows meet that have ``k``
+  equal blocks. ``k`` follows the number of distinct fingerprints, so that groups
+  stay small at any size; every choice finds every link. A group of over ``GROUP``
+  rows is dealt again by blocks of the bits that are left, by the same argument.
 * A group only says which of its fingerprints hang together: it sends a spanning
   forest, not its pairs. A fingerprint that is already linked leaves the search,
-  so a group of near copies costs about its size. Groups beyond ``GROUP`` rows
-  are cut into pieces, and each pair of pieces is a task of its own.
+  so a group of near copies costs about its size. What is still beyond ``GROUP``
+  rows is cut into pieces, and each pair of pieces is a task of its own.
 
 Components then come from alternating minimum-label steps over that forest.
+
+:func:`one_of_each` is the other use: near copies by the Jaccard similarity of
+their shingles. At a similarity of 0.8 in five words the fingerprints of five-word
+shingles differ by 10 bits in the mean, which no exact search by bits can follow at
+scale. There the fingerprints are those of two-word shingles, whose bits move less,
+rows meet that agree on sampled bits, the pivots discard, and the sets of five-word
+shingles themselves decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.llm.common import Sink, bound_batches, map_rows, materialize, utf8
+from turnstile.llm.repeats import first_in_order, keyed_texts
 
 SHINGLE = 4
 SEED = 42
@@ -40,7 +51,11 @@ RADIUS = 4
 #: Reference fingerprints: pseudo-random, from the hash of their number.
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(16)], np.uint64)
 #: Distinct fingerprints that one search takes at once; twice that in a task.
-GROUP = 2048
+GROUP = 8192
+#: Near copies by shingle sets: words of a shingle and least similarity; words of a
+#: fingerprint's shingle, bits that may differ, and tables of sampled bits.
+SET_SHINGLE, LEAST = 5, 0.8
+WIDE_SHINGLE, WIDE_RADIUS, TABLES = 2, 10, 24
 _CHUNK = 1 << 16
 
 
@@ -82,11 +97,27 @@ def plan_blocks(distinct: int, radius: int = RADIUS, per_group: int = 16) -> tup
     return blocks, agree
 
 
+def _cut(bits: Sequence[int], parts: int) -> list[int]:
+    """Masks of ``parts`` runs of the given bits."""
+    edges = [len(bits) * i // parts for i in range(parts + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+
+
 def block_masks(blocks: int, agree: int) -> list[int]:
     """One mask of bits for each choice of ``agree`` blocks."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    own = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(own[i] for i in c) for c in combinations(range(blocks), agree)]
+    return [sum(c) for c in combinations(_cut(range(64), blocks), agree)]
+
+
+def sampled_masks(distinct: int, tables: int, per_group: int = 16) -> list[int]:
+    """Masks of seeded random bits, as many bits as leave about ``per_group`` fingerprints together at even spread."""
+    rng = random.Random(SEED)
+    width = min(40, max(8, (max(distinct, 1) // per_group).bit_length()))
+    return [sum(1 << b for b in rng.sample(range(64), width)) for _ in range(tables)]
+
+
+def left_masks(mask: int, radius: int) -> list[int]:
+    """Blocks of the bits outside ``mask``: who agrees on it and is linked agrees on one of them too."""
+    return _cut([b for b in range(64) if not mask >> b & 1], radius + 1)
 
 
 class Forest:
@@ -107,11 +138,27 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def pivot_table(fps: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
     """Hamming distances to the pivots, one row a fingerprint."""
     return np.bitwise_count(fps.view(np.uint64)[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
+def with_pivots(distinct: DataFrame) -> DataFrame:
+    """``distinct(fp, least)`` with ``pivots``, the row of the table as 16 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column(0).to_numpy(zero_copy_only=False))
+            rows = pa.array([row.tobytes() for row in table], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=["fp", "least", "pivots"])
+
+    return distinct.select("fp", "least").mapInArrow(run, "fp long, least long, pivots binary")
+
+
 def near(x: np.ndarray, tx: np.ndarray, ys: np.ndarray, tys: np.ndarray, radius: int) -> np.ndarray:
     """Indices of ``ys`` within ``radius`` of ``x``: pivots discard, bits verify."""
     left = np.arange(len(ys))
@@ -122,24 +169,26 @@ def near(x: np.ndarray, tx: np.ndarray, ys: np.ndarray, tys: np.ndarray, radius:
     return left[np.bitwise_count(ys[left].view(np.uint64) ^ x.view(np.uint64)) <= radius]
 
 
-def link_group(fps: np.ndarray, radius: int, forest: Forest) -> None:
-    """Join what hangs together among distinct ``fps``; linked ones leave the search."""
-    table = pivot_table(fps)
+def link_group(fps: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links among distinct ``fps``; what is linked leaves the search."""
+    by = np.argsort(table[:, 0], kind="stable")  # the first coordinate bounds where to look
+    fps, table = fps[by], table[by]
     left = np.arange(len(fps))
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = near(fps[x], table[x], fps[left], table[left], radius)
-            for y in left[hit].tolist():
-                forest.join(int(fps[x]), int(fps[y]))
+            first = table[left, 0]
+            part = left[np.searchsorted(first, table[x, 0] - radius) : np.searchsorted(first, table[x, 0] + radius, "right")]
+            hit = part[near(fps[x], table[x], fps[part], table[part], radius)]
+            for y in hit.tolist():
+                yield int(fps[x]), int(fps[y])
                 queue.append(y)
-            left = np.delete(left, hit)
+            left = left[~np.isin(left, hit, assume_unique=True)]
 
 
-def link_small(keys: np.ndarray, fps: np.ndarray, radius: int, forest: Forest, widest: int) -> None:
-    """All small groups at once: rows are sorted by key, and each meets those after it."""
-    table = pivot_table(fps)
+def link_small(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int, widest: int) -> Iterator[tuple[int, int]]:
+    """The links of all small groups at once: rows are sorted by key, and each meets those after it."""
     for step in range(1, widest):
         a = np.flatnonzero(keys[step:] == keys[:-step])
         if not len(a):
@@ -147,69 +196,108 @@ def link_small(keys: np.ndarray, fps: np.ndarray, radius: int, forest: Forest, w
         for k in range(table.shape[1]):
             a = a[np.abs(table[a, k] - table[a + step, k]) <= radius]
         a = a[np.bitwise_count(fps[a].view(np.uint64) ^ fps[a + step].view(np.uint64)) <= radius]
-        for x, y in zip(fps[a].tolist(), fps[a + step].tolist(), strict=True):
-            forest.join(x, y)
+        yield from zip(fps[a].tolist(), fps[a + step].tolist(), strict=True)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted (key, fp) rows, in portions that end where a key ends."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted (key, fp, pivots) rows, in portions that end where a key ends."""
+    held: list[tuple[np.ndarray, ...]] = []
     count = 0
     for batch in batches:
-        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+        own = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+        table = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(-1, len(PIVOTS))
+        held.append((*own, table))
         count += batch.num_rows
         if count >= rows:
-            keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1], "left"))
             if cut:
-                yield keys[:cut], fps[:cut]
-            held, count = [(keys[cut:], fps[cut:])], len(keys) - cut
+                yield tuple(x[:cut] for x in whole)
+            held, count = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, small: int = 32) -> DataFrame:
-    """A spanning forest ``(node, up)`` of the links among the distinct ``fp`` values.
+def _dealt(distinct: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """``key, fp, pivots``: rows that may be linked share a key, and a key has at most 2 * ``GROUP`` rows."""
+    literal = F.array(*[F.lit(_signed(m)) for m in masks])
+    keyed = distinct.select("fp", "pivots", F.posexplode(literal).alias("t", "mask")).select(
+        F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "t", "fp", "pivots"
+    )
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "block-sizes")
+    parts = [keyed.join(sizes.where(F.col("n") <= GROUP), "key").select("key", "fp", "pivots")]
+    if sizes.where(F.col("n") > GROUP).limit(1).count():
+        # Large groups again, by blocks of the bits on which they needn't agree.
+        finer = F.array(*[F.array(*[F.lit(_signed(m)) for m in left_masks(mask, radius)]) for mask in masks])
+        large = keyed.join(sizes.where(F.col("n") > GROUP).select("key"), "key")
+        again = large.select("key", "fp", "pivots", F.posexplode(F.get(finer, F.col("t"))).alias("u", "mask")).select(
+            F.xxhash64("key", "u", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "pivots"
+        )
+        again = materialize(again, "blocks-again")
+        counts = materialize(again.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes-again")
+        pieces = F.ceil(F.col("n") / GROUP).cast("int")
+        grouped = again.join(counts, "key").withColumn("pieces", pieces)
+        own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+        met = grouped.withColumn("own", own).select("key", "fp", "pivots", "pieces", "own", other.alias("other"))
+        pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+        parts.append(met.select(F.when(F.col("pieces") == 1, F.col("key")).otherwise(pair).alias("key"), "fp", "pivots"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, *, small: int = 32) -> DataFrame:
+    """A spanning forest ``(node, up)`` of the links among the rows of ``distinct(fp, pivots)``.
 
     Every pair of fingerprints at most ``radius`` bits apart is connected by it.
     """
-    blocks, agree = plan_blocks(distinct.count(), radius)
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in block_masks(blocks, agree)])
-    keyed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select(
-        F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp"
-    )
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    # Groups of one have no pair. Large ones are cut into pieces that meet two by two.
-    pieces = F.ceil(F.col("n") / GROUP).cast("int")
-    grouped = keyed.join(sizes.where("n > 1"), "key").withColumn("pieces", pieces)
-    own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    dealt = grouped.withColumn("own", own).select("key", "fp", "pieces", "own", other.alias("other"))
-    key = F.when(F.col("pieces") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    rows = dealt.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    dealt = _dealt(distinct, block_masks(*plan_blocks(distinct.count(), radius)), radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         sink = Sink(pa.schema([("node", pa.int64()), ("up", pa.int64())]))
-        for keys, fps in _groups(batches, 200_000):
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            size = np.diff(np.concatenate((first, [len(keys)])))
-            for a, n in zip(first[size > small].tolist(), size[size > small].tolist(), strict=True):
-                link_group(fps[a : a + n], radius, forest)
-            few = np.repeat(size <= small, size)
-            link_small(keys[few], fps[few], radius, forest, small)
+        for x, y in _linked(batches, radius, small):
+            forest.join(x, y)
             if len(forest.up) > 500_000:
-                for x in list(forest.up):
-                    if sink.add(x, forest.root(x)):
+                for node in list(forest.up):
+                    if sink.add(node, forest.root(node)):
                         yield sink.flush()
                 forest = Forest()
-        for x in list(forest.up):
-            if sink.add(x, forest.root(x)):
+        for node in list(forest.up):
+            if sink.add(node, forest.root(node)):
                 yield sink.flush()
         if len(sink):
             yield sink.flush()
 
-    return rows.mapInArrow(run, "node long, up long")
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "node long, up long")
+
+
+def candidates(distinct: DataFrame, radius: int, tables: int, *, small: int = 32) -> DataFrame:
+    """Pairs ``(node, up)`` of ``distinct(fp, pivots)`` at most ``radius`` bits apart that agree on some table's bits.
+
+    Not every such pair: a large group sends a spanning forest of its own.
+    """
+    dealt = _dealt(distinct, sampled_masks(distinct.count(), tables), radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = Sink(pa.schema([("node", pa.int64()), ("up", pa.int64())]))
+        for x, y in _linked(batches, radius, small):
+            if sink.add(max(x, y), min(x, y)):
+                yield sink.flush()
+        if len(sink):
+            yield sink.flush()
+
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "node long, up long").distinct()
+
+
+def _linked(batches: Iterator[pa.RecordBatch], radius: int, small: int) -> Iterator[tuple[int, int]]:
+    """Links of each group of rows sorted by key."""
+    for keys, fps, table in _groups(batches, 200_000):
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.concatenate((first, [len(keys)])))
+        for a, n in zip(first[size > small].tolist(), size[size > small].tolist(), strict=True):
+            yield from link_group(fps[a : a + n], table[a : a + n], radius)
+        few = np.repeat(size <= small, size)
+        yield from link_small(keys[few], fps[few], table[few], radius, small)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -217,8 +305,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris and others, 2014): each
     turns edges so that they point at smaller nodes; when nothing changes, every
-    edge points at its root. Each step is written to the shared folder. A hot
-    node's edges meet its minimum in a plain join, which Spark can split.
+    edge points at its root. Each step is written to the shared folder, and so are
+    the minima: a join of two tables reads both sides as they are dealt, so that
+    Spark can split a hot node's edges.
     """
     now = materialize(
         edges.select(F.greatest("node", "up").alias("node"), F.least("node", "up").alias("up")).where("node != up").distinct(), "edges"
@@ -231,10 +320,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         # Large star: larger neighbours point at the smallest of all.
         pairs = both(now)
-        least = pairs.groupBy("node").agg(F.least(F.min("up"), F.col("node")).alias("m"))
+        least = materialize(pairs.groupBy("node").agg(F.least(F.min("up"), F.col("node")).alias("m")), "least")
         large = pairs.where("up > node").join(least, "node").select(F.col("up").alias("node"), F.col("m").alias("up")).distinct()
+        large = materialize(large, "edges")
         # Small star: smaller neighbours and the node itself point at the smallest.
-        least = large.groupBy("node").agg(F.min("up").alias("m"))
+        least = materialize(large.groupBy("node").agg(F.min("up").alias("m")), "least")
         small = large.join(least, "node")
         small = small.select(F.col("up").alias("node"), F.col("m").alias("up")).unionByName(least.select("node", F.col("m").alias("up")))
         now = materialize(small.where("node != up").distinct(), "edges")
@@ -260,9 +350,84 @@ def near_duplicates(
     """
     bound_batches(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    distinct = materialize(with_pivots(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))), "distinct")
+    roots = components(links(distinct, radius))
+    rooted = materialize(
+        distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted"
+    )
+    # Aggregates are written before they are joined, so that Spark can split a hot root or fingerprint.
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near copies by shingle sets
+
+
+def shingle_set(text: bytes, shingle: int = SET_SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; of all its words where they are fewer."""
+    words = text.lower().split()
+    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
+    """Whether two sets have a Jaccard similarity of ``least``."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= least * (len(a) + len(b) - shared)
+
+
+def one_of_each(
+    docs: DataFrame,
+    *,
+    radius: int = WIDE_RADIUS,
+    tables: int = TABLES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``doc_id`` and ``key`` (:func:`keyed_texts`) of one row of each group of near copies.
+
+    Texts link if they have the same words, or if the Jaccard similarity of their
+    sets of ``SET_SHINGLE``-word shingles is ``LEAST`` or more and their
+    fingerprints lead to each other. Of each group the row with the smallest id
+    comes, null last, then the smallest key. Rows without an id take part by their
+    texts; rows that share id and text are one. Texts without words are copies.
+    """
+    bound_batches(docs.sparkSession)
+    source = keyed_texts(docs, id_col, text_col)
+    long = pa.int64()
+    schema = lambda *names: pa.schema([(n, long) for n in names])
+
+    def named(doc, key, text) -> Iterable[tuple]:
+        node = xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED) - (1 << 63)
+        yield doc, key, node, (fingerprint(text, WIDE_SHINGLE) ^ (1 << 63)) - (1 << 63)
+
+    ddl = "doc_id long, key long, node long, fp long"
+    rows = materialize(map_rows(source, ["doc_id", "key", "t"], schema("doc_id", "key", "node", "fp"), ddl, named), "named")
+    # A node is a text, whatever its blanks and case; of those with one fingerprint the first stands for it.
+    nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("key").alias("key")), "nodes")
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "firsts")
+    distinct = materialize(with_pivots(firsts), "distinct")
+    met = materialize(candidates(distinct, radius, tables), "met")
+    a, b = (firsts.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in ("node", "up"))
+    between = met.join(a, "node").join(b, "up").select(F.col("node_node").alias("node"), F.col("up_node").alias("up"))
+    within = nodes.join(firsts, "fp").where("node != least").select("node", F.col("least").alias("up"))
+    pairs = materialize(between.unionByName(within), "pairs")
+
+    def cut(node, text) -> Iterable[tuple]:
+        yield node, shingle_set(text).tobytes()
+
+    needed = nodes.join(pairs.select("node").union(pairs.select("up")).distinct(), "node").select("key", "node")
+    texts = source.select("key", "t").join(materialize(needed, "needed"), "key").groupBy("node").agg(F.first("t").alias("t"))
+    sets = materialize(map_rows(texts, ["node", "t"], pa.schema([("node", long), ("s", pa.binary())]), "node long, s binary", cut), "shingle-sets")
+    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("up"), F.col("s").alias("u")), "up")
+
+    def checked(node, up, x, y) -> Iterable[tuple]:
+        if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
+            yield node, up
+
+    roots = components(map_rows(both, ["node", "up", "s", "u"], schema("node", "up"), "node long, up long", checked))
+    grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return grouped.groupBy("root").agg(F.min(first_in_order()).alias("one")).select("one.doc_id", "one.key")

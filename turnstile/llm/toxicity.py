@@ -1,12 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained from labelled texts: one on ordinary
-text, one on the same ordinary base and on what toxic text adds to it (the
-pieces of words that stand in toxic documents far more often than in ordinary
-ones). A window of a text, here a word, is compressed with either; how many
-bytes the toxic dictionary saves is its distance. A text's score comes from its
-largest savings and from how many windows pass each of the thresholds
-``STEPS``, by a logistic fit on the labelled texts.
+Two zstandard dictionaries are trained from labelled texts: the ordinary one on
+windows of ordinary texts, the toxic one on what sets toxic texts apart, laid
+before the ordinary one as a shared base. A window, here a word with the blanks
+around it, is compressed with either; how many bytes the toxic dictionary saves
+is its distance. The thresholds on distances are calibrated: each is the least
+that only a given share (``TAILS``) of ordinary windows reaches. A text's score
+comes from its largest distances and from how many windows pass each threshold,
+by a logistic fit on the labelled texts.
+
+The toxic dictionary's samples are the parts of words whose grams stand in toxic
+documents far more often than in ordinary ones. Trained on all windows of toxic
+texts, a dictionary holds what is ordinary in them, and its distances drown.
 
 A window stands before a fixed carrier that both dictionaries hold: zstandard
 looks for no match in a block's last bytes and stores tiny blocks as they are.
@@ -29,8 +34,12 @@ from pyspark.sql import functions as F
 from turnstile.llm.common import Sink, bound_batches, hashed_sample, rows_of, utf8
 
 GRAM = 5
-#: Savings, in bytes, that are counted apart.
-STEPS = (2, 3, 4, 5)
+#: Shares of ordinary windows that reach the calibrated thresholds.
+TAILS = (1e-2, 1e-3, 1e-4, 1e-5)
+#: Bytes of the dictionaries.
+BASE, EXTRA = 8_192, 3_072
+#: Windows that train the ordinary dictionary, at most.
+TRAINED = 60_000
 #: Distances remembered by a task.
 REMEMBERED = 400_000
 #: A window's longest part; a longer word is cut.
@@ -50,56 +59,53 @@ def windows(text: bytes) -> list[bytes]:
     return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
-def dictionaries(toxic: Sequence[bytes], ordinary: Sequence[bytes], base: int = 800, extra: int = 3_000) -> tuple[bytes, bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary, and the carrier.
-
-    The base is the ``base`` most frequent ordinary words, the most frequent
-    last, where matches are cheapest. The toxic part, of at most ``extra``
-    bytes, joins grams that toxic documents hold over ten times as often, at
-    over 4.5 standard errors; the ordinary dictionary has rarer ordinary words
-    in its place, so that both have one length.
-    """
+def marked_grams(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> set[bytes]:
+    """Grams that toxic documents hold over ten times as often, at over 4.5 standard errors."""
     seen_toxic: Counter[bytes] = Counter()
     seen_ordinary: Counter[bytes] = Counter()
-    words: Counter[bytes] = Counter()
-    toxic_words: Counter[bytes] = Counter()
-    for text in toxic:
-        own = set(windows(text))
-        toxic_words.update(own)
-        seen_toxic.update({g for w in own for g in _grams(w)})
-    for text in ordinary:
-        own = windows(text)
-        words.update(own)
-        seen_ordinary.update({g for w in set(own) for g in _grams(w)})
+    for texts, seen in ((toxic, seen_toxic), (ordinary, seen_ordinary)):
+        for text in texts:
+            seen.update({g for w in set(windows(text)) for g in _grams(w)})
     nt, no = max(len(toxic), 1), max(len(ordinary), 1)
-    marked: dict[bytes, float] = {}
+    marked = set()
     for gram, c in seen_toxic.items():
         o = seen_ordinary[gram]
         if c >= 3 and c / nt > 10 * (o + 0.3) / no:
             p = (c + o) / (nt + no)
-            z = (c / nt - o / no) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / nt + 1 / no))
-            if z >= 4.5:
-                marked[gram] = z
-    ranked = sorted(((max((marked.get(g, 0.0) for g in _grams(w)), default=0.0), c, w) for w, c in toxic_words.items()), reverse=True)
-    part = b""
-    for z, _, word in ranked:
-        if z <= 0 or len(part) > extra:
-            break
-        whole = b" " + word + b" "
-        covered = bytearray(len(whole))
-        for i in range(len(whole) - GRAM + 1):
-            if whole[i : i + GRAM] in marked:
-                covered[i : i + GRAM] = b"\x01" * GRAM
-        for run in bytes(c if k else 0 for c, k in zip(whole, covered, strict=True)).split(b"\0"):
-            if run and run not in part:
-                part += run + b"\n"
-    common = words.most_common(4 * base)
-    shared = b" " + b" ".join(w for w, _ in reversed(common[:base])) + b" "
-    if len(shared) < 64:
-        shared = b" " + b"-" * 64 + shared
-    filler = b" ".join(w for w, _ in common[base:])
-    filler = (filler or b"-") * (len(part) // max(len(filler), 1) + 1)
-    return part + shared, filler[: len(part)] + shared, shared[-41:]
+            if (c / nt - o / no) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / nt + 1 / no)) >= 4.5:
+                marked.add(gram)
+    return marked
+
+
+def marked_parts(word: bytes, marked: set[bytes]) -> list[bytes]:
+    """The runs of a word, blanks around it included, that marked grams cover."""
+    whole = b" " + word + b" "
+    covered = bytearray(len(whole))
+    for i in range(len(whole) - GRAM + 1):
+        if whole[i : i + GRAM] in marked:
+            covered[i : i + GRAM] = b"\x01" * GRAM
+    return [run for run in bytes(c if k else 0 for c, k in zip(whole, covered, strict=True)).split(b"\0") if run]
+
+
+def trained(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary of at most ``size`` bytes, trained on ``samples``; their end where they are too few to train on."""
+    try:
+        return zstd.train_dictionary(size, samples, k=12, d=6, level=3).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Contents of the toxic and the ordinary dictionary, and the carrier."""
+    own = [b" " + w + b" " for text in ordinary for w in windows(text)]
+    # Spread evenly over the texts.
+    base = trained(BASE, own[:: len(own) // TRAINED + 1])
+    if len(base) < 64:
+        base = b"-" * 64 + base
+    marked = marked_grams(toxic, ordinary)
+    parts = [b"\n" + run + b"\n" for text in toxic for w in sorted(set(windows(text))) for run in marked_parts(w, marked)]
+    part = trained(EXTRA, parts) if parts else b""
+    return part + base, base, b" " + base[-40:]
 
 
 class Distances:
@@ -107,7 +113,7 @@ class Distances:
 
     def __init__(self, toxic: bytes, ordinary: bytes, carrier: bytes):
         params = zstd.ZstdCompressionParameters(
-            window_log=16, chain_log=13, hash_log=13, search_log=4, min_match=5, target_length=16, strategy=zstd.STRATEGY_LAZY,
+            window_log=16, chain_log=16, hash_log=15, search_log=4, min_match=5, target_length=16, strategy=zstd.STRATEGY_LAZY,
             write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS,
         )
         self.held = []
@@ -129,7 +135,7 @@ class Distances:
             self.memo[window] = found
         return found
 
-    def features(self, text: bytes) -> list[float]:
+    def features(self, text: bytes, steps: Sequence[int]) -> list[float]:
         """A text's largest savings, and how many windows reach each step."""
         counts = Counter(map(self.of, windows(text)))
         top: list[int] = []
@@ -138,7 +144,7 @@ class Distances:
             if len(top) == 3:
                 break
         top += [0] * (3 - len(top))
-        reached = [sum(n for v, n in counts.items() if v >= s) for s in STEPS]
+        reached = [sum(n for v, n in counts.items() if v >= s) for s in steps]
         total = counts.total()
         return [
             1.0,
@@ -154,6 +160,7 @@ class Model:
     toxic: bytes
     ordinary: bytes
     carrier: bytes
+    steps: tuple[int, ...]
     weights: tuple[float, ...]
     constant: float | None = None
 
@@ -165,26 +172,40 @@ class Model:
         weights = np.array(self.weights)
 
         def score(text: bytes) -> float:
-            at = float(np.dot(distances.features(text), weights))
+            at = float(np.dot(distances.features(text, self.steps), weights))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, at))))
 
         return score
 
 
-def train(toxic: Sequence[bytes], ordinary: Sequence[bytes], ridge: float = 1.0, steps: int = 30) -> Model:
+def calibrated_steps(distances: Distances, ordinary: Sequence[bytes]) -> tuple[int, ...]:
+    """For each of ``TAILS`` the least distance that at most this share of ordinary windows reaches."""
+    seen = Counter(d for text in ordinary for d in map(distances.of, windows(text)))
+    total = max(seen.total(), 1)
+    steps = []
+    for tail in TAILS:
+        at = 1
+        while sum(n for d, n in seen.items() if d >= at) > tail * total:
+            at += 1
+        steps.append(max(at, steps[-1] + 1 if steps else at))
+    return tuple(steps)
+
+
+def train(toxic: Sequence[bytes], ordinary: Sequence[bytes], ridge: float = 1.0, rounds: int = 30) -> Model:
     """Dictionaries and a logistic fit; without texts of both kinds the score is constant."""
     if not toxic or not ordinary:
-        return Model(b"", b"", b"", (), 1.0 if toxic else 0.0)
+        return Model(b"", b"", b"", (), (), 1.0 if toxic else 0.0)
     content = dictionaries(toxic, ordinary)
     distances = Distances(*content)
-    x = np.array([distances.features(t) for t in (*toxic, *ordinary)])
+    steps = calibrated_steps(distances, ordinary)
+    x = np.array([distances.features(t, steps) for t in (*toxic, *ordinary)])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     w = np.zeros(x.shape[1])
-    for _ in range(steps):  # Newton's method
+    for _ in range(rounds):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w))
         w = w + np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
-    return Model(*content, tuple(w.tolist()))
+    return Model(*content, steps, tuple(w.tolist()))
 
 
 def labelled_sample(
