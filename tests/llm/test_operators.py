@@ -225,6 +225,70 @@ def test_lm_scores(spark, docs, corpus, tmp_path):
     assert lm_scoring.score_texts(empty(spark), vocabulary_path()).count() == 0
 
 
+def model_file(path, pieces):
+    """A unigram model, written field by field: pieces with score and type, then the model's type."""
+    import struct
+
+    def field(number, kind, data):
+        return bytes([number << 3 | kind]) + (bytes([len(data)]) + data if kind == 2 else data)
+
+    body = b""
+    for piece, score, kind in pieces:
+        body += field(1, 2, field(1, 2, piece.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+    body += field(2, 2, field(3, 0, b"\x01"))
+    path.write_bytes(body)
+    return str(path)
+
+
+def test_a_unigram_vocabulary_is_taken_as_it_is(spark, docs, corpus, tmp_path):
+    pieces = [("<unk>", 0.0, 2), ("▁the", -2.5, 1), ("er", -3.25, 1), ("▁", -3.0, 1), ("The", -4.5, 1), ("the", -4.0, 1), ("ing", -3.75, 1), ("a", -5.0, 1), ("▁a▁b", -1.0, 1)]
+    file = model_file(tmp_path / "own.model", pieces)
+    found, scores, ranked = lm_scoring.load_pieces(file)
+    own = dict(zip(found, scores, strict=True))
+    assert not ranked and own[b" the"] == -2.5 and own[b"er"] == -3.25 and own[b"The"] == -4.5 and own[b"a"] == -5.0
+    assert b" a b" not in own and own[b"q"] == -5.0 and len(own) == 256 + 5
+    lat = lattice.Lattice(found, scores)
+    ends = sum(i is None or zlib.crc32(str(i).encode()) % 5 != 1 for i, _, _ in corpus)
+    words = sum(len((t or "").encode().split()) for i, t, _ in corpus if i is None or zlib.crc32(str(i).encode()) % 5 != 1)
+    end = math.log((ends + 1) / (ends + words + 2))
+    want = defaultdict(list)
+    for i, t, _ in corpus:
+        own_words = (t or "").encode().lower().split()
+        if len(own_words) < 200 and all(len(w) < 60 for w in own_words):
+            want[i].append((end + sum(brute_marginal(lat, b" " + w) + math.log1p(-math.exp(end)) for w in own_words)) / math.log(10))
+    for r in lm_scoring.score_texts(docs, file).collect():
+        if r.doc_id in want and r.n_tokens <= 200:
+            assert any(r.score == pytest.approx(w) for w in want[r.doc_id])
+
+
+def test_expectation_maximisation_against_all_segmentations(spark):
+    pieces = [bytes([b]) for b in range(256)] + [b" the", b"er", b"ing", b" a", b"th"]
+    scores = np.log(np.arange(1, len(pieces) + 1) / sum(range(1, len(pieces) + 1)))
+    words = [(b"the", 5, 5), (b"thering", 2, 2), (b"a", 7, 9), (b"unseen", 0, 3)]
+    df = spark.createDataFrame([(bytearray(w), c, e) for w, c, e in words], "word binary, c long, everywhere long")
+    got, end = lm_scoring.fit(df, pieces, scores, 4, 2, 50.0)
+    start, now, ends = np.exp(scores), scores, None
+    ids = {p: i for i, p in enumerate(pieces)}
+
+    def ways(word):
+        if not word:
+            return [[]]
+        return [[ids[word[:n]], *rest] for n in range(1, len(word) + 1) if word[:n] in ids for rest in ways(word[n:])]
+
+    for _ in range(2):
+        expected = start * 50.0
+        for word, c, _ in words:
+            if c:
+                own = ways(b" " + word)
+                p = np.array([math.exp(sum(now[i] for i in w)) for w in own])
+                for w, share in zip(own, p / p.sum(), strict=True):
+                    for i in w:
+                        expected[i] += c * share
+        whole = expected.sum() + 4 + 1.0
+        now, ends = np.log(expected / whole), math.log(5.0 / whole)
+    assert np.allclose(got, now) and end == pytest.approx(ends)
+
+
 def test_rare_and_frequent_words_score_alike(spark, docs, monkeypatch):
     from turnstile.llm.queries import vocabulary_path
 
@@ -397,6 +461,22 @@ def brute_dedup(corpus):
     return out
 
 
+def test_finer_segments_hold_the_same_windows(spark):
+    rng = random.Random(8)
+    text = prose(rng, 300).encode()
+    rows = []
+    for h, place in zip(*(np.concatenate(x).tolist() for x in zip(*suffix_dedup.anchors(text), strict=True)), strict=True):
+        _, a, b = suffix_dedup.unpack(place)
+        rows.append((h, False, 1, 2, place, bytearray(text[a : b + 100])))
+    df = spark.createDataFrame(rows, "h long, last boolean, doc_id long, name long, place long, s binary")
+    seen = []
+    for r in suffix_dedup._finer(df).collect():
+        p, a, b = suffix_dedup.unpack(r.place)
+        assert bytes(r.s) == text[a : b + 100] and a <= b <= p <= a + 36
+        seen += range(a, b + 1)
+    assert sorted(seen) == list(range(len(text) - 99))
+
+
 @pytest.mark.parametrize("group,block", [(4096, 1 << 21), (2, 500)])
 def test_byte_dedup(spark, corpus, group, block, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
@@ -406,6 +486,7 @@ def test_byte_dedup(spark, corpus, group, block, monkeypatch):
     shared = prose(rng, 40)
     own = [r for r in corpus if r[0] is not None] + [(None, shared + " once", "s0")]
     own += [(400 + i, prose(rng, 4 + i) + shared + prose(rng, 9 - i % 3), "hot") for i in range(15)]
+    own += [own[-1]] * 5 + [own[-3]] * 2 + [(400, own[-2][1], "other")]  # repeated rows, and two texts of one id
     got = suffix_dedup.dedup_bytes(frame(spark, own)).collect()
     want = set(brute_dedup(own))
     assert len(got) == len(own)
@@ -430,12 +511,18 @@ def test_licenses(spark):
         (8, "", "a"),
         (None, t["isc"], "a"),
         (9, t["bsd-clauses"][:60], "a"),
+        (10, "Copyright (c) 2020 Someone. All rights reserved. More on this line", "a"),
+        (11, "all rights", "a"),
+        (12, t["isc"], "a"), (12, t["isc"], "a"), (12, t["isc"], "a"),
+        (13, "word " * 200_000 + t["bsl-1.0"], "a"),
     ]
     found = {(r.doc_id, r.license): r.containment for r in licenses.find_licenses(frame(spark, rows)).collect()}
     assert found[(1, "mit")] == 1.0 and found[(2, "mit-line")] == 1.0 and found[(4, "all-rights-reserved")] == 1.0
     assert found[(5, "apache-2.0")] == 1.0 and found[(None, "isc")] == 1.0
     assert 0.8 <= found[(6, "gpl-3.0")] < 1.0
-    assert not {k for k in found if k[0] in (3, 7, 8, 9)}
+    assert found[(10, "all-rights-reserved")] == 1.0 and found[(13, "bsl-1.0")] == 1.0
+    assert not {k for k in found if k[0] in (3, 7, 8, 9, 11)}
+    assert licenses.find_licenses(frame(spark, rows)).where("doc_id = 12").count() == 1  # repeated rows: one result
     assert licenses.find_licenses(empty(spark)).count() == 0
 
 

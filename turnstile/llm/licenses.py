@@ -1,8 +1,8 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
 DataFrame operations only. Texts and templates are lower-cased words
-(``[0-9a-z]+``) and shingles of ``SHINGLE`` words; a line of fewer words gives
-its words as one shingle, so that short notices match whole lines.
+(``[0-9a-z]+``) and shingles of ``SHINGLE`` words; a template of fewer words is one
+shingle of its own length and matches wherever these words follow each other.
 
 Templates are dealt by length into classes. A class cuts a text into windows of
 ``2 * stride`` shingles, each overlapping the next by half, so that any passage
@@ -21,6 +21,7 @@ without them can't reach ``LEAST`` for any template.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def template_shingles(text: str) -> list[str]:
 
 
 def stride_of(text: str) -> int:
-    """A template's class: the power of two that holds its shingles; 0 is for short lines."""
+    """A template's class: the power of two that holds its shingles; 0 is for short notices."""
     words = template_words(text)
     if len(words) < SHINGLE:
         return 0
@@ -115,19 +116,18 @@ def find_licenses(
     text = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     some = marked.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), text.alias("t"))
 
-    # Shingles of the text at their places, and lines too short for one.
+    # Shingles of the text at their places: of the usual length, and of each short template's.
     words = F.filter(F.split("t", "[^0-9a-z]+"), lambda w: w != "")
-    places = F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1))
-    shingles = F.when(
-        F.size("w") >= SHINGLE, F.transform(places, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, SHINGLE))))
-    )
-    running = some.withColumn("w", words).select("doc_id", "key", F.posexplode(shingles).alias("at", "h"), F.lit(False).alias("line"))
-    lines = F.transform(F.split("t", "\n"), lambda x: F.filter(F.split(x, "[^0-9a-z]+"), lambda w: w != ""))
-    short = F.transform(lines, lambda w: F.when((F.size(w) > 0) & (F.size(w) < SHINGLE), F.xxhash64(F.concat_ws(" ", w))))
-    alone = some.select("doc_id", "key", F.posexplode(short).alias("at", "h"), F.lit(True).alias("line")).where("h is not null")
+    cut = some.withColumn("w", words)
 
+    def running(n: int) -> DataFrame:
+        places = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        shingles = F.when(F.size("w") >= n, F.transform(places, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, n)))))
+        return cut.select("doc_id", "key", F.posexplode(shingles).alias("at", "h"), F.lit(n < SHINGLE).alias("short"))
+
+    lengths = {min(SHINGLE, len(template_words(text))) for text in templates.values()}
     known = signed.select("stride", "h").distinct()
-    rows = running.unionByName(alone).join(F.broadcast(known), "h").where(F.col("line") == (F.col("stride") == 0))
+    rows = reduce(DataFrame.unionByName, map(running, sorted(lengths))).join(F.broadcast(known), "h").where(F.col("short") == (F.col("stride") == 0))
     at = F.when(F.col("stride") == 0, F.col("at")).otherwise(F.floor(F.col("at") / F.greatest("stride", F.lit(1))))
     window = F.explode(F.when(F.col("stride") == 0, F.array(at)).otherwise(F.array(at - 1, at)))
     windows = rows.select("doc_id", "key", "stride", window.alias("window"), "h")

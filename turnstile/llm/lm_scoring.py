@@ -3,11 +3,14 @@
 The model is a unigram model over the pieces of an existing vocabulary. A text
 is its lower-cased words and one end; a word may be cut into pieces in any way,
 and its probability is the sum over all of them, by a forward recursion in log
-space (:mod:`turnstile.llm.lattice`). The vocabulary's own scores start the
-model; ``rounds`` steps of expectation maximisation over the training words then
-fit the scores to the corpus. Pieces never cross words, so a text's log
+space (:mod:`turnstile.llm.lattice`). Pieces never cross words, so a text's log
 probability is the sum of its words' and the end's.
 
+The scores of a unigram vocabulary are taken as they are; the corpus only says how
+likely the end is. A vocabulary whose scores are ranks has no probabilities: Zipf's
+law stands in for them, and ``rounds`` steps of expectation maximisation over the
+training words fit them to the corpus, the end being one of the pieces.
+
 Every distinct word is scored once. Words are counted where the texts are, then
 summed by word. A word with at least 1 / ``FREQUENT`` of all tokens is frequent;
 there can be no more than ``FREQUENT`` of them, whatever the corpus, so they are
@@ -39,32 +42,40 @@ MARK = "▁"
 _LN10 = float(np.log(10))
 
 
-def load_pieces(model_file: str) -> tuple[list[bytes], np.ndarray]:
-    """Pieces of a sentencepiece model as bytes, and their log scores.
+def load_pieces(model_file: str) -> tuple[list[bytes], np.ndarray, bool]:
+    """Pieces of a sentencepiece model as bytes, their log scores, and whether they had to be made from ranks.
 
-    Scores of a model that ranks its pieces (0, -1, -2, ...) become log
-    probabilities by Zipf's law; those of a unigram model are taken as they are.
-    Every single byte is a piece, by the model's own byte pieces or else with
-    the lowest score. Pieces with a mark inside would cross words and go.
+    Scores of a unigram model are taken as they are. Those of a model that ranks
+    its pieces (0, -1, -2, ...) become log probabilities by Zipf's law, pieces that
+    differ in case becoming one. Every single byte is a piece, by the model's own
+    byte pieces or else with the lowest score. Pieces with a mark inside would
+    cross words and go.
     """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    found: dict[bytes, float] = {bytes([b]): -np.inf for b in range(256)}
+    own: list[tuple[str, float]] = []
+    spelt: dict[bytes, float] = {}
     for i in range(model.vocab_size()):
-        if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i):
-            continue
         piece = model.id_to_piece(i)
-        if MARK in piece[1:] or " " in piece:
-            continue
-        key = (" " + piece[1:] if piece.startswith(MARK) else piece).lower().encode()
-        found[key] = max(found.get(key, -np.inf), model.get_score(i))
+        if model.is_byte(i):
+            spelt[bytes([int(piece[3:5], 16)])] = model.get_score(i)
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or MARK in piece[1:] or " " in piece):
+            own.append((" " + piece[1:] if piece.startswith(MARK) else piece, model.get_score(i)))
+    given = np.array([score for _, score in own])
+    ranked = len(given) > 0 and given.min() < -100 and bool((given == np.rint(given)).all())
+    found: dict[bytes, float] = {bytes([b]): -np.inf for b in range(256)}
+    for piece, score in own:
+        key = (piece.lower() if ranked else piece).encode()
+        found[key] = max(found.get(key, -np.inf), score)
+    if not ranked:
+        found |= {b: score for b, score in spelt.items() if not np.isfinite(found[b])}
     scores = np.array(list(found.values()))
     known = np.isfinite(scores)
-    if known.any() and scores[known].min() < -100:  # ranks
+    if ranked:
         scores[known] = -np.log(10 - scores[known])
     scores[~known] = scores[known].min() if known.any() else 0.0
-    return list(found), scores - np.logaddexp.reduce(scores)
+    return list(found), scores - np.logaddexp.reduce(scores) if ranked or not known.any() else scores, ranked
 
 
 def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
@@ -149,7 +160,7 @@ def score_texts(
     *,
     folds: int = 5,
     fold: int = 1,
-    rounds: int = 2,
+    rounds: int | None = None,
     prior: float = 2_000.0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -158,7 +169,9 @@ def score_texts(
 
     Columns: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score``, ``score`` (log10). Texts whose id's crc32
-    modulo ``folds`` isn't ``fold`` teach the model.
+    modulo ``folds`` isn't ``fold`` teach the model. ``rounds`` steps fit the
+    scores to them: none unless it is given or the vocabulary only ranks its
+    pieces, for which it is 2.
 
     A null text is empty: one token, the end. A null id trains and stays null.
     Repeated rows are scored each, and each teaches. Other columns are not read.
@@ -176,14 +189,20 @@ def score_texts(
     tokens, distinct = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
     whole = tokens + 0.5 * (distinct + 1)
 
-    pieces, first = load_pieces(model_file)
-    scores, end = fit(words, pieces, first, ends, rounds, prior)
+    pieces, first, ranked = load_pieces(model_file)
+    rounds = (2 if ranked else 0) if rounds is None else rounds
+    if rounds:
+        scores, end = fit(words, pieces, first, ends, rounds, prior)
+        go_on = 0.0
+    else:  # after each word and before the first the text ends or goes on
+        scores, end = first, float(np.log((ends + 1) / (tokens + 2)))
+        go_on = float(np.log1p(-np.exp(end)))
     model = spark.sparkContext.broadcast((pieces, scores))
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
         for batch in _larger(batches):
-            lp = lattice.score([b" " + w for w in batch.column(0).to_pylist()])
+            lp = go_on + lattice.score([b" " + w for w in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp / _LN10)], names=["word", "c", "everywhere", "lp"])
 
     scored = materialize(words.mapInArrow(marginal, "word binary, c long, everywhere long, lp double"), "scored-words")

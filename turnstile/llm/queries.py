@@ -168,26 +168,20 @@ def _op6_sql() -> str:
         for name, text in licenses.TEMPLATES.items()
         for g in licenses.template_shingles(text)
     )
+    lengths = ", ".join(f"({n})" for n in sorted({min(licenses.SHINGLE, len(licenses.template_words(t))) for t in licenses.TEMPLATES.values()}))
     return rf"""
 WITH tpl(license, stride, n_shingles, g) AS (VALUES {quoted}),
 doc AS (
   SELECT DISTINCT doc_id, text,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w
   FROM documents WHERE text IS NOT NULL),
-running AS (
-  SELECT doc_id, text, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS g, false AS line
-  FROM doc, unnest(range(1, len(w) - 3)) AS t(i)),
-lines AS (
-  SELECT doc_id, text, pos, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w
-  FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM doc)),
 shingle AS (
-  SELECT * FROM running
-  UNION ALL
-  SELECT doc_id, text, pos, array_to_string(w, ' '), true FROM lines WHERE len(w) BETWEEN 1 AND 4),
+  SELECT doc_id, text, i - 1 AS pos, array_to_string(w[i:i + n - 1], ' ') AS g, n < 5 AS short
+  FROM doc, (VALUES {lengths}) AS k(n), unnest(range(1, len(w) - n + 2)) AS t(i)),
 hit AS (
   SELECT doc_id, text, license, n_shingles, shingle.g,
          unnest(CASE WHEN stride = 0 THEN [pos] ELSE [pos // stride - 1, pos // stride] END) AS win
-  FROM shingle JOIN tpl ON shingle.g = tpl.g AND line = (stride = 0)),
+  FROM shingle JOIN tpl ON shingle.g = tpl.g AND short = (stride = 0)),
 own AS (
   SELECT doc_id, text, license, n_shingles, win, count(DISTINCT g) AS n_shared
   FROM hit GROUP BY doc_id, text, license, n_shingles, win)

@@ -20,7 +20,9 @@ one anchor form a segment.
    run of equal windows all but the first in the order of documents repeat.
 4. An anchor with more than ``GROUP`` different contents, such as the edge of a
    passage that a third of all documents quote, never lies in one task: its
-   windows are compared one by one, by hash, in a shuffle of partial minima.
+   segments are cut again by anchors of ``LONG_GRAM`` bytes and go through steps 2
+   and 3 once more. Where even such an anchor has more than ``GROUP`` contents, its
+   windows are anchors of their own: each is a class by its hash.
 
 What goes to a document is the runs of windows that repeat; their union is cut.
 """
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -43,7 +45,7 @@ from turnstile.llm.repeats import only_repeated
 from turnstile.llm.suffix_array import adjacent_prefixes, two_stage_order
 
 DEPTH = 100
-GRAM = 32
+GRAM, LONG_GRAM = 32, 64
 REACH = DEPTH - GRAM + 1
 GROUP = 4096
 #: Bytes of segments in one suffix array.
@@ -54,14 +56,14 @@ _PLACE = np.uint64((1 << 24) - 1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of every ``GRAM`` consecutive bytes of each row, by doubling (``GRAM`` is a power of two)."""
+def _gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A hash of every ``gram`` consecutive bytes of each row, by doubling (``gram`` is a power of two)."""
     h = data.astype(np.uint64)
     h += np.uint64(1)
     h *= _A
     h ^= h >> np.uint64(29)
     width = 1
-    while width < GRAM:
+    while width < gram:
         right = h[..., width:]
         h = (h[..., :-width] * _B + (right ^ (right >> np.uint64(31)))) * _C
         h ^= h >> np.uint64(32)
@@ -176,32 +178,56 @@ def _occurrences(source: DataFrame, found: DataFrame) -> DataFrame:
     return map_rows(joined, ["name", "doc_id", "t", "hs", "places"], pa.schema([(n, _LONG) for n in names]), ", ".join(f"{n} long" for n in names), row)
 
 
+def _of_text(source: DataFrame, own: DataFrame, how: str = "inner") -> DataFrame:
+    """``source`` with the rows of ``own`` for its texts: names are 64 bits, so ids decide too."""
+    theirs = own.withColumnRenamed("doc_id", "own_id").withColumnRenamed("name", "own_name")
+    return source.join(theirs, (F.col("name") == F.col("own_name")) & F.col("doc_id").eqNullSafe(F.col("own_id")), how).drop("own_id", "own_name")
+
+
 def _contents(source: DataFrame, reps: DataFrame) -> DataFrame:
-    """``reps(h, last, doc_id, name, place)`` with their bytes."""
-    own = reps.groupBy("name").agg(F.collect_set(F.struct("h", "place")).alias("own"))
-    joined = source.join(own, "name").select("name", "doc_id", "t", F.col("own.h").alias("hs"), F.col("own.place").alias("places"))
+    """``reps(h, last, doc_id, name, place)`` with their bytes; repeated rows of the input repeat them."""
+    own = reps.groupBy("doc_id", "name").agg(F.collect_set(F.struct("h", "place")).alias("own"))
+    joined = _of_text(source, own).select("name", "doc_id", "t", F.col("own.h").alias("hs"), F.col("own.place").alias("places"))
 
     def row(name, doc, text, hs, places) -> Iterable[tuple]:
         for h, place in zip(hs, places, strict=True):
             if unpack(place)[2] + DEPTH <= len(text):
                 yield h, doc is None, doc, name, place, _segment(text, place)
 
+    return _with_bytes(joined, ["name", "doc_id", "t", "hs", "places"], row)
+
+
+def _with_bytes(df: DataFrame, inputs: list[str], row: Callable[..., Iterable[tuple]]) -> DataFrame:
+    """``h, last, doc_id, name, place, s`` of each row that ``row`` yields, in batches of bounded bytes."""
     schema = pa.schema([("h", _LONG), ("last", pa.bool_()), ("doc_id", _LONG), ("name", _LONG), ("place", _LONG), ("s", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = Sink(schema)
-        seen: set[tuple] = set()  # rows repeated in the input follow each other
-        for values in rows_of(batches, "name", "doc_id", "t", "hs", "places"):
-            if values[0] in seen:
-                continue
-            seen = {values[0]}
+        for values in rows_of(batches, *inputs):
             for out in row(*values):
                 if sink.add(*out, weight=len(out[-1])):
                     yield sink.flush()
         if len(sink):
             yield sink.flush()
 
-    return joined.mapInArrow(run, "h long, last boolean, doc_id long, name long, place long, s binary")
+    return df.select(*inputs).mapInArrow(run, "h long, last boolean, doc_id long, name long, place long, s binary")
+
+
+def _finer(contents: DataFrame) -> DataFrame:
+    """Segments cut again, at anchors of ``LONG_GRAM`` bytes."""
+
+    def row(h, last, doc, name, place, s) -> Iterable[tuple]:
+        _, first, end = unpack(place)
+        own = _gram_hashes(np.frombuffer(s, np.uint8), LONG_GRAM)
+        least = _sliding_least((own & ~_PLACE) | np.arange(len(own), dtype=np.uint64), DEPTH - LONG_GRAM + 1)
+        at = (least & _PLACE).astype(np.int64)[: end - first + 1]
+        cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist()
+        for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
+            p = int(at[a])
+            key = xxhash.xxh64_intdigest(own[p].tobytes(), h & (1 << 64) - 1) - (1 << 63)
+            yield key, last, doc, name, (first + p) << 14 | (p - a) << 7 | (p - b + 1), s[a : b - 1 + DEPTH]
+
+    return _with_bytes(contents, ["h", "last", "doc_id", "name", "place", "s"], row)
 
 
 def repeated_windows(segments: list[bytes], starts: np.ndarray, rank: np.ndarray, first_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,11 +267,11 @@ def _runs(own: np.ndarray, within: np.ndarray) -> Iterator[tuple[int, int, int]]
 
 
 def _by_suffixes(contents: DataFrame) -> DataFrame:
-    """``name, lo, hi``: windows that repeat one of another representative of their anchor."""
-    dealt = contents.repartition("h").sortWithinPartitions("h")
-    schema = pa.schema([("name", _LONG), ("lo", _LONG), ("hi", _LONG)])
+    """``doc_id, name, lo, hi``: windows that repeat one of another representative of their anchor."""
+    dealt = contents.repartition("h").sortWithinPartitions("h", *_FIRST)
+    schema = pa.schema([("doc_id", _LONG), ("name", _LONG), ("lo", _LONG), ("hi", _LONG)])
 
-    def solved(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    def solved(rows: list[tuple]) -> Iterator[tuple]:
         _, last, doc, name, place, _ = (list(x) for x in zip(*rows, strict=True))
         place = np.array(place)
         _, a, b = unpack(place)
@@ -257,7 +283,7 @@ def _by_suffixes(contents: DataFrame) -> DataFrame:
         new = np.array([i > 0 and key[i] != key[i - 1] for i in range(len(key))])
         ranks = np.cumsum(new)[ranks]
         for i, lo, hi in _runs(*repeated_windows([r[5] for r in rows], b - a + 1, ranks, a)):
-            yield name[i], int(a[i]) + lo, int(a[i]) + hi
+            yield doc[i], name[i], int(a[i]) + lo, int(a[i]) + hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = Sink(schema)
@@ -269,6 +295,8 @@ def _by_suffixes(contents: DataFrame) -> DataFrame:
                     if sink.add(*out):
                         yield sink.flush()
                 held, size = [], 0
+            if held and row[:5] == held[-1][:5]:  # a row that the input holds more than once
+                continue
             held.append(row)
             size += len(row[5])
         if held:
@@ -278,7 +306,7 @@ def _by_suffixes(contents: DataFrame) -> DataFrame:
         if len(sink):
             yield sink.flush()
 
-    return dealt.mapInArrow(run, "name long, lo long, hi long")
+    return dealt.mapInArrow(run, "doc_id long, name long, lo long, hi long")
 
 
 def _by_windows(contents: DataFrame) -> DataFrame:
@@ -292,13 +320,34 @@ def _by_windows(contents: DataFrame) -> DataFrame:
     schema = pa.schema([("x", _LONG), ("y", _LONG), ("last", pa.bool_()), ("doc_id", _LONG), ("name", _LONG), ("place", _LONG)])
     ddl = "x long, y long, last boolean, doc_id long, name long, place long"
     windows = materialize(map_rows(contents, ["last", "doc_id", "name", "place", "s"], schema, ddl, row), "windows")
-    first = windows.groupBy("x", "y").agg(F.min(F.struct(*_FIRST)).alias("first"))
+    first = materialize(windows.groupBy("x", "y").agg(F.min(F.struct(*_FIRST)).alias("first")), "first-windows")
     later = windows.join(first, ["x", "y"]).where(F.struct(*_FIRST) != F.col("first"))
-    return later.select("name", F.col("place").alias("lo"), F.col("place").alias("hi"))
+    return later.select("doc_id", "name", F.col("place").alias("lo"), F.col("place").alias("hi"))
+
+
+def _spans(segments: DataFrame) -> DataFrame:
+    """``doc_id, name, lo, hi``: the windows of whole segments."""
+    p = F.shiftright("place", 14)
+    low, high = F.shiftright("place", 7).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(127))
+    return segments.select("doc_id", "name", (p - low).alias("lo"), (p - high).alias("hi"))
+
+
+def _by_longer_anchors(contents: DataFrame) -> list[DataFrame]:
+    """As :func:`_by_suffixes`, for anchors with very many contents."""
+    finer = materialize(_finer(contents).withColumn("x", F.md5("s")), "finer-segments")
+    first = materialize(finer.groupBy("h", "x").agg(F.min(F.struct(*_FIRST)).alias("first"), F.first("s").alias("s")), "finer-classes")
+    whole = finer.join(first.select("h", "x", "first"), ["h", "x"]).where(F.struct(*_FIRST) != F.col("first"))
+    sizes = materialize(first.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1"), "finer-sizes")
+    reps = first.join(sizes, "h").select("h", "contents", "first.*", "s")
+    parts = [materialize(_spans(whole), "finer-repeats"), materialize(_by_suffixes(reps.where(F.col("contents") <= GROUP).drop("contents")), "finer-suffix-repeats")]
+    if sizes.where(F.col("contents") > GROUP).limit(1).count():
+        parts.append(materialize(_by_windows(reps.where(F.col("contents") > GROUP)), "window-repeats"))
+    discard(finer, first)
+    return parts
 
 
 def repeated_starts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``name, lo, hi``: starts, by document name, of strings that also start earlier."""
+    """``doc_id, name, lo, hi``: starts, by document, of strings that also start earlier."""
     source = _named(docs, id_col, text_col)
     found = only_repeated(_anchor_rows(source, False), _anchor_rows(source, True), "anchors")
     seen = materialize(_occurrences(source, found), "segments")
@@ -307,20 +356,14 @@ def repeated_starts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = seen_rows.groupBy("x", "y").agg(F.min(F.struct(*_FIRST)).alias("first"), F.min("h").alias("h"), F.count("*").alias("n"))
     classes = materialize(classes, "segment-classes")
     later = seen_rows.join(classes.where("n > 1").select("x", "y", "first"), ["x", "y"]).where(F.struct(*_FIRST) != F.col("first"))
-    p = F.shiftright("place", 14)
-    whole = later.select(
-        "name",
-        (p - F.shiftright("place", 7).bitwiseAND(F.lit(127))).alias("lo"),
-        (p - F.col("place").bitwiseAND(F.lit(127))).alias("hi"),
-    )
     # Each part is written by itself, so that its shuffles go before the next one's begin.
-    whole = materialize(whole, "whole-repeats")
+    whole = materialize(_spans(later), "whole-repeats")
     discard(seen)
-    sizes = classes.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1")
+    sizes = materialize(classes.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1"), "anchor-sizes")
     reps = classes.join(sizes, "h").select("h", "contents", "first.*")
     parts = [whole, materialize(_by_suffixes(_contents(source, reps.where(F.col("contents") <= GROUP))), "suffix-repeats")]
     if sizes.where(F.col("contents") > GROUP).limit(1).count():
-        parts.append(materialize(_by_windows(_contents(source, reps.where(F.col("contents") > GROUP))), "window-repeats"))
+        parts += _by_longer_anchors(_contents(source, reps.where(F.col("contents") > GROUP)))
     discard(classes)
     return reduce(DataFrame.unionByName, parts)
 
@@ -339,9 +382,9 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     bound_batches(docs.sparkSession)
     ranges = repeated_starts(docs, id_col=id_col, text_col=text_col)
-    own = ranges.groupBy("name").agg(F.collect_set(F.struct("lo", "hi")).alias("own"))
+    own = ranges.groupBy("doc_id", "name").agg(F.collect_set(F.struct("lo", "hi")).alias("own"))
     source = _named(docs, id_col, text_col)
-    joined = source.join(own, "name", "left").select("doc_id", "t", F.col("own.lo").alias("lo"), F.col("own.hi").alias("hi"))
+    joined = _of_text(source, own, "left").select("doc_id", "t", F.col("own.lo").alias("lo"), F.col("own.hi").alias("hi"))
 
     def row(doc, text, lo, hi) -> Iterable[tuple]:
         kept, n_spans, end = [], 0, 0
