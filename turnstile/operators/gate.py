@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.settings import DEFAULTS as K
-from turnstile.sources.bindings import faces
-
-#: Floors armed for the queries; 0 in the settings switches a floor off.
-IED, FRONTALITY, SHARPNESS = 10.0, 0.93, 20.0
+from turnstile.sources.bindings import faces, landmarks
 
 
 def _judged(d: Dialect) -> str:
-    return f"""SELECT *, CASE WHEN w < {K.sub_canon_width / 2} THEN 'width' WHEN ied < {IED} THEN 'ied' WHEN frontality < {FRONTALITY} THEN 'frontality'
-      WHEN sharpness < {SHARPNESS} THEN 'sharpness' END AS rejected_by,
-      CASE WHEN ied IS NULL THEN 1 ELSE 0 END + CASE WHEN frontality IS NULL THEN 1 ELSE 0 END + CASE WHEN sharpness IS NULL THEN 1 ELSE 0 END AS missing
-      FROM {faces(d)} AS f"""
+    k = d.k
+    absent = " + ".join(f"CASE WHEN {floor} > 0 AND {signal} IS NULL THEN 1 ELSE 0 END" for signal, floor in (("ied", k.ied_floor), ("frontality", k.frontality_floor), ("sharpness", k.sharpness_floor)))
+    return f"""SELECT *, CASE WHEN width_px < {k.sub_canon_width} THEN 'width' WHEN ied < {k.ied_floor} THEN 'ied' WHEN frontality < {k.frontality_floor} THEN 'frontality'
+      WHEN sharpness < {k.sharpness_floor} THEN 'sharpness' END AS rejected_by, {absent} AS missing FROM {faces(d)} AS f"""
 
 
 @sql
 def width_band(d: Dialect) -> str:
-    return f"""SELECT frame, n, w, CASE WHEN w * 2 >= {K.canon_width} THEN 'ok' WHEN w * 2 >= {K.sub_canon_width} THEN 'sub-canon' ELSE 'reject' END AS width_class,
-      CASE WHEN w * 2 < {K.sub_canon_width} THEN 'gated' WHEN w * 2 < {K.canon_width} THEN 'sub-canon' ELSE 'canon' END AS band FROM {faces(d)} AS f"""
+    k = d.k
+    return f"""SELECT frame, n, w, CASE WHEN width_px >= {k.canon_width} THEN 'ok' WHEN width_px >= {k.sub_canon_width} THEN 'sub-canon' ELSE 'reject' END AS width_class,
+      CASE WHEN width_px < {k.sub_canon_width} THEN 'gated' WHEN width_px < {k.canon_width} THEN 'sub-canon' ELSE 'canon' END AS band FROM {faces(d)} AS f"""
 
 
 @sql
@@ -49,18 +46,20 @@ def gate_unmeasured(d: Dialect) -> str:
 
 @sql
 def armed_floors(d: Dialect) -> str:
-    rows = ", ".join(f"('{n}', {v})" for n, v in (("width", K.sub_canon_width), ("ied", IED), ("frontality", FRONTALITY), ("sharpness", K.sharpness_floor)))
+    k = d.k
+    floors = (("width", k.sub_canon_width), ("ied", k.ied_floor), ("frontality", k.frontality_floor), ("sharpness", k.sharpness_floor))
+    rows = ", ".join(f"('{n}', {v})" for n, v in floors)
     return f"SELECT name, CAST(floor_at AS DOUBLE) AS floor_at FROM (VALUES {rows}) AS f(name, floor_at) WHERE floor_at > 0"
 
 
 @sql
 def ied_frontality(d: Dialect) -> str:
-    """Eyes at a third and two thirds of a face's width; how far the nose is off their middle."""
-    eyes = "sqrt((w / 3) * (w / 3) + (h / 20) * (h / 20))"
-    nose = "abs(x + w * (0.45 + conf % 0.1) - (x + w / 2))"
+    """Distance of the eyes, and how far the nose is off their middle."""
+    eyes = "sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly))"
+    nose = "abs(nx - (lx + rx) / 2)"
     tidy = lambda x, n: f"floor(({x}) * {10**n} + 0.5) / {10**n}"
     return f"""SELECT frame, n, {tidy(eyes, 1)} AS ied_px, CASE WHEN {eyes} = 0 THEN 0.0 ELSE {tidy(f'greatest(0.0, 1 - {nose} / {eyes})', 3)} END AS frontal
-      FROM {faces(d)} AS f"""
+      FROM {landmarks(d)} AS f"""
 
 
 @sql
@@ -80,5 +79,16 @@ def face_row_pack(d: Dialect) -> str:
 def sub_canon_share(d: Dialect) -> str:
     """The share of kept faces below the canonical width; 0 where none is kept."""
     return f"""SELECT frame, CASE WHEN count(*) = count(rejected_by) THEN 0.0
-      ELSE round(count(CASE WHEN rejected_by IS NULL AND w * 2 < {K.canon_width} THEN 1 END) * 1.0E0 / (count(*) - count(rejected_by)), 6) END AS share
+      ELSE round(count(CASE WHEN rejected_by IS NULL AND width_px < {d.k.canon_width} THEN 1 END) * 1.0E0 / (count(*) - count(rejected_by)), 6) END AS share
       FROM ({_judged(d)}) AS j GROUP BY frame"""
+
+
+@sql
+def face_sizes(d: Dialect) -> str:
+    """Sizes of the faces seen and of those that passed: count, least, mean and most of each signal, null where none has it."""
+    parts = []
+    for who, where in (("detected", "true"), ("passed", "rejected_by IS NULL")):
+        for signal in ("width_px", "ied", "frontality") if who == "detected" else ("width_px",):
+            parts.append(f"""SELECT '{who}' AS who, '{signal}' AS signal, count({signal}) AS n, min({signal}) AS low, round(avg({signal}), 6) AS mean, max({signal}) AS high
+      FROM ({_judged(d)}) AS j WHERE {where}""")
+    return "\n      UNION ALL ".join(parts)

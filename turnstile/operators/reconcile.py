@@ -8,17 +8,11 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.settings import DEFAULTS as K
-from turnstile.sources.bindings import boxes, cannot_link, feedback, frames, sightings, templates
+from turnstile.sources.bindings import acts, cannot_link, feedback, frames, ledger, marks, merges, templates, tombstones, verdicts
 
-#: The tables' clock is coarse: the reference's 20 seconds are stretched to this.
-HORIZON_US = 2 * 3600 * 1_000_000
 
-
-def _verdicts(d: Dialect) -> str:
-    """Verdicts of frames: a key, a cosine, a body and its clothes for every box."""
-    return f"""(SELECT frame, n, CAST(floor(x) AS BIGINT) % 4 AS key, conf AS cosine, n AS body,
-      CASE WHEN n % 6 <> 5 THEN tax * 10 END AS look, n % 5 = 0 AS minted, frame % 13 = 0 AS staff FROM {boxes(d)} AS b0)"""
+def _us(seconds: float) -> int:
+    return int(seconds * 1_000_000)
 
 
 @sql
@@ -26,84 +20,99 @@ def same_frame_conflicts(d: Dialect) -> str:
     """One key twice in a frame: the mint, else the highest cosine, keeps it; others lose it if
     their body is another and their clothes clash; what is unknown never splits."""
     return f"""SELECT l.frame, l.key, k.n AS keeper, l.n AS loser FROM (
-        SELECT *, row_number() OVER (PARTITION BY frame, key ORDER BY CASE WHEN minted THEN 0 ELSE 1 END, cosine DESC, n) AS rn FROM {_verdicts(d)} AS v) AS k
-      JOIN {_verdicts(d)} AS l ON l.frame = k.frame AND l.key = k.key AND l.n <> k.n
-      WHERE k.rn = 1 AND l.body <> k.body AND 1 - abs(l.look - k.look) < {K.same_frame_clothing}"""
+        SELECT *, row_number() OVER (PARTITION BY frame, key ORDER BY CASE WHEN minted THEN 0 ELSE 1 END, cosine DESC, n) AS rn FROM {verdicts(d)} AS v) AS k
+      JOIN {verdicts(d)} AS l ON l.frame = k.frame AND l.key = k.key AND l.n <> k.n
+      WHERE k.rn = 1 AND l.body <> k.body AND 1 - abs(l.look - k.look) < {d.k.same_frame_clothing}"""
 
 
 @sql
 def forget_template(d: Dialect) -> str:
     """Rows asked to be forgotten go, but never the last of a key."""
-    return f"""SELECT id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END, id) AS rn
-      FROM {templates(d)} AS t) AS r WHERE id % 3 <> 0 OR rn = 1"""
+    return f"""SELECT id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN forget THEN 1 ELSE 0 END, id) AS rn
+      FROM {templates(d)} AS t) AS r WHERE NOT forget OR rn = 1"""
 
 
 @sql
 def different_bodies(d: Dialect) -> str:
     """Two keys of a frame are different bodies if their box sets are disjoint; a missing box meets everything."""
     return f"""SELECT a.frame, a.key AS key_a, b.key AS key_b, min(CASE WHEN a.look IS NULL OR b.look IS NULL OR a.body = b.body THEN 0 ELSE 1 END) = 1 AS differ
-      FROM {_verdicts(d)} AS a JOIN {_verdicts(d)} AS b ON a.frame = b.frame AND a.key < b.key GROUP BY a.frame, a.key, b.key"""
+      FROM {verdicts(d)} AS a JOIN {verdicts(d)} AS b ON a.frame = b.frame AND a.key < b.key GROUP BY a.frame, a.key, b.key"""
 
 
 @sql
 def co_presence(d: Dialect) -> str:
     """Pairs of people seen in one frame, without staff: the first frame of each pair, capped per run."""
     return f"""SELECT run_id, key_a, key_b, seq FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq, key_a, key_b) AS rn FROM (
-      SELECT a.frame % 8 AS run_id, a.key AS key_a, b.key AS key_b, min(a.frame) AS seq FROM {_verdicts(d)} AS a
-      JOIN {_verdicts(d)} AS b ON a.frame = b.frame AND a.key < b.key WHERE NOT a.staff AND NOT b.staff GROUP BY a.frame % 8, a.key, b.key) AS p) AS r
-      WHERE rn <= {K.co_presence_cap}"""
-
-
-def _acts(d: Dialect) -> str:
-    """Sightings as acts on tracks: mints and matches with a cosine."""
-    return f"(SELECT track, event_id, us, event_id % 23 AS key, stage = 'view' OR event_id % 5 = 0 AS minted, (event_id * 37 % 100) / 100.0E0 AS cosine FROM {sightings(d)} AS s0)"
+      SELECT a.run_id, a.key AS key_a, b.key AS key_b, min(a.frame) AS seq FROM {verdicts(d)} AS a
+      JOIN {verdicts(d)} AS b ON a.frame = b.frame AND a.key < b.key WHERE NOT a.staff AND NOT b.staff GROUP BY a.run_id, a.key, b.key) AS p) AS r
+      WHERE rn <= {d.k.co_presence_cap}"""
 
 
 @sql
 def heal_candidates(d: Dialect) -> str:
     """Mints that a strong match on the same track, soon after and of another key, may fold in."""
-    return f"""SELECT m.track, m.event_id AS mint, x.event_id AS heal, m.key AS fold, x.key AS keep FROM {_acts(d)} AS m JOIN {_acts(d)} AS x
-      ON m.track = x.track AND x.us > m.us AND x.us <= m.us + {HORIZON_US} WHERE m.minted AND NOT x.minted AND x.cosine >= {K.heal_cosine} AND x.key <> m.key"""
+    return f"""SELECT m.track, m.event_id AS mint, x.event_id AS heal, m.key AS fold, x.key AS keep FROM {acts(d)} AS m JOIN {acts(d)} AS x
+      ON m.track = x.track AND x.us > m.us AND x.us <= m.us + {_us(d.k.heal_seconds)} WHERE m.minted AND NOT x.minted AND x.cosine >= {d.k.heal_cosine} AND x.key <> m.key"""
+
+
+def _locked(d: Dialect) -> str:
+    if d.spark:
+        last = f"""SELECT *, last_value(CASE WHEN NOT minted AND cosine >= {d.k.lock_cosine} THEN struct(us AS lock_us, key AS lock_key) END) IGNORE NULLS
+          OVER (PARTITION BY track ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM {acts(d)} AS a"""
+        return f"SELECT track, event_id, key, clash, CASE WHEN us - held.lock_us <= {_us(d.k.lock_seconds)} THEN held.lock_key END AS locked FROM ({last}) AS l WHERE minted"
+    return f"""SELECT m.track, m.event_id, m.key, m.clash, CASE WHEN m.us - x.us <= {_us(d.k.lock_seconds)} THEN x.key END AS locked
+      FROM (SELECT * FROM {acts(d)} AS a WHERE minted) AS m ASOF LEFT JOIN (SELECT * FROM {acts(d)} AS b WHERE NOT minted AND cosine >= {d.k.lock_cosine}) AS x
+      ON m.track = x.track AND m.us > x.us"""
 
 
 @sql
 def lock_asof(d: Dialect) -> str:
     """The key a track is locked to at each mint: its last strong match, while that is fresh."""
-    if d.spark:
-        last = f"""SELECT *, last_value(CASE WHEN NOT minted AND cosine >= {K.lock_cosine} THEN struct(us AS lock_us, key AS lock_key) END) IGNORE NULLS
-          OVER (PARTITION BY track ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM {_acts(d)} AS a"""
-        return f"SELECT track, event_id, CASE WHEN us - held.lock_us <= {HORIZON_US} THEN held.lock_key END AS locked FROM ({last}) AS l WHERE minted"
-    return f"""SELECT m.track, m.event_id, CASE WHEN m.us - x.us <= {HORIZON_US} THEN x.key END AS locked
-      FROM (SELECT * FROM {_acts(d)} AS a WHERE minted) AS m ASOF LEFT JOIN (SELECT * FROM {_acts(d)} AS b WHERE NOT minted AND cosine >= {K.lock_cosine}) AS x
-      ON m.track = x.track AND m.us > x.us"""
+    return f"SELECT track, event_id, locked FROM ({_locked(d)}) AS l0"
 
 
 @sql
 def lock_folds(d: Dialect) -> str:
     """Mints on a locked track that fold into the lock's key: not the same key, and no clash."""
-    return f"""SELECT track, event_id, locked FROM ({lock_asof(d)}) AS l WHERE locked IS NOT NULL AND locked <> event_id % 23 AND event_id % 9 <> 0"""
+    return f"""SELECT track, event_id, locked FROM ({_locked(d)}) AS l WHERE locked IS NOT NULL AND locked <> key AND NOT clash"""
 
 
 @sql
 def clothing_bands(d: Dialect) -> str:
     """Likeness under the lower bar refuses, under the upper one goes on and is counted, unknown is neither."""
-    return f"""SELECT frame, n, look, CASE WHEN look < {K.clothing_refuse} THEN 'refuse' WHEN look < {K.clothing_uncertain} THEN 'uncertain' WHEN look IS NOT NULL THEN 'fine' END AS band
-      FROM {_verdicts(d)} AS v"""
+    return f"""SELECT frame, n, look, CASE WHEN look < {d.k.clothing_refuse} THEN 'refuse' WHEN look < {d.k.clothing_uncertain} THEN 'uncertain' WHEN look IS NOT NULL THEN 'fine' END AS band
+      FROM {verdicts(d)} AS v"""
 
 
 @sql
 def recent_mints(d: Dialect) -> str:
-    """The last four mints of each track that are still fresh at its last sighting."""
+    """The last few mints of each track that are still fresh at its last sighting."""
     return f"""SELECT track, event_id, key FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY us DESC, event_id DESC) AS rn,
-      max(us) OVER (PARTITION BY track) AS now FROM {_acts(d)} AS a WHERE minted) AS r WHERE rn <= 4 AND now - us <= {HORIZON_US} * 12"""
+      max(us) OVER (PARTITION BY track) AS now FROM {acts(d)} AS a WHERE minted) AS r WHERE rn <= {d.k.recent_mints} AND now - us <= {_us(d.k.heal_seconds)}"""
+
+
+def _merged(d: Dialect) -> str:
+    """Merges that hold: two different known keys that needn't stay apart, and a singleton where only that may go."""
+    held = f"(SELECT key, count(*) AS n FROM {templates(d)} AS t2 GROUP BY key)"
+    return f"""SELECT m.keep, m.gone FROM {merges(d)} AS m JOIN {held} AS k ON k.key = m.keep JOIN {held} AS g ON g.key = m.gone
+      WHERE m.keep <> m.gone AND (NOT m.only_singleton OR g.n = 1) AND NOT EXISTS (
+        SELECT 1 FROM {cannot_link(d)} AS c WHERE c.a = least(m.keep, m.gone) AND c.b = greatest(m.keep, m.gone))"""
 
 
 @sql
 def merge_apply(d: Dialect) -> str:
-    """Templates after merges of key pairs (k + 1 into k for every tenth k); refused where a pair must stay apart."""
-    return f"""SELECT t.id, coalesce(m.keep, t.key) AS key FROM {templates(d)} AS t LEFT JOIN (
-      SELECT DISTINCT key - 1 AS keep, key AS gone FROM {templates(d)} AS t1 WHERE key % 10 = 1 AND NOT EXISTS (
-        SELECT 1 FROM {cannot_link(d)} AS c WHERE c.a = t1.key - 1 AND c.b = t1.key)) AS m ON m.gone = t.key"""
+    """Templates after the merges asked for; those refused change nothing."""
+    return f"SELECT t.id, coalesce(m.keep, t.key) AS key FROM {templates(d)} AS t LEFT JOIN ({_merged(d)}) AS m ON m.gone = t.key"
+
+
+@sql
+def merge_refused(d: Dialect) -> str:
+    """Merges refused, with the reason."""
+    held = f"(SELECT key, count(*) AS n FROM {templates(d)} AS t2 GROUP BY key)"
+    return f"""SELECT keep, gone, reason FROM (SELECT m.keep, m.gone, CASE WHEN m.keep = m.gone THEN 'same-key' WHEN k.key IS NULL OR g.key IS NULL THEN 'unknown-key'
+        WHEN c.a IS NOT NULL THEN 'cannot-link' WHEN m.only_singleton AND g.n <> 1 THEN 'not-singleton' END AS reason
+      FROM {merges(d)} AS m LEFT JOIN {held} AS k ON k.key = m.keep LEFT JOIN {held} AS g ON g.key = m.gone
+      LEFT JOIN {cannot_link(d)} AS c ON c.a = least(m.keep, m.gone) AND c.b = greatest(m.keep, m.gone)) AS r WHERE reason IS NOT NULL"""
 
 
 @sql
@@ -114,9 +123,9 @@ def merge_only_singletons(d: Dialect) -> str:
 
 @sql
 def cannot_link_norm(d: Dialect) -> str:
-    """Constraints after a merge of k + 1 into k: carried over, smaller key first, once each, none with itself."""
-    moved = lambda c: f"CASE WHEN {c} % 10 = 1 THEN {c} - 1 ELSE {c} END"
-    return f"""SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT {moved('a')} AS a, {moved('b')} AS b FROM {cannot_link(d)} AS c) AS m WHERE a <> b"""
+    """Constraints after the merges: carried over, smaller key first, once each, none with itself."""
+    return f"""SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT coalesce(x.keep, c.a) AS a, coalesce(y.keep, c.b) AS b FROM {cannot_link(d)} AS c
+      LEFT JOIN ({_merged(d)}) AS x ON x.gone = c.a LEFT JOIN ({_merged(d)}) AS y ON y.gone = c.b) AS m WHERE a <> b"""
 
 
 @sql
@@ -129,47 +138,48 @@ def split_record(d: Dialect) -> str:
 @sql
 def mark_staff(d: Dialect) -> str:
     """Templates of marked people move to the staff store, without clothes, under a new name where unnamed."""
-    return f"""SELECT id, key, CASE WHEN key % 8 = 0 THEN CASE WHEN key % 16 = 0 THEN concat('anon', {d.pad('key', 5)}) ELSE concat('staff', CAST(key AS {d.text})) END END AS staff_id,
-      CASE WHEN key % 8 = 0 THEN 'staff' ELSE 'guest' END AS store, appearance IS NOT NULL AND key % 8 <> 0 AS has_clothes FROM {templates(d)} AS t"""
+    return f"""SELECT t.id, t.key, CASE WHEN m.key IS NOT NULL THEN coalesce(m.name, concat('anon', {d.pad('t.key', 5)})) END AS staff_id,
+      CASE WHEN m.key IS NOT NULL THEN 'staff' ELSE 'guest' END AS store, t.appearance IS NOT NULL AND m.key IS NULL AS has_clothes
+      FROM {templates(d)} AS t LEFT JOIN {marks(d)} AS m ON m.key = t.key"""
 
 
 @sql
 def staff_enrol(d: Dialect) -> str:
     """A member's enrolment replaces all earlier templates of the member."""
-    return f"""SELECT key, id FROM (SELECT *, dense_rank() OVER (PARTITION BY key ORDER BY id % 3 DESC) AS age FROM {templates(d)} AS t) AS r WHERE age = 1"""
+    return f"""SELECT key, id FROM (SELECT *, dense_rank() OVER (PARTITION BY key ORDER BY enrolment DESC) AS age FROM {templates(d)} AS t) AS r WHERE age = 1"""
 
 
 @sql
 def staff_purge(d: Dialect) -> str:
     """Erasure by tombstone: how many templates each id lost; ids without any are answered too."""
-    return f"""SELECT s.key, count(t.id) AS removed FROM (SELECT DISTINCT key * 2 AS key FROM {templates(d)} AS t0 WHERE key % 5 = 0) AS s
+    return f"""SELECT s.key, count(t.id) AS removed FROM {tombstones(d)} AS s
       LEFT JOIN {templates(d)} AS t ON t.key = s.key GROUP BY s.key"""
 
 
 @sql
 def manual_add(d: Dialect) -> str:
-    """People added by hand: counted, named m#####, without a vector."""
-    return f"""SELECT concat('m', {d.pad('rn', 5)}) AS key, conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS rn
-      FROM {feedback(d)} AS f WHERE kind = 'missed') AS r"""
+    """People added by hand: counted per run, named m#####, without a vector."""
+    return f"""SELECT run_id, concat('m', {d.pad('row_number() OVER (PARTITION BY run_id ORDER BY conv_id, turn)', 5)}) AS key, conv_id, turn
+      FROM {feedback(d)} AS f WHERE kind = 'missed'"""
 
 
 @sql
 def mint_keys(d: Dialect) -> str:
-    """Keys per run in the order of mints, never reused."""
-    return f"""SELECT track, event_id, concat('p', {d.pad('row_number() OVER (PARTITION BY track ORDER BY us, event_id)', 5)}) AS key FROM {_acts(d)} AS a WHERE minted"""
+    """Keys per run in the order of mints: one sequence a gallery, never reused."""
+    return f"""SELECT run_id, track, event_id, concat('p', {d.pad('row_number() OVER (PARTITION BY run_id ORDER BY us, event_id)', 5)}) AS key FROM {acts(d)} AS a WHERE minted"""
 
 
 @sql
 def retired_ledger(d: Dialect) -> str:
-    """The last 500 folded keys."""
-    return f"""SELECT event_id, key FROM (SELECT *, row_number() OVER (ORDER BY us DESC, event_id DESC) AS rn FROM {_acts(d)} AS a WHERE NOT minted AND event_id % 4 = 0) AS r
-      WHERE rn <= 500"""
+    """The last folded keys of each run."""
+    return f"""SELECT run_id, event_id, key FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY us DESC, event_id DESC) AS rn
+      FROM {acts(d)} AS a WHERE NOT minted AND folded) AS r WHERE rn <= {d.k.retired_rows}"""
 
 
 @sql
 def retention_sweep(d: Dialect) -> str:
     """Galleries untouched for the retention are dropped; staff stores never."""
-    return f"""SELECT run_id, last_us, run_id % 4 <> 0 AND last_us <= (SELECT max(us) FROM {frames(d)} AS f0) - 86400000000 AS dropped
+    return f"""SELECT run_id, last_us, run_id % 4 <> 0 AND last_us <= (SELECT max(us) FROM {frames(d)} AS f0) - {_us(d.k.retention_seconds)} AS dropped
       FROM (SELECT run_id, max(us) AS last_us FROM {frames(d)} AS f GROUP BY run_id) AS r"""
 
 
@@ -178,14 +188,13 @@ def feedback_plan(d: Dialect) -> str:
     """Feedback items as actions; a pair needs two different keys."""
     pair = "a IS NOT NULL AND b IS NOT NULL AND a <> b"
     return f"""SELECT conv_id, turn, CASE WHEN kind = 'duplicate' AND {pair} THEN 'merge' WHEN kind = 'false-match' AND {pair} THEN 'split'
-      WHEN kind = 'mark-staff' AND a IS NOT NULL AND conv_id % 3 <> 0 THEN 'mark-staff' WHEN kind = 'missed' THEN 'count-missed' WHEN kind = 'note' THEN 'ack' ELSE 'invalid' END AS action,
+      WHEN kind = 'mark-staff' AND a IS NOT NULL AND has_store THEN 'mark-staff' WHEN kind = 'missed' THEN 'count-missed' WHEN kind = 'note' THEN 'ack' ELSE 'invalid' END AS action,
       CASE WHEN kind IN ('duplicate', 'false-match') AND {pair} THEN concat(CAST(a AS {d.text}), '|', CAST(b AS {d.text})) END AS keys FROM {feedback(d)} AS f"""
 
 
 @sql
 def feedback_apply(d: Dialect) -> str:
-    """Each item takes effect once: items of the ledger are only reported again."""
-    return f"""SELECT conv_id, turn, kind, l.conv_id IS NOT NULL AS applied_before FROM {feedback(d)} AS f LEFT JOIN (
-      SELECT DISTINCT conv_id, turn AS t FROM {feedback(d)} AS f0 WHERE conv_id % 2 = 0) AS l USING (conv_id) WHERE l.t = f.turn OR l.t IS NULL""".replace(
-        "l.conv_id IS NOT NULL", "l.t IS NOT NULL"
-    )
+    """Each item takes effect once: settled ones are only reported again, open ones are tried again, new ones are taken."""
+    return f"""SELECT f.conv_id, f.turn, f.kind, l.conv_id IS NOT NULL AS seen_before,
+      CASE WHEN l.settled THEN 'settled' WHEN l.conv_id IS NOT NULL THEN 'open' ELSE 'new' END AS state, coalesce(NOT l.settled, true) AS applies
+      FROM {feedback(d)} AS f LEFT JOIN {ledger(d)} AS l ON l.conv_id = f.conv_id AND l.turn = f.turn"""

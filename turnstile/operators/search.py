@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.settings import DEFAULTS as K
-from turnstile.sources.bindings import cannot_link, gallery, probes, templates
+from turnstile.sources.bindings import View, cannot_link, gallery, manual, probes, templates
 
 
 #: Blocks of answering rows: the parts of a search.
@@ -66,17 +65,17 @@ def runner_up(d: Dialect) -> str:
 
 @sql
 def match_verdict(d: Dialect) -> str:
-    """Staff (label 9, of all runs) first; else a match at the threshold or above, else a new person."""
-    return f"""SELECT probe, CASE WHEN staff >= {K.match_threshold} THEN 'staff' WHEN cosine >= {K.match_threshold} THEN 'match' ELSE 'mint' END AS verdict,
-      CASE WHEN staff >= {K.match_threshold} THEN NULL WHEN cosine >= {K.match_threshold} THEN key END AS key,
+    """Staff (of all runs) first; else a match at the threshold or above, else a new person."""
+    return f"""SELECT probe, CASE WHEN staff >= {d.k.match_threshold} THEN 'staff' WHEN cosine >= {d.k.match_threshold} THEN 'match' ELSE 'mint' END AS verdict,
+      CASE WHEN staff >= {d.k.match_threshold} THEN NULL WHEN cosine >= {d.k.match_threshold} THEN key END AS key,
       round(cosine, 6) AS cosine
       FROM (SELECT t.*, s.staff FROM ({_best(d)}) AS t LEFT JOIN (
-        SELECT probe, max(cosine) AS staff FROM ({_scored(d, 'AND g.label = 9')}) AS s1 GROUP BY probe) AS s ON s.probe = t.probe) AS v"""
+        SELECT probe, max(cosine) AS staff FROM ({_scored(d, 'AND g.staff')}) AS s1 GROUP BY probe) AS s ON s.probe = t.probe) AS v"""
 
 
 @sql
 def template_counts(d: Dialect) -> str:
-    return f"""SELECT key, count(*) AS n, max(quality) AS best, count(CASE WHEN quality < {K.canon_width} THEN 1 END) AS sub_canon
+    return f"""SELECT key, count(*) AS n, max(quality) AS best, count(CASE WHEN quality < {d.k.canon_width} THEN 1 END) AS sub_canon
       FROM {templates(d)} AS t GROUP BY key"""
 
 
@@ -89,9 +88,24 @@ def template_qualities(d: Dialect) -> str:
 
 @sql
 def distinct_count(d: Dialect) -> str:
-    """Distinct template keys plus people added by hand (each 97th id)."""
-    return f"""SELECT run_id, count(DISTINCT key) + count(CASE WHEN id % 97 = 0 THEN 1 END) AS people
-      FROM {templates(d)} AS t GROUP BY run_id"""
+    """Distinct template keys of each run plus the people added by hand."""
+    return f"""SELECT t.run_id, t.n + coalesce(m.n, 0) AS people FROM (SELECT run_id, count(DISTINCT key) AS n FROM {templates(d)} AS t0 GROUP BY run_id) AS t
+      LEFT JOIN (SELECT run_id, count(*) AS n FROM {manual(d)} AS m0 GROUP BY run_id) AS m ON m.run_id = t.run_id"""
+
+
+@sql
+def gallery_keys(d: Dialect) -> str:
+    """The keys of each run: those with templates and, under their own names, those added by hand."""
+    hand = f"concat('m', {d.pad('row_number() OVER (PARTITION BY run_id ORDER BY id)', 5)})"
+    return f"""SELECT DISTINCT run_id, CAST(key AS {d.text}) AS key, false AS by_hand FROM {templates(d)} AS t
+      UNION ALL SELECT run_id, {hand} AS key, true AS by_hand FROM {manual(d)} AS m"""
+
+
+@sql
+def vectors_for(d: Dialect) -> str:
+    """A key's rows, oldest first, with their vectors' lengths."""
+    return f"""SELECT key, id, {d.size('vec')} AS dim, round(sqrt({d.dot('vec', 'vec')}), 6) AS norm,
+      row_number() OVER (PARTITION BY key ORDER BY id) AS place FROM {templates(d)} AS t"""
 
 
 @sql
@@ -99,10 +113,11 @@ def appearances_for(d: Dialect) -> str:
     return f"SELECT key, id, round({d.total('appearance')}, 6) AS mass FROM {templates(d)} AS t WHERE appearance IS NOT NULL"
 
 
-def _pairs(d: Dialect, on: str, blocks: bool = False) -> str:
+def _pairs(d: Dialect, on: str, blocks: bool = False, among: View = templates) -> str:
+    rows = among(d)
     return f"""SELECT a.key AS key_a, b.key AS key_b, a.id AS id_a, b.id AS id_b, a.quality AS quality_a, b.quality AS quality_b,
       a.appearance AS look_a, b.appearance AS look_b, {d.dot('a.vec', 'b.vec')} AS cosine
-      FROM {_asking(d, templates(d)) if blocks else templates(d)} AS a JOIN {_answering(templates(d)) if blocks else templates(d)} AS b
+      FROM {_asking(d, rows) if blocks else rows} AS a JOIN {_answering(rows) if blocks else rows} AS b
       ON {'a.block = b.block AND ' if blocks else ''}{on}"""
 
 
@@ -117,7 +132,7 @@ def redundancy_max(d: Dialect) -> str:
 @sql
 def prune_to_cap(d: Dialect) -> str:
     return f"""SELECT key, id, quality FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY quality DESC NULLS LAST, id) AS place
-      FROM {templates(d)} AS t) AS r WHERE place <= {K.template_cap}"""
+      FROM {templates(d)} AS t) AS r WHERE place <= {d.k.template_cap}"""
 
 
 @sql
@@ -131,11 +146,19 @@ def prune_redundant_step(d: Dialect) -> str:
 
 @sql
 def enrol_clauses(d: Dialect) -> str:
-    """The clauses that let a matched probe be learned, one column each; a probe takes no room of its own key."""
-    return f"""SELECT probe, key, cosine >= {K.match_threshold} + {K.enrol_confidence} AS confident, cosine < {K.enrol_max_cosine} AS fresh,
-      coalesce(cosine - rival_cosine >= {K.enrol_margin}, true) AS clear_of_rival, n - CASE WHEN probe_key = key THEN 1 ELSE 0 END < {K.template_cap} AS has_room
-      FROM (SELECT t.*, c.n FROM ({_best(d)}) AS t JOIN (SELECT key, count(*) AS n FROM {gallery(d)} AS g GROUP BY key) AS c ON c.key = t.key) AS e
-      WHERE cosine >= {K.match_threshold}"""
+    """The clauses that let a matched probe be learned, one column each; a probe takes no room of its own key.
+
+    At its cap a key learns only what is further from it than its two closest rows are from each other.
+    """
+    k = d.k
+    siblings = _pairs(d, "a.key = b.key AND a.id < b.id", among=gallery)
+    return f"""SELECT *, {'true' if k.template_cap > 1 else 'false'} AND confident AND fresh AND clear_of_rival AND (has_room OR beats_redundancy) AS enrols FROM (
+      SELECT probe, t.key, cosine >= {k.match_threshold} + {k.enrol_confidence} AS confident, cosine < {k.enrol_max_cosine} AS fresh,
+        coalesce(cosine - rival_cosine >= {k.enrol_margin}, true) AS clear_of_rival, c.n - CASE WHEN probe_key = t.key THEN 1 ELSE 0 END < {k.template_cap} AS has_room,
+        coalesce(round(cosine, 9) < r.closest, false) AS beats_redundancy
+      FROM ({_best(d)}) AS t JOIN (SELECT key, count(*) AS n FROM {gallery(d)} AS g GROUP BY key) AS c ON c.key = t.key
+      LEFT JOIN (SELECT key_a, round(max(cosine), 9) AS closest FROM ({siblings}) AS p0 GROUP BY key_a) AS r ON r.key_a = t.key
+      WHERE cosine >= {k.match_threshold}) AS e"""
 
 
 def _with_looks(d: Dialect) -> str:
@@ -155,18 +178,18 @@ def best_intersection(d: Dialect) -> str:
 @sql
 def enrol_veto(d: Dialect) -> str:
     """Clashing clothes veto the write, never the verdict; equality is no clash, and neither is absence."""
-    return f"""SELECT probe, key, round(likeness, 6) AS likeness, coalesce(likeness < {K.clothing_clash}, false) AS vetoed
-      FROM ({_with_looks(d)}) AS t WHERE cosine >= {K.match_threshold}"""
+    return f"""SELECT probe, key, round(likeness, 6) AS likeness, coalesce(likeness < {d.k.clothing_clash}, false) AS vetoed
+      FROM ({_with_looks(d)}) AS t WHERE cosine >= {d.k.match_threshold}"""
 
 
 @sql
 def near_miss(d: Dialect) -> str:
     """Mints that nearly matched: by face, or by a weak face and like clothes; not where a pair must stay apart."""
-    eps = K.band_tolerance
+    eps = d.k.band_tolerance
     return f"""SELECT probe, key, basis, round(cosine, 6) AS cosine, round(likeness, 6) AS likeness FROM (
-      SELECT t.*, CASE WHEN cosine >= {K.near_miss_floor} - {eps} THEN 'face'
-        WHEN cosine >= {K.near_miss_weak} - {eps} AND likeness >= {K.near_miss_clothes} - {eps} THEN 'clothing' END AS basis
-      FROM ({_with_looks(d)}) AS t WHERE cosine < {K.match_threshold}) AS m
+      SELECT t.*, CASE WHEN cosine >= {d.k.near_miss_floor} - {eps} THEN 'face'
+        WHEN cosine >= {d.k.near_miss_weak} - {eps} AND likeness >= {d.k.near_miss_clothes} - {eps} THEN 'clothing' END AS basis
+      FROM ({_with_looks(d)}) AS t WHERE cosine < {d.k.match_threshold}) AS m
       WHERE basis IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {cannot_link(d)} AS c
         WHERE c.a = least(m.probe_key, m.key) AND c.b = greatest(m.probe_key, m.key))"""
 
@@ -175,23 +198,27 @@ def near_miss(d: Dialect) -> str:
 def overlap(d: Dialect) -> str:
     """After a write: a rival key that matches as well and isn't kept apart."""
     return f"""SELECT probe, key, rival, round(rival_cosine, 6) AS rival_cosine FROM ({_best(d)}) AS m
-      WHERE cosine >= {K.match_threshold} AND rival_cosine >= {K.match_threshold} AND NOT EXISTS (SELECT 1 FROM {cannot_link(d)} AS c
+      WHERE cosine >= {d.k.match_threshold} AND rival_cosine >= {d.k.match_threshold} AND NOT EXISTS (SELECT 1 FROM {cannot_link(d)} AS c
         WHERE c.a = least(m.key, m.rival) AND c.b = greatest(m.key, m.rival))"""
 
 
 @sql
 def review_queue(d: Dialect) -> str:
-    """Pairs of keys in the review band, measured clothes first, and how many were dropped."""
-    return f"""SELECT key_a, key_b, round(cosine, 6) AS cosine, round(likeness, 6) AS likeness, place, considered,
-      considered - least(considered, {K.review_limit}) AS dropped FROM (
-      SELECT *, row_number() OVER (ORDER BY CASE WHEN likeness IS NULL THEN 1 ELSE 0 END, round(likeness, 9) DESC, round(cosine, 9) DESC, key_a, key_b) AS place,
-        count(*) OVER () AS considered FROM (
-        SELECT key_a, key_b, max(cosine) AS cosine,
+    """Pairs of keys in the review band, measured clothes first, and how many were dropped.
+
+    Only the pairs at the top are put in order in one place; their number is counted apart.
+    """
+    k = d.k
+    order = "CASE WHEN likeness IS NULL THEN 1 ELSE 0 END, round(likeness, 9) DESC, round(cosine, 9) DESC, key_a, key_b"
+    return f"""WITH q AS (
+      SELECT q0.* FROM (SELECT key_a, key_b, max(cosine) AS cosine,
           max(CASE WHEN look_a IS NOT NULL AND look_b IS NOT NULL THEN {d.overlap('look_a', 'look_b')} END) AS likeness
         FROM ({_pairs(d, 'a.key < b.key', blocks=True)}) AS p0 GROUP BY key_a, key_b
-        HAVING max(cosine) >= {K.review_floor} AND max(cosine) < {K.match_threshold}) AS q
-      WHERE NOT EXISTS (SELECT 1 FROM {cannot_link(d)} AS c WHERE c.a = q.key_a AND c.b = q.key_b)) AS r
-      WHERE place <= {K.review_limit}"""
+        HAVING max(cosine) >= {k.review_floor} AND max(cosine) < {k.match_threshold}) AS q0
+      WHERE NOT EXISTS (SELECT 1 FROM {cannot_link(d)} AS c WHERE c.a = q0.key_a AND c.b = q0.key_b))
+      SELECT key_a, key_b, round(cosine, 6) AS cosine, round(likeness, 6) AS likeness, row_number() OVER (ORDER BY {order}) AS place, considered,
+        considered - least(considered, {k.review_limit}) AS dropped
+      FROM (SELECT * FROM q ORDER BY {order} LIMIT {k.review_limit}) AS r CROSS JOIN (SELECT count(*) AS considered FROM q) AS n"""
 
 
 @sql
@@ -210,4 +237,4 @@ def unit_vectors(d: Dialect) -> str:
 
 @sql
 def sub_canon_tag(d: Dialect) -> str:
-    return f"SELECT id, key, coalesce(quality < {K.canon_width}, false) AS sub_canon FROM {templates(d)} AS t"
+    return f"SELECT id, key, coalesce(quality < {d.k.canon_width}, false) AS sub_canon FROM {templates(d)} AS t"

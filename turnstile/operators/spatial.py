@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.settings import DEFAULTS as K
-from turnstile.sources.bindings import ZONES, boxes, edges, faces
+from turnstile.sources.bindings import boxes, corners, faces, lettered, loose_boxes, predictions, raw_grid, tracks
 
 
 def iou(a: str, b: str) -> str:
@@ -19,72 +18,78 @@ def iou(a: str, b: str) -> str:
 @sql
 def iou_pairs(d: Dialect) -> str:
     return f"""SELECT frame, n_a, n_b, round(iou, 6) AS iou FROM (SELECT a.frame, a.n AS n_a, b.n AS n_b, {iou('a', 'b')} AS iou
-      FROM {boxes(d)} AS a JOIN {boxes(d)} AS b ON a.frame = b.frame AND a.n < b.n) AS p WHERE iou >= {K.track_iou}"""
+      FROM {boxes(d)} AS a JOIN {boxes(d)} AS b ON a.frame = b.frame AND a.n < b.n) AS p WHERE iou >= {d.k.track_iou}"""
 
 
 @sql
 def score_filter(d: Dialect) -> str:
-    return f"SELECT frame, n, round(conf * (1 - tax), 6) AS score FROM {boxes(d)} AS b WHERE conf * (1 - tax) >= 0.92"
+    return f"SELECT frame, n, round(obj * cls, 6) AS score FROM {predictions(d)} AS b WHERE obj * cls >= {d.k.detect_score}"
 
 
 @sql
 def grid_decode(d: Dialect) -> str:
-    """Anchors of a 32 x 32 image at strides 8, 16 and 32: centre and size of each prediction."""
-    grid = []
-    for stride in (8, 16, 32):
-        per = 32 // stride
-        grid += [f"({stride}, {i % per}, {i // per}, {len(grid) + i})" for i in range(per * per)]
-    raw = "((n * 37 + {k} * 11) % 19 - 9) / 7.0E0"
-    px, py, pw, ph = (raw.format(k=k) for k in range(4))
-    return f"""SELECT CAST(n AS BIGINT) AS n, round(({px} + gx) * stride, 6) AS cx, round(({py} + gy) * stride, 6) AS cy,
-      round(exp({pw}) * stride, 6) AS w, round(exp({ph}) * stride, 6) AS h
-      FROM (VALUES {', '.join(grid)}) AS g(stride, gx, gy, n)"""
+    """Anchors of a grid: centre and size of each prediction."""
+    return f"""SELECT n, round((px + gx) * stride, 6) AS cx, round((py + gy) * stride, 6) AS cy,
+      round(exp(pw) * stride, 6) AS w, round(exp(ph) * stride, 6) AS h FROM {raw_grid(d)} AS g"""
 
 
 @sql
 def unletterbox(d: Dialect) -> str:
-    """Centre boxes to corners, scaled back, clamped to 1920 x 1080 and rounded to a tenth."""
-    return f"""SELECT frame, n, floor(greatest(0.0, least(1920.0, (x - w / 2) / 0.65)) * 10 + 0.5) / 10 AS x1, floor(greatest(0.0, least(1080.0, (y - h / 2) / 0.65)) * 10 + 0.5) / 10 AS y1,
-      floor(greatest(0.0, least(1920.0, (x + w / 2) / 0.65)) * 10 + 0.5) / 10 AS x2, floor(greatest(0.0, least(1080.0, (y + h / 2) / 0.65)) * 10 + 0.5) / 10 AS y2
-      FROM {boxes(d)} AS b"""
+    """Centre boxes to corners, scaled back, clamped to the frame and rounded to a tenth."""
+    tidy = lambda x, most: f"floor(greatest(0.0, least({most}, ({x}) / scale)) * 10 + 0.5) / 10"
+    return f"""SELECT frame, n, {tidy('cx - w / 2', 'fw')} AS x1, {tidy('cy - h / 2', 'fh')} AS y1,
+      {tidy('cx + w / 2', 'fw')} AS x2, {tidy('cy + h / 2', 'fh')} AS y2 FROM {lettered(d)} AS b"""
 
 
-def _inside(d: Dialect, points: str, key: str, modes: str) -> str:
-    """(key, label, zone ordinal) of points in zones: an odd number of edges to one side."""
-    crosses = "((yi > py) <> (yj > py) AND px < (xj - xi) * (py - yi) / (CASE WHEN yj = yi THEN 1.0 ELSE yj - yi END) + xi)"
-    return f"""SELECT {key}, label, zn FROM ({points}) AS pt JOIN {edges(d)} AS e ON mode IN ({modes})
-      GROUP BY {key}, label, zn HAVING sum(CASE WHEN {crosses} THEN 1 ELSE 0 END) % 2 = 1"""
+def _zones(d: Dialect) -> str:
+    """All zones as one array, each with the edges from every corner to the one before it: a dimension of a few rows."""
+    edge = d.struct(xi="x", yi="y", xj="px", yj="py")
+    before = lambda c: f"coalesce(lag({c}) OVER (PARTITION BY zn ORDER BY i), last_value({c}) OVER (PARTITION BY zn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+    edges = f"""SELECT label, zn, mode, {d.listed(edge)} AS edges FROM (
+      SELECT label, zn, mode, x, y, {before('x')} AS px, {before('y')} AS py FROM {corners(d)} AS c0) AS c1 GROUP BY label, zn, mode"""
+    return f"(SELECT {d.listed(d.struct(label='label', zn='zn', mode='mode', edges='edges'))} FROM ({edges}) AS e)"
+
+
+def _inside(d: Dialect, points: str, key: str, *modes: str) -> str:
+    """(key, hits) of points: the zones that hold them, an odd number of edges to one side.
+
+    The zones come along as one constant array, so a point is decided in its row.
+    """
+    crosses = "((e.yi > py) <> (e.yj > py) AND px < (e.xj - e.xi) * (py - e.yi) / (CASE WHEN e.yj = e.yi THEN 1.0 ELSE e.yj - e.yi END) + e.xi)"
+    odd = f"{d.size(d.keep('z.edges', 'e', crosses))} % 2 = 1"
+    named = ", ".join(f"'{m}'" for m in modes)
+    held = d.keep("zones", "z", f"z.mode IN ({named}) AND {odd}")
+    return f"SELECT {key}, {held} AS hits FROM (SELECT {key}, px, py, {_zones(d)} AS zones FROM ({points}) AS pt) AS pz"
 
 
 @sql
 def point_in_polygon(d: Dialect) -> str:
     points = f"SELECT frame, n, x AS px, y AS py FROM {boxes(d)} AS b"
-    return f"SELECT frame, n, label FROM ({_inside(d, points, 'frame, n', chr(39) + 'faces' + chr(39) + ', ' + chr(39) + 'detections' + chr(39))}) AS t"
+    return f"SELECT frame, n, hit.label AS label FROM (SELECT frame, n, hit FROM ({_inside(d, points, 'frame, n', 'faces', 'detections')}) AS t {d.rows('t.hits', 'u', 'hit')}) AS h"
 
 
 @sql
 def zone_filter(d: Dialect) -> str:
     """Faces are flagged with the first zone their centre is in; frames without dimensions are unmeasured."""
-    points = f"SELECT frame, n, x + w / 2 AS px, y + h / 2 AS py FROM {faces(d)} AS f0 WHERE frame % 11 <> 0"
-    return f"""SELECT f.frame, f.n, z.label AS zone, z.label IS NOT NULL AS excluded, f.frame % 11 = 0 AS unmeasured FROM {faces(d)} AS f
-      LEFT JOIN (SELECT frame, n, label FROM (SELECT *, row_number() OVER (PARTITION BY frame, n ORDER BY zn) AS rn
-        FROM ({_inside(d, points, 'frame, n', chr(39) + 'faces' + chr(39))}) AS i) AS r WHERE rn = 1) AS z ON z.frame = f.frame AND z.n = f.n"""
+    points = f"SELECT frame, n, fw, CASE WHEN fw IS NOT NULL THEN x + w / 2 END AS px, y + h / 2 AS py FROM {faces(d)} AS f0"
+    first = f"CASE WHEN fw IS NOT NULL AND {d.size('hits')} > 0 THEN {d.least_by('hits', 'zn')}.label END"
+    return f"""SELECT frame, n, zone, zone IS NOT NULL AS excluded, unmeasured FROM (
+      SELECT frame, n, {first} AS zone, fw IS NULL AS unmeasured FROM ({_inside(d, points, 'frame, n, fw', 'faces')}) AS i) AS f"""
 
 
 @sql
 def zone_detections(d: Dialect) -> str:
     """Person boxes that a detections zone drops before tracking, counted per frame."""
     points = f"SELECT frame, n, x + w / 2 AS px, y + h / 2 AS py FROM {boxes(d)} AS b0"
-    return f"""SELECT b.frame, count(*) AS persons, count(z.n) AS persons_zoned FROM {boxes(d)} AS b
-      LEFT JOIN (SELECT DISTINCT frame, n FROM ({_inside(d, points, 'frame, n', chr(39) + 'detections' + chr(39))}) AS i) AS z
-      ON z.frame = b.frame AND z.n = b.n GROUP BY b.frame"""
+    return f"""SELECT frame, count(*) AS persons, count(CASE WHEN {d.size('hits')} > 0 THEN 1 END) AS persons_zoned
+      FROM ({_inside(d, points, 'frame, n', 'detections')}) AS i GROUP BY frame"""
 
 
 @sql
 def zone_mark(d: Dialect) -> str:
-    """Display only: boxes in any zone, except those already excluded (low scores)."""
-    points = f"SELECT frame, n, x + w / 2 AS px, y + h / 2 AS py FROM {boxes(d)} AS b0 WHERE conf >= 0.93"
-    return f"SELECT DISTINCT frame, n, true AS in_zone FROM ({_inside(d, points, 'frame, n', chr(39) + 'faces' + chr(39) + ', ' + chr(39) + 'detections' + chr(39))}) AS i"
+    """Display only: boxes in any zone, except those already excluded."""
+    points = f"SELECT frame, n, x + w / 2 AS px, y + h / 2 AS py FROM {boxes(d)} AS b0 WHERE NOT excluded"
+    return f"SELECT frame, n, true AS in_zone FROM ({_inside(d, points, 'frame, n', 'faces', 'detections')}) AS i WHERE {d.size('hits')} > 0"
 
 
 @sql
@@ -99,10 +104,10 @@ def face_track_assoc(d: Dialect) -> str:
 @sql
 def clamp_box(d: Dialect) -> str:
     """Corners rounded half to even and clamped to the frame; null where nothing is left."""
-    x1, y1 = f"greatest(0.0, {d.half_even('x - 50')})", f"greatest(0.0, {d.half_even('y - 20')})"
-    x2, y2 = f"least(100.0, {d.half_even('x - 50 + w')})", f"least(80.0, {d.half_even('y - 20 + h')})"
+    x1, y1 = f"greatest(0.0, {d.half_even('x')})", f"greatest(0.0, {d.half_even('y')})"
+    x2, y2 = f"least(fw, {d.half_even('x + w')})", f"least(fh, {d.half_even('y + h')})"
     return f"""SELECT frame, n, CASE WHEN ok THEN x1 END AS x1, CASE WHEN ok THEN y1 END AS y1, CASE WHEN ok THEN x2 END AS x2, CASE WHEN ok THEN y2 END AS y2
-      FROM (SELECT *, x2 > x1 AND y2 > y1 AS ok FROM (SELECT frame, n, {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2 FROM {boxes(d)} AS b) AS c) AS k"""
+      FROM (SELECT *, x2 > x1 AND y2 > y1 AS ok FROM (SELECT frame, n, {x1} AS x1, {y1} AS y1, {x2} AS x2, {y2} AS y2 FROM {loose_boxes(d)} AS b) AS c) AS k"""
 
 
 @sql
@@ -124,16 +129,16 @@ def torso_rect(d: Dialect) -> str:
 
 @sql
 def face_crop_rect(d: Dialect) -> str:
-    """The face with 35 % around it, clamped; null under two pixels."""
+    """The face with 35 % around it, clamped; null under two pixels; unclamped to the right and below where the frame's size is unknown."""
     return f"""SELECT frame, n, CASE WHEN ok THEN x1 END AS x1, CASE WHEN ok THEN y1 END AS y1, CASE WHEN ok THEN x2 END AS x2, CASE WHEN ok THEN y2 END AS y2
       FROM (SELECT *, x2 - x1 >= 2 AND y2 - y1 >= 2 AS ok FROM (SELECT frame, n, greatest(0.0, {d.half_even('x - 0.35 * w')}) AS x1,
-        greatest(0.0, {d.half_even('y - 0.35 * h')}) AS y1, least(160.0, {d.half_even('x + 1.35 * w')}) AS x2, least(120.0, {d.half_even('y + 1.35 * h')}) AS y2
+        greatest(0.0, {d.half_even('y - 0.35 * h')}) AS y1, least(fw, {d.half_even('x + 1.35 * w')}) AS x2, least(fh, {d.half_even('y + 1.35 * h')}) AS y2
         FROM {faces(d)} AS f) AS c) AS k"""
 
 
-def _greedy(d: Dialect, order: str, limit: str) -> str:
+def _greedy(d: Dialect, order: str, limit: str, rows_of: str | None = None) -> str:
     """Boxes in order, each kept if it overlaps no kept one by more than ``limit``."""
-    rows = f"SELECT frame, x, y, w, h, n, row_number() OVER (PARTITION BY frame ORDER BY {order}) AS k FROM {boxes(d)} AS b"
+    rows = f"SELECT frame, x, y, w, h, n, row_number() OVER (PARTITION BY frame ORDER BY {order}) AS k FROM {rows_of or boxes(d)} AS b"
     if d.spark:
         hit = f"k -> {iou('k', 'c')} <= {limit}"
         return f"""SELECT frame, kept.n AS n FROM (SELECT frame, explode(aggregate(array_sort(collect_list(struct(k, x, y, w, h, n))),
@@ -151,17 +156,31 @@ def _greedy(d: Dialect, order: str, limit: str) -> str:
 @sql
 def nms(d: Dialect) -> str:
     """Greedy by score; a box falls if it overlaps a kept one by more than the threshold."""
-    return _greedy(d, "conf DESC, n", str(K.nms_iou))
+    return _greedy(d, "conf DESC, n", str(d.k.nms_iou))
 
 
 @sql
 def dedupe_boxes(d: Dialect) -> str:
     """Greedy in the order of the input."""
-    return _greedy(d, "n", str(K.dedupe_iou))
+    return _greedy(d, "n", str(d.k.dedupe_iou))
+
+
+@sql
+def face_dedupe(d: Dialect) -> str:
+    """Faces of a frame found twice: greedy by confidence, best first."""
+    return _greedy(d, "conf DESC, n", str(d.k.dedupe_iou), faces(d))
+
+
+@sql
+def search_region(d: Dialect) -> str:
+    """Where faces are looked for: a frame's raw boxes first, then its tracks', without those that overlap an earlier one."""
+    both = f"""(SELECT frame, x, y, w, h, n, 0 AS tracked FROM {boxes(d)} AS b1
+      UNION ALL SELECT frame, x, y, w, h, n + 100000 AS n, 1 AS tracked FROM {tracks(d)} AS t1)"""
+    found = _greedy(d, "tracked, n", str(d.k.dedupe_iou), both)
+    return f"SELECT frame, CASE WHEN n > 100000 THEN n - 100000 ELSE n END AS n, n > 100000 AS tracked FROM ({found}) AS g"
 
 
 @sql
 def zone_corners(d: Dialect) -> str:
     """Zones need three corners at least."""
-    values = ", ".join(f"('{label}', {len(points)})" for label, _, _, points in ZONES)
-    return f"SELECT label, CAST(corners AS BIGINT) AS corners, corners >= 3 AS valid FROM (VALUES {values}) AS z(label, corners)"
+    return f"SELECT label, count(*) AS corners, count(*) >= 3 AS valid FROM {corners(d)} AS c GROUP BY label"

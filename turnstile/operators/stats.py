@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.settings import DEFAULTS as K
-from turnstile.sources.bindings import boxes, frames, sightings, templates
+from turnstile.sources.bindings import boxes, frames, sightings, steps, templates
 
-#: The tables' clock is coarse: seconds of the reference are stretched, so that both outcomes occur.
-COOLDOWN_US, STALL_US, FLUSH_US = 6 * 3600 * 1_000_000, 600 * 1_000_000, 3600 * 1_000_000
+
+def _us(seconds: float) -> int:
+    return int(seconds * 1_000_000)
 
 
 @sql
@@ -27,13 +27,13 @@ def stage_snapshot(d: Dialect) -> str:
 
 
 def _flushed(d: Dialect) -> str:
-    return f"SELECT *, {d.whole(f'us / {FLUSH_US}.0E0')} AS flush FROM {sightings(d)} AS s"
+    return f"SELECT *, {d.whole(f'us / {_us(d.k.flush_seconds)}.0E0')} AS flush FROM {sightings(d)} AS s"
 
 
 @sql
 def sample_cap(d: Dialect) -> str:
     """A flush keeps its first rows and counts the rest."""
-    cap = 3
+    cap = d.k.sample_cap
     return f"""SELECT run_id, flush, count(CASE WHEN rn <= {cap} THEN 1 END) AS kept, count(CASE WHEN rn > {cap} THEN 1 END) AS dropped FROM (
       SELECT *, row_number() OVER (PARTITION BY run_id, flush ORDER BY us, event_id) AS rn FROM ({_flushed(d)}) AS f) AS r GROUP BY run_id, flush"""
 
@@ -47,27 +47,27 @@ def flush_window(d: Dialect) -> str:
 def sample_chunks(d: Dialect) -> str:
     """Rows in chunks of at most 200, in order of arrival."""
     return f"""SELECT run_id, chunk, count(*) AS n, min(event_id) AS first_id FROM (SELECT run_id, event_id,
-      {d.whole(f'(row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) - 1) / {K.sample_cap}.0E0')} AS chunk FROM {sightings(d)} AS s) AS c GROUP BY run_id, chunk"""
+      {d.whole(f'(row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) - 1) / {d.k.chunk_rows}.0E0')} AS chunk FROM {sightings(d)} AS s) AS c GROUP BY run_id, chunk"""
 
 
 @sql
 def template_stats(d: Dialect) -> str:
     """The last template count of each key: how many keys have one, and the largest."""
     return f"""SELECT run_id, count(CASE WHEN n <= 1 THEN 1 END) AS singles, max(n) AS most, count(*) AS people FROM (
-      SELECT run_id, key, n FROM (SELECT run_id, key, id % 9 AS n, row_number() OVER (PARTITION BY run_id, key ORDER BY id DESC) AS rn
+      SELECT run_id, key, n FROM (SELECT run_id, key, reported AS n, row_number() OVER (PARTITION BY run_id, key ORDER BY id DESC) AS rn
         FROM {templates(d)} AS t) AS r WHERE rn = 1) AS k GROUP BY run_id"""
 
 
 @sql
 def frame_ms(d: Dialect) -> str:
     """Milliseconds a stage took within a frame, summed over its calls."""
-    return f"SELECT event_id % 500 AS frame, stage, round(sum(value), 4) AS ms FROM {sightings(d)} AS s GROUP BY event_id % 500, stage"
+    return f"SELECT frame, stage, round(sum(value), 4) AS ms FROM {sightings(d)} AS s GROUP BY frame, stage"
 
 
 @sql
 def staff_crossings(d: Dialect) -> str:
     """Every sighting counts as a face frame; a crossing needs a gap since the last sighting."""
-    return f"""SELECT track, count(*) AS face_frames, count(CASE WHEN gap IS NULL OR gap >= {COOLDOWN_US} THEN 1 END) AS crossings FROM (
+    return f"""SELECT track, count(*) AS face_frames, count(CASE WHEN gap IS NULL OR gap >= {_us(d.k.cooldown_seconds)} THEN 1 END) AS crossings FROM (
       SELECT track, us - lag(us) OVER (PARTITION BY track ORDER BY us, event_id) AS gap FROM {sightings(d)} AS s) AS g GROUP BY track"""
 
 
@@ -75,7 +75,7 @@ def staff_crossings(d: Dialect) -> str:
 def stall_detect(d: Dialect) -> str:
     """Silences longer than the stall limit, with the sighting before each."""
     return f"""SELECT run_id, event_id, gap FROM (SELECT run_id, event_id, lead(us) OVER (PARTITION BY run_id ORDER BY us, event_id) - us AS gap
-      FROM {sightings(d)} AS s) AS g WHERE gap > {STALL_US}"""
+      FROM {sightings(d)} AS s) AS g WHERE gap > {_us(d.k.stall_seconds)}"""
 
 
 @sql
@@ -94,7 +94,7 @@ def latest_frame(d: Dialect) -> str:
 def run_liveness(d: Dialect) -> str:
     """Newest event of each run; runs silent for the reap limit are reaped, the newest live one answers."""
     return f"""SELECT run_id, last_us, alive, alive AND row_number() OVER (ORDER BY CASE WHEN alive THEN 0 ELSE 1 END, last_us DESC, run_id) = 1 AS answers FROM (
-      SELECT run_id, max(us) AS last_us, max(us) >= (SELECT max(us) FROM {sightings(d)} AS s0) - {int(K.reap_seconds)} * 1000000 AS alive
+      SELECT run_id, max(us) AS last_us, max(us) >= (SELECT max(us) FROM {sightings(d)} AS s0) - {_us(d.k.reap_seconds)} AS alive
       FROM {sightings(d)} AS s GROUP BY run_id) AS r"""
 
 
@@ -108,8 +108,8 @@ def ledger_upsert(d: Dialect) -> str:
 @sql
 def ledger_window(d: Dialect) -> str:
     """A window of the ledger, at most 500 rows, and whether it was truncated."""
-    return f"""SELECT run_id, seq, us, total > {K.window_rows} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn,
-      count(*) OVER (PARTITION BY run_id) AS total FROM {frames(d)} AS f WHERE seq BETWEEN 100 AND 60000) AS r WHERE rn <= {K.window_rows}"""
+    return f"""SELECT run_id, seq, us, total > {d.k.window_rows} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn,
+      count(*) OVER (PARTITION BY run_id) AS total FROM {frames(d)} AS f WHERE seq BETWEEN 100 AND 60000) AS r WHERE rn <= {d.k.window_rows}"""
 
 
 @sql
@@ -123,15 +123,15 @@ def frame_outcome(d: Dialect) -> str:
 @sql
 def tap_rows(d: Dialect) -> str:
     """Payload rows are rounded and capped; what was left out is stated."""
-    cap = 4
-    return f"""SELECT frame, n, floor(x * 10 + 0.5) / 10 AS x, floor(conf * 1000 + 0.5) / 1000 AS conf, total - {cap} AS left_out
+    cap = d.k.tap_rows
+    return f"""SELECT frame, n, floor(x * 10 + 0.5) / 10 AS x, floor(conf * 1000 + 0.5) / 1000 AS conf, greatest(total - {cap}, 0) AS left_out
       FROM (SELECT *, count(*) OVER (PARTITION BY frame) AS total FROM {boxes(d)} AS b) AS t WHERE n <= {cap}"""
 
 
 @sql
 def deadline_budget(d: Dialect) -> str:
     """The calls of a round that start within its budget."""
-    return f"""SELECT run_id, flush, count(CASE WHEN coalesce(spent, 0) < 200 THEN 1 END) AS made, count(CASE WHEN spent >= 200 THEN 1 END) AS abandoned FROM (
+    return f"""SELECT run_id, flush, count(CASE WHEN coalesce(spent, 0) < {d.k.round_budget_ms} THEN 1 END) AS made, count(CASE WHEN spent >= {d.k.round_budget_ms} THEN 1 END) AS abandoned FROM (
       SELECT run_id, flush, sum(value) OVER (PARTITION BY run_id, flush ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent
       FROM ({_flushed(d)}) AS f) AS b GROUP BY run_id, flush"""
 
@@ -157,15 +157,15 @@ def run_results(d: Dialect) -> str:
 
 @sql
 def enrol_tally(d: Dialect) -> str:
-    return f"""SELECT run_id, count(*) AS frames, sum(CAST(faces AS BIGINT)) AS faces_seen, count(CASE WHEN faces = 1 THEN 1 END) AS samples, count(CASE WHEN faces <> 1 THEN 1 END) AS skipped
-      FROM (SELECT frame % 8 AS run_id, frame, count(*) AS faces FROM {boxes(d)} AS b GROUP BY frame % 8, frame) AS f GROUP BY run_id""".replace("sum(CAST(faces AS BIGINT))", "CAST(sum(faces) AS BIGINT)")
+    return f"""SELECT run_id, count(*) AS frames, CAST(sum(faces) AS BIGINT) AS faces_seen, count(CASE WHEN faces = 1 THEN 1 END) AS samples, count(CASE WHEN faces <> 1 THEN 1 END) AS skipped
+      FROM (SELECT frame % 8 AS run_id, frame, count(*) AS faces FROM {boxes(d)} AS b GROUP BY frame % 8, frame) AS f GROUP BY run_id"""
 
 
 @sql
 def enrol_shortlist(d: Dialect) -> str:
     """Frames with exactly one face; each run's five best by score."""
     return f"""SELECT run_id, frame, conf FROM (SELECT frame % 8 AS run_id, frame, conf, row_number() OVER (PARTITION BY frame % 8 ORDER BY conf DESC, frame) AS place
-      FROM (SELECT frame, max(conf) AS conf FROM {boxes(d)} AS b GROUP BY frame HAVING count(*) = 1) AS f) AS r WHERE place <= {K.enrol_best}"""
+      FROM (SELECT frame, max(conf) AS conf FROM {boxes(d)} AS b GROUP BY frame HAVING count(*) = 1) AS f) AS r WHERE place <= {d.k.enrol_best}"""
 
 
 @sql
@@ -182,12 +182,12 @@ def card_hysteresis(d: Dialect) -> str:
     if d.spark:
         return f"""SELECT track, c.event_id AS event_id, c.value AS value FROM (SELECT track, explode(aggregate(array_sort(collect_list(struct(k, event_id, value))),
             CAST(array() AS ARRAY<STRUCT<k: INT, event_id: BIGINT, value: DOUBLE>>),
-            (a, x) -> CASE WHEN size(a) = 0 OR x.value >= {K.card_gain} * element_at(a, -1).value THEN concat(a, array(x)) ELSE a END)) AS c
+            (a, x) -> CASE WHEN size(a) = 0 OR x.value >= {d.k.card_gain} * element_at(a, -1).value THEN concat(a, array(x)) ELSE a END)) AS c
           FROM ({rows}) AS r GROUP BY track) AS e"""
     return f"""WITH RECURSIVE r AS ({rows}), step AS (
       SELECT track, k, event_id, value, value AS held, true AS taken FROM r WHERE k = 1
       UNION ALL
-      SELECT r.track, r.k, r.event_id, r.value, CASE WHEN r.value >= {K.card_gain} * s.held THEN r.value ELSE s.held END, r.value >= {K.card_gain} * s.held
+      SELECT r.track, r.k, r.event_id, r.value, CASE WHEN r.value >= {d.k.card_gain} * s.held THEN r.value ELSE s.held END, r.value >= {d.k.card_gain} * s.held
       FROM step AS s JOIN r ON r.track = s.track AND r.k = s.k + 1)
       SELECT track, event_id, value FROM step WHERE taken"""
 
@@ -195,8 +195,7 @@ def card_hysteresis(d: Dialect) -> str:
 @sql
 def unique_clamped(d: Dialect) -> str:
     """The running count of people: mints and manual adds up, merges and folds down, never below 0."""
-    rows = f"""SELECT run_id, CASE stage WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 WHEN 'click' THEN -1 ELSE CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END END AS delta,
-      row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS k FROM {sightings(d)} AS s"""
+    rows = f"SELECT run_id, delta, row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS k FROM {steps(d)} AS s"
     if d.spark:
         return f"""SELECT run_id, aggregate(array_sort(collect_list(struct(k, delta))), 0, (a, x) -> greatest(0, a + x.delta)) AS people,
           count(*) AS steps FROM ({rows}) AS r GROUP BY run_id"""
@@ -210,18 +209,18 @@ def unique_clamped(d: Dialect) -> str:
 @sql
 def tap_duty(d: Dialect) -> str:
     """A tap waits for its interval and three times its last cost; a forced one only for the latter."""
-    rows = f"""SELECT track, event_id, {d.whole('us / 1000000.0E0')} AS t, CAST(floor(value) AS BIGINT) * 60 AS cost, event_id % 7 = 0 AS forced,
+    rows = f"""SELECT track, event_id, {d.whole('us / 1000000.0E0')} AS t, CAST(floor(value) AS BIGINT) * 60 AS cost, forced,
       row_number() OVER (PARTITION BY track ORDER BY us, event_id) AS k FROM {sightings(d)} AS s"""
     if d.spark:
-        ready = "x.t >= a.free AND (x.forced OR x.t >= a.last + 7200)"
+        ready = f"x.t >= a.free AND (x.forced OR x.t >= a.last + {int(d.k.tap_interval_seconds)})"
         return f"""SELECT track, taps FROM (SELECT track, aggregate(array_sort(collect_list(struct(k, t, cost, forced))),
             CAST(struct(-1L AS last, -1L AS free, 0L AS taps) AS STRUCT<last: BIGINT, free: BIGINT, taps: BIGINT>),
-            (a, x) -> CASE WHEN {ready} THEN named_struct('last', x.t, 'free', x.t + 3 * x.cost, 'taps', a.taps + 1L) ELSE a END).taps AS taps
+            (a, x) -> CASE WHEN {ready} THEN named_struct('last', x.t, 'free', x.t + CAST({d.k.tap_duty} * x.cost AS BIGINT), 'taps', a.taps + 1L) ELSE a END).taps AS taps
           FROM ({rows}) AS r GROUP BY track) AS e"""
-    ready = "r.t >= s.free AND (r.forced OR r.t >= s.last + 7200)"
+    ready = f"r.t >= s.free AND (r.forced OR r.t >= s.last + {int(d.k.tap_interval_seconds)})"
     return f"""WITH RECURSIVE r AS ({rows}), step AS (
       SELECT track, 0::BIGINT AS k, -1::BIGINT AS last, -1::BIGINT AS free, 0::BIGINT AS taps FROM r WHERE k = 1
       UNION ALL
-      SELECT r.track, r.k, CASE WHEN {ready} THEN r.t ELSE s.last END, CASE WHEN {ready} THEN r.t + 3 * r.cost ELSE s.free END,
+      SELECT r.track, r.k, CASE WHEN {ready} THEN r.t ELSE s.last END, CASE WHEN {ready} THEN r.t + CAST({d.k.tap_duty} * r.cost AS BIGINT) ELSE s.free END,
         CASE WHEN {ready} THEN s.taps + 1 ELSE s.taps END FROM step AS s JOIN r ON r.track = s.track AND r.k = s.k + 1)
       SELECT track, max(taps) AS taps FROM step GROUP BY track"""

@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.sources.bindings import sightings
+from turnstile.sources.bindings import labels_given, payloads, sightings, sources
 
 
 @sql
 def redact_url(d: Dialect) -> str:
     """Credentials in URLs are scrubbed; a source label keeps scheme, host and path."""
-    raw = "concat(CASE WHEN page_id % 3 = 0 THEN 'rtsp://user:secret@cam' ELSE 'https://cam' END, CAST(page_id % 9 AS " + d.text + "), '/live?token=', CAST(page_id AS " + d.text + "))"
     scrubbed = d.replace("u", "://[^/@]+@", "://***@")
     label = d.replace(d.replace("u", "://[^/@]+@", "://"), "[?#].*$", "")
-    return f"SELECT page_id, {scrubbed} AS redacted, {label} AS label FROM (SELECT page_id, {raw} AS u FROM {d.t('pages')}) AS p"
+    return f"SELECT page_id, {scrubbed} AS redacted, {label} AS label FROM {sources(d)} AS p"
 
 
 @sql
 def slug(d: Dialect) -> str:
     """Runs of other characters become one dash; nothing left becomes 'eval'."""
     dashed = d.replace("lower(p_name)", "[^a-z0-9]+", "-")
-    return f"SELECT p_partkey, coalesce(nullif({d.replace(dashed, '^-|-$', '')}, ''), 'eval') AS slug FROM {d.t('part')}"
+    return f"SELECT p_partkey, coalesce(nullif({d.replace(dashed, '^-|-$', '')}, ''), 'eval') AS slug FROM {labels_given(d)} AS p"
 
 
 @sql
 def id_valid(d: Dialect) -> str:
-    return f"SELECT p_partkey, {d.matches('p_name', '^[A-Za-z0-9._-]{1,64}$')} AS by_name, {d.matches(d.replace('p_name', '[^A-Za-z0-9]', '.'), '^[A-Za-z0-9._-]{1,64}$')} AS by_label FROM {d.t('part')}"
+    return f"SELECT p_partkey, {d.matches('p_name', '^[A-Za-z0-9._-]{1,64}$')} AS by_name, {d.matches(d.replace('p_name', '[^A-Za-z0-9]', '.'), '^[A-Za-z0-9._-]{1,64}$')} AS by_label FROM {labels_given(d)} AS p"
 
 
 @sql
@@ -36,6 +35,6 @@ def payload_fields(d: Dialect) -> str:
 
 @sql
 def payload_budget(d: Dialect) -> str:
-    """Payloads over the byte budget shed their longest part first."""
+    """What payloads over the byte budget shed: rows first, details where they are over half of it."""
     size = "octet_length(CAST(text AS BINARY))" if d.spark else "octet_length(encode(text))"
-    return f"SELECT conv_id, turn, {size} AS bytes, CASE WHEN {size} > 200 THEN 'rows' WHEN {size} > 100 THEN 'detail' END AS shed FROM {d.t('conversations')}"
+    return f"SELECT conv_id, turn, {size} AS bytes, CASE WHEN {size} > {d.k.payload_bytes} THEN 'rows' WHEN {size} * 2 > {d.k.payload_bytes} THEN 'detail' END AS shed FROM {payloads(d)} AS p"

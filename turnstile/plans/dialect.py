@@ -7,23 +7,44 @@ Catalyst like any other query.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
+from turnstile.settings import DEFAULTS, FIXTURE, Settings
 
 
 @dataclass(frozen=True)
 class Dialect:
-    """Spellings of one engine; ``root`` is the folder of Spark's tables."""
+    """Spellings of one engine, and what an operator is applied to.
+
+    ``k`` holds the knobs. ``views`` names relations that stand for domain views
+    (:mod:`turnstile.sources.bindings`); those not named are bound to the given
+    tables, which Spark finds in the folder ``root``.
+    """
 
     spark: bool
     root: str = ""
+    k: Settings = DEFAULTS
+    views: Mapping[str, str] = field(default_factory=dict)
 
     def t(self, table: str) -> str:
+        if self.views and not self.root and self.spark:
+            raise ValueError(f"a view that reads {table} in the given tables was not named; named are {sorted(self.views)}")
         return f"parquet.`{self.root}/{table}.parquet`" if self.spark else table
 
     # Arrays.
     def array(self, *items: str) -> str:
         return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
 
+    def struct(self, **fields: str) -> str:
+        if self.spark:
+            return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in fields.items()) + ")"
+        return "struct_pack(" + ", ".join(f"{n} := {x}" for n, x in fields.items()) + ")"
+
+    def listed(self, x: str) -> str:
+        """An aggregate: the values in any order."""
+        return f"collect_list({x})" if self.spark else f"list({x})"
+
     def dot(self, a: str, b: str) -> str:
         if self.spark:
             return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, v) -> s + v)"
@@ -41,6 +62,12 @@ class Dialect:
     def keep(self, array: str, var: str, body: str) -> str:
         return f"filter({array}, {var} -> {body})" if self.spark else f"list_filter({array}, lambda {var}: {body})"
 
+    def least_by(self, array: str, field: str) -> str:
+        """The item of an array of structs with the smallest ``field``."""
+        if self.spark:
+            return f"element_at(array_sort({array}, (a, b) -> CASE WHEN a.{field} < b.{field} THEN -1 WHEN a.{field} > b.{field} THEN 1 ELSE 0 END), 1)"
+        return f"list_reduce({array}, lambda a, b: CASE WHEN b.{field} < a.{field} THEN b ELSE a END)"
+
     def total(self, array: str) -> str:
         return f"aggregate({array}, 0D, (s, v) -> s + v)" if self.spark else f"list_sum({array})"
 
@@ -97,4 +124,4 @@ class Dialect:
         return "STRING" if self.spark else "VARCHAR"
 
 
-DUCKDB = Dialect(spark=False)
+DUCKDB = Dialect(spark=False, k=FIXTURE)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.plans.dialect import DUCKDB, Dialect
+from turnstile.settings import DEFAULTS, FIXTURE, Settings
 
 Text = Callable[[Dialect], str]
 _TEXTS: dict[str, Text] = {}
@@ -20,16 +22,43 @@ def sql(text: Text) -> Text:
     return text
 
 
+def _longs(df: DataFrame) -> DataFrame:
+    """Ordinals are INT in Spark and BIGINT elsewhere."""
+    return df.select(*[df[c].cast("long").alias(c) if t == "int" else df[c] for c, t in df.dtypes])
+
+
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The operator over the given tables, as the driver calls it."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = spark.sql(_TEXTS[name](Dialect(spark=True, root=sf_dir)))
-        # Ordinals are INT here and BIGINT there.
-        return df.select(*[df[c].cast("long").alias(c) if t == "int" else df[c] for c, t in df.dtypes])
+        return _longs(spark.sql(_TEXTS[name](Dialect(spark=True, root=sf_dir, k=FIXTURE))))
 
     run.__name__, run.__doc__ = name, _TEXTS[name].__doc__
     return run
 
 
+def apply(name: str, settings: Settings = DEFAULTS, **views: DataFrame) -> DataFrame:
+    """The operator over a user's own tables, which stand for the domain views it reads.
+
+    ``apply("nms", Settings(nms_iou=0.5), boxes=df)``. The columns of each view are
+    those of its binding in :mod:`turnstile.sources.bindings` that the operator
+    names. A view that an operator derives from another (zones' ``edges``, say) may
+    be given itself. The tables are lazily read; nothing is collected.
+    """
+    if not views:
+        raise ValueError(f"{name} needs the tables it is to be applied to")
+    spark = next(iter(views.values())).sparkSession
+    named = {}
+    for view, df in views.items():
+        named[view] = f"turnstile_{view}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(named[view])
+    try:  # the plan is analysed here and keeps what it needs
+        return _longs(spark.sql(_TEXTS[name](Dialect(spark=True, k=settings, views=named))))
+    finally:
+        for view in named.values():
+            spark.catalog.dropTempView(view)
+
+
 def names() -> list[str]:
     return list(_TEXTS)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,8 @@ class Settings:
     clothing_uncertain: float = 0.55
     same_frame_clothing: float = 0.35
     co_presence_cap: int = 4000
+    recent_mints: int = 4
+    retired_rows: int = 500
     cooldown_seconds: float = 5.0
     card_gain: float = 1.25
     enrol_best: int = 5
@@ -53,12 +55,19 @@ class Settings:
     stall_seconds: float = 45.0
     reap_seconds: float = 600.0
     tap_rows: int = 40
+    chunk_rows: int = 200
     window_rows: int = 500
+    tap_interval_seconds: float = 2.0
+    tap_duty: float = 3.0
+    payload_bytes: int = 32_768
+    round_budget_ms: float = 3000.0
+    retention_seconds: float = 86_400.0
     # Evaluation.
     envelope: float = 0.05
     low_gate_rate: float = 0.10
     error_tolerance: float = 0.005
     yield_drop: float = 0.5
+    face_floor: float = 56.0
 
     @classmethod
     def from_env(cls, prefix: str = "TURNSTILE_") -> Settings:
@@ -75,3 +84,25 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+#: For the given tables: their clock is coarse and their boxes are synthetic, so knobs
+#: are moved to where both outcomes of every test occur.
+FIXTURE = replace(
+    DEFAULTS,
+    detect_score=0.92,
+    ied_floor=10.0,
+    frontality_floor=0.93,
+    sharpness_floor=20.0,
+    heal_seconds=7200.0,
+    lock_seconds=7200.0,
+    cooldown_seconds=6 * 3600.0,
+    stall_seconds=600.0,
+    flush_seconds=3600.0,
+    sample_cap=3,
+    tap_rows=4,
+    tap_interval_seconds=7200.0,
+    payload_bytes=200,
+    round_budget_ms=200.0,
+    low_gate_rate=0.4,
+    face_floor=22.4,
+)

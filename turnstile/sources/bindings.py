@@ -1,64 +1,207 @@
-"""Domain views over the given tables, as subqueries in either dialect.
+"""Domain views: what operators read, as subqueries in either dialect.
 
-The tables have no identities; the mappings give every operator both outcomes of
-each of its tests. They say nothing about accuracy.
+Each view is bound to the given tables unless the dialect names a relation for it
+(:func:`turnstile.plans.registry.apply`), which then has the columns listed here
+that the operator uses. The given tables have no identities; their mappings give
+every operator both outcomes of each of its tests. They say nothing about accuracy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from turnstile.plans.dialect import Dialect
 
+View = Callable[[Dialect], str]
+
+
+def view(binding: View) -> View:
+    """A domain view: the named relation where there is one, else the binding."""
+
+    @wraps(binding)
+    def chosen(d: Dialect) -> str:
+        own = d.views.get(binding.__name__)
+        return f"(SELECT * FROM {own})" if own else binding(d)
+
+    return chosen
+
+
+# ---------------------------------------------------------------- identities
+
 
+@view
 def templates(d: Dialect) -> str:
-    """Templates: id, key, label, unit vector, quality, clothing descriptor (null for every seventh)."""
+    """Templates: id, key, run, label, unit vector, quality, clothing descriptor (null for every seventh), and what was asked of them."""
     v = d.each("embedding", "x", "CAST(x AS DOUBLE)")
     chroma = d.each(d.head("embedding", 48), "x", "CAST(abs(x) AS DOUBLE)")
     return f"""(SELECT vec_id AS id, label, CAST(label * 6 + vec_id % 6 AS BIGINT) AS key, {v} AS vec,
       CAST(40 + vec_id % 80 AS DOUBLE) AS quality, vec_id % 4 AS run_id,
-      CASE WHEN vec_id % 7 <> 0 THEN {d.each(chroma, 'x', f"x / {d.total(chroma)}")} END AS appearance
+      CASE WHEN vec_id % 7 <> 0 THEN {d.each(chroma, 'x', f"x / {d.total(chroma)}")} END AS appearance,
+      label = 9 AS staff, vec_id % 3 = 0 AS forget, vec_id % 3 AS enrolment, vec_id % 9 AS reported
       FROM {d.t('embeddings')} WHERE embedding IS NOT NULL)"""
 
 
+@view
 def probes(d: Dialect) -> str:
     """The query set: every tenth template asks, of whatever run."""
     return f"(SELECT * FROM {templates(d)} AS t0 WHERE id % 10 = 0)"
 
 
+@view
 def gallery(d: Dialect) -> str:
     """Every template answers; a probe leaves itself out where it meets the gallery."""
     return f"(SELECT * FROM {templates(d)} AS t0)"
 
 
+@view
 def cannot_link(d: Dialect) -> str:
-    """Pairs of keys that must stay apart, smaller first."""
+    """Pairs of keys that must stay apart, smaller first: a, b."""
     return f"""(SELECT DISTINCT least(key, key + 7) AS a, greatest(key, key + 7) AS b
       FROM {templates(d)} AS t0 WHERE key % 3 = 0)"""
 
 
+@view
+def manual(d: Dialect) -> str:
+    """People added by hand, without a vector: run_id, id."""
+    return f"(SELECT run_id, id FROM {templates(d)} AS t0 WHERE id % 97 = 0)"
+
+
+@view
+def merges(d: Dialect) -> str:
+    """Asked merges: keep, gone, only_singleton. Some name a key that isn't there, or a key twice."""
+    return f"""(SELECT DISTINCT CASE WHEN key % 50 = 41 THEN key WHEN key % 30 = 21 THEN -key ELSE key - 1 END AS keep, key AS gone, key % 20 = 11 AS only_singleton
+      FROM {templates(d)} AS t1 WHERE key % 10 = 1)"""
+
+
+@view
+def marks(d: Dialect) -> str:
+    """Keys marked as staff, some with a name: key, name."""
+    return f"""(SELECT DISTINCT key, CASE WHEN key % 16 <> 0 THEN concat('staff', CAST(key AS {d.text})) END AS name
+      FROM {templates(d)} AS t0 WHERE key % 8 = 0)"""
+
+
+@view
+def tombstones(d: Dialect) -> str:
+    """Erased members: key."""
+    return f"(SELECT DISTINCT key * 2 AS key FROM {templates(d)} AS t0 WHERE key % 5 = 0)"
+
+
+# ---------------------------------------------------------------- sightings
+
+
+@view
 def sightings(d: Dialect) -> str:
-    """Events as sightings: track, stage, metric value, microseconds."""
+    """Events as sightings: track, stage, metric value, microseconds, run, properties; and a frame and whether a tap was forced."""
     return f"""(SELECT event_id, user_id AS track, event_type AS stage, value, {d.us('ts')} AS us,
-      user_id % 8 AS run_id, props FROM {d.t('events')})"""
+      user_id % 8 AS run_id, props, event_id % 500 AS frame, event_id % 7 = 0 AS forced FROM {d.t('events')})"""
+
+
+@view
+def acts(d: Dialect) -> str:
+    """Sightings as acts on tracks: mints and matches with a cosine; whether their clothes clash with the lock's, whether they were folded."""
+    return f"""(SELECT run_id, track, event_id, us, event_id % 23 AS key, stage = 'view' OR event_id % 5 = 0 AS minted,
+      (event_id * 37 % 100) / 100.0E0 AS cosine, event_id % 9 = 0 AS clash, event_id % 4 = 0 AS folded FROM {sightings(d)} AS s0)"""
 
 
+@view
+def steps(d: Dialect) -> str:
+    """Changes of the count of people in order: run_id, us, event_id, delta."""
+    return f"""(SELECT run_id, us, event_id, CASE stage WHEN 'purchase' THEN 1 WHEN 'signup' THEN 1 WHEN 'click' THEN -1
+      ELSE CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END END AS delta FROM {sightings(d)} AS s)"""
+
+
+@view
+def feedback(d: Dialect) -> str:
+    """Feedback items from conversations: run, a kind by turn, keys for pairs, whether a staff store exists, whether it was applied before."""
+    return f"""(SELECT conv_id, turn, conv_id % 4 AS run_id, CASE turn % 6 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'false-match' WHEN 2 THEN 'mark-staff'
+      WHEN 3 THEN 'missed' WHEN 4 THEN 'note' ELSE 'unknown' END AS kind,
+      CASE WHEN conv_id % 5 <> 0 THEN conv_id % 40 END AS a, CASE WHEN conv_id % 7 <> 0 THEN conv_id % 30 + 1 END AS b,
+      conv_id % 3 <> 0 AS has_store, text FROM {d.t('conversations')})"""
+
+
+@view
+def ledger(d: Dialect) -> str:
+    """Feedback items that a run has seen: conv_id, turn, settled."""
+    return f"(SELECT DISTINCT conv_id, turn, turn % 4 <> 1 AS settled FROM {feedback(d)} AS f0 WHERE conv_id % 2 = 0)"
+
+
+# ---------------------------------------------------------------- boxes
+
+
+@view
 def boxes(d: Dialect) -> str:
-    """Boxes of frames; the ordinal ranks a frame's rows over all columns."""
+    """Boxes of frames: frame, ordinal (a frame's rows ranked over all columns), x, y, w, h, conf, and whether a box is excluded already."""
     raw = f"""SELECT l_orderkey AS frame, CAST(l_partkey % 120 AS DOUBLE) AS x, CAST(l_suppkey % 60 AS DOUBLE) AS y,
       40 + l_quantity * 2 AS w, 60 + l_extendedprice / 1000 AS h, 1 - l_discount AS conf,
       l_linenumber, l_partkey, l_suppkey, l_tax FROM {d.t('lineitem')}"""
-    return f"""(SELECT frame, x, y, w, h, conf, l_tax AS tax,
+    return f"""(SELECT frame, x, y, w, h, conf, l_tax AS tax, conf < 0.93 AS excluded,
       row_number() OVER (PARTITION BY frame ORDER BY l_linenumber, l_partkey, l_suppkey, x, y, w, h, conf, l_tax) AS n
       FROM ({raw}) AS b0)"""
 
 
+@view
+def tracks(d: Dialect) -> str:
+    """Boxes of the tracks that a frame reports: frame, n, x, y, w, h."""
+    return f"(SELECT frame, n, x + n * 3 AS x, y + n * 5 AS y, w, h FROM {boxes(d)} AS b WHERE n % 3 <> 0)"
+
+
+@view
+def predictions(d: Dialect) -> str:
+    """Predictions with their two scores: frame, n, obj, cls."""
+    return f"(SELECT frame, n, conf AS obj, 1 - tax AS cls FROM {boxes(d)} AS b)"
+
+
+@view
+def raw_grid(d: Dialect) -> str:
+    """Raw outputs of a 32 x 32 image at strides 8, 16 and 32: n, stride, gx, gy, px, py, pw, ph."""
+    grid = []
+    for stride in (8, 16, 32):
+        per = 32 // stride
+        grid += [f"({stride}, {i % per}, {i // per}, {len(grid) + i})" for i in range(per * per)]
+    raw = "((n * 37 + {k} * 11) % 19 - 9) / 7.0E0"
+    px, py, pw, ph = (raw.format(k=k) for k in range(4))
+    return f"""(SELECT CAST(n AS BIGINT) AS n, stride, gx, gy, {px} AS px, {py} AS py, {pw} AS pw, {ph} AS ph
+      FROM (VALUES {', '.join(grid)}) AS g(stride, gx, gy, n))"""
+
+
+@view
+def lettered(d: Dialect) -> str:
+    """Boxes by their centres in a letterboxed image: frame, n, cx, cy, w, h, scale, and the frame's size fw, fh."""
+    return f"(SELECT frame, n, x AS cx, y AS cy, w, h, 0.65E0 AS scale, 1920.0E0 AS fw, 1080.0E0 AS fh FROM {boxes(d)} AS b)"
+
+
+@view
+def loose_boxes(d: Dialect) -> str:
+    """Boxes that may reach over the frame's edges: frame, n, x, y, w, h, fw, fh."""
+    return f"(SELECT frame, n, x - 50 AS x, y - 20 AS y, w, h, 100.0E0 AS fw, 80.0E0 AS fh FROM {boxes(d)} AS b)"
+
+
+@view
 def faces(d: Dialect) -> str:
-    """Faces: the upper part of every other box, with the signals of the gate."""
-    return f"""(SELECT frame, n, x + w * 0.3 AS x, y + h * 0.1 AS y, w * 0.4 AS w, h * 0.3 AS h, conf,
+    """Faces: the upper part of every other box, with the signals of the gate, the width in pixels and the frame's size (null: unknown)."""
+    return f"""(SELECT frame, n, x + w * 0.3 AS x, y + h * 0.1 AS y, w * 0.4 AS w, h * 0.3 AS h, conf, w * 0.8 AS width_px,
       CASE WHEN n % 5 <> 0 THEN w * 0.2 END AS ied, CASE WHEN n % 4 <> 0 THEN conf END AS frontality,
-      CASE WHEN n % 3 <> 0 THEN tax * 1000 END AS sharpness
+      CASE WHEN n % 3 <> 0 THEN tax * 1000 END AS sharpness,
+      CASE WHEN frame % 11 <> 0 THEN 160.0E0 END AS fw, CASE WHEN frame % 11 <> 0 THEN 120.0E0 END AS fh
       FROM {boxes(d)} AS b1 WHERE n % 2 = 1)"""
 
 
+@view
+def landmarks(d: Dialect) -> str:
+    """Eyes and nose of faces: frame, n, lx, ly, rx, ry (eyes), nx (nose)."""
+    return f"""(SELECT frame, n, x + w / 3 AS lx, y + h / 3 AS ly, x + w * 2 / 3 AS rx, y + h / 3 + h / 20 AS ry, x + w * (0.45 + conf % 0.1) AS nx
+      FROM {faces(d)} AS f)"""
+
+
+@view
+def verdicts(d: Dialect) -> str:
+    """Verdicts of frames: run, a key, a cosine, a body and its clothes for every box."""
+    return f"""(SELECT frame % 8 AS run_id, frame, n, CAST(floor(x) AS BIGINT) % 4 AS key, conf AS cosine, n AS body,
+      CASE WHEN n % 6 <> 5 THEN tax * 10 END AS look, n % 5 = 0 AS minted, frame % 13 = 0 AS staff FROM {boxes(d)} AS b0)"""
+
+
+@view
 def frames(d: Dialect) -> str:
     return f"""(SELECT o_orderkey AS seq, o_custkey % 8 AS run_id, {d.us('o_orderdate')} AS us, o_totalprice AS cost,
       o_orderstatus AS status, o_orderpriority AS priority FROM {d.t('orders')})"""
@@ -72,42 +215,86 @@ ZONES: tuple[tuple[str, int, str, tuple[tuple[float, float], ...]], ...] = (
 )
 
 
-def edges(d: Dialect) -> str:
-    """The edges of the zones: from each corner to the one before it."""
-    rows = []
-    for label, n, mode, points in ZONES:
-        for i, (x, y) in enumerate(points):
-            px, py = points[i - 1]
-            rows.append(f"('{label}', {n}, '{mode}', {x:.1f}, {y:.1f}, {px:.1f}, {py:.1f})")
-    values = ", ".join(rows)
-    return f"""(SELECT label, CAST(zn AS BIGINT) AS zn, mode, CAST(xi AS DOUBLE) AS xi, CAST(yi AS DOUBLE) AS yi,
-      CAST(xj AS DOUBLE) AS xj, CAST(yj AS DOUBLE) AS yj FROM (VALUES {values}) AS z(label, zn, mode, xi, yi, xj, yj))"""
+@view
+def corners(d: Dialect) -> str:
+    """Zones by their corners in order: label, zn (the zones' order), mode, i (from 1), x, y."""
+    rows = [f"('{label}', {n}, '{mode}', {i}, {x:.1f}, {y:.1f})" for label, n, mode, points in ZONES for i, (x, y) in enumerate(points, 1)]
+    return f"""(SELECT label, CAST(zn AS BIGINT) AS zn, mode, CAST(i AS BIGINT) AS i, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y
+      FROM (VALUES {', '.join(rows)}) AS z(label, zn, mode, i, x, y))"""
+
+
+# ---------------------------------------------------------------- evaluation
 
 
+@view
 def runs(d: Dialect) -> str:
-    """Runs before and after a change: one per customer group and half of the orders."""
-    return f"""(SELECT o_custkey % 25 AS clip, o_orderkey % 2 AS half, count(*) AS frames,
-      CAST(floor(sum(o_totalprice) / 50000) AS BIGINT) AS person_boxes,
+    """Runs before and after a change: one per customer group and half of the orders.
+
+    clip, half, frames (of the stage; result_frames count where it has none), person_boxes, faces, passing, embed_row (whether the embedder
+    reported), embeds (null: not told), matches, uniq, end_reason, face_width, ingest_fps, count_fps.
+    """
+    return f"""(SELECT o_custkey % 25 AS clip, o_orderkey % 2 AS half, CASE WHEN o_custkey % 25 = 17 THEN CAST(0 AS BIGINT) ELSE count(*) END AS frames,
+      count(*) AS result_frames, CAST(floor(sum(o_totalprice) / 50000) AS BIGINT) AS person_boxes,
       CAST(floor(sum(o_totalprice) / 90000) AS BIGINT) AS faces,
       CASE WHEN o_custkey % 25 = 7 THEN CAST(0 AS BIGINT) ELSE CAST(floor(sum(o_totalprice) / 200000) AS BIGINT) END AS passing,
+      o_custkey % 25 <> 19 AS embed_row,
       CASE WHEN o_custkey % 25 = 3 THEN NULL ELSE CAST(floor(sum(o_totalprice) / 200000) AS BIGINT) END AS embeds,
       CAST(floor(sum(o_totalprice) / 210000) AS BIGINT) AS matches,
       CASE WHEN o_custkey % 25 = 11 THEN CAST(0 AS BIGINT) ELSE count(DISTINCT o_custkey) END AS uniq,
       CASE WHEN o_custkey % 25 = 5 THEN 'stalled' ELSE 'source-ended' END AS end_reason,
-      round(min(o_totalprice) / 100, 1) AS face_width
-      FROM {d.t('orders')} GROUP BY o_custkey % 25, o_orderkey % 2)"""
+      round(min(o_totalprice) / 100, 1) AS face_width, CASE WHEN o_custkey % 25 <> 9 THEN round(count(*) / 8.0E0, 3) END AS ingest_fps, round(count(*) / 16.0E0, 3) AS count_fps
+      FROM {d.t('orders')} WHERE o_orderkey % 2 = 0 OR NOT o_custkey % 25 IN (20, 21) GROUP BY o_custkey % 25, o_orderkey % 2)"""
 
 
+@view
 def clips(d: Dialect) -> str:
-    """Clips with their true counts and tags."""
-    return f"""(SELECT c_custkey % 25 AS clip, count(*) AS actual,
+    """Clips with their path, true counts and tags."""
+    return f"""(SELECT c_custkey % 25 AS clip, concat('/clips/', CAST(c_custkey % 25 AS {d.text}), '.mp4') AS path, count(*) AS actual,
       {d.array("CASE WHEN c_custkey % 25 % 2 = 0 THEN 'surge' ELSE 'staff' END", "CASE WHEN c_custkey % 25 % 3 = 0 THEN 'veil' ELSE 'evening-light' END")} AS tags
       FROM {d.t('customer')} GROUP BY c_custkey % 25)"""
 
 
-def feedback(d: Dialect) -> str:
-    """Feedback items from conversations: a kind by turn, and keys for pairs."""
-    return f"""(SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'false-match' WHEN 2 THEN 'mark-staff'
-      WHEN 3 THEN 'missed' WHEN 4 THEN 'note' ELSE 'unknown' END AS kind,
-      CASE WHEN conv_id % 5 <> 0 THEN conv_id % 40 END AS a, CASE WHEN conv_id % 7 <> 0 THEN conv_id % 30 + 1 END AS b, text
-      FROM {d.t('conversations')})"""
+@view
+def prior(d: Dialect) -> str:
+    """Scores of an earlier run: clip, path, actual, tags, envelope (null: unknown). Some clips changed since."""
+    return f"""(SELECT clip, CASE WHEN clip % 7 = 2 THEN '/elsewhere.mp4' ELSE path END AS path, actual + CASE WHEN clip % 6 = 0 THEN 1 ELSE 0 END AS actual,
+      CASE WHEN clip % 9 = 4 THEN {d.array("'veil'")} ELSE tags END AS tags,
+      CASE WHEN clip % 4 = 0 THEN NULL WHEN clip % 4 = 1 THEN 0.1E0 ELSE 0.05E0 END AS envelope
+      FROM {clips(d)} AS c0 WHERE clip % 5 <> 0)"""
+
+
+@view
+def waivers(d: Dialect) -> str:
+    """Clips that may be missing after the change: clip."""
+    return "(SELECT CAST(clip AS BIGINT) AS clip FROM (VALUES (20)) AS w(clip))"
+
+
+@view
+def manifest(d: Dialect) -> str:
+    """A manifest as read, faults and all: clip, label, path, actual, tags."""
+    bad = d.array("'surge'", "'fog'")
+    return f"""(SELECT clip, CAST(clip % 24 AS {d.text}) AS label, CASE WHEN clip % 6 = 1 THEN 'clips/a.mp4' ELSE path END AS path,
+      actual - CASE WHEN clip % 7 = 3 THEN actual ELSE 0 END AS actual, CASE WHEN clip % 5 = 3 THEN {bad} ELSE {d.array("'surge'", "'veil'")} END AS tags
+      FROM {clips(d)} AS c)"""
+
+
+# ---------------------------------------------------------------- texts
+
+
+@view
+def sources(d: Dialect) -> str:
+    """Addresses of cameras: page_id, u."""
+    return f"""(SELECT page_id, concat(CASE WHEN page_id % 3 = 0 THEN 'rtsp://user:secret@cam' ELSE 'https://cam' END,
+      CAST(page_id % 9 AS {d.text}), '/live?token=', CAST(page_id AS {d.text})) AS u FROM {d.t('pages')})"""
+
+
+@view
+def labels_given(d: Dialect) -> str:
+    """Names that people give: p_partkey, p_name."""
+    return f"(SELECT p_partkey, p_name FROM {d.t('part')})"
+
+
+@view
+def payloads(d: Dialect) -> str:
+    """Payloads to be sent: conv_id, turn, text."""
+    return f"(SELECT conv_id, turn, text FROM {d.t('conversations')})"
