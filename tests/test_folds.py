@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstile.functions.columns import iou, jpeg_dims, unit
-from turnstile.operators.folds import Gallery, Story, Template, Tracker, associate, prune_redundant, track_run
+from turnstile.operators.folds import CX, CY, HITS, VX, VY, Gallery, Story, Template, Tracker, associate, iou_matrix, prune_redundant, track_boxes
 from turnstile.settings import Settings
 from turnstile.sources.sinks import read_snapshot, upsert, write_snapshot
 from turnstile.streaming.tracks import track_stream
@@ -83,12 +83,59 @@ def test_tracker_confirms_and_keeps_identity():
     assert t.step([(50.0, 0, 40, 80)]) == [(0, 1)]
     for _ in range(3):
         t.step([])
-    assert not t.tracks
+    assert not len(t.state)
+
+
+def box(x, y, w=20.0, h=40.0):
+    return (float(x), float(y), float(w), float(h))
+
+
+def test_a_straight_pass_keeps_one_id():
+    t = Tracker(Settings(track_max_misses=5))
+    assert {n for i in range(12) for _, n in t.step([box(10 + 8 * i, 50)])} == {1}
+    assert t.state[0, HITS] == 12
+
+
+def test_a_ghost_of_one_frame_is_not_reported():
+    t = Tracker(Settings(track_max_misses=5))
+    for i in range(6):
+        t.step([box(10 + i * 8, 50)])
+    assert t.step([box(58, 50), box(400, 200)]) == [(0, 1)]
+    assert t.step([box(66, 50)]) == [(0, 1)]
+
+
+def test_a_growing_box_stands_still():
+    """Around one centre a box that grows has no motion: corners would see some."""
+    t = Tracker()
+    for i in range(6):
+        t.step([box(100 - 2 * i, 100 - 4 * i, 20 + 4 * i, 40 + 8 * i)])
+    assert np.allclose(t.state[0, [VX, VY]], 0) and np.allclose(t.state[0, [CX, CY]], [110, 120])
+    # Coasting stays there, so a box of another size at the same centre is the same track.
+    t.step([])
+    assert t.step([box(80, 80, 60, 80)]) == [(0, 1)]
+
+
+def test_two_crossing_boxes_hold_their_ids():
+    t = Tracker()
+    for i in range(20):
+        found = t.step([box(10 + 10 * i, 50), box(200 - 10 * i, 75)])
+        if i > 2:
+            assert found == [(0, 1), (1, 2)]
+
+
+def test_velocity_takes_the_mean_motion_over_a_gap():
+    t = Tracker()
+    t.step([box(0, 0)])
+    t.step([])
+    t.step([box(4, 0)])
+    assert t.state[0, VX] == pytest.approx(0.5 * 4 / 2)
 
 
 def test_greedy_association_is_one_to_one():
-    boxes = [(0, 0, 10, 10), (1, 0, 10, 10)]
-    assert sorted(associate(boxes, boxes[::-1], 0.2)) == [(0, 1), (1, 0)]
+    boxes = np.array([(0, 0, 10, 10), (1, 0, 10, 10)], float)
+    assert sorted(associate(iou_matrix(boxes, boxes[::-1]), 0.2)) == [(0, 1), (1, 0)]
+    assert iou_matrix(np.array([[0.0, 0, 0, 0]]), boxes).max() == 0
+    assert iou_matrix(boxes[:1], np.array([[5.0, 0, 10, 10]]))[0, 0] == pytest.approx(50 / 150)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -104,7 +151,7 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     got = sorted(map(tuple, spark.table("tracks").collect()))
-    want = sorted(tuple(map(int, x)) for _, g in rows.groupby("run_id") for x in track_run(g).itertuples(index=False))
+    want = sorted(map(tuple, track_boxes(spark.createDataFrame(rows)).collect()))
     assert got == want and got
 
 

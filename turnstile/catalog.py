@@ -16,8 +16,8 @@ FLAGSHIP = "cosine_top1"
 
 
 def queries() -> dict[str, Query]:
-    return {name: registry.spark_query(name) for name in registry.names()} | folds.FOLDS | reports.REPORTS
+    return {name: registry.spark_query(name) for name in registry.names()} | folds.FOLDS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: registry.duckdb_sql(name) for name in registry.names()}
+    return {name: registry.duckdb_sql(name) for name in registry.names()} | folds.oracle_sql()

@@ -87,7 +87,8 @@ def eval_checks(d: Dialect) -> str:
     return f"SELECT clip, half, place, name, severity, passed FROM ({_checks(d)}) AS k"
 
 
-def _verdicts(d: Dialect) -> str:
+def scores(d: Dialect) -> str:
+    """Every run's verdict: errored where it can't be scored, else pass or fail by its checks."""
     return f"""SELECT s.clip, s.half, s.actual, s.uniq, s.err, s.rate, s.tags, s.frames, s.faces, s.passing, s.scorable, s.end_reason,
       CASE WHEN NOT s.scorable THEN 'errored' WHEN coalesce(k.failed, 0) = 0 THEN 'pass' ELSE 'fail' END AS verdict, coalesce(k.criticals, 0) AS criticals
       FROM ({_scored(d)}) AS s LEFT JOIN (SELECT clip, half, count(CASE WHEN severity <> 'warn' THEN 1 END) AS failed,
@@ -97,7 +98,7 @@ def _verdicts(d: Dialect) -> str:
 
 @sql
 def eval_score(d: Dialect) -> str:
-    return f"SELECT clip, half, verdict, criticals, uniq, actual, round(err, 6) AS err, round(rate, 6) AS rate FROM ({_verdicts(d)}) AS v"
+    return f"SELECT clip, half, verdict, criticals, uniq, actual, round(err, 6) AS err, round(rate, 6) AS rate FROM ({scores(d)}) AS v"
 
 
 @sql
@@ -107,19 +108,19 @@ def eval_aggregate(d: Dialect) -> str:
       count(CASE WHEN verdict = 'pass' THEN 1 END) AS passed, count(CASE WHEN verdict = 'fail' THEN 1 END) AS failed,
       count(CASE WHEN abs(err) <= {d.k.envelope} + 1.0E-12 THEN 1 END) AS within_envelope, round(avg(err), 6) AS mean_signed, round(avg(abs(err)), 6) AS mean_abs,
       max(CASE WHEN worst = 1 AND scorable THEN clip END) AS worst_clip, count(CASE WHEN criticals > 0 AND scorable THEN 1 END) AS critical_clips FROM (
-      SELECT *, row_number() OVER (PARTITION BY half ORDER BY CASE WHEN scorable THEN 0 ELSE 1 END, abs(err) DESC, clip) AS worst FROM ({_verdicts(d)}) AS v) AS w GROUP BY half"""
+      SELECT *, row_number() OVER (PARTITION BY half ORDER BY CASE WHEN scorable THEN 0 ELSE 1 END, abs(err) DESC, clip) AS worst FROM ({scores(d)}) AS v) AS w GROUP BY half"""
 
 
 @sql
 def eval_by_tag(d: Dialect) -> str:
     return f"""SELECT half, tag, count(*) AS clips, round(avg(abs(err)), 6) AS mean_abs FROM (
-      SELECT half, err, tag FROM (SELECT * FROM ({_verdicts(d)}) AS v WHERE scorable) AS v1 {d.rows('v1.tags', 'x', 'tag')}) AS t GROUP BY half, tag"""
+      SELECT half, err, tag FROM (SELECT * FROM ({scores(d)}) AS v WHERE scorable) AS v1 {d.rows('v1.tags', 'x', 'tag')}) AS t GROUP BY half, tag"""
 
 
 def _deltas(d: Dialect) -> str:
     """Clips of the set before (half 0) with the set after, and what fell."""
     fall = lambda b, a: f"CASE WHEN {b} > 0 AND {a} IS NOT NULL THEN ({b} - {a}) / {b} END"
-    part = lambda h: f"(SELECT *, CASE WHEN frames > 0 THEN passing * 1.0E0 / frames END AS gate_yield, CASE WHEN frames > 0 THEN faces * 1.0E0 / frames END AS face_yield FROM ({_verdicts(d)}) AS v WHERE half = {h})"
+    part = lambda h: f"(SELECT *, CASE WHEN frames > 0 THEN passing * 1.0E0 / frames END AS gate_yield, CASE WHEN frames > 0 THEN faces * 1.0E0 / frames END AS face_yield FROM ({scores(d)}) AS v WHERE half = {h})"
     news = f"""SELECT clip, count(CASE WHEN severity <> 'warn' THEN 1 END) AS new_failures, count(CASE WHEN severity = 'warn' THEN 1 END) AS new_warnings FROM (
       SELECT clip, name, severity FROM ({_checks(d)}) AS c GROUP BY clip, name, severity
       HAVING count(CASE WHEN half = 1 AND NOT passed THEN 1 END) > 0 AND count(CASE WHEN half = 0 AND NOT passed THEN 1 END) = 0) AS n GROUP BY clip"""

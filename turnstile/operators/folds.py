@@ -1,20 +1,22 @@
 """Order-dependent operators: each is one pure fold per run, applied by Spark per group.
 
-The fold functions are plain Python over plain values, so batch
-(``applyInPandas``), streams (:mod:`turnstile.streaming.tracks`) and tests share
-them. Parallelism is across runs; a run is a serial story by nature.
+The fold functions are numpy and plain Python, so batch, streams
+(:mod:`turnstile.streaming.tracks`) and tests share them. Parallelism is across
+runs; a run is a serial story by nature.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnstile.plans.dialect import Dialect
+from turnstile.plans.dialect import DUCKDB, Dialect
 from turnstile.plans.registry import sql
 from turnstile.settings import DEFAULTS, Settings
 from turnstile.sources import bindings
@@ -23,105 +25,174 @@ from turnstile.sources import bindings
 # ---------------------------------------------------------------- tracker
 
 
-@dataclass
-class Track:
-    id: int
-    x: float
-    y: float
-    w: float
-    h: float
-    vx: float = 0.0
-    vy: float = 0.0
-    hits: int = 1
-    age: int = 1
-    misses: int = 0
-
-    def predict(self) -> None:
-        self.x, self.y = self.x + self.vx, self.y + self.vy
-        self.age, self.misses = self.age + 1, self.misses + 1
-
-    def update(self, box: tuple[float, float, float, float], last: tuple[float, float], blend: float) -> None:
-        """Snap to the box; velocity follows the mean motion since the last hit."""
-        gap = max(1, self.misses)
-        x, y, self.w, self.h = box
-        self.vx = (1 - blend) * self.vx + blend * (x - last[0]) / gap
-        self.vy = (1 - blend) * self.vy + blend * (y - last[1]) / gap
-        self.x, self.y, self.hits, self.misses = x, y, self.hits + 1, 0
-
-
-def box_iou(a: tuple[float, ...], b: tuple[float, ...]) -> float:
-    if a[2] * a[3] <= 0 or b[2] * b[3] <= 0:
-        return 0.0
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    both = max(0.0, w) * max(0.0, h)
-    return both / (a[2] * a[3] + b[2] * b[3] - both)
-
-
-def associate(tracks: list[tuple[float, ...]], boxes: list[tuple[float, ...]], least: float) -> list[tuple[int, int]]:
-    """One-to-one pairs, best overlap first; ties by track, then box."""
-    pairs = sorted(((-box_iou(t, b), i, j) for i, t in enumerate(tracks) for j, b in enumerate(boxes)))
-    used_t, used_b, out = set(), set(), []
-    for score, i, j in pairs:
-        if -score >= least and i not in used_t and j not in used_b:
-            used_t.add(i)
-            used_b.add(j)
+def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlaps of boxes ``x, y, w, h``, row by row; 0 for a box without area."""
+    low = np.maximum(a[:, None, :2], b[None, :, :2])
+    high = np.minimum(a[:, None, :2] + a[:, None, 2:], b[None, :, :2] + b[None, :, 2:])
+    side = np.maximum(high - low, 0.0)
+    both = side[..., 0] * side[..., 1]
+    union = (a[:, 2] * a[:, 3])[:, None] + (b[:, 2] * b[:, 3])[None, :] - both
+    return np.divide(both, union, out=np.zeros_like(both), where=(both > 0) & (union > 0))
+
+
+def associate(score: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """One-to-one (row, column) pairs, best score first; ties by row, then column."""
+    rows, columns = np.nonzero(score >= least)
+    best = np.argsort(-score[rows, columns], kind="stable")
+    used_r, used_c, out = set(), set(), []
+    for i, j in zip(rows[best].tolist(), columns[best].tolist(), strict=True):
+        if i not in used_r and j not in used_c:
+            used_r.add(i)
+            used_c.add(j)
             out.append((i, j))
     return out
 
 
+#: Columns of a tracker's state, a row a track: box centre and size, motion a frame, the
+#: centre at the last hit, and counts.
+ID, CX, CY, WIDTH, HEIGHT, VX, VY, LAST_X, LAST_Y, HITS, MISSES = range(11)
+
+
 @dataclass
 class Tracker:
-    """Tracks of one run; ages by frames, not by time."""
+    """Tracks of one run, which are boxes moving at constant velocity; they age by frames, not by time."""
 
     settings: Settings = DEFAULTS
-    tracks: list[Track] = field(default_factory=list)
-    last: dict[int, tuple[float, float]] = field(default_factory=dict)
+    state: np.ndarray = field(default_factory=lambda: np.zeros((0, 11)))
     frame: int = 0
     born: int = 0
 
-    def step(self, boxes: list[tuple[float, float, float, float]]) -> list[tuple[int, int]]:
-        """(box, track id) of the confirmed tracks of the next frame."""
-        k = self.settings
+    def step(self, boxes: np.ndarray) -> list[tuple[int, int]]:
+        """(box, track) of the confirmed tracks that the next frame's ``boxes`` (``x, y, w, h``) hit.
+
+        A track's centre moves on by its velocity; the boxes and the tracks' boxes
+        around their centres are then paired by overlap. A track that is hit snaps
+        to its box, and its velocity takes in the mean motion since its last hit.
+        """
+        k, t = self.settings, self.state
+        boxes = np.asarray(boxes, float).reshape(-1, 4)
+        centres = boxes[:, :2] + boxes[:, 2:] / 2
         self.frame += 1
-        for t in self.tracks:
-            t.predict()
-        pairs = associate([(t.x, t.y, t.w, t.h) for t in self.tracks], boxes, k.track_iou)
-        of_box = {}
-        for i, j in pairs:
-            t = self.tracks[i]
-            t.update(boxes[j], self.last[t.id], k.track_velocity)
-            self.last[t.id] = (t.x, t.y)
-            of_box[j] = t
-        for j, box in enumerate(boxes):
-            if j not in of_box:
-                self.born += 1
-                of_box[j] = Track(self.born, *box)
-                self.last[self.born] = (box[0], box[1])
-                self.tracks.append(of_box[j])
-        self.tracks = [t for t in self.tracks if t.misses <= k.track_max_misses]
-        alive = {t.id for t in self.tracks}
-        self.last = {i: c for i, c in self.last.items() if i in alive}
+        t[:, [CX, CY]] += t[:, [VX, VY]]
+        t[:, MISSES] += 1
+        around = np.concatenate((t[:, [CX, CY]] - t[:, [WIDTH, HEIGHT]] / 2, t[:, [WIDTH, HEIGHT]]), axis=1)
+        pairs = associate(iou_matrix(around, boxes), k.track_iou) if len(t) and len(boxes) else []
+        i, j = (np.array(x, int) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
+        gap = np.maximum(t[i, MISSES], 1)[:, None]
+        motion = (centres[j] - t[i][:, [LAST_X, LAST_Y]]) / gap
+        blend = k.track_velocity
+        t[np.ix_(i, [VX, VY])] = (1 - blend) * t[i][:, [VX, VY]] + blend * motion
+        for own in ([CX, CY], [LAST_X, LAST_Y]):
+            t[np.ix_(i, own)] = centres[j]
+        t[np.ix_(i, [WIDTH, HEIGHT])] = boxes[j, 2:]
+        t[i, HITS] += 1
+        t[i, MISSES] = 0
+        free = np.setdiff1d(np.arange(len(boxes)), j)
+        new = np.zeros((len(free), 11))
+        new[:, ID] = self.born + 1 + np.arange(len(free))
+        new[:, [CX, CY]] = new[:, [LAST_X, LAST_Y]] = centres[free]
+        new[:, [WIDTH, HEIGHT]] = boxes[free, 2:]
+        new[:, HITS] = 1
+        self.born += len(free)
+        hit = [(int(b), int(t[a, ID]), t[a, HITS]) for a, b in pairs] + [(int(b), int(n[ID]), 1) for b, n in zip(free, new, strict=True)]
+        whole = np.concatenate((t, new))
+        self.state = whole[whole[:, MISSES] <= k.track_max_misses]
         early = self.frame <= k.track_min_hits
-        return sorted((j, t.id) for j, t in of_box.items() if t.hits >= k.track_min_hits or early)
+        return sorted((b, n) for b, n, hits in hit if hits >= k.track_min_hits or early)
+
 
+TRACKS = pa.schema([("run_id", pa.int64()), ("frame", pa.int64()), ("n", pa.int64()), ("track", pa.int64())])
+TRACKS_DDL = "run_id long, frame long, n long, track long"
 
-def track_run(rows: pd.DataFrame) -> pd.DataFrame:
-    """Confirmed track of each box of a run, frames in order."""
-    tracker, out = Tracker(), []
-    rows = rows.sort_values(["frame", "n"])
-    for frame, group in rows.groupby("frame", sort=True):
-        found = list(group[["x", "y", "w", "h"]].itertuples(index=False, name=None))
-        numbers = group["n"].tolist()
-        out += [(int(rows["run_id"].iloc[0]), int(frame), int(numbers[j]), t) for j, t in tracker.step(found)]
-    return pd.DataFrame(out, columns=["run_id", "frame", "n", "track"])
+
+def track_rows(run_id: int, rows: pd.DataFrame, tracker: Tracker) -> list[tuple[int, int, int, int]]:
+    """Confirmed tracks of whole frames of one run, in their order."""
+    out = []
+    boxes, frames, numbers = rows[["x", "y", "w", "h"]].to_numpy(float), rows["frame"].to_numpy(), rows["n"].to_numpy()
+    cuts = np.flatnonzero(np.diff(frames)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+        if b > a:
+            out += [(run_id, int(frames[a]), int(numbers[a + j]), t) for j, t in tracker.step(boxes[a:b])]
+    return out
+
+
+def track_boxes(boxes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Every confirmed box of ``boxes(run_id, frame, n, x, y, w, h)`` with its track.
+
+    A run is a serial story: its rows come to one task in order, are read batch by
+    batch, and the tracker's state is handed on, so a task holds a batch and one
+    run's live tracks. A camera of its own is a run of its own; give it its own id.
+    """
+    names = ["run_id", "frame", "n", "x", "y", "w", "h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tracker, held = None, Tracker(settings), None
+        for batch in batches:
+            rows = batch.to_pandas()
+            if held is not None:
+                rows = pd.concat((held, rows), ignore_index=True)
+            # The last frame may go on in the next batch.
+            last = (rows["run_id"] == rows["run_id"].iloc[-1]) & (rows["frame"] == rows["frame"].iloc[-1])
+            held, ready, out = rows[last], rows[~last], []
+            for own, part in ready.groupby("run_id", sort=False):
+                if own != now:
+                    now, tracker = own, Tracker(settings)
+                out += track_rows(int(own), part, tracker)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], schema=TRACKS)
+        if held is not None and len(held):
+            own = held["run_id"].iloc[0]
+            out = track_rows(int(own), held, tracker if own == now else Tracker(settings))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], schema=TRACKS)
+
+    rows = boxes.select(*[F.col(c).cast("long" if c in ("run_id", "frame", "n") else "double") for c in names])
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "frame", "n").mapInArrow(run, TRACKS_DDL)
+
+
+def _run_boxes(d: Dialect) -> str:
+    return f"SELECT frame % 64 AS run_id, frame, CAST(n AS BIGINT) AS n, x, y, w, h FROM {bindings.boxes(d)} AS b"
 
 
 def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every box of every run with its track."""
-    d = Dialect(spark=True, root=sf_dir)
-    rows = spark.sql(f"SELECT frame % 64 AS run_id, frame, CAST(n AS BIGINT) AS n, x, y, w, h FROM {bindings.boxes(d)} AS b")
-    return rows.groupBy("run_id").applyInPandas(track_run, "run_id long, frame long, n long, track long")
+    return track_boxes(spark.sql(_run_boxes(Dialect(spark=True, root=sf_dir))))
+
+
+def tracker_sql() -> str:
+    """The tracker as a recursive query over frames, its state a list of tracks a run: the oracle."""
+    k = DEFAULTS
+    side = lambda c, w, q: f"(least(z.t.c{q} - z.t.{w} / 2 + z.t.{w}, z.b.{c} + z.b.{w}) - greatest(z.t.c{q} - z.t.{w} / 2, z.b.{c}))"
+    wide, high = side("x", "w", "x"), side("y", "h", "y")
+    over = f"(CASE WHEN {wide} <= 0 OR {high} <= 0 THEN 0.0 ELSE {wide} * {high} / (z.t.w * z.t.h + z.b.w * z.b.h - {wide} * {high}) END)"
+    v, old = k.track_velocity, 1 - k.track_velocity
+    state = "STRUCT(id BIGINT, cx DOUBLE, cy DOUBLE, w DOUBLE, h DOUBLE, vx DOUBLE, vy DOUBLE, lx DOUBLE, ly DOUBLE, hits BIGINT, misses BIGINT)[]"
+    return f"""WITH RECURSIVE f AS (
+      SELECT run_id, frame, row_number() OVER (PARTITION BY run_id ORDER BY frame) AS k, boxes FROM (
+        SELECT run_id, frame, list(struct_pack(n := n, x := x, y := y, w := w, h := h) ORDER BY n) AS boxes
+        FROM ({_run_boxes(DUCKDB)}) AS b0 GROUP BY run_id, frame) AS g),
+    step AS (
+      SELECT run_id, 0::BIGINT AS k, 0::BIGINT AS frame, []::{state} AS tracks, 0::BIGINT AS born, []::STRUCT(n BIGINT, track BIGINT)[] AS found
+      FROM (SELECT DISTINCT run_id FROM f) AS r
+      UNION ALL
+      SELECT run_id, k, frame, list_filter(list_concat(hit, fresh), lambda t: t.misses <= {k.track_max_misses}) AS tracks, born + len(fresh) AS born,
+        list_concat(
+          list_transform(list_filter(chosen, lambda c: hit[c.i].hits >= {k.track_min_hits} OR k <= {k.track_min_hits}), lambda c: struct_pack(n := boxes[c.j].n, track := hit[c.i].id)),
+          CASE WHEN {k.track_min_hits} <= 1 OR k <= {k.track_min_hits} THEN list_transform(range(1, len(free) + 1), lambda q: struct_pack(n := boxes[free[q]].n, track := born + q)) ELSE [] END) AS found
+      FROM (SELECT *, list_transform(range(1, len(moved) + 1), lambda i: CASE WHEN len(list_filter(chosen, lambda c: c.i = i)) = 0 THEN moved[i] ELSE
+            list_transform([list_filter(chosen, lambda c: c.i = i)[1].j], lambda j: struct_pack(id := moved[i].id, cx := boxes[j].x + boxes[j].w / 2, cy := boxes[j].y + boxes[j].h / 2, w := boxes[j].w, h := boxes[j].h,
+              vx := {old} * moved[i].vx + {v} * ((boxes[j].x + boxes[j].w / 2 - moved[i].lx) / greatest(moved[i].misses, 1)),
+              vy := {old} * moved[i].vy + {v} * ((boxes[j].y + boxes[j].h / 2 - moved[i].ly) / greatest(moved[i].misses, 1)),
+              lx := boxes[j].x + boxes[j].w / 2, ly := boxes[j].y + boxes[j].h / 2, hits := moved[i].hits + 1, misses := 0::BIGINT))[1] END) AS hit,
+          list_transform(range(1, len(free) + 1), lambda q: struct_pack(id := born + q, cx := boxes[free[q]].x + boxes[free[q]].w / 2, cy := boxes[free[q]].y + boxes[free[q]].h / 2,
+            w := boxes[free[q]].w, h := boxes[free[q]].h, vx := 0.0::DOUBLE, vy := 0.0::DOUBLE, lx := boxes[free[q]].x + boxes[free[q]].w / 2, ly := boxes[free[q]].y + boxes[free[q]].h / 2, hits := 1::BIGINT, misses := 0::BIGINT)) AS fresh
+        FROM (SELECT *, list_filter(range(1, len(boxes) + 1), lambda j: len(list_filter(chosen, lambda c: c.j = j)) = 0) AS free
+          FROM (SELECT *, list_reduce(list_prepend([]::STRUCT(s DOUBLE, i BIGINT, j BIGINT)[], list_transform(pairs, lambda p: [p])), lambda a, x: CASE WHEN len(list_filter(a, lambda c: c.i = x[1].i OR c.j = x[1].j)) = 0 THEN list_concat(a, x) ELSE a END) AS chosen
+            FROM (SELECT *, list_sort(list_filter(flatten(list_transform(range(1, len(moved) + 1), lambda i: list_transform(range(1, len(boxes) + 1), lambda j:
+                list_transform([struct_pack(t := moved[i], b := boxes[j])], lambda z: struct_pack(s := -{over}, i := i, j := j))[1]))),
+                lambda p: -p.s >= {k.track_iou})) AS pairs
+              FROM (SELECT s.run_id, f.k, f.frame, f.boxes, s.born, list_transform(s.tracks, lambda t: struct_pack(id := t.id, cx := t.cx + t.vx, cy := t.cy + t.vy, w := t.w, h := t.h,
+                  vx := t.vx, vy := t.vy, lx := t.lx, ly := t.ly, hits := t.hits, misses := t.misses + 1)) AS moved
+                FROM step AS s JOIN f ON f.run_id = s.run_id AND f.k = s.k + 1) AS a) AS p0) AS c0) AS d0) AS e0)
+    SELECT run_id, frame, u.n AS n, u.track AS track FROM (SELECT run_id, frame, unnest(found) AS u FROM step) AS o"""
 
 
 # ---------------------------------------------------------------- gallery
@@ -135,10 +206,14 @@ class Template:
     look: np.ndarray | None
 
 
+#: Cosines are compared to so many digits, so that equal vectors tie wherever they stand.
+DIGITS = 9
+
+
 def closest_siblings(rows: list[Template]) -> np.ndarray:
     """For each template its highest cosine with another of its key."""
     mat = np.array([t.vec for t in rows])
-    cos = mat @ mat.T
+    cos = np.round(mat @ mat.T, DIGITS)
     np.fill_diagonal(cos, -np.inf)
     return cos.max(axis=1)
 
@@ -157,25 +232,80 @@ def prune_redundant(rows: list[Template], cap: int) -> list[Template]:
     return rows
 
 
+class Rows:
+    """The stored vectors of a gallery as one matrix that grows: a search is one product."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.mat = np.zeros((0, 0))
+        self.ids, self.keys = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.place: dict[int, int] = {}
+
+    def put(self, key: int, t: Template) -> None:
+        if self.n == len(self.ids):
+            room = max(64, 2 * self.n)
+            grown = np.zeros((room, len(t.vec)))
+            grown[: self.n] = self.mat[: self.n] if self.n else 0
+            self.mat, self.ids, self.keys = grown, np.resize(self.ids, room), np.resize(self.keys, room)
+        self.mat[self.n], self.ids[self.n], self.keys[self.n] = t.vec, t.id, key
+        self.place[t.id] = self.n
+        self.n += 1
+
+    def drop(self, template: int) -> None:
+        """The last row takes the place of the one that goes."""
+        at, last = self.place.pop(template), self.n - 1
+        if at != last:
+            self.mat[at], self.ids[at], self.keys[at] = self.mat[last], self.ids[last], self.keys[last]
+            self.place[int(self.ids[at])] = at
+        self.n = last
+
+    def best(self, vec: np.ndarray, without: set[int]) -> tuple[int, float, int] | None:
+        """(key, cosine, template) of the best row; ties go to the lowest id."""
+        cos = np.round(self.mat[: self.n] @ vec, DIGITS) if self.n else np.zeros(0)
+        open_ = ~np.isin(self.keys[: self.n], list(without)) if without else np.ones(self.n, bool)
+        if not open_.any():
+            return None
+        most = cos[open_].max()
+        ties = np.flatnonzero(open_ & (cos == most))
+        at = ties[self.ids[ties].argmin()]
+        return int(self.keys[at]), float(most), int(self.ids[at])
+
+
+class People(dict):
+    """Templates by key; the matrix follows what is set, replaced or taken out."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows = Rows()
+
+    def __setitem__(self, key: int, templates: list[Template]) -> None:
+        held, wanted = {t.id for t in self.get(key, ())}, {t.id for t in templates}
+        for i in held - wanted:
+            self.rows.drop(i)
+        for t in templates:
+            if t.id in self.rows.place:
+                self.rows.keys[self.rows.place[t.id]] = key
+            else:
+                self.rows.put(key, t)
+        super().__setitem__(key, templates)
+
+    def pop(self, key: int) -> list[Template]:
+        """Takes a key out; its vectors stay until they are set under another or dropped."""
+        return super().pop(key)
+
+
 @dataclass
 class Gallery:
     """Identities of one run, in the order they were seen."""
 
     settings: Settings = DEFAULTS
-    people: dict[int, list[Template]] = field(default_factory=dict)
+    people: People = field(default_factory=People)
     apart: set[tuple[int, int]] = field(default_factory=set)
     minted: int = 0
 
     def search(self, vec: np.ndarray, without: Iterable[int] = ()) -> tuple[int, float, int] | None:
         """(key, cosine, template) of the best row; ties go to the lowest id."""
-        skip, best = set(without), None
-        for key, rows in self.people.items():
-            if key not in skip:
-                for t in rows:
-                    c = float(t.vec @ vec)
-                    if best is None or c > best[1] or (c == best[1] and t.id < best[2]):
-                        best = (key, c, t.id)
-        return best
+        return self.people.rows.best(vec, set(without))
 
     def likeness(self, key: int, look: np.ndarray | None) -> float | None:
         """Best clothing overlap; unknown where either side has none."""
@@ -214,7 +344,9 @@ class Gallery:
         pair = (min(keep, drop), max(keep, drop))
         if keep == drop or keep not in self.people or drop not in self.people or pair in self.apart:
             return False
-        self.people[keep] = prune_redundant(self.people[keep] + self.people.pop(drop), self.settings.template_cap)
+        gone = self.people.pop(drop)
+        self.people[keep] = self.people[keep] + gone
+        self.people[keep] = prune_redundant(self.people[keep], self.settings.template_cap)
         moved = {tuple(sorted(keep if x == drop else x for x in p)) for p in self.apart}
         self.apart = {p for p in moved if p[0] != p[1]}
         return True
@@ -231,7 +363,7 @@ def gallery_run(rows: pd.DataFrame) -> pd.DataFrame:
     gallery, out = Gallery(), []
     for t in _templates(rows):
         v = gallery.match(t)
-        out.append((int(rows["run_id"].iloc[0]), t.id, v["key"], v["is_new"], v["cosine"], v["added"], v["vetoed"]))
+        out.append((int(rows["run_id"].iloc[0]), t.id, v["key"], v["is_new"], None if v["cosine"] is None else round(v["cosine"], 6), v["added"], v["vetoed"]))
     return pd.DataFrame(out, columns=["run_id", "id", "key", "is_new", "cosine", "added", "vetoed"])
 
 
@@ -337,6 +469,52 @@ def reconcile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prune_sql() -> str:
+    """One eviction a round until each key is at its cap."""
+    cap, d = DEFAULTS.template_cap, DUCKDB
+    near = f"list_max(list_transform(list_filter(rows, lambda q: q.id <> r.id), lambda q: round({d.dot('q.vec', 'r.vec')}, {DIGITS})))"
+    return f"""WITH RECURSIVE step AS (
+      SELECT key, list(struct_pack(id := id, vec := vec, quality := quality)) AS rows FROM {bindings.templates(d)} AS t GROUP BY key
+      UNION ALL
+      SELECT key, list_filter(rows, lambda r: r.id <> goes) AS rows FROM (SELECT key, rows,
+          -list_sort(list_transform(rows, lambda r: struct_pack(near := -{near}, quality := coalesce(r.quality, '-inf'::DOUBLE), id := -r.id)))[1].id AS goes
+        FROM step WHERE len(rows) > {cap}) AS s)
+      SELECT key, u.id AS id FROM (SELECT key, unnest(rows) AS u FROM step WHERE len(rows) <= {cap}) AS o"""
+
+
+def gallery_sql() -> str:
+    """The gallery of each run as a recursive query over its templates in order."""
+    k, d = DEFAULTS, DUCKDB
+    c = f"round({d.dot('p.vec', 'x.vec')}, {DIGITS})"
+    row = "struct_pack(key := {key}, id := x.id, vec := x.vec, quality := x.quality, look := x.look)"
+    near = f"list_max(list_transform(list_filter(grown, lambda q: q.id <> r.id), lambda q: round({d.dot('q.vec', 'r.vec')}, {DIGITS})))"
+    crowded = f"list_max(flatten(list_transform(own, lambda r: list_transform(list_filter(own, lambda q: q.id <> r.id), lambda q: round({d.dot('q.vec', 'r.vec')}, {DIGITS})))))"
+    return f"""WITH RECURSIVE f AS (
+      SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY id) AS k, struct_pack(id := id, vec := vec, quality := quality, look := appearance) AS x
+      FROM {bindings.templates(d)} AS t),
+    step AS (
+      SELECT run_id, 1::BIGINT AS k, x.id AS id, [{row.format(key='1::BIGINT')}] AS people, 1::BIGINT AS minted, 1::BIGINT AS key, true AS is_new, NULL::DOUBLE AS cosine, true AS added, false AS vetoed
+      FROM f WHERE k = 1
+      UNION ALL
+      SELECT run_id, k, x.id AS id, CASE WHEN is_new THEN list_append(people, {row.format(key='minted + 1')}) WHEN enrols AND NOT vetoed THEN
+          list_concat(list_filter(people, lambda p: p.key <> key), CASE WHEN len(grown) <= {k.template_cap} THEN grown ELSE list_filter(grown, lambda r: r.id <> goes) END) ELSE people END AS people,
+        minted + CASE WHEN is_new THEN 1 ELSE 0 END AS minted, CASE WHEN is_new THEN minted + 1 ELSE key END AS key, is_new, cosine, is_new OR (enrols AND NOT vetoed) AS added, NOT is_new AND enrols AND vetoed AS vetoed
+      FROM (SELECT *, -list_sort(list_transform(grown, lambda r: struct_pack(near := -{near}, quality := coalesce(r.quality, '-inf'::DOUBLE), id := -r.id)))[1].id AS goes
+        FROM (SELECT *, list_append(own, {row.format(key='key')}) AS grown, coalesce(likeness < {k.clothing_clash}, false) AS vetoed,
+            NOT is_new AND cosine >= {k.match_threshold} + {k.enrol_confidence} AND cosine < {k.enrol_max_cosine} AND coalesce(cosine - rival >= {k.enrol_margin}, true)
+              AND (len(own) < {k.template_cap} OR cosine < {crowded}) AS enrols
+          FROM (SELECT *, best.key AS key, -best.c AS cosine, -best.c < {k.match_threshold} AS is_new, list_filter(people, lambda p: p.key = best.key) AS own,
+              list_max(list_transform(list_filter(people, lambda p: p.key <> best.key), lambda p: {c})) AS rival,
+              list_max(list_transform(list_filter(people, lambda p: p.key = best.key AND p.look IS NOT NULL AND x.look IS NOT NULL), lambda p: {d.overlap('p.look', 'x.look')})) AS likeness
+            FROM (SELECT s.run_id, f.k, f.x, s.people, s.minted, list_sort(list_transform(s.people, lambda p: struct_pack(c := -{c.replace('x.vec', 'f.x.vec')}, id := p.id, key := p.key)))[1] AS best
+              FROM step AS s JOIN f ON f.run_id = s.run_id AND f.k = s.k + 1) AS a) AS b) AS e) AS g)
+      SELECT run_id, id, key, is_new, round(cosine, 6) AS cosine, added, vetoed FROM step"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"tracker": tracker_sql(), "prune_redundant_full": prune_sql(), "gallery_fold_cap5": gallery_sql()}
+
+
 FOLDS = {f.__name__: f for f in (tracker, gallery_fold_cap5, prune_redundant_full, reconcile_full)}
 
 
@@ -347,7 +525,7 @@ FOLDS = {f.__name__: f for f in (tracker, gallery_fold_cap5, prune_redundant_ful
 def gallery_fold_cap1(d: Dialect) -> str:
     """Verdicts in order with one template a person: match at the threshold, else a new person."""
     rows = f"SELECT run_id, id, vec, row_number() OVER (PARTITION BY run_id ORDER BY id) AS k FROM {bindings.templates(d)} AS t"
-    t = DEFAULTS.match_threshold
+    t = d.k.match_threshold
     if d.spark:
         best = f"array_max(transform(a.people, p -> struct({d.dot('p.vec', 'x.vec')} AS c, -p.id AS n)))"
         return f"""SELECT run_id, v.id AS id, v.key AS key, round(v.c, 6) AS cosine FROM (SELECT run_id, explode(aggregate(array_sort(collect_list(struct(k, id, vec))),
@@ -373,7 +551,7 @@ def greedy_assoc(d: Dialect) -> str:
 
     rows = f"""SELECT frame, i, j, row_number() OVER (PARTITION BY frame ORDER BY o DESC, i, j) AS k FROM (
       SELECT a.frame, a.n AS i, b.n AS j, {iou('a', 'b')} AS o FROM (SELECT * FROM {bindings.boxes(d)} AS b0 WHERE n <= 4) AS a
-      JOIN (SELECT * FROM {bindings.boxes(d)} AS b1 WHERE n > 4) AS b ON a.frame = b.frame) AS p WHERE o >= {DEFAULTS.track_iou}"""
+      JOIN (SELECT * FROM {bindings.boxes(d)} AS b1 WHERE n > 4) AS b ON a.frame = b.frame) AS p WHERE o >= {d.k.track_iou}"""
     if d.spark:
         free = "NOT exists(a, p -> p.i = x.i OR p.j = x.j)"
         return f"""SELECT frame, m.i AS i, m.j AS j FROM (SELECT frame, explode(aggregate(array_sort(collect_list(struct(k, i, j))),

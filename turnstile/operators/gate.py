@@ -7,7 +7,8 @@ from turnstile.plans.registry import sql
 from turnstile.sources.bindings import faces, landmarks
 
 
-def _judged(d: Dialect) -> str:
+def judged(d: Dialect) -> str:
+    """Faces with the first floor that rejects them, and how many signals of armed floors they lack."""
     k = d.k
     absent = " + ".join(f"CASE WHEN {floor} > 0 AND {signal} IS NULL THEN 1 ELSE 0 END" for signal, floor in (("ied", k.ied_floor), ("frontality", k.frontality_floor), ("sharpness", k.sharpness_floor)))
     return f"""SELECT *, CASE WHEN width_px < {k.sub_canon_width} THEN 'width' WHEN ied < {k.ied_floor} THEN 'ied' WHEN frontality < {k.frontality_floor} THEN 'frontality'
@@ -23,25 +24,25 @@ def width_band(d: Dialect) -> str:
 
 @sql
 def quality_gate(d: Dialect) -> str:
-    return f"SELECT frame, n, rejected_by, rejected_by IS NULL AS kept, missing > 0 AS unmeasured FROM ({_judged(d)}) AS j"
+    return f"SELECT frame, n, rejected_by, rejected_by IS NULL AS kept, missing > 0 AS unmeasured FROM ({judged(d)}) AS j"
 
 
 @sql
 def gate_rollup(d: Dialect) -> str:
-    return f"SELECT frame, coalesce(rejected_by, 'kept') AS reason, count(*) AS faces FROM ({_judged(d)}) AS j GROUP BY frame, coalesce(rejected_by, 'kept')"
+    return f"SELECT frame, coalesce(rejected_by, 'kept') AS reason, count(*) AS faces FROM ({judged(d)}) AS j GROUP BY frame, coalesce(rejected_by, 'kept')"
 
 
 @sql
 def gate_reasons(d: Dialect) -> str:
     """One counter per reason, over all frames."""
     counts = ", ".join(f"count(CASE WHEN rejected_by = '{r}' THEN 1 END) AS gated_{r}" for r in ("width", "ied", "frontality", "sharpness"))
-    return f"SELECT count(*) AS faces, count(CASE WHEN rejected_by IS NULL THEN 1 END) AS kept, {counts} FROM ({_judged(d)}) AS j"
+    return f"SELECT count(*) AS faces, count(CASE WHEN rejected_by IS NULL THEN 1 END) AS kept, {counts} FROM ({judged(d)}) AS j"
 
 
 @sql
 def gate_unmeasured(d: Dialect) -> str:
     """Faces, not signals, that lack a signal of an armed floor."""
-    return f"SELECT frame, count(CASE WHEN missing > 0 THEN 1 END) AS unmeasured, count(*) AS faces FROM ({_judged(d)}) AS j GROUP BY frame"
+    return f"SELECT frame, count(CASE WHEN missing > 0 THEN 1 END) AS unmeasured, count(*) AS faces FROM ({judged(d)}) AS j GROUP BY frame"
 
 
 @sql
@@ -80,7 +81,7 @@ def sub_canon_share(d: Dialect) -> str:
     """The share of kept faces below the canonical width; 0 where none is kept."""
     return f"""SELECT frame, CASE WHEN count(*) = count(rejected_by) THEN 0.0
       ELSE round(count(CASE WHEN rejected_by IS NULL AND width_px < {d.k.canon_width} THEN 1 END) * 1.0E0 / (count(*) - count(rejected_by)), 6) END AS share
-      FROM ({_judged(d)}) AS j GROUP BY frame"""
+      FROM ({judged(d)}) AS j GROUP BY frame"""
 
 
 @sql
@@ -90,5 +91,5 @@ def face_sizes(d: Dialect) -> str:
     for who, where in (("detected", "true"), ("passed", "rejected_by IS NULL")):
         for signal in ("width_px", "ied", "frontality") if who == "detected" else ("width_px",):
             parts.append(f"""SELECT '{who}' AS who, '{signal}' AS signal, count({signal}) AS n, min({signal}) AS low, round(avg({signal}), 6) AS mean, max({signal}) AS high
-      FROM ({_judged(d)}) AS j WHERE {where}""")
+      FROM ({judged(d)}) AS j WHERE {where}""")
     return "\n      UNION ALL ".join(parts)

@@ -74,6 +74,21 @@ class Dialect:
     def head(self, array: str, n: int) -> str:
         return f"slice({array}, 1, {n})" if self.spark else f"{array}[1:{n}]"
 
+    def last(self, array: str, n: int) -> str:
+        if self.spark:
+            return f"slice({array}, greatest(1, size({array}) - {n - 1}), {n})"
+        return f"{array}[greatest(1, len({array}) - {n - 1}):]"
+
+    def to_json(self, struct: str) -> str:
+        return f"to_json({struct})" if self.spark else f"CAST(to_json({struct}) AS VARCHAR)"
+
+    def octets(self, text: str) -> str:
+        return f"octet_length({text})" if self.spark else f"octet_length(encode({text}))"
+
+    def printf(self, pattern: str, x: str) -> str:
+        """A formatted number; null of null."""
+        return f"CASE WHEN {x} IS NOT NULL THEN {'format_string' if self.spark else 'printf'}('{pattern}', {x}) END"
+
     def size(self, array: str) -> str:
         return f"size({array})" if self.spark else f"len({array})"
 

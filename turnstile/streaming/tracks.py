@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from turnstile.operators.folds import Tracker
+from turnstile.operators.folds import TRACKS_DDL, Tracker, track_rows
 
-TRACKS = "run_id long, frame long, n long, track long"
 #: A tracker without frames for so long is dropped.
 IDLE_MS = 3_600_000
 
@@ -23,11 +22,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle
         return
     tracker = pickle.loads(state.get[0]) if state.exists else Tracker()
     rows = pd.concat(list(frames)).sort_values(["frame", "n"])
-    out = []
-    for frame, group in rows.groupby("frame", sort=True):
-        boxes = list(group[["x", "y", "w", "h"]].itertuples(index=False, name=None))
-        numbers = group["n"].tolist()
-        out += [(key[0], int(frame), int(numbers[j]), t) for j, t in tracker.step(boxes)]
+    out = track_rows(int(key[0]), rows, tracker)
     state.update((pickle.dumps(tracker),))
     if idle_ms:
         state.setTimeoutDuration(idle_ms)
@@ -43,7 +38,7 @@ def track_stream(boxes: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     advance = lambda key, frames, state: _advance(key, frames, state, idle_ms)
-    return boxes.groupBy("run_id").applyInPandasWithState(advance, TRACKS, "tracker binary", "append", timeout)
+    return boxes.groupBy("run_id").applyInPandasWithState(advance, TRACKS_DDL, "tracker binary", "append", timeout)
 
 
 def crossings_stream(sightings: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
