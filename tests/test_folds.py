@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from turnstile.functions.columns import iou, jpeg_dims, unit
 from turnstile.operators.folds import CX, CY, HITS, VX, VY, Gallery, Story, Template, Tracker, associate, iou_matrix, prune_redundant, track_boxes
 from turnstile.settings import Settings
-from turnstile.sources.sinks import read_snapshot, upsert, write_snapshot
-from turnstile.streaming.tracks import track_stream
+from turnstile.sources.sinks import read_snapshot, settle, upsert, upsert_batches, write_snapshot
+from turnstile.streaming.tracks import _advance, crossings_stream, metrics_stream, track_stream
 
 
 def axis(*parts):
@@ -183,3 +183,68 @@ def test_settings_refuse_garbage(monkeypatch):
     monkeypatch.setenv("TURNSTILE_TEMPLATE_CAP", "many")
     with pytest.raises(ValueError):
         Settings.from_env()
+
+
+def run_stream(stream, path, name, mode="append", **options):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(90), "the stream did not end"
+    finally:
+        q.stop()
+
+
+def test_crossings_and_metrics_streams(spark, tmp_path):
+    hours = [0, 1, 2, 20, 21, 60]
+    rows = [(7, 1, "click", 2.0 * h, (pd.Timestamp("2026-01-01") + pd.Timedelta(hours=h)).to_pydatetime()) for h in hours]
+    spark.createDataFrame(rows, "track long, run_id long, stage string, value double, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema("track long, run_id long, stage string, value double, ts timestamp").parquet(str(tmp_path / "in"))
+    run_stream(crossings_stream(read()), str(tmp_path / "c1"), "crossings")
+    got = sorted((r.first.hour, r.face_frames) for r in spark.table("crossings").collect())
+    assert got == [(0, 3), (20, 2)]  # the session of hour 60 is still open
+    run_stream(metrics_stream(read(), "6 hours"), str(tmp_path / "c2"), "metrics")
+    got = sorted((r.flush.day, r.flush.hour, r.n, r.least, r.mean, r.most) for r in spark.table("metrics").collect())
+    assert got == [(1, 0, 3, 0.0, 2.0, 4.0), (1, 18, 2, 40.0, 41.0, 42.0)]
+
+
+def test_idle_trackers_are_dropped():
+    class State:
+        exists, hasTimedOut, get, waits = False, False, (None,), None
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutDuration(self, ms):
+            self.waits = ms
+
+        def remove(self):
+            self.exists = False
+
+    frame = lambda n: pd.DataFrame({"run_id": 1, "frame": [n], "n": [1], "x": [1.0 * n], "y": [0.0], "w": [9.0], "h": [9.0]})
+    state = State()
+    out = [r for n in range(3) for df in _advance((1,), iter([frame(n)]), state, 500) for r in df.itertuples(index=False, name=None)]
+    assert [r[3] for r in out] == [1, 1, 1] and state.waits == 500
+    state.hasTimedOut = True
+    assert list(_advance((1,), iter([]), state, 500)) == [] and not state.exists
+    state.hasTimedOut = False
+    again = [r for df in _advance((1,), iter([frame(9)]), state, 0) for r in df.itertuples(index=False, name=None)]
+    assert [r[3] for r in again] == [1]  # a new tracker numbers anew
+
+
+def test_upsert_batches_rewrite_what_they_touch(spark, tmp_path):
+    root = str(tmp_path / "t")
+    write = upsert_batches(root, ["k"], "v", parts=4)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "k int, v int, x string")
+    write(batch(*[(i, 1, "a") for i in range(40)]), 0)
+    write(batch((3, 2, "b"), (99, 1, "c")), 1)
+    write(batch((3, 2, "b"), (99, 1, "c")), 1)  # a repeated batch changes nothing
+    write(batch((3, 1, "late")), 2)
+    got = {r.k: (r.v, r.x) for r in read_snapshot(spark, root).collect()}
+    assert got == {i: (1, "a") for i in range(40)} | {3: (2, "b"), 99: (1, "c")}
+
+
+def test_chunks_that_were_refused_are_queued_again(spark):
+    queue = spark.createDataFrame([(1, i, 0 if i < 8 else 4) for i in range(10)], "run_id long, seq long, tries int")
+    answers = spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 2, True)], "run_id long, chunk long, ok boolean")
+    done, again = settle(queue, answers, ["seq"], chunk=3)
+    assert sorted(r.seq for r in done.collect()) == [0, 1, 2, 6, 7, 8]
+    assert sorted((r.seq, r.tries) for r in again.collect()) == [(3, 1), (4, 1), (5, 1)]  # the last row was given up

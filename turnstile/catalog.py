@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.operators import evals, folds, gate, reconcile, reports, search, spatial, stats, texts  # noqa: F401  (they register)
 from turnstile.plans import registry
+from turnstile.plans.registry import apply  # noqa: F401  (for users)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -31,6 +31,11 @@ def iou(a: Column, b: Column) -> Column:
     return F.when((a["w"] * a["h"] <= 0) | (b["w"] * b["h"] <= 0), 0.0).otherwise(both / union)
 
 
+def image_bytes(text: Column | str) -> Column:
+    """A frame's bytes from its base64 text; null where the text is no base64 (frames are kept as bytes)."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
 def jpeg_dims(data: bytes | None) -> tuple[int, int] | None:
     """Width and height from a JPEG's header, without decoding; None if there is none."""
     if not data or data[:2] != b"\xff\xd8":

@@ -15,6 +15,8 @@ HUES, SATURATIONS, BRIGHTNESSES = 12, 3, 3
 GREY_BELOW, DARKEST, LIGHTEST = 40, 30, 252
 LEAST_PIXELS, LEAST_SIDE = 100, 24
 SIDE = 64
+#: Grey of a letterbox's margin, a fixed value.
+PAD = 114
 
 
 def _weights(n: int, side: int) -> np.ndarray:
@@ -32,18 +34,46 @@ def grey(image: np.ndarray) -> np.ndarray:
     return np.rint(image @ np.array([0.114, 0.587, 0.299]))
 
 
+def inside(image: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """The part of an image under a box of whole pixels; empty where they don't meet."""
+    x, y, w, h = np.rint(box).astype(int)
+    own = [range(max(at, 0), min(at + size, most)) for at, size, most in ((y, h, image.shape[0]), (x, w, image.shape[1]))]
+    return image[np.ix_(*own)] if all(own) else image[:0, :0]
+
+
 def sharpness(image: np.ndarray, box: tuple[float, float, float, float]) -> float | None:
     """Variance of the Laplacian of a box's crop, brought to one size by area averages."""
-    x0, y0, w, h = (int(round(v)) for v in box)
-    x1, y1 = min(image.shape[1], x0 + w), min(image.shape[0], y0 + h)
-    x0, y0 = max(0, x0), max(0, y0)
-    if x1 - x0 < 2 or y1 - y0 < 2:
+    crop = inside(image, box)
+    if min(crop.shape[:2]) < 2:
         return None
-    crop = grey(image[y0:y1, x0:x1])
-    small = np.rint(_weights(crop.shape[0], SIDE) @ crop @ _weights(crop.shape[1], SIDE).T)
+    small = np.rint(resized(grey(crop), SIDE, SIDE))
     wide = np.pad(small, 1, mode="reflect")
-    around = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:]
-    return round(float((around - 4 * small).var()), 2)
+    across = wide[1:-1, :-2] + wide[1:-1, 2:]
+    return round(float((across + wide[:-2, 1:-1] + wide[2:, 1:-1] - 4 * small).var()), 2)
+
+
+def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """An image at another size: each new pixel is the mean of the area it covers."""
+    rows, columns = _weights(image.shape[0], height), _weights(image.shape[1], width)
+    return np.einsum("ia,jb,ab...->ij...", rows, columns, image.astype(float), optimize=True)
+
+
+def fit(image: np.ndarray, max_width: int = 0, max_height: int = 0) -> np.ndarray:
+    """An image shrunk, never grown, to the bounds; 0 is no bound. Face pixels shrink with it."""
+    height, width = image.shape[:2]
+    scale = min([1.0, *(most / own for most, own in ((max_width, width), (max_height, height)) if most)])
+    if scale == 1.0:
+        return image
+    return np.rint(resized(image, max(1, round(width * scale)), max(1, round(height * scale)))).astype(np.uint8)
+
+
+def letterbox(image: np.ndarray, width: int, height: int) -> tuple[np.ndarray, float]:
+    """An image scaled into the upper left of a grey canvas, and the scale; growing repeats pixels' areas."""
+    scale = min(height / image.shape[0], width / image.shape[1])
+    canvas = np.full((height, width, 3), PAD, np.uint8)
+    own = resized(image, int(image.shape[1] * scale), int(image.shape[0] * scale))
+    canvas[: own.shape[0], : own.shape[1]] = np.rint(own)
+    return canvas, scale
 
 
 def hsv(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,15 +96,14 @@ def clothing(crop: np.ndarray) -> list[float] | None:
     if lit.sum() < LEAST_PIXELS:
         return None
     out = np.zeros(48)
-    colour = lit & (saturation >= GREY_BELOW)
-    hues = np.minimum((hue[colour] * HUES / 180).astype(int), HUES - 1)
-    strengths = np.minimum(((saturation[colour] - GREY_BELOW) * SATURATIONS / (256 - GREY_BELOW)).astype(int), SATURATIONS - 1)
-    np.add.at(out, hues * SATURATIONS + strengths, 1.0)
-    place = (value[lit & (saturation < GREY_BELOW)] - DARKEST) / ((LIGHTEST + 1 - DARKEST) / BRIGHTNESSES) - 0.5
-    below = np.floor(place)
-    for step in (0, 1):
-        share = 1 - (place - below) if step == 0 else place - below
-        np.add.at(out, HUES * SATURATIONS + np.clip(below + step, 0, BRIGHTNESSES - 1).astype(int), share)
+    coloured = saturation >= GREY_BELOW
+    both = np.histogram2d(hue[lit & coloured], saturation[lit & coloured], (HUES, SATURATIONS), ((0, 180), (GREY_BELOW, 256)))[0]
+    out[: both.size] = both.ravel()
+    # A grey pixel counts for the two bins whose centres it lies between, by nearness; for the outer ones alone beyond them.
+    span = (LIGHTEST + 1 - DARKEST) / BRIGHTNESSES
+    centres = DARKEST + span * (np.arange(BRIGHTNESSES) + 0.5)
+    greys = value[lit & ~coloured]
+    out[both.size : both.size + BRIGHTNESSES] = [np.interp(greys, centres, one).sum() for one in np.eye(BRIGHTNESSES)]
     return (out / out.sum()).tolist()
 
 
@@ -87,3 +116,35 @@ def clothing_column(pixels: Column, width: Column, height: Column) -> Column:
         return pd.Series([one(d, x, y) for d, x, y in zip(data, w, h, strict=True)])
 
     return run(pixels, width, height)
+
+
+def fit_column(pixels: Column, width: Column, height: Column, max_width: int = 0, max_height: int = 0) -> Column:
+    """Raw pixels shrunk to the bounds: ``pixels, width, height``; null stays null."""
+
+    @pandas_udf("pixels binary, width int, height int")
+    def run(data: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+        def one(d, x, y):
+            if d is None:
+                return None, None, None
+            small = fit(np.frombuffer(d, np.uint8).reshape(int(y), int(x), 3), max_width, max_height)
+            return small.tobytes(), small.shape[1], small.shape[0]
+
+        return pd.DataFrame([one(*row) for row in zip(data, w, h, strict=True)], columns=["pixels", "width", "height"])
+
+    return run(pixels, width, height)
+
+
+def letterbox_column(pixels: Column, width: Column, height: Column, side: int = 416) -> Column:
+    """Raw pixels on a square canvas: ``pixels, scale``; null stays null."""
+
+    @pandas_udf("pixels binary, scale double")
+    def run(data: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+        def one(d, x, y):
+            if d is None:
+                return None, None
+            canvas, scale = letterbox(np.frombuffer(d, np.uint8).reshape(int(y), int(x), 3), side, side)
+            return canvas.tobytes(), scale
+
+        return pd.DataFrame([one(*row) for row in zip(data, w, h, strict=True)], columns=["pixels", "scale"])
+
+    return run(pixels, width, height)

@@ -550,12 +550,12 @@ def greedy_assoc(d: Dialect) -> str:
     from turnstile.operators.spatial import iou
 
     rows = f"""SELECT frame, i, j, row_number() OVER (PARTITION BY frame ORDER BY o DESC, i, j) AS k FROM (
-      SELECT a.frame, a.n AS i, b.n AS j, {iou('a', 'b')} AS o FROM (SELECT * FROM {bindings.boxes(d)} AS b0 WHERE n <= 4) AS a
+      SELECT a.frame, CAST(a.n AS BIGINT) AS i, CAST(b.n AS BIGINT) AS j, {iou('a', 'b')} AS o FROM (SELECT * FROM {bindings.boxes(d)} AS b0 WHERE n <= 4) AS a
       JOIN (SELECT * FROM {bindings.boxes(d)} AS b1 WHERE n > 4) AS b ON a.frame = b.frame) AS p WHERE o >= {d.k.track_iou}"""
     if d.spark:
         free = "NOT exists(a, p -> p.i = x.i OR p.j = x.j)"
         return f"""SELECT frame, m.i AS i, m.j AS j FROM (SELECT frame, explode(aggregate(array_sort(collect_list(struct(k, i, j))),
-            CAST(array() AS ARRAY<STRUCT<k: INT, i: INT, j: INT>>), (a, x) -> CASE WHEN {free} THEN concat(a, array(x)) ELSE a END)) AS m
+            CAST(array() AS ARRAY<STRUCT<k: INT, i: BIGINT, j: BIGINT>>), (a, x) -> CASE WHEN {free} THEN concat(a, array(x)) ELSE a END)) AS m
           FROM ({rows}) AS r GROUP BY frame) AS e"""
     return f"""WITH RECURSIVE r AS ({rows}), step AS (
       SELECT frame, k, [i] AS used_i, [j] AS used_j, i, j, true AS taken FROM r WHERE k = 1

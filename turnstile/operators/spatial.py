@@ -138,11 +138,12 @@ def face_crop_rect(d: Dialect) -> str:
 
 def _greedy(d: Dialect, order: str, limit: str, rows_of: str | None = None) -> str:
     """Boxes in order, each kept if it overlaps no kept one by more than ``limit``."""
-    rows = f"SELECT frame, x, y, w, h, n, row_number() OVER (PARTITION BY frame ORDER BY {order}) AS k FROM {rows_of or boxes(d)} AS b"
+    typed = "CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, CAST(n AS BIGINT) AS n"
+    rows = f"SELECT frame, {typed}, row_number() OVER (PARTITION BY frame ORDER BY {order}) AS k FROM {rows_of or boxes(d)} AS b"
     if d.spark:
         hit = f"k -> {iou('k', 'c')} <= {limit}"
         return f"""SELECT frame, kept.n AS n FROM (SELECT frame, explode(aggregate(array_sort(collect_list(struct(k, x, y, w, h, n))),
-            CAST(array() AS ARRAY<STRUCT<k: INT, x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE, n: INT>>),
+            CAST(array() AS ARRAY<STRUCT<k: INT, x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE, n: BIGINT>>),
             (a, c) -> CASE WHEN forall(a, {hit}) THEN concat(a, array(c)) ELSE a END)) AS kept FROM ({rows}) AS r GROUP BY frame) AS e"""
     return f"""WITH RECURSIVE r AS ({rows}), step AS (
       SELECT frame, 1::BIGINT AS k, [struct_pack(x := x, y := y, w := w, h := h, n := n)] AS kept FROM r WHERE k = 1

@@ -195,9 +195,9 @@ def card_hysteresis(d: Dialect) -> str:
 @sql
 def unique_clamped(d: Dialect) -> str:
     """The running count of people: mints and manual adds up, merges and folds down, never below 0."""
-    rows = f"SELECT run_id, delta, row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS k FROM {steps(d)} AS s"
+    rows = f"SELECT run_id, CAST(delta AS BIGINT) AS delta, row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS k FROM {steps(d)} AS s"
     if d.spark:
-        return f"""SELECT run_id, aggregate(array_sort(collect_list(struct(k, delta))), 0, (a, x) -> greatest(0, a + x.delta)) AS people,
+        return f"""SELECT run_id, aggregate(array_sort(collect_list(struct(k, delta))), 0L, (a, x) -> greatest(0, a + x.delta)) AS people,
           count(*) AS steps FROM ({rows}) AS r GROUP BY run_id"""
     return f"""WITH RECURSIVE r AS ({rows}), step AS (
       SELECT run_id, k, greatest(0, delta) AS people FROM r WHERE k = 1

@@ -19,11 +19,20 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in done)
 
 
-def write_snapshot(df: DataFrame, root: str) -> int:
-    """Write ``df`` as the next version; readers see it once it is complete."""
-    versions = _versions(df.sparkSession, root)
+def write_snapshot(df: DataFrame, root: str, by: str | None = None, only: list[int] | None = None) -> int:
+    """Write ``df`` as the next version; readers see it once it is complete.
+
+    With ``by`` it is cut into folders, and with ``only`` the folders not named
+    there are those of the version before.
+    """
+    spark = df.sparkSession
+    versions = _versions(spark, root)
     number = (versions[-1] if versions else 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v={number}")
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{root}/v={number}")
+    if only is not None:
+        carry = read_snapshot(spark, root, versions[-1]).where(~F.col(by).isin(only))
+        carry.write.mode("append").partitionBy(by).parquet(f"{root}/v={number}")
     return number
 
 
@@ -41,12 +50,46 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
     return both.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__new")
 
 
-def upsert_batches(root: str, keys: list[str], order: str):
-    """A ``foreachBatch`` writer: each batch becomes a new snapshot, so a repeated batch changes nothing."""
+def prune_snapshots(spark: SparkSession, root: str, keep: int) -> None:
+    """Delete all but the newest ``keep`` complete versions."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for version in _versions(spark, root)[:-keep]:
+        old = path(f"{root}/v={version}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def upsert_batches(root: str, keys: list[str], order: str, parts: int = 64, keep: int = 3):
+    """A ``foreachBatch`` writer: each batch becomes a new snapshot, so a repeated batch changes nothing.
+
+    Rows lie in ``parts`` folders by a hash of their keys. A batch rewrites the
+    folders it touches and hands the others on by reference: a snapshot lists, for
+    each folder, the version that holds it. The newest ``keep`` snapshots stay.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = upsert(read_snapshot(spark, root), batch, keys, order) if _versions(spark, root) else upsert(batch.limit(0), batch, keys, order)
-        write_snapshot(rows, root)
+        new = batch.withColumn("part", part)
+        if not _versions(spark, root):
+            write_snapshot(upsert(new.limit(0), new, keys, order), root, "part")
+            return
+        touched = [r.part for r in new.select("part").distinct().collect()]  # at most ``parts``
+        old = read_snapshot(spark, root).where(F.col("part").isin(touched))
+        number = write_snapshot(upsert(old, new, keys, order), root, "part", touched)
+        prune_snapshots(spark, root, keep) if number > keep and number % parts == 0 else None
 
     return write
+
+
+def settle(queue: DataFrame, answers: DataFrame, keys: list[str], chunk: int = 500, most_tries: int = 5) -> tuple[DataFrame, DataFrame]:
+    """What a sink accepted of a ``queue(keys, tries)`` sent in chunks, and what is queued again.
+
+    ``answers(chunk, ok)`` says which chunks were taken; rows of a chunk that was
+    refused or not answered go back with one try more, and are given up (in neither
+    result) after ``most_tries``. Chunks follow the order of ``keys``.
+    """
+    number = F.floor((F.row_number().over(W.partitionBy("run_id").orderBy(*keys)) - 1) / chunk)
+    sent = queue.withColumn("chunk", number).join(answers, ["run_id", "chunk"], "left")
+    done = sent.where(F.coalesce("ok", F.lit(False))).drop("chunk", "ok")
+    again = sent.where(~F.coalesce("ok", F.lit(False))).withColumn("tries", F.col("tries") + 1).where(F.col("tries") < most_tries)
+    return done, again.drop("chunk", "ok")
