@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import Sink, bound_batches, map_rows, materialize, utf8
+from turnstile.llm.common import Sink, bound_batches, discard, map_rows, materialize, utf8
 from turnstile.llm.repeats import first_in_order, keyed_texts
 
 SHINGLE = 4
@@ -175,7 +175,9 @@ def link_group(fps: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tupl
     fps, table = fps[by], table[by]
     left = np.arange(len(fps))
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        # Each tree grows from its smallest fingerprint, so that other groups give the same links.
+        seed = int(fps[left].argmin())
+        queue, left = [int(left[seed])], np.delete(left, seed)
         while queue and len(left):
             x = queue.pop()
             first = table[left, 0]
@@ -187,16 +189,28 @@ def link_group(fps: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tupl
             left = left[~np.isin(left, hit, assume_unique=True)]
 
 
-def link_small(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int, widest: int) -> Iterator[tuple[int, int]]:
-    """The links of all small groups at once: rows are sorted by key, and each meets those after it."""
+def link_small(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int, widest: int) -> Iterator[tuple[int, int, bool]]:
+    """The links of all small groups at once, and whether they are in a spanning forest: rows are sorted by key and fingerprint, and each meets those after it."""
+    first, second = [], []
     for step in range(1, widest):
         a = np.flatnonzero(keys[step:] == keys[:-step])
         if not len(a):
-            return
+            break
         for k in range(table.shape[1]):
             a = a[np.abs(table[a, k] - table[a + step, k]) <= radius]
         a = a[np.bitwise_count(fps[a].view(np.uint64) ^ fps[a + step].view(np.uint64)) <= radius]
-        yield from zip(fps[a].tolist(), fps[a + step].tolist(), strict=True)
+        first.append(a)
+        second.append(a + step)
+    if not first:
+        return
+    a, b = np.concatenate(first), np.concatenate(second)
+    by = np.lexsort((b, a))
+    trees = Forest()  # over rows, so that groups stay apart
+    for x, y in zip(a[by].tolist(), b[by].tolist(), strict=True):
+        tree = trees.root(x) != trees.root(y)
+        if tree:
+            trees.join(x, y)
+        yield int(fps[x]), int(fps[y]), tree
 
 
 def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -224,12 +238,13 @@ def _dealt(distinct: DataFrame, masks: list[int], radius: int) -> DataFrame:
     keyed = distinct.select("fp", "pivots", F.posexplode(literal).alias("t", "mask")).select(
         F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "t", "fp", "pivots"
     )
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "block-sizes")
-    parts = [keyed.join(sizes.where(F.col("n") <= GROUP), "key").select("key", "fp", "pivots")]
-    if sizes.where(F.col("n") > GROUP).limit(1).count():
+    hot = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"), "large-blocks")
+    parts = [keyed.select("key", "fp", "pivots")]
+    if hot.limit(1).count():
+        parts = [keyed.join(hot, "key", "left_anti").select("key", "fp", "pivots")]
         # Large groups again, by blocks of the bits on which they needn't agree.
         finer = F.array(*[F.array(*[F.lit(_signed(m)) for m in left_masks(mask, radius)]) for mask in masks])
-        large = keyed.join(sizes.where(F.col("n") > GROUP).select("key"), "key")
+        large = keyed.join(hot, "key", "left_semi")
         again = large.select("key", "fp", "pivots", F.posexplode(F.get(finer, F.col("t"))).alias("u", "mask")).select(
             F.xxhash64("key", "u", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp", "pivots"
         )
@@ -255,8 +270,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, *, small: int = 32) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         sink = Sink(pa.schema([("node", pa.int64()), ("up", pa.int64())]))
-        for x, y in _linked(batches, radius, small):
-            forest.join(x, y)
+        for x, y, tree in _linked(batches, radius, small):
+            if tree:
+                forest.join(x, y)
             if len(forest.up) > 500_000:
                 for node in list(forest.up):
                     if sink.add(node, forest.root(node)):
@@ -272,30 +288,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, *, small: int = 32) -> Data
 
 
 def candidates(distinct: DataFrame, radius: int, tables: int, *, small: int = 32) -> DataFrame:
-    """Pairs ``(node, up)`` of ``distinct(fp, pivots)`` at most ``radius`` bits apart that agree on some table's bits.
+    """Pairs ``(node, up, tree)`` of ``distinct(fp, pivots)`` at most ``radius`` bits apart that agree on some table's bits.
 
-    Not every such pair: a large group sends a spanning forest of its own.
+    ``tree`` says whether a pair is in the spanning forest of one of its groups. A
+    group of over ``small`` rows sends its forest alone.
     """
     dealt = _dealt(distinct, sampled_masks(distinct.count(), tables), radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink = Sink(pa.schema([("node", pa.int64()), ("up", pa.int64())]))
-        for x, y in _linked(batches, radius, small):
-            if sink.add(max(x, y), min(x, y)):
+        sink = Sink(pa.schema([("node", pa.int64()), ("up", pa.int64()), ("tree", pa.bool_())]))
+        for x, y, tree in _linked(batches, radius, small):
+            if sink.add(max(x, y), min(x, y), tree):
                 yield sink.flush()
         if len(sink):
             yield sink.flush()
 
-    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "node long, up long").distinct()
+    met = dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "node long, up long, tree boolean")
+    return met.groupBy("node", "up").agg(F.max("tree").alias("tree"))
 
 
-def _linked(batches: Iterator[pa.RecordBatch], radius: int, small: int) -> Iterator[tuple[int, int]]:
-    """Links of each group of rows sorted by key."""
+def _linked(batches: Iterator[pa.RecordBatch], radius: int, small: int) -> Iterator[tuple[int, int, bool]]:
+    """Links of each group of rows sorted by key, and whether they are in its forest."""
     for keys, fps, table in _groups(batches, 200_000):
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.concatenate((first, [len(keys)])))
         for a, n in zip(first[size > small].tolist(), size[size > small].tolist(), strict=True):
-            yield from link_group(fps[a : a + n], table[a : a + n], radius)
+            for x, y in link_group(fps[a : a + n], table[a : a + n], radius):
+                yield x, y, True
         few = np.repeat(size <= small, size)
         yield from link_small(keys[few], fps[few], table[few], radius, small)
 
@@ -412,8 +431,8 @@ def one_of_each(
     distinct = materialize(with_pivots(firsts), "distinct")
     met = materialize(candidates(distinct, radius, tables), "met")
     a, b = (firsts.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in ("node", "up"))
-    between = met.join(a, "node").join(b, "up").select(F.col("node_node").alias("node"), F.col("up_node").alias("up"))
-    within = nodes.join(firsts, "fp").where("node != least").select("node", F.col("least").alias("up"))
+    between = met.join(a, "node").join(b, "up").select(F.col("node_node").alias("node"), F.col("up_node").alias("up"), "tree")
+    within = nodes.join(firsts, "fp").where("node != least").select("node", F.col("least").alias("up"), F.lit(True).alias("tree"))
     pairs = materialize(between.unionByName(within), "pairs")
 
     def cut(node, text) -> Iterable[tuple]:
@@ -422,12 +441,21 @@ def one_of_each(
     needed = nodes.join(pairs.select("node").union(pairs.select("up")).distinct(), "node").select("key", "node")
     texts = source.select("key", "t").join(materialize(needed, "needed"), "key").groupBy("node").agg(F.first("t").alias("t"))
     sets = materialize(map_rows(texts, ["node", "t"], pa.schema([("node", long), ("s", pa.binary())]), "node long, s binary", cut), "shingle-sets")
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("up"), F.col("s").alias("u")), "up")
 
     def checked(node, up, x, y) -> Iterable[tuple]:
         if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
             yield node, up
 
-    roots = components(map_rows(both, ["node", "up", "s", "u"], schema("node", "up"), "node long, up long", checked))
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(sets, "node").join(sets.select(F.col("node").alias("up"), F.col("s").alias("u")), "up")
+        return materialize(map_rows(both, ["node", "up", "s", "u"], schema("node", "up"), "node long, up long", checked), "verified")
+
+    # The forests first; of the other pairs only those that would join what is still apart.
+    first = verified(pairs.where("tree"))
+    now = components(first)
+    apart = pairs.where("NOT tree").join(now, "node", "left").withColumn("a", F.coalesce("root", "node")).drop("root")
+    apart = apart.join(now.select(F.col("node").alias("up"), "root"), "up", "left").where(F.col("a") != F.coalesce("root", "up"))
+    roots = components(first.unionByName(verified(apart.select("node", "up"))))
+    discard(sets, pairs, met)
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return grouped.groupBy("root").agg(F.min(first_in_order()).alias("one")).select("one.doc_id", "one.key")
