@@ -564,8 +564,8 @@ def test_scores_against_plain_compression():
     import zstandard as zstd
 
     rng = random.Random(3)
-    good = [prose(rng, 80).encode() for _ in range(120)]
-    bad = [(prose(rng, 40) + " " + rng.choice(["worthless", "pathetic", "disgusting"]) + " " + prose(rng, 30)).encode() for _ in range(60)]
+    good = [prose(rng, 80).encode() for _ in range(300)]
+    bad = [(prose(rng, 40) + " " + rng.choice(["worthless", "pathetic", "disgusting"]) + " " + prose(rng, 30)).encode() for _ in range(150)]
     model = toxicity.train(bad, good)
     # The ordinary dictionary is the trainer's, on the windows of ordinary texts.
     own = [b" " + w + b" " for t in good for w in t.lower().split()]

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from turnstile.llm.common import Sink, bound_batches, hashed_sample, rows_of, utf8
 
-GRAM = 5
+GRAMS = (5,8)
 #: Shares of ordinary windows that reach the calibrated thresholds.
 TAILS = (1e-2, 1e-3, 1e-4, 1e-5)
 #: Bytes of the dictionaries.
-BASE, EXTRA = 8_192, 3_072
+BASE, EXTRA = 8_192, 8192
 #: Windows that train the ordinary dictionary, at most.
 TRAINED = 60_000
 #: Distances remembered by a task.
@@ -48,7 +48,7 @@ LONGEST = 64
 
 def _grams(word: bytes) -> list[bytes]:
     marked = b" " + word + b" "
-    return [marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)]
+    return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -60,7 +60,7 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def marked_grams(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> set[bytes]:
-    """Grams that toxic documents hold over ten times as often, at over 4.5 standard errors."""
+    """Grams that toxic documents hold over ten times as often, at over 6.5 standard errors."""
     seen_toxic: Counter[bytes] = Counter()
     seen_ordinary: Counter[bytes] = Counter()
     for texts, seen in ((toxic, seen_toxic), (ordinary, seen_ordinary)):
@@ -72,7 +72,7 @@ def marked_grams(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> set[bytes
         o = seen_ordinary[gram]
         if c >= 3 and c / nt > 10 * (o + 0.3) / no:
             p = (c + o) / (nt + no)
-            if (c / nt - o / no) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / nt + 1 / no)) >= 4.5:
+            if (c / nt - o / no) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / nt + 1 / no)) >= 6.5:
                 marked.add(gram)
     return marked
 
@@ -81,9 +81,10 @@ def marked_parts(word: bytes, marked: set[bytes]) -> list[bytes]:
     """The runs of a word, blanks around it included, that marked grams cover."""
     whole = b" " + word + b" "
     covered = bytearray(len(whole))
-    for i in range(len(whole) - GRAM + 1):
-        if whole[i : i + GRAM] in marked:
-            covered[i : i + GRAM] = b"\x01" * GRAM
+    for n in GRAMS:
+        for i in range(len(whole) - n + 1):
+            if whole[i : i + n] in marked:
+                covered[i : i + n] = b"\x01" * n
     return [run for run in bytes(c if k else 0 for c, k in zip(whole, covered, strict=True)).split(b"\0") if run]
 
 
