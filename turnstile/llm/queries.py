@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import decontam, licenses, lm_scoring, mixing, quality, sentence_dedup, sharding, simhash, suffix_dedup, toxicity
+from turnstile.llm import decontam, filter_audit, importance, licenses, lm_scoring, mixing, packing, quality, sentence_dedup, sharding, simhash, suffix_dedup, toxicity
 from turnstile.llm.common import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,21 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -98,6 +113,9 @@ def queries() -> dict[str, Query]:
             op8_sentence_dedup,
             op9_quality,
             op10_shards,
+            op11_pack_sequences,
+            op12_importance_resample,
+            op13_filter_audit,
         )
     }
 
@@ -237,5 +255,72 @@ FROM doc JOIN kept USING (r)
 """
 
 
+#: CRC-32 by a table of 256 entries made from its polynomial, byte by byte over distinct n-grams.
+OP12_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) AS t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+feature AS (
+  SELECT r, array_to_string(w[i:i + n - 1], ' ') AS g FROM doc, (VALUES (1), (2), (3)) AS k(n), unnest(range(1, len(w) - n + 2)) AS t(i)
+  UNION ALL
+  SELECT -1 AS r, array_to_string(w[i:i + n - 1], ' ') AS g FROM item, (VALUES (1), (2), (3)) AS k(n), unnest(range(1, len(w) - n + 2)) AS t(i)),
+gram AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(g)) + 1), lambda j: CAST('0x' || hex(encode(g))[2 * j - 1:2 * j] AS BIGINT))),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT g FROM feature), tbl),
+hashed AS (SELECT r, bucket, count(*) AS n FROM feature JOIN gram USING (g) GROUP BY r, bucket),
+sums AS (SELECT bucket, sum(CASE WHEN r >= 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN r < 0 THEN n ELSE 0 END) AS t FROM hashed GROUP BY bucket),
+alls AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM sums),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (big_s + 10000) AS DOUBLE) / CAST((s + 1) * (big_t + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM sums, alls),
+weighed AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM hashed JOIN gain USING (bucket) WHERE r >= 0 GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS BIGINT) AS score
+  FROM doc LEFT JOIN weighed USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+#: Every order is applied to every document.
+OP13_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT text, min(doc_id) AS first_id FROM doc GROUP BY text),
+label AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT r, part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+         map {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+              'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text),
+              'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(first_id < doc.doc_id, false)} AS f
+  FROM doc JOIN first USING (text) LEFT JOIN label ON label.doc_id = doc.doc_id),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter AS a, letter AS b, letter AS c, letter AS d, letter AS e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+step AS (SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS earlier FROM orders, range(1, 6) AS t(step)),
+seen AS (
+  SELECT part, filter_order, step, x, good, toxic, f[x] AS fails,
+         (SELECT count(*) FROM unnest(['A', 'B', 'C', 'D', 'E']) AS q(y) WHERE f[y]) AS n_fails,
+         len(list_filter(string_split(earlier, ''), lambda y: coalesce(f[y], false))) > 0 AS gone
+  FROM (SELECT part, f, good, toxic FROM failed), step),
+counted AS (
+  SELECT part, filter_order, step, x, count(*) FILTER (WHERE NOT gone AND NOT fails) AS kept, count(*) FILTER (WHERE NOT gone AND fails) AS removed,
+         count(*) FILTER (WHERE gone AND fails) AS redundant, count(*) FILTER (WHERE fails AND n_fails = 1) AS unique_fails,
+         count(*) FILTER (WHERE NOT gone AND fails AND good) AS good_lost, count(*) FILTER (WHERE NOT gone AND fails AND toxic) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op6_licenses": _op6_sql(), "op8_sentence_dedup": OP8_SQL, "op9_quality": OP9_SQL}
+    return {"op12_importance_resample": OP12_SQL, "op13_filter_audit": OP13_SQL, "op4_decontaminate": OP4_SQL, "op6_licenses": _op6_sql(), "op8_sentence_dedup": OP8_SQL, "op9_quality": OP9_SQL}
