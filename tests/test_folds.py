@@ -246,5 +246,5 @@ def test_chunks_that_were_refused_are_queued_again(spark):
     queue = spark.createDataFrame([(1, i, 0 if i < 8 else 4) for i in range(10)], "run_id long, seq long, tries int")
     answers = spark.createDataFrame([(1, 0, True), (1, 1, False), (1, 2, True)], "run_id long, chunk long, ok boolean")
     done, again = settle(queue, answers, ["seq"], chunk=3)
-    assert sorted(r.seq for r in done.collect()) == [0, 1, 2, 6, 7, 8]
-    assert sorted((r.seq, r.tries) for r in again.collect()) == [(3, 1), (4, 1), (5, 1)]  # the last row was given up
+    assert sorted(r.seq for r in done.collect()) == [0, 4, 5, 6, 8, 9]  # those that had been refused before went first
+    assert sorted((r.seq, r.tries) for r in again.collect()) == [(1, 1), (2, 1), (3, 1), (7, 1)]
