@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from turnstile.llm import decontam, quality, simhash
 
@@ -122,6 +124,64 @@ def test_near_copies_against_all_pairs(spark):
     assert set(want) <= set(got) and len(got) <= 1.02 * n
 
 
+def form_letters(families, edits, seed=9):
+    """A form letter in many variants, each of them twice with one more word changed: pairs alone agree to 0.8."""
+    rng = random.Random(seed)
+    letter = [f"w{rng.randrange(4000)}" for _ in range(260)]
+    rows = []
+    for i in range(families):
+        own = list(letter)
+        for at in rng.sample(range(260), edits):
+            own[at] = f"name{rng.randrange(10**6)}"
+        twin = list(own)
+        twin[rng.randrange(260)] = f"other{i}"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(twin))]
+    return rows
+
+
+def test_near_copies_in_a_large_family(spark):
+    """Every pair of 1,500 variants of one letter is one group; no link is lost for the others being close."""
+    rows = form_letters(1500, 14)
+    sets = [simhash.shingle_set(t.encode()) for _, t in rows]
+    near = sum(simhash.alike(sets[i], sets[j]) for i in range(60) for j in range(len(rows)) if i != j)
+    assert near == 60  # the first sixty against all: their twins alone
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).collect()}
+    lost = [i for i in range(1500) if 2 * i + 1 in got]
+    assert {2 * i for i in range(1500)} <= got and len(lost) <= 0.02 * 1500
+
+
+def test_near_copies_of_one_fingerprint_meet_each_other(spark):
+    """Texts that repeat a phrase share a fingerprint; whoever stands for it, each is compared."""
+    base = "one two three four five six seven eight nine ten eleven " * 200
+    rows = [(i, base + " ".join(f"tail{i // 2}x{k}" for k in range(12)) + (" odd" if i % 2 else "")) for i in range(40)]
+    prints = {simhash.fingerprint(t.encode(), simhash.WIDE_SHINGLE) for _, t in rows}
+    assert len(prints) == 1
+    n, want = brute_groups(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).collect())
+    assert n == 20 and got == want
+
+
+def test_near_copies_take_maps_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f g h", {"k": 1}), (1, "a b c d e f g h", {"k": 1}), (1, "a b c d e f g h", {"k": 2}), (2, "i j k l m n", None), (None, "a b c d e f g h", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and len(got) == 2
+
+
+def test_sketches_follow_similarity():
+    """128 bytes agree about as often as the sets are alike, and hardly a pair of 0.8 is refused by them."""
+    rng = random.Random(2)
+    refused = 0
+    for _ in range(400):
+        shared, own = [rng.getrandbits(64) for _ in range(400)], [[rng.getrandbits(64) for _ in range(50)] for _ in range(2)]
+        a, b = (simhash.sketch(np.array(shared + x, np.uint64)) for x in own)
+        refused += (a == b).sum() < simhash.AGREE
+    assert refused <= 1
+    assert (simhash.sketch(np.arange(500, dtype=np.uint64) << np.uint64(3)) == simhash.sketch(np.arange(9000, 9500, dtype=np.uint64))).mean() < 0.1
+
+
 def test_near_copies_stage_catches_edited_texts_and_rows_without_an_id(spark):
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]

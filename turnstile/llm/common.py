@@ -64,6 +64,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes up to which a table of keys is sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """``table`` as a broadcast side while its counted rows of ``row_bytes`` stay under ``BROADCAST_BYTES``, else as it is.
+
+    Beyond that Spark deals both sides of the join; the result is the same.
+    """
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def bound_batches(spark: SparkSession, rows: int = 1024, nbytes: int = 8 << 20) -> None:
     """Smaller Arrow batches than the defaults, as rows here are whole texts.
 

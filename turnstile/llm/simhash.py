@@ -26,7 +26,9 @@ their shingles. At a similarity of 0.8 in five words the fingerprints of five-wo
 shingles differ by 10 bits in the mean, which no exact search by bits can follow at
 scale. There the fingerprints are those of two-word shingles, whose bits move less,
 rows meet that agree on sampled bits, the pivots discard, and the sets of five-word
-shingles themselves decide.
+shingles themselves decide. Small groups send all their pairs to be decided. A large
+group gets its members' sets and sends a spanning forest of the decided links, so
+that a family of thousands costs about its size and loses no link.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import Sink, bound_batches, discard, map_rows, materialize, utf8
+from turnstile.llm.common import Sink, bound_batches, broadcast_if_small, discard, map_rows, materialize, utf8
 from turnstile.llm.repeats import first_in_order, keyed_texts
 
 SHINGLE = 4
@@ -56,6 +58,13 @@ GROUP = 8192
 #: fingerprint's shingle, bits that may differ, and tables of sampled bits.
 SET_SHINGLE, LEAST = 5, 0.8
 WIDE_SHINGLE, WIDE_RADIUS, TABLES = 2, 10, 24
+#: Rows of a group that sends all its pairs; larger ones are decided where they meet.
+SMALL = 128
+#: MinHashes that spare a large group most exact comparisons: of two sets of similarity 0.8 about
+#: 102.5 of 128 bytes agree, fewer than ``AGREE`` of them once in some 7,000 pairs.
+_MULTIPLY = np.array([xxhash.xxh32_intdigest(b"multiply %d" % i, SEED) | 1 for i in range(128)], np.uint32)
+_ADD = np.array([xxhash.xxh32_intdigest(b"add %d" % i, SEED) for i in range(128)], np.uint32)
+AGREE = 86
 _CHUNK = 1 << 16
 
 
@@ -189,8 +198,14 @@ def link_group(fps: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tupl
             left = left[~np.isin(left, hit, assume_unique=True)]
 
 
-def link_small(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int, widest: int) -> Iterator[tuple[int, int, bool]]:
-    """The links of all small groups at once, and whether they are in a spanning forest: rows are sorted by key and fingerprint, and each meets those after it."""
+def link_small(
+    keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int, widest: int, names: np.ndarray | None = None
+) -> Iterator[tuple[int, int, bool]]:
+    """The links of all small groups at once, and whether they are in a spanning forest: rows are sorted by key and fingerprint, and each meets those after it.
+
+    Rows are named by ``names``, by their fingerprints unless it is given.
+    """
+    names = fps if names is None else names
     first, second = [], []
     for step in range(1, widest):
         a = np.flatnonzero(keys[step:] == keys[:-step])
@@ -210,7 +225,7 @@ def link_small(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int
         tree = trees.root(x) != trees.root(y)
         if tree:
             trees.join(x, y)
-        yield int(fps[x]), int(fps[y]), tree
+        yield int(names[x]), int(names[y]), tree
 
 
 def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -287,26 +302,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, *, small: int = 32) -> Data
     return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "node long, up long")
 
 
-def candidates(distinct: DataFrame, radius: int, tables: int, *, small: int = 32) -> DataFrame:
-    """Pairs ``(node, up, tree)`` of ``distinct(fp, pivots)`` at most ``radius`` bits apart that agree on some table's bits.
-
-    ``tree`` says whether a pair is in the spanning forest of one of its groups. A
-    group of over ``small`` rows sends its forest alone.
-    """
-    dealt = _dealt(distinct, sampled_masks(distinct.count(), tables), radius)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink = Sink(pa.schema([("node", pa.int64()), ("up", pa.int64()), ("tree", pa.bool_())]))
-        for x, y, tree in _linked(batches, radius, small):
-            if sink.add(max(x, y), min(x, y), tree):
-                yield sink.flush()
-        if len(sink):
-            yield sink.flush()
-
-    met = dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "node long, up long, tree boolean")
-    return met.groupBy("node", "up").agg(F.max("tree").alias("tree"))
-
-
 def _linked(batches: Iterator[pa.RecordBatch], radius: int, small: int) -> Iterator[tuple[int, int, bool]]:
     """Links of each group of rows sorted by key, and whether they are in its forest."""
     for keys, fps, table in _groups(batches, 200_000):
@@ -398,6 +393,119 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return shared >= least * (len(a) + len(b) - shared)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A byte of each of 128 minima of a set of hashes."""
+    low = hashes.astype(np.uint32)
+    least = np.full(len(_ADD), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 4096):
+        least = np.minimum(least, (low[at : at + 4096, None] * _MULTIPLY + _ADD).min(axis=0))
+    return ((least ^ (least >> np.uint32(15))) & np.uint32(255)).astype(np.uint8)
+
+
+def link_alike(nodes: np.ndarray, fps: np.ndarray, table: np.ndarray, sets: list[np.ndarray], radius: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of a group that pivots and bits leave and the sets decide; what is linked leaves the search."""
+    by = np.argsort(table[:, 0], kind="stable")
+    nodes, fps, table, sets = nodes[by], fps[by], table[by], [sets[i] for i in by]
+    sketches = np.array([sketch(x) for x in sets]).reshape(len(sets), len(_ADD))
+    left = np.arange(len(fps))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            first = table[left, 0]
+            part = left[np.searchsorted(first, table[x, 0] - radius) : np.searchsorted(first, table[x, 0] + radius, "right")]
+            hit = part[near(fps[x], table[x], fps[part], table[part], radius)]
+            hit = hit[(sketches[hit] == sketches[x]).sum(axis=1) >= AGREE]
+            hit = np.array([y for y in hit.tolist() if alike(sets[x], sets[y])], np.int64)
+            for y in hit.tolist():
+                yield int(nodes[x]), int(nodes[y])
+            queue += hit.tolist()
+            if len(hit):
+                left = left[~np.isin(left, hit, assume_unique=True)]
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, node, fp, pivots of a batch."""
+    own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+    return (*own, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, len(PIVOTS)))
+
+
+def _portions(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list[np.ndarray], list[pa.Array]]]:
+    """Rows sorted by key in portions that end where a key ends; with them what other columns the batches have."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def portion(whole: pa.RecordBatch) -> tuple[list[np.ndarray], list[pa.Array]]:
+        return list(_arrays(whole)), whole.columns[4:]
+
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            keys = whole.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(keys, keys[-1], "left"))
+            if cut:
+                yield portion(whole.slice(0, cut))
+            held, count = [whole.slice(cut)], len(keys) - cut
+    if count:
+        yield portion(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+_EDGES = pa.schema([("node", pa.int64()), ("up", pa.int64())])
+_PAIRS = pa.schema([("node", pa.int64()), ("up", pa.int64()), ("tree", pa.bool_())])
+
+
+def candidates(nodes: DataFrame, radius: int, tables: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``nodes(node, fp, pivots)``: the pairs ``(node, up, tree)`` of small groups, and the rows ``(key, node, fp, pivots)`` of large ones.
+
+    Rows that agree on some table's bits share a key. ``tree`` says whether a pair is in the
+    spanning forest of one of its groups. Large groups are cut into pieces of ``GROUP`` rows, and each
+    two pieces are a group.
+    """
+    masks = F.array(*[F.lit(_signed(m)) for m in sampled_masks(nodes.count(), tables)])
+    keyed = nodes.select("node", "fp", "pivots", F.posexplode(masks).alias("t", "mask")).select(
+        F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "node", "fp", "pivots"
+    )
+    large = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "large-groups")
+    few = keyed.join(broadcast_if_small(large.select("key"), 8), "key", "left_anti")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = Sink(_PAIRS)
+        for (keys, own, fps, table), _ in _portions(batches, 200_000):
+            for a, b, tree in link_small(keys, fps, table, radius, SMALL, own):
+                if sink.add(max(a, b), min(a, b), tree):
+                    yield sink.flush()
+        if len(sink):
+            yield sink.flush()
+
+    met = few.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(pairs, "node long, up long, tree boolean")
+    grouped = keyed.join(broadcast_if_small(large, 16), "key").withColumn("pieces", F.ceil(F.col("n") / GROUP).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    dealt = grouped.withColumn("own", own).select("key", "node", "fp", "pivots", "pieces", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    pair = F.when(F.col("pieces") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return met.groupBy("node", "up").agg(F.max("tree").alias("tree")), dealt.select(pair.alias("key"), "node", "fp", "pivots")
+
+
+def decide_large(rows: DataFrame, sets: DataFrame, radius: int) -> DataFrame:
+    """The links ``(node, up)`` of large groups, a spanning forest a group, decided where the sets ``(node, s)`` meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink = Sink(_EDGES)
+        for (keys, own, fps, table), (held,) in _portions(batches, 1):
+            edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                group = [np.frombuffer(x, np.uint64) for x in held.slice(a, b - a).to_pylist()]
+                for x, y in link_alike(own[a:b], fps[a:b], table[a:b], group, radius):
+                    if sink.add(max(x, y), min(x, y)):
+                        yield sink.flush()
+        if len(sink):
+            yield sink.flush()
+
+    joined = rows.join(sets, "node").select("key", "node", "fp", "pivots", "s")
+    return joined.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node long, up long").distinct()
+
+
 def one_of_each(
     docs: DataFrame,
     *,
@@ -405,8 +513,8 @@ def one_of_each(
     tables: int = TABLES,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> DataFrame:
-    """``doc_id`` and ``key`` (:func:`keyed_texts`) of one row of each group of near copies.
+) -> tuple[DataFrame, DataFrame]:
+    """``doc_id`` and ``key`` (:func:`keyed_texts`) of one row of each group of near copies, and of all rows.
 
     Texts link if they have the same words, or if the Jaccard similarity of their
     sets of ``SET_SHINGLE``-word shingles is ``LEAST`` or more and their
@@ -425,22 +533,20 @@ def one_of_each(
 
     ddl = "doc_id long, key long, node long, fp long"
     rows = materialize(map_rows(source, ["doc_id", "key", "t"], schema("doc_id", "key", "node", "fp"), ddl, named), "named")
-    # A node is a text, whatever its blanks and case; of those with one fingerprint the first stands for it.
+    # A node is a text, whatever its blanks and case.
     nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("key").alias("key")), "nodes")
-    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "firsts")
-    distinct = materialize(with_pivots(firsts), "distinct")
-    met = materialize(candidates(distinct, radius, tables), "met")
-    a, b = (firsts.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in ("node", "up"))
-    between = met.join(a, "node").join(b, "up").select(F.col("node_node").alias("node"), F.col("up_node").alias("up"), "tree")
-    within = nodes.join(firsts, "fp").where("node != least").select("node", F.col("least").alias("up"), F.lit(True).alias("tree"))
-    pairs = materialize(between.unionByName(within), "pairs")
+    pairs, large = candidates(with_pivots(nodes.select("fp", F.col("node").alias("least"))).withColumnRenamed("least", "node"), radius, tables)
+    pairs, large = materialize(pairs, "pairs"), materialize(large, "large-rows")
 
     def cut(node, text) -> Iterable[tuple]:
         yield node, shingle_set(text).tobytes()
 
-    needed = nodes.join(pairs.select("node").union(pairs.select("up")).distinct(), "node").select("key", "node")
-    texts = source.select("key", "t").join(materialize(needed, "needed"), "key").groupBy("node").agg(F.first("t").alias("t"))
+    # Only the texts that some pair or large group names are taken apart; only they are dealt.
+    asked = pairs.select("node").union(pairs.select("up")).union(large.select("node")).distinct()
+    needed = materialize(nodes.join(asked, "node").select("key", "node"), "needed")
+    texts = source.select("key", "t").join(broadcast_if_small(needed, 16), "key").groupBy("node").agg(F.first("t").alias("t"))
     sets = materialize(map_rows(texts, ["node", "t"], pa.schema([("node", long), ("s", pa.binary())]), "node long, s binary", cut), "shingle-sets")
+    decided = materialize(decide_large(large, sets, radius), "decided")
 
     def checked(node, up, x, y) -> Iterable[tuple]:
         if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
@@ -451,11 +557,12 @@ def one_of_each(
         return materialize(map_rows(both, ["node", "up", "s", "u"], schema("node", "up"), "node long, up long", checked), "verified")
 
     # The forests first; of the other pairs only those that would join what is still apart.
-    first = verified(pairs.where("tree"))
+    first = materialize(verified(pairs.where("tree")).unionByName(decided), "first-links")
     now = components(first)
     apart = pairs.where("NOT tree").join(now, "node", "left").withColumn("a", F.coalesce("root", "node")).drop("root")
     apart = apart.join(now.select(F.col("node").alias("up"), "root"), "up", "left").where(F.col("a") != F.coalesce("root", "up"))
     roots = components(first.unionByName(verified(apart.select("node", "up"))))
-    discard(sets, pairs, met)
+    discard(sets, pairs, large)
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return grouped.groupBy("root").agg(F.min(first_in_order()).alias("one")).select("one.doc_id", "one.key")
+    chosen = materialize(grouped.groupBy("root").agg(F.min(first_in_order()).alias("one")).select("one.doc_id", "one.key"), "chosen")
+    return chosen, rows.select("doc_id", "key")
