@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstile.functions.columns import iou, jpeg_dims, unit
-from turnstile.operators.folds import CX, CY, HITS, VX, VY, Gallery, Story, Template, Tracker, associate, iou_matrix, prune_redundant, track_boxes
+from turnstile.operators.folds import CX, CY, HITS, VX, VY, Gallery, Template, Tracker, associate, iou_matrix, prune_redundant, track_boxes
 from turnstile.settings import Settings
 from turnstile.sources.sinks import read_snapshot, settle, upsert, upsert_batches, write_snapshot
 from turnstile.streaming.tracks import _advance, crossings_stream, metrics_stream, track_stream
@@ -67,15 +67,6 @@ def test_merge_refuses_and_normalises():
     assert not g.merge(3, 5)
 
 
-def test_story_heals_a_mint_on_its_track():
-    s = Story()
-    s.frame(0, [(1, template(1, axis((0, 1.0))))])
-    s.frame(500, [(2, template(2, axis((5, 1.0))))])
-    assert s.people == 2
-    s.frame(1000, [(2, template(3, probe(0.6, 1)))])
-    assert (s.people, s.healed) == (1, 1)
-
-
 def test_tracker_confirms_and_keeps_identity():
     t = Tracker(Settings(track_max_misses=2))
     assert [t.step([(10.0 * i, 0, 40, 80)]) for i in range(4)] == [[(0, 1)]] * 4

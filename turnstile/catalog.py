@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstile.operators import evals, folds, gate, reconcile, reports, search, spatial, stats, texts  # noqa: F401  (they register)
+from turnstile.operators import evals, folds, gate, merging, reconcile, reports, search, spatial, stats, stories, texts  # noqa: F401  (they register)
 from turnstile.plans import registry
 from turnstile.plans.registry import apply  # noqa: F401  (for users)
 
@@ -17,8 +17,8 @@ FLAGSHIP = "cosine_top1"
 
 
 def queries() -> dict[str, Query]:
-    return {name: registry.spark_query(name) for name in registry.names()} | folds.FOLDS
+    return {name: registry.spark_query(name) for name in registry.names()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: registry.duckdb_sql(name) for name in registry.names()} | folds.oracle_sql()
+    return registry.oracles()

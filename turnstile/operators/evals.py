@@ -14,10 +14,11 @@ from turnstile.sources.bindings import clips, manifest, prior, runs, sightings,
 
 @sql
 def stage_distribution(d: Dialect) -> str:
-    """A metric never emitted is null; one emitted without values counts 0."""
-    return f"""SELECT run_id, count(CASE WHEN stage = 'click' THEN value END) AS clicks, CASE WHEN count(CASE WHEN stage = 'refund' THEN 1 END) > 0
-      THEN count(CASE WHEN stage = 'refund' THEN value END) END AS refunds, round(avg(CASE WHEN stage = 'click' THEN value END), 6) AS mean_click
-      FROM {sightings(d)} AS s GROUP BY run_id"""
+    """A map from each stage of a run to the number of its values, and one to their mean: a stage that was never emitted isn't
+    in them, one emitted without values counts 0 and has no mean. Maps are given as their entries in order."""
+    by_stage = f"SELECT run_id, stage, count(value) AS n, round(avg(value), 4) AS mean FROM {sightings(d)} AS s GROUP BY run_id, stage"
+    return f"""SELECT run_id, {d.entries('counts')} AS counts, {d.entries('means')} AS means FROM (
+      SELECT run_id, {d.metric_map('stage', 'n')} AS counts, {d.metric_map('stage', 'mean')} AS means FROM ({by_stage}) AS b GROUP BY run_id) AS m"""
 
 
 def _funnel(d: Dialect) -> str:
@@ -46,7 +47,7 @@ def _scored(d: Dialect) -> str:
 @sql
 def unique_error(d: Dialect) -> str:
     """The signed relative error of the count, and whether it is within the envelope."""
-    return f"SELECT clip, half, round(err, 6) AS err, abs(err) <= {d.k.envelope} + 1.0E-12 AS within FROM ({_scored(d)}) AS s WHERE scorable"
+    return f"SELECT clip, half, {d.fail_unless('actual >= 1', 'a clip needs one person at least', 'round(err, 6)')} AS err, abs(err) <= {d.k.envelope} + 1.0E-12 AS within FROM ({_scored(d)}) AS s WHERE scorable"
 
 
 @sql

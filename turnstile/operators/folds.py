@@ -7,18 +7,18 @@ runs; a run is a serial story by nature.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.plans.dialect import DUCKDB, Dialect
-from turnstile.plans.registry import sql
-from turnstile.settings import DEFAULTS, Settings
+from turnstile.plans.registry import frames, sql
+from turnstile.settings import DEFAULTS, FIXTURE, Settings
 from turnstile.sources import bindings
 
 
@@ -148,18 +148,35 @@ def track_boxes(boxes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return rows.repartition("run_id").sortWithinPartitions("run_id", "frame", "n").mapInArrow(run, TRACKS_DDL)
 
 
-def _run_boxes(d: Dialect) -> str:
-    return f"SELECT frame % 64 AS run_id, frame, CAST(n AS BIGINT) AS n, x, y, w, h FROM {bindings.boxes(d)} AS b"
+def fold_in_order(df: DataFrame, by: str, order: list[str], whole: list[str], start: Callable, step: Callable, ddl: str) -> DataFrame:
+    """Each group's rows in order through a fold whose state is handed from batch to batch.
 
+    ``start()`` makes a group's state and ``step(group, rows, state)`` gives output rows; rows that
+    agree in ``whole`` come together. A task holds a batch and one group's state.
+    """
+    columns = [f.split()[0] for f in ddl.split(", ")]
 
-def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every box of every run with its track."""
-    return track_boxes(spark.sql(_run_boxes(Dialect(spark=True, root=sf_dir))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, held = None, None, None
+        for rows in batches:
+            rows = rows if held is None else pd.concat((held, rows), ignore_index=True)
+            last = np.logical_and.reduce([rows[c] == rows[c].iloc[-1] for c in [by, *whole]]) if len(rows) else np.zeros(0, bool)
+            held, ready, out = rows[last], rows[~last], []
+            for own, part in ready.groupby(by, sort=False):
+                if own != now:
+                    now, state = own, start()
+                out += step(own, part, state)
+            yield pd.DataFrame(out, columns=columns)
+        if held is not None and len(held):
+            own = held[by].iloc[0]
+            yield pd.DataFrame(step(own, held, state if own == now else start()), columns=columns)
+
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, ddl)
 
 
 def tracker_sql() -> str:
     """The tracker as a recursive query over frames, its state a list of tracks a run: the oracle."""
-    k = DEFAULTS
+    k = FIXTURE
     side = lambda c, w, q: f"(least(z.t.c{q} - z.t.{w} / 2 + z.t.{w}, z.b.{c} + z.b.{w}) - greatest(z.t.c{q} - z.t.{w} / 2, z.b.{c}))"
     wide, high = side("x", "w", "x"), side("y", "h", "y")
     over = f"(CASE WHEN {wide} <= 0 OR {high} <= 0 THEN 0.0 ELSE {wide} * {high} / (z.t.w * z.t.h + z.b.w * z.b.h - {wide} * {high}) END)"
@@ -168,7 +185,7 @@ def tracker_sql() -> str:
     return f"""WITH RECURSIVE f AS (
       SELECT run_id, frame, row_number() OVER (PARTITION BY run_id ORDER BY frame) AS k, boxes FROM (
         SELECT run_id, frame, list(struct_pack(n := n, x := x, y := y, w := w, h := h) ORDER BY n) AS boxes
-        FROM ({_run_boxes(DUCKDB)}) AS b0 GROUP BY run_id, frame) AS g),
+        FROM {bindings.run_boxes(DUCKDB)} AS b0 GROUP BY run_id, frame) AS g),
     step AS (
       SELECT run_id, 0::BIGINT AS k, 0::BIGINT AS frame, []::{state} AS tracks, 0::BIGINT AS born, []::STRUCT(n BIGINT, track BIGINT)[] AS found
       FROM (SELECT DISTINCT run_id FROM f) AS r
@@ -195,6 +212,12 @@ def tracker_sql() -> str:
     SELECT run_id, frame, u.n AS n, u.track AS track FROM (SELECT run_id, frame, unnest(found) AS u FROM step) AS o"""
 
 
+@frames("run_boxes", oracle=tracker_sql)
+def tracker(k: Settings, run_boxes: DataFrame) -> DataFrame:
+    """Every box of every run with its track."""
+    return track_boxes(run_boxes, k)
+
+
 # ---------------------------------------------------------------- gallery
 
 
@@ -259,16 +282,17 @@ class Rows:
             self.place[int(self.ids[at])] = at
         self.n = last
 
-    def best(self, vec: np.ndarray, without: set[int]) -> tuple[int, float, int] | None:
-        """(key, cosine, template) of the best row; ties go to the lowest id."""
-        cos = np.round(self.mat[: self.n] @ vec, DIGITS) if self.n else np.zeros(0)
+    def best(self, vec: np.ndarray, without: set[int]) -> tuple[int, float, int, float] | None:
+        """(key, cosine, template, cosine as it came) of the best row; ties go to the lowest id."""
+        raw = self.mat[: self.n] @ vec if self.n else np.zeros(0)
+        cos = np.round(raw, DIGITS)
         open_ = ~np.isin(self.keys[: self.n], list(without)) if without else np.ones(self.n, bool)
         if not open_.any():
             return None
         most = cos[open_].max()
         ties = np.flatnonzero(open_ & (cos == most))
         at = ties[self.ids[ties].argmin()]
-        return int(self.keys[at]), float(most), int(self.ids[at])
+        return int(self.keys[at]), float(most), int(self.ids[at]), float(raw[at])
 
 
 class People(dict):
@@ -303,8 +327,8 @@ class Gallery:
     apart: set[tuple[int, int]] = field(default_factory=set)
     minted: int = 0
 
-    def search(self, vec: np.ndarray, without: Iterable[int] = ()) -> tuple[int, float, int] | None:
-        """(key, cosine, template) of the best row; ties go to the lowest id."""
+    def search(self, vec: np.ndarray, without: Iterable[int] = ()) -> tuple[int, float, int, float] | None:
+        """(key, cosine, template, cosine as it came) of the best row; ties go to the lowest id."""
         return self.people.rows.best(vec, set(without))
 
     def likeness(self, key: int, look: np.ndarray | None) -> float | None:
@@ -329,15 +353,15 @@ class Gallery:
         if best is None or best[1] < k.match_threshold:
             self.minted += 1
             self.people[self.minted] = [t]
-            return {"key": self.minted, "is_new": True, "cosine": best and best[1], "added": True, "vetoed": False}
-        key, cosine, _ = best
+            return {"key": self.minted, "is_new": True, "cosine": best and best[1], "raw": best and best[3], "added": True, "vetoed": False}
+        key, cosine, _, raw = best
         like, added, vetoed = self.likeness(key, t.look), False, False
         if self.should_enrol(key, cosine, t.vec):
             vetoed = like is not None and like < k.clothing_clash
             added = not vetoed
             if added:
                 self.people[key] = prune_redundant([*self.people[key], t], k.template_cap)
-        return {"key": key, "is_new": False, "cosine": cosine, "added": added, "vetoed": vetoed}
+        return {"key": key, "is_new": False, "cosine": cosine, "raw": raw, "added": added, "vetoed": vetoed}
 
     def merge(self, keep: int, drop: int) -> bool:
         """Fold ``drop`` into ``keep``; refused for itself, unknown keys and pairs that must stay apart."""
@@ -352,139 +376,16 @@ class Gallery:
         return True
 
 
-def _templates(rows: pd.DataFrame) -> list[Template]:
+def templates_of(rows: pd.DataFrame) -> list[Template]:
     return [
         Template(int(r.id), np.asarray(r.vec, float), float(r.quality), None if r.appearance is None else np.asarray(r.appearance, float))
-        for r in rows.sort_values("id").itertuples()
+        for r in rows.itertuples()
     ]
 
 
-def gallery_run(rows: pd.DataFrame) -> pd.DataFrame:
-    gallery, out = Gallery(), []
-    for t in _templates(rows):
-        v = gallery.match(t)
-        out.append((int(rows["run_id"].iloc[0]), t.id, v["key"], v["is_new"], None if v["cosine"] is None else round(v["cosine"], 6), v["added"], v["vetoed"]))
-    return pd.DataFrame(out, columns=["run_id", "id", "key", "is_new", "cosine", "added", "vetoed"])
-
-
-def gallery_fold_cap5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of each run in order, with learning, veto and pruning at five templates."""
-    rows = spark.sql(f"SELECT run_id, id, vec, quality, appearance FROM {bindings.templates(Dialect(True, sf_dir))} AS t")
-    return rows.groupBy("run_id").applyInPandas(gallery_run, "run_id long, id long, key long, is_new boolean, cosine double, added boolean, vetoed boolean")
-
-
-def prune_run(rows: pd.DataFrame) -> pd.DataFrame:
-    kept = prune_redundant(_templates(rows), DEFAULTS.template_cap)
-    return pd.DataFrame({"key": int(rows["key"].iloc[0]), "id": sorted(t.id for t in kept)})
-
-
-def prune_redundant_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stays of each key after pruning to five."""
-    rows = spark.sql(f"SELECT key, id, vec, quality, appearance FROM {bindings.templates(Dialect(True, sf_dir))} AS t")
-    return rows.groupBy("key").applyInPandas(prune_run, "key long, id long")
-
-
-# ---------------------------------------------------------------- reconciliation
-
-
-@dataclass
-class Story:
-    """Gallery, tracks, locks and mints of one run: their order is their meaning.
-
-    A frame: match every face; split one key on two bodies; note who is seen
-    together; then per face fold a mint into its track's lock, or record it and
-    let a strong match heal earlier mints of its track.
-    """
-
-    settings: Settings = DEFAULTS
-    gallery: Gallery = field(default_factory=Gallery)
-    together: set[tuple[int, int]] = field(default_factory=set)
-    mints: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    locks: dict[int, tuple[int, int]] = field(default_factory=dict)
-    people: int = 0
-    merged: int = 0
-    healed: int = 0
-    split: int = 0
-
-    def frame(self, t_ms: int, faces: list[tuple[int, Template]]) -> list[int]:
-        """Keys of the faces (track, template) of one frame."""
-        k, g = self.settings, self.gallery
-        found = [g.match(t) for _, t in faces]
-        by_key: dict[int, list[int]] = {}
-        for i, v in enumerate(found):
-            by_key.setdefault(v["key"], []).append(i)
-        for key, own in by_key.items():
-            keeper = max(own, key=lambda i: (found[i]["is_new"], found[i]["cosine"] or -1.0, -i))
-            for i in own:
-                a, b = faces[keeper][1].look, faces[i][1].look
-                if i != keeper and faces[i][0] != faces[keeper][0] and a is not None and b is not None:
-                    if float(np.minimum(a, b).sum()) < k.same_frame_clothing:
-                        self.split += 1
-                        rows = g.people[key]
-                        if found[i]["added"] and len(rows) > 1:
-                            g.people[key] = [r for r in rows if r.id != faces[i][1].id]
-                        found[i] = g.match(faces[i][1], [key])
-        keys = sorted({v["key"] for v in found})
-        self.together |= {(a, b) for n, a in enumerate(keys) for b in keys[n + 1 :]}
-        for (track, _), v in zip(faces, found, strict=True):
-            self.people += v["is_new"]
-            if v["is_new"]:
-                lock = self.locks.get(track)
-                if lock and t_ms - lock[1] <= k.lock_seconds * 1000 and self._fold(lock[0], v["key"]):
-                    self.merged += 1
-                    v["key"] = lock[0]
-                else:
-                    self.mints[track] = [*self.mints.get(track, []), (v["key"], t_ms)][-4:]
-            elif (v["cosine"] or 0) >= k.heal_cosine:
-                fresh = [(m, at) for m, at in self.mints.get(track, []) if t_ms - at <= k.heal_seconds * 1000]
-                for m, _ in fresh:
-                    if m != v["key"] and len(g.people.get(m, [])) == 1 and self._fold(v["key"], m):
-                        self.healed += 1
-                self.mints[track] = [(m, at) for m, at in fresh if m in g.people and m != v["key"]]
-                if v["cosine"] >= k.lock_cosine:
-                    self.locks[track] = (v["key"], t_ms)
-        return [v["key"] for v in found]
-
-    def _fold(self, keep: int, drop: int) -> bool:
-        if (min(keep, drop), max(keep, drop)) in self.together or not self.gallery.merge(keep, drop):
-            return False
-        self.people = max(0, self.people - 1)
-        return True
-
-
-def reconcile_run(rows: pd.DataFrame) -> pd.DataFrame:
-    story, out = Story(), []
-    for frame, group in rows.assign(frame=rows["id"] // 12).groupby("frame", sort=True):
-        faces = [(t.id % 3, t) for t in _templates(group)]
-        for (track, t), key in zip(faces, story.frame(int(frame) * 500, faces), strict=True):
-            out.append((int(rows["run_id"].iloc[0]), t.id, track, key, story.people, story.merged, story.healed, story.split))
-    return pd.DataFrame(out, columns=["run_id", "id", "track", "key", "people", "merged", "healed", "split"])
-
-
-def reconcile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole story of each run: keys as they were given, and the running counts."""
-    rows = spark.sql(f"SELECT run_id, id, vec, quality, appearance FROM {bindings.templates(Dialect(True, sf_dir))} AS t")
-    return rows.groupBy("run_id").applyInPandas(
-        reconcile_run, "run_id long, id long, track long, key long, people long, merged long, healed long, split long"
-    )
-
-
-def prune_sql() -> str:
-    """One eviction a round until each key is at its cap."""
-    cap, d = DEFAULTS.template_cap, DUCKDB
-    near = f"list_max(list_transform(list_filter(rows, lambda q: q.id <> r.id), lambda q: round({d.dot('q.vec', 'r.vec')}, {DIGITS})))"
-    return f"""WITH RECURSIVE step AS (
-      SELECT key, list(struct_pack(id := id, vec := vec, quality := quality)) AS rows FROM {bindings.templates(d)} AS t GROUP BY key
-      UNION ALL
-      SELECT key, list_filter(rows, lambda r: r.id <> goes) AS rows FROM (SELECT key, rows,
-          -list_sort(list_transform(rows, lambda r: struct_pack(near := -{near}, quality := coalesce(r.quality, '-inf'::DOUBLE), id := -r.id)))[1].id AS goes
-        FROM step WHERE len(rows) > {cap}) AS s)
-      SELECT key, u.id AS id FROM (SELECT key, unnest(rows) AS u FROM step WHERE len(rows) <= {cap}) AS o"""
-
-
 def gallery_sql() -> str:
     """The gallery of each run as a recursive query over its templates in order."""
-    k, d = DEFAULTS, DUCKDB
+    k, d = FIXTURE, DUCKDB
     c = f"round({d.dot('p.vec', 'x.vec')}, {DIGITS})"
     row = "struct_pack(key := {key}, id := x.id, vec := x.vec, quality := x.quality, look := x.look)"
     near = f"list_max(list_transform(list_filter(grown, lambda q: q.id <> r.id), lambda q: round({d.dot('q.vec', 'r.vec')}, {DIGITS})))"
@@ -493,29 +394,67 @@ def gallery_sql() -> str:
       SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY id) AS k, struct_pack(id := id, vec := vec, quality := quality, look := appearance) AS x
       FROM {bindings.templates(d)} AS t),
     step AS (
-      SELECT run_id, 1::BIGINT AS k, x.id AS id, [{row.format(key='1::BIGINT')}] AS people, 1::BIGINT AS minted, 1::BIGINT AS key, true AS is_new, NULL::DOUBLE AS cosine, true AS added, false AS vetoed
+      SELECT run_id, 1::BIGINT AS k, x.id AS id, [{row.format(key='1::BIGINT')}] AS people, 1::BIGINT AS minted, 1::BIGINT AS key, true AS is_new, NULL::DOUBLE AS raw, true AS added, false AS vetoed
       FROM f WHERE k = 1
       UNION ALL
       SELECT run_id, k, x.id AS id, CASE WHEN is_new THEN list_append(people, {row.format(key='minted + 1')}) WHEN enrols AND NOT vetoed THEN
           list_concat(list_filter(people, lambda p: p.key <> key), CASE WHEN len(grown) <= {k.template_cap} THEN grown ELSE list_filter(grown, lambda r: r.id <> goes) END) ELSE people END AS people,
-        minted + CASE WHEN is_new THEN 1 ELSE 0 END AS minted, CASE WHEN is_new THEN minted + 1 ELSE key END AS key, is_new, cosine, is_new OR (enrols AND NOT vetoed) AS added, NOT is_new AND enrols AND vetoed AS vetoed
+        minted + CASE WHEN is_new THEN 1 ELSE 0 END AS minted, CASE WHEN is_new THEN minted + 1 ELSE key END AS key, is_new, raw, is_new OR (enrols AND NOT vetoed) AS added, NOT is_new AND enrols AND vetoed AS vetoed
       FROM (SELECT *, -list_sort(list_transform(grown, lambda r: struct_pack(near := -{near}, quality := coalesce(r.quality, '-inf'::DOUBLE), id := -r.id)))[1].id AS goes
         FROM (SELECT *, list_append(own, {row.format(key='key')}) AS grown, coalesce(likeness < {k.clothing_clash}, false) AS vetoed,
             NOT is_new AND cosine >= {k.match_threshold} + {k.enrol_confidence} AND cosine < {k.enrol_max_cosine} AND coalesce(cosine - rival >= {k.enrol_margin}, true)
               AND (len(own) < {k.template_cap} OR cosine < {crowded}) AS enrols
-          FROM (SELECT *, best.key AS key, -best.c AS cosine, -best.c < {k.match_threshold} AS is_new, list_filter(people, lambda p: p.key = best.key) AS own,
+          FROM (SELECT *, best.key AS key, best.raw AS raw, -best.c AS cosine, -best.c < {k.match_threshold} AS is_new, list_filter(people, lambda p: p.key = best.key) AS own,
               list_max(list_transform(list_filter(people, lambda p: p.key <> best.key), lambda p: {c})) AS rival,
               list_max(list_transform(list_filter(people, lambda p: p.key = best.key AND p.look IS NOT NULL AND x.look IS NOT NULL), lambda p: {d.overlap('p.look', 'x.look')})) AS likeness
-            FROM (SELECT s.run_id, f.k, f.x, s.people, s.minted, list_sort(list_transform(s.people, lambda p: struct_pack(c := -{c.replace('x.vec', 'f.x.vec')}, id := p.id, key := p.key)))[1] AS best
+            FROM (SELECT s.run_id, f.k, f.x, s.people, s.minted, list_sort(list_transform(s.people, lambda p: struct_pack(c := -{c.replace('x.vec', 'f.x.vec')}, id := p.id, key := p.key, raw := {d.dot('p.vec', 'f.x.vec')})))[1] AS best
               FROM step AS s JOIN f ON f.run_id = s.run_id AND f.k = s.k + 1) AS a) AS b) AS e) AS g)
-      SELECT run_id, id, key, is_new, round(cosine, 6) AS cosine, added, vetoed FROM step"""
+      SELECT run_id, id, key, is_new, round(raw, 6) AS cosine, added, vetoed FROM step"""
+
+
+@frames("templates", oracle=gallery_sql)
+def gallery_fold_cap5(k: Settings, templates: DataFrame) -> DataFrame:
+    """Verdicts of each run in order, with learning, veto and pruning at the cap (five)."""
+
+    def step(run_id: int, rows: pd.DataFrame, gallery: Gallery) -> list[tuple]:
+        out = []
+        for t in templates_of(rows):
+            v = gallery.match(t)
+            out.append((int(run_id), t.id, v["key"], v["is_new"], None if v["raw"] is None else round(v["raw"], 6), v["added"], v["vetoed"]))
+        return out
+
+    rows = templates.select("run_id", "id", "vec", "quality", "appearance")
+    ddl = "run_id long, id long, key long, is_new boolean, cosine double, added boolean, vetoed boolean"
+    return fold_in_order(rows, "run_id", ["id"], ["id"], lambda: Gallery(k), step, ddl)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"tracker": tracker_sql(), "prune_redundant_full": prune_sql(), "gallery_fold_cap5": gallery_sql()}
+def prune_groups(templates: DataFrame, k: Settings) -> DataFrame:
+    """``key, id`` of what stays of each key at the cap. A key is a person: its templates are few, and meet in one task."""
 
+    def prune(rows: pd.DataFrame) -> pd.DataFrame:
+        kept = prune_redundant(templates_of(rows), k.template_cap)
+        return pd.DataFrame({"key": int(rows["key"].iloc[0]), "id": sorted(t.id for t in kept)})
 
-FOLDS = {f.__name__: f for f in (tracker, gallery_fold_cap5, prune_redundant_full, reconcile_full)}
+    return templates.select("key", "id", "vec", "quality", "appearance").groupBy("key").applyInPandas(prune, "key long, id long")
+
+
+def prune_sql() -> str:
+    """One eviction a round until each key is at its cap."""
+    cap, d = FIXTURE.template_cap, DUCKDB
+    near = f"list_max(list_transform(list_filter(rows, lambda q: q.id <> r.id), lambda q: round({d.dot('q.vec', 'r.vec')}, {DIGITS})))"
+    return f"""WITH RECURSIVE step AS (
+      SELECT key, list(struct_pack(id := id, vec := vec, quality := quality)) AS rows FROM {bindings.templates(d)} AS t GROUP BY key
+      UNION ALL
+      SELECT key, list_filter(rows, lambda r: r.id <> goes) AS rows FROM (SELECT key, rows,
+          -list_sort(list_transform(rows, lambda r: struct_pack(near := -{near}, quality := coalesce(r.quality, '-inf'::DOUBLE), id := -r.id)))[1].id AS goes
+        FROM step WHERE len(rows) > {cap}) AS s)
+      SELECT key, u.id AS id FROM (SELECT key, unnest(rows) AS u FROM step WHERE len(rows) <= {cap}) AS o"""
+
+
+@frames("templates", oracle=prune_sql)
+def prune_redundant_full(k: Settings, templates: DataFrame) -> DataFrame:
+    """What stays of each key after pruning to the cap."""
+    return prune_groups(templates, k)
 
 
 # ---------------------------------------------------------------- folds in SQL
@@ -546,21 +485,18 @@ def gallery_fold_cap1(d: Dialect) -> str:
 
 @sql
 def greedy_assoc(d: Dialect) -> str:
-    """Boxes of a frame with those of the next numbered one, one to one, best overlap first."""
+    """Boxes of a frame with those of the frame after it, one to one, best overlap first."""
     from turnstile.operators.spatial import iou
 
     rows = f"""SELECT frame, i, j, row_number() OVER (PARTITION BY frame ORDER BY o DESC, i, j) AS k FROM (
-      SELECT a.frame, CAST(a.n AS BIGINT) AS i, CAST(b.n AS BIGINT) AS j, {iou('a', 'b')} AS o FROM (SELECT * FROM {bindings.boxes(d)} AS b0 WHERE n <= 4) AS a
-      JOIN (SELECT * FROM {bindings.boxes(d)} AS b1 WHERE n > 4) AS b ON a.frame = b.frame) AS p WHERE o >= {d.k.track_iou}"""
+      SELECT a.frame, CAST(a.n AS BIGINT) AS i, CAST(b.n AS BIGINT) AS j, {iou('a', 'b')} AS o FROM {bindings.boxes(d)} AS a
+      JOIN {bindings.later_boxes(d)} AS b ON a.frame = b.frame) AS p WHERE o >= {d.k.track_iou}"""
     if d.spark:
         free = "NOT exists(a, p -> p.i = x.i OR p.j = x.j)"
         return f"""SELECT frame, m.i AS i, m.j AS j FROM (SELECT frame, explode(aggregate(array_sort(collect_list(struct(k, i, j))),
             CAST(array() AS ARRAY<STRUCT<k: INT, i: BIGINT, j: BIGINT>>), (a, x) -> CASE WHEN {free} THEN concat(a, array(x)) ELSE a END)) AS m
           FROM ({rows}) AS r GROUP BY frame) AS e"""
-    return f"""WITH RECURSIVE r AS ({rows}), step AS (
-      SELECT frame, k, [i] AS used_i, [j] AS used_j, i, j, true AS taken FROM r WHERE k = 1
-      UNION ALL
-      SELECT r.frame, r.k, CASE WHEN ok THEN list_append(used_i, r.i) ELSE used_i END, CASE WHEN ok THEN list_append(used_j, r.j) ELSE used_j END, r.i, r.j, ok
-      FROM (SELECT s.*, q.i AS ni, q.j AS nj, q.k AS nk, NOT list_contains(s.used_i, q.i) AND NOT list_contains(s.used_j, q.j) AS ok FROM step AS s JOIN r AS q ON q.frame = s.frame AND q.k = s.k + 1) AS c
-      JOIN r ON r.frame = c.frame AND r.k = c.nk)
-      SELECT frame, i, j FROM step WHERE taken"""
+    pairs = f"SELECT frame, list(struct_pack(i := i, j := j) ORDER BY k) AS pairs FROM ({rows}) AS r GROUP BY frame"
+    taken = """list_reduce(list_prepend([]::STRUCT(i BIGINT, j BIGINT)[], list_transform(pairs, lambda p: [p])),
+      lambda a, x: CASE WHEN len(list_filter(a, lambda c: c.i = x[1].i OR c.j = x[1].j)) = 0 THEN list_concat(a, x) ELSE a END)"""
+    return f"SELECT frame, m.i AS i, m.j AS j FROM (SELECT frame, unnest({taken}) AS m FROM ({pairs}) AS p) AS e"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.sources.bindings import acts, cannot_link, feedback, frames, ledger, marks, merges, templates, tombstones, verdicts
+from turnstile.sources.bindings import acts, cannot_link, feedback, ledger, marks, stores, templates, tombstones, verdicts
 
 
 def _us(seconds: float) -> int:
@@ -32,36 +32,74 @@ def forget_template(d: Dialect) -> str:
       FROM {templates(d)} AS t) AS r WHERE NOT forget OR rn = 1"""
 
 
+def _bodies(d: Dialect, rows: str, frame: str) -> str:
+    """Pairs of keys of a frame, smaller first, and whether they were on different bodies.
+
+    Each key has a set of bodies; a face without one is on another body than anyone, and
+    keys that share a body in the frame are one body with two faces.
+    """
+    own = f"(SELECT DISTINCT {frame}, key, body FROM {rows} AS v0)"
+    met = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in frame.split(","))
+    by = ", ".join(f"a.{c.strip()}" for c in frame.split(","))
+    return f"""SELECT {by}, a.key AS key_a, b.key AS key_b,
+      max(CASE WHEN a.body IS NULL OR b.body IS NULL THEN 1 ELSE 0 END) = 1 OR max(CASE WHEN a.body = b.body THEN 1 ELSE 0 END) = 0 AS differ
+      FROM {own} AS a JOIN {own} AS b ON {met} AND a.key < b.key GROUP BY {by}, a.key, b.key"""
+
+
 @sql
 def different_bodies(d: Dialect) -> str:
-    """Two keys of a frame are different bodies if their box sets are disjoint; a missing box meets everything."""
-    return f"""SELECT a.frame, a.key AS key_a, b.key AS key_b, min(CASE WHEN a.look IS NULL OR b.look IS NULL OR a.body = b.body THEN 0 ELSE 1 END) = 1 AS differ
-      FROM {verdicts(d)} AS a JOIN {verdicts(d)} AS b ON a.frame = b.frame AND a.key < b.key GROUP BY a.frame, a.key, b.key"""
+    """Two keys of a frame are different bodies if their box sets are disjoint; a face in no box is on another body than anyone."""
+    return _bodies(d, verdicts(d), "frame")
 
 
 @sql
 def co_presence(d: Dialect) -> str:
-    """Pairs of people seen in one frame, without staff: the first frame of each pair, capped per run."""
+    """Pairs of people seen on different bodies of one frame, without staff: the first such frame of each pair, capped per run."""
+    guests = f"(SELECT * FROM {verdicts(d)} AS g0 WHERE NOT staff)"
     return f"""SELECT run_id, key_a, key_b, seq FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq, key_a, key_b) AS rn FROM (
-      SELECT a.run_id, a.key AS key_a, b.key AS key_b, min(a.frame) AS seq FROM {verdicts(d)} AS a
-      JOIN {verdicts(d)} AS b ON a.frame = b.frame AND a.key < b.key WHERE NOT a.staff AND NOT b.staff GROUP BY a.run_id, a.key, b.key) AS p) AS r
+      SELECT run_id, key_a, key_b, min(frame) AS seq FROM ({_bodies(d, guests, 'run_id, frame')}) AS b WHERE differ GROUP BY run_id, key_a, key_b) AS p) AS r
       WHERE rn <= {d.k.co_presence_cap}"""
 
 
+def _bucket(d: Dialect, seconds: float) -> str:
+    """Buckets of time as long as a window, so that what a window holds lies in two of them."""
+    return d.whole(f"us / {_us(seconds)}.0E0")
+
+
 @sql
 def heal_candidates(d: Dialect) -> str:
-    """Mints that a strong match on the same track, soon after and of another key, may fold in."""
-    return f"""SELECT m.track, m.event_id AS mint, x.event_id AS heal, m.key AS fold, x.key AS keep FROM {acts(d)} AS m JOIN {acts(d)} AS x
-      ON m.track = x.track AND x.us > m.us AND x.us <= m.us + {_us(d.k.heal_seconds)} WHERE m.minted AND NOT x.minted AND x.cosine >= {d.k.heal_cosine} AND x.key <> m.key"""
+    """Mints that a strong match on the same track, soon after and of another key, may fold in: not
+    where the frame of the match shows both keys on different bodies, nor where clothes clash.
+
+    Mints stand in their own bucket of time and the next, so a track's life is cut into joins of a window's size.
+    """
+    b = _bucket(d, d.k.heal_seconds)
+    mints = f"""(SELECT track, event_id, us, key, look, {b} AS bucket FROM {acts(d)} AS a1 WHERE minted
+      UNION ALL SELECT track, event_id, us, key, look, {b} + 1 AS bucket FROM {acts(d)} AS a2 WHERE minted)"""
+    heals = f"(SELECT run_id, track, event_id, us, key, look, {b} AS bucket FROM {acts(d)} AS a3 WHERE NOT minted AND cosine >= {d.k.heal_cosine})"
+    return f"""SELECT c.track, c.mint, c.heal, c.fold, c.keep FROM (
+        SELECT m.track, m.event_id AS mint, x.event_id AS heal, m.key AS fold, x.key AS keep, x.run_id, x.us FROM {mints} AS m JOIN {heals} AS x
+        ON m.track = x.track AND m.bucket = x.bucket AND x.us > m.us AND x.us <= m.us + {_us(d.k.heal_seconds)}
+        WHERE x.key <> m.key AND coalesce(1 - abs(m.look - x.look) >= {d.k.clothing_refuse}, true)) AS c
+      LEFT JOIN (SELECT * FROM ({_bodies(d, acts(d), 'run_id, us')}) AS d0 WHERE differ) AS d1
+      ON d1.run_id = c.run_id AND d1.us = c.us AND d1.key_a = least(c.fold, c.keep) AND d1.key_b = greatest(c.fold, c.keep) WHERE d1.key_a IS NULL"""
 
 
 def _locked(d: Dialect) -> str:
+    """Each mint with the strong match that its track was locked to: the last one before, while that is fresh."""
     if d.spark:
-        last = f"""SELECT *, last_value(CASE WHEN NOT minted AND cosine >= {d.k.lock_cosine} THEN struct(us AS lock_us, key AS lock_key) END) IGNORE NULLS
-          OVER (PARTITION BY track ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM {acts(d)} AS a"""
-        return f"SELECT track, event_id, key, clash, CASE WHEN us - held.lock_us <= {_us(d.k.lock_seconds)} THEN held.lock_key END AS locked FROM ({last}) AS l WHERE minted"
-    return f"""SELECT m.track, m.event_id, m.key, m.clash, CASE WHEN m.us - x.us <= {_us(d.k.lock_seconds)} THEN x.key END AS locked
-      FROM (SELECT * FROM {acts(d)} AS a WHERE minted) AS m ASOF LEFT JOIN (SELECT * FROM {acts(d)} AS b WHERE NOT minted AND cosine >= {d.k.lock_cosine}) AS x
+        # The last strong match lies in the mint's bucket or the one before; a bucket is all that meets in one task.
+        b = _bucket(d, d.k.lock_seconds)
+        strong = f"CASE WHEN NOT minted AND cosine >= {d.k.lock_cosine} THEN struct(us AS lock_us, event_id AS lock_event, key AS lock_key, look AS lock_look) END"
+        rows = f"SELECT *, {b} AS bucket, {strong} AS strong FROM {acts(d)} AS a"
+        near = f"""SELECT *, max(strong) OVER (PARTITION BY track, bucket ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM ({rows}) AS r"""
+        last = f"SELECT track, bucket + 1 AS bucket, max(strong) AS strong FROM ({rows}) AS r1 WHERE strong IS NOT NULL GROUP BY track, bucket"
+        held = f"""SELECT n.*, coalesce(n.held, l.strong) AS lock FROM (SELECT * FROM ({near}) AS n0 WHERE minted) AS n LEFT JOIN ({last}) AS l ON l.track = n.track AND l.bucket = n.bucket"""
+        return f"""SELECT run_id, track, event_id, us, key, clash, look, CASE WHEN us - lock.lock_us <= {_us(d.k.lock_seconds)} THEN lock.lock_key END AS locked,
+          lock.lock_us AS lock_us, lock.lock_look AS lock_look FROM ({held}) AS h"""
+    return f"""SELECT m.run_id, m.track, m.event_id, m.us, m.key, m.clash, m.look, CASE WHEN m.us - x.us <= {_us(d.k.lock_seconds)} THEN x.key END AS locked, x.us AS lock_us, x.look AS lock_look
+      FROM (SELECT * FROM {acts(d)} AS a WHERE minted) AS m ASOF LEFT JOIN
+        (SELECT track, us, max(event_id) AS event_id, arg_max(key, event_id) AS key, arg_max(look, event_id) AS look FROM {acts(d)} AS b WHERE NOT minted AND cosine >= {d.k.lock_cosine} GROUP BY track, us) AS x
       ON m.track = x.track AND m.us > x.us"""
 
 
@@ -73,8 +111,16 @@ def lock_asof(d: Dialect) -> str:
 
 @sql
 def lock_folds(d: Dialect) -> str:
-    """Mints on a locked track that fold into the lock's key: not the same key, and no clash."""
-    return f"""SELECT track, event_id, locked FROM ({_locked(d)}) AS l WHERE locked IS NOT NULL AND locked <> key AND NOT clash"""
+    """Mints on a locked track that fold into the lock's key: another key, not on another body of the frame.
+
+    A mint whose clothes clash with the lock's isn't folded and drops the lock, for all later mints under it.
+    """
+    tried = f"""SELECT l.*, clash AND d1.key_a IS NULL AS drops, d1.key_a IS NOT NULL AS elsewhere FROM (SELECT * FROM ({_locked(d)}) AS l0 WHERE locked IS NOT NULL AND locked <> key) AS l
+      LEFT JOIN (SELECT * FROM ({_bodies(d, acts(d), 'run_id, us')}) AS d0 WHERE differ) AS d1
+      ON d1.run_id = l.run_id AND d1.us = l.us AND d1.key_a = least(l.key, l.locked) AND d1.key_b = greatest(l.key, l.locked)"""
+    return f"""SELECT track, event_id, locked FROM (SELECT *, coalesce(max(CASE WHEN drops THEN 1 ELSE 0 END) OVER (
+        PARTITION BY track, lock_us ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS dropped FROM ({tried}) AS t) AS t1
+      WHERE NOT elsewhere AND NOT drops AND dropped = 0"""
 
 
 @sql
@@ -91,43 +137,12 @@ def recent_mints(d: Dialect) -> str:
       max(us) OVER (PARTITION BY track) AS now FROM {acts(d)} AS a WHERE minted) AS r WHERE rn <= {d.k.recent_mints} AND now - us <= {_us(d.k.heal_seconds)}"""
 
 
-def _merged(d: Dialect) -> str:
-    """Merges that hold: two different known keys that needn't stay apart, and a singleton where only that may go."""
-    held = f"(SELECT key, count(*) AS n FROM {templates(d)} AS t2 GROUP BY key)"
-    return f"""SELECT m.keep, m.gone FROM {merges(d)} AS m JOIN {held} AS k ON k.key = m.keep JOIN {held} AS g ON g.key = m.gone
-      WHERE m.keep <> m.gone AND (NOT m.only_singleton OR g.n = 1) AND NOT EXISTS (
-        SELECT 1 FROM {cannot_link(d)} AS c WHERE c.a = least(m.keep, m.gone) AND c.b = greatest(m.keep, m.gone))"""
-
-
-@sql
-def merge_apply(d: Dialect) -> str:
-    """Templates after the merges asked for; those refused change nothing."""
-    return f"SELECT t.id, coalesce(m.keep, t.key) AS key FROM {templates(d)} AS t LEFT JOIN ({_merged(d)}) AS m ON m.gone = t.key"
-
-
-@sql
-def merge_refused(d: Dialect) -> str:
-    """Merges refused, with the reason."""
-    held = f"(SELECT key, count(*) AS n FROM {templates(d)} AS t2 GROUP BY key)"
-    return f"""SELECT keep, gone, reason FROM (SELECT m.keep, m.gone, CASE WHEN m.keep = m.gone THEN 'same-key' WHEN k.key IS NULL OR g.key IS NULL THEN 'unknown-key'
-        WHEN c.a IS NOT NULL THEN 'cannot-link' WHEN m.only_singleton AND g.n <> 1 THEN 'not-singleton' END AS reason
-      FROM {merges(d)} AS m LEFT JOIN {held} AS k ON k.key = m.keep LEFT JOIN {held} AS g ON g.key = m.gone
-      LEFT JOIN {cannot_link(d)} AS c ON c.a = least(m.keep, m.gone) AND c.b = greatest(m.keep, m.gone)) AS r WHERE reason IS NOT NULL"""
-
-
 @sql
 def merge_only_singletons(d: Dialect) -> str:
     """Keys that a merge limited to singletons may fold: one template only."""
     return f"SELECT key, count(*) AS n, count(*) = 1 AS foldable FROM {templates(d)} AS t GROUP BY key"
 
 
-@sql
-def cannot_link_norm(d: Dialect) -> str:
-    """Constraints after the merges: carried over, smaller key first, once each, none with itself."""
-    return f"""SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT coalesce(x.keep, c.a) AS a, coalesce(y.keep, c.b) AS b FROM {cannot_link(d)} AS c
-      LEFT JOIN ({_merged(d)}) AS x ON x.gone = c.a LEFT JOIN ({_merged(d)}) AS y ON y.gone = c.b) AS m WHERE a <> b"""
-
-
 @sql
 def split_record(d: Dialect) -> str:
     """New constraints from feedback join the old ones; a pair with itself is invalid."""
@@ -179,8 +194,7 @@ def retired_ledger(d: Dialect) -> str:
 @sql
 def retention_sweep(d: Dialect) -> str:
     """Galleries untouched for the retention are dropped; staff stores never."""
-    return f"""SELECT run_id, last_us, run_id % 4 <> 0 AND last_us <= (SELECT max(us) FROM {frames(d)} AS f0) - {_us(d.k.retention_seconds)} AS dropped
-      FROM (SELECT run_id, max(us) AS last_us FROM {frames(d)} AS f GROUP BY run_id) AS r"""
+    return f"SELECT run_id, last_us, NOT staff AND last_us <= now_us - {_us(d.k.retention_seconds)} AS dropped FROM {stores(d)} AS s"
 
 
 @sql

@@ -223,16 +223,18 @@ def review_queue(d: Dialect) -> str:
 
 @sql
 def hist_intersection(d: Dialect) -> str:
-    return f"""SELECT a.id AS id_a, b.id AS id_b, round({d.overlap('a.appearance', 'b.appearance')}, 6) AS likeness
+    like = d.fail_unless(f"{d.size('a.appearance')} = {d.size('b.appearance')}", "histograms differ in length", f"round({d.overlap('a.appearance', 'b.appearance')}, 6)")
+    return f"""SELECT a.id AS id_a, b.id AS id_b, {like} AS likeness
       FROM {templates(d)} AS a JOIN {templates(d)} AS b ON a.key = b.key AND a.id < b.id
       WHERE a.appearance IS NOT NULL AND b.appearance IS NOT NULL"""
 
 
 @sql
 def unit_vectors(d: Dialect) -> str:
-    """Vectors scaled to length one; null for a zero or short vector."""
-    return f"""SELECT id, round({d.dot('vec', 'vec')}, 6) AS squared, CASE WHEN {d.size('vec')} >= 8 AND {d.dot('vec', 'vec')} > 0
-      THEN round({d.total(d.each('vec', 'x', f"x / sqrt({d.dot('vec', 'vec')})"))}, 6) END AS unit_sum FROM {templates(d)} AS t"""
+    """Vectors scaled to length one; a zero vector or one of under eight numbers is an error."""
+    scaled = d.total(d.each("vec", "x", f"x / sqrt({d.dot('vec', 'vec')})"))
+    total = d.fail_unless(f"{d.size('vec')} >= 8 AND {d.dot('vec', 'vec')} > 0", "a vector needs eight numbers and a length", f"round({scaled}, 6)")
+    return f"SELECT id, round({d.dot('vec', 'vec')}, 6) AS squared, {total} AS unit_sum FROM {templates(d)} AS t"
 
 
 @sql

@@ -47,7 +47,8 @@ def _zones(d: Dialect) -> str:
     before = lambda c: f"coalesce(lag({c}) OVER (PARTITION BY zn ORDER BY i), last_value({c}) OVER (PARTITION BY zn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
     edges = f"""SELECT label, zn, mode, {d.listed(edge)} AS edges FROM (
       SELECT label, zn, mode, x, y, {before('x')} AS px, {before('y')} AS py FROM {corners(d)} AS c0) AS c1 GROUP BY label, zn, mode"""
-    return f"(SELECT {d.listed(d.struct(label='label', zn='zn', mode='mode', edges='edges'))} FROM ({edges}) AS e)"
+    whole = d.fail_unless(f"{d.size('edges')} >= 3", "a zone needs three corners", "edges")
+    return f"(SELECT {d.listed(d.struct(label='label', zn='zn', mode='mode', edges=whole))} FROM ({edges}) AS e)"
 
 
 def _inside(d: Dialect, points: str, key: str, *modes: str) -> str:
@@ -175,10 +176,10 @@ def face_dedupe(d: Dialect) -> str:
 @sql
 def search_region(d: Dialect) -> str:
     """Where faces are looked for: a frame's raw boxes first, then its tracks', without those that overlap an earlier one."""
-    both = f"""(SELECT frame, x, y, w, h, n, 0 AS tracked FROM {boxes(d)} AS b1
-      UNION ALL SELECT frame, x, y, w, h, n + 100000 AS n, 1 AS tracked FROM {tracks(d)} AS t1)"""
+    both = f"""(SELECT frame, x, y, w, h, 2 * n AS n, 0 AS tracked FROM {boxes(d)} AS b1
+      UNION ALL SELECT frame, x, y, w, h, 2 * n + 1 AS n, 1 AS tracked FROM {tracks(d)} AS t1)"""
     found = _greedy(d, "tracked, n", str(d.k.dedupe_iou), both)
-    return f"SELECT frame, CASE WHEN n > 100000 THEN n - 100000 ELSE n END AS n, n > 100000 AS tracked FROM ({found}) AS g"
+    return f"SELECT frame, CAST(floor(n / 2.0E0) AS BIGINT) AS n, n % 2 = 1 AS tracked FROM ({found}) AS g"
 
 
 @sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.sources.bindings import boxes, frames, sightings, steps, templates
+from turnstile.sources.bindings import boxes, enrolments, frames, sightings, steps, tallies, taps, templates, watched
 
 
 def _us(seconds: float) -> int:
@@ -19,11 +19,19 @@ def metric_rollup(d: Dialect) -> str:
 
 @sql
 def stage_snapshot(d: Dialect) -> str:
-    """Frames and frames a second per stage, idle stages left out."""
-    return f"""SELECT run_id, stage, n AS frames, CASE WHEN elapsed > 0 THEN floor(n * 1000.0E0 / elapsed * 1000 + 0.5) / 1000 END AS fps FROM (
+    """Frames and frames a second per stage with a map of its metrics, idle stages left out.
+
+    A metric without a value is null in the map, which isn't 0; the map is given as its entries in order.
+    """
+    def metric(name: str, value: str) -> str:
+        return f"SELECT run_id, stage, '{name}' AS metric, round({value}, 4) AS amount FROM {sightings(d)} AS s GROUP BY run_id, stage"
+
+    metrics = " UNION ALL ".join(metric(n, v) for n, v in (("least", "min(value)"), ("mean", "avg(value)"), ("most", "max(value)"), ("forced", "avg(CASE WHEN forced AND frame % 2 = 0 THEN value END)")))
+    return f"""SELECT t.run_id, t.stage, n AS frames, CASE WHEN elapsed > 0 THEN floor(n * 1000.0E0 / elapsed * 1000 + 0.5) / 1000 END AS fps, {d.entries('metrics')} AS metrics FROM (
       SELECT s.run_id, s.stage, count(*) AS n, max(r.elapsed) AS elapsed FROM {sightings(d)} AS s
-      JOIN (SELECT run_id, (max(us) - min(us)) / 1000000.0E0 AS elapsed FROM {sightings(d)} AS s1 GROUP BY run_id) AS r ON r.run_id = s.run_id
-      GROUP BY s.run_id, s.stage) AS t WHERE n > 0"""
+      JOIN (SELECT run_id, (max(us) - min(us)) / 1000.0E0 AS elapsed FROM {sightings(d)} AS s1 GROUP BY run_id) AS r ON r.run_id = s.run_id
+      GROUP BY s.run_id, s.stage) AS t JOIN (SELECT run_id, stage, {d.metric_map('metric', 'amount')} AS metrics FROM ({metrics}) AS m0 GROUP BY run_id, stage) AS m
+      ON m.run_id = t.run_id AND m.stage = t.stage WHERE n > 0"""
 
 
 def _flushed(d: Dialect) -> str:
@@ -73,15 +81,16 @@ def staff_crossings(d: Dialect) -> str:
 
 @sql
 def stall_detect(d: Dialect) -> str:
-    """Silences longer than the stall limit, with the sighting before each."""
-    return f"""SELECT run_id, event_id, gap FROM (SELECT run_id, event_id, lead(us) OVER (PARTITION BY run_id ORDER BY us, event_id) - us AS gap
-      FROM {sightings(d)} AS s) AS g WHERE gap > {_us(d.k.stall_seconds)}"""
+    """Silences longer than the stall limit, with the sighting before each; ``trailing`` is one that lasts until the watch ended."""
+    gaps = "lead(us) OVER (PARTITION BY run_id ORDER BY us, event_id)"
+    return f"""SELECT g.run_id, event_id, coalesce(later, until_us) - us AS gap, later IS NULL AS trailing FROM (SELECT run_id, event_id, us, {gaps} AS later
+      FROM {sightings(d)} AS s) AS g JOIN {watched(d)} AS w ON w.run_id = g.run_id WHERE coalesce(later, until_us) - us > {_us(d.k.stall_seconds)}"""
 
 
 @sql
 def new_sequence(d: Dialect) -> str:
-    """Frames whose number is repeated are read once."""
-    return f"SELECT run_id, us, max(seq) AS seq, count(*) AS reads FROM {frames(d)} AS f GROUP BY run_id, us"
+    """A frame's number is read once, whenever it comes again: when it was first read, and how often."""
+    return f"SELECT run_id, seq, min(us) AS us, count(*) AS reads FROM {frames(d)} AS f GROUP BY run_id, seq"
 
 
 @sql
@@ -100,24 +109,23 @@ def run_liveness(d: Dialect) -> str:
 
 @sql
 def ledger_upsert(d: Dialect) -> str:
-    """Frame records are keyed by run and number; the last to arrive stays."""
-    return f"""SELECT run_id, slot, seq, round(cost, 2) AS cost FROM (SELECT *, seq % 700 AS slot,
-      row_number() OVER (PARTITION BY run_id, seq % 700 ORDER BY seq DESC) AS rn FROM {frames(d)} AS f) AS r WHERE rn = 1"""
+    """Frame records are keyed by run and slot; the last to arrive stays."""
+    return f"""SELECT run_id, slot, seq, round(cost, 2) AS cost FROM (SELECT *,
+      row_number() OVER (PARTITION BY run_id, slot ORDER BY seq DESC) AS rn FROM {frames(d)} AS f) AS r WHERE rn = 1"""
 
 
 @sql
 def ledger_window(d: Dialect) -> str:
     """A window of the ledger, at most 500 rows, and whether it was truncated."""
     return f"""SELECT run_id, seq, us, total > {d.k.window_rows} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn,
-      count(*) OVER (PARTITION BY run_id) AS total FROM {frames(d)} AS f WHERE seq BETWEEN 100 AND 60000) AS r WHERE rn <= {d.k.window_rows}"""
+      count(*) OVER (PARTITION BY run_id) AS total FROM {frames(d)} AS f WHERE seq BETWEEN {d.k.window_from} AND {d.k.window_to}) AS r WHERE rn <= {d.k.window_rows}"""
 
 
 @sql
 def frame_outcome(d: Dialect) -> str:
     """What a frame came to, the strongest outcome first."""
-    return f"""SELECT frame, CASE WHEN n = 0 THEN 'empty' WHEN kept = 0 THEN 'gated' WHEN best >= 0.99 AND n >= 4 THEN 'enrolled' WHEN best >= 0.98 THEN 'matched'
-      WHEN best >= 0.96 THEN 'minted' WHEN best >= 0.94 THEN 'near-miss' WHEN kept < n THEN 'partial' ELSE 'seen' END AS outcome
-      FROM (SELECT frame, count(*) AS n, count(CASE WHEN conf >= 0.92 THEN 1 END) AS kept, max(conf) AS best FROM {boxes(d)} AS b GROUP BY frame) AS f"""
+    return f"""SELECT frame, CASE WHEN faces = 0 THEN 'empty' WHEN kept = 0 THEN 'gated' WHEN enrolled > 0 THEN 'enrolled' WHEN matched > 0 THEN 'matched'
+      WHEN minted > 0 THEN 'minted' WHEN near_misses > 0 THEN 'near-miss' WHEN kept < faces THEN 'partial' ELSE 'seen' END AS outcome FROM {tallies(d)} AS t"""
 
 
 @sql
@@ -138,9 +146,9 @@ def deadline_budget(d: Dialect) -> str:
 
 @sql
 def last_per_track(d: Dialect) -> str:
-    """The last four sightings of each track."""
+    """The last sightings of each track, four unless told otherwise."""
     return f"""SELECT track, event_id, us FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY us DESC, event_id DESC) AS rn
-      FROM {sightings(d)} AS s) AS r WHERE rn <= 4"""
+      FROM {sightings(d)} AS s) AS r WHERE rn <= {d.k.last_seen}"""
 
 
 @sql
@@ -157,22 +165,22 @@ def run_results(d: Dialect) -> str:
 
 @sql
 def enrol_tally(d: Dialect) -> str:
-    return f"""SELECT run_id, count(*) AS frames, CAST(sum(faces) AS BIGINT) AS faces_seen, count(CASE WHEN faces = 1 THEN 1 END) AS samples, count(CASE WHEN faces <> 1 THEN 1 END) AS skipped
-      FROM (SELECT frame % 8 AS run_id, frame, count(*) AS faces FROM {boxes(d)} AS b GROUP BY frame % 8, frame) AS f GROUP BY run_id"""
+    """Faces that the gate kept decide: a frame with exactly one is a sample."""
+    return f"""SELECT run_id, count(*) AS frames, CAST(sum(faces) AS BIGINT) AS faces_seen, count(CASE WHEN kept = 1 THEN 1 END) AS samples, count(CASE WHEN kept <> 1 THEN 1 END) AS skipped
+      FROM (SELECT run_id, frame, count(*) AS faces, count(CASE WHEN kept THEN 1 END) AS kept FROM {enrolments(d)} AS e GROUP BY run_id, frame) AS f GROUP BY run_id"""
 
 
 @sql
 def enrol_shortlist(d: Dialect) -> str:
-    """Frames with exactly one face; each run's five best by score."""
-    return f"""SELECT run_id, frame, conf FROM (SELECT frame % 8 AS run_id, frame, conf, row_number() OVER (PARTITION BY frame % 8 ORDER BY conf DESC, frame) AS place
-      FROM (SELECT frame, max(conf) AS conf FROM {boxes(d)} AS b GROUP BY frame HAVING count(*) = 1) AS f) AS r WHERE place <= {d.k.enrol_best}"""
+    """Frames with exactly one kept face; each run's best by score."""
+    return f"""SELECT run_id, frame, conf FROM (SELECT run_id, frame, conf, row_number() OVER (PARTITION BY run_id ORDER BY conf DESC, frame) AS place
+      FROM (SELECT run_id, frame, max(conf) AS conf FROM {enrolments(d)} AS e WHERE kept GROUP BY run_id, frame HAVING count(*) = 1) AS f) AS r WHERE place <= {d.k.enrol_best}"""
 
 
 @sql
 def settle_class(d: Dialect) -> str:
     """How a run ended: a stall settles as failed."""
-    return f"""SELECT seq, CASE status WHEN 'F' THEN 'source-ended' WHEN 'O' THEN 'operator-stopped' ELSE 'source-stalled' END AS end_reason,
-      CASE WHEN status IN ('F', 'O') THEN 'ended' ELSE 'failed' END AS settled FROM {frames(d)} AS f"""
+    return f"SELECT seq, end_reason, CASE WHEN end_reason IN ('source-ended', 'operator-stopped') THEN 'ended' ELSE 'failed' END AS settled FROM {frames(d)} AS f"
 
 
 @sql
@@ -194,11 +202,19 @@ def card_hysteresis(d: Dialect) -> str:
 
 @sql
 def unique_clamped(d: Dialect) -> str:
-    """The running count of people: mints and manual adds up, merges and folds down, never below 0."""
-    rows = f"SELECT run_id, CAST(delta AS BIGINT) AS delta, row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS k FROM {steps(d)} AS s"
+    """The running count of people: mints and manual adds up, merges and folds down, never below 0.
+
+    The clamped count is S - min(0, least prefix sum), so it is a scan of two levels and no fold:
+    prefix sums and their least within segments of time, each in its own task, then over a run's segments.
+    """
     if d.spark:
-        return f"""SELECT run_id, aggregate(array_sort(collect_list(struct(k, delta))), 0L, (a, x) -> greatest(0, a + x.delta)) AS people,
-          count(*) AS steps FROM ({rows}) AS r GROUP BY run_id"""
+        segment = d.whole(f"us / {_us(d.k.segment_seconds)}.0E0")
+        scan = f"""SELECT run_id, segment, delta, sum(delta) OVER (PARTITION BY run_id, segment ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS prefix
+          FROM (SELECT run_id, us, event_id, CAST(delta AS BIGINT) AS delta, {segment} AS segment FROM {steps(d)} AS s) AS g"""
+        folded = f"SELECT run_id, segment, sum(delta) AS total, min(prefix) AS low, count(*) AS n FROM ({scan}) AS p GROUP BY run_id, segment"
+        before = f"""SELECT *, coalesce(sum(total) OVER (PARTITION BY run_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({folded}) AS f"""
+        return f"SELECT run_id, sum(total) - least(0, min(before + low)) AS people, sum(n) AS steps FROM ({before}) AS b GROUP BY run_id"
+    rows = f"SELECT run_id, CAST(delta AS BIGINT) AS delta, row_number() OVER (PARTITION BY run_id ORDER BY us, event_id) AS k FROM {steps(d)} AS s"
     return f"""WITH RECURSIVE r AS ({rows}), step AS (
       SELECT run_id, k, greatest(0, delta) AS people FROM r WHERE k = 1
       UNION ALL
@@ -209,18 +225,18 @@ def unique_clamped(d: Dialect) -> str:
 @sql
 def tap_duty(d: Dialect) -> str:
     """A tap waits for its interval and three times its last cost; a forced one only for the latter."""
-    rows = f"""SELECT track, event_id, {d.whole('us / 1000000.0E0')} AS t, CAST(floor(value) AS BIGINT) * 60 AS cost, forced,
-      row_number() OVER (PARTITION BY track ORDER BY us, event_id) AS k FROM {sightings(d)} AS s"""
+    rows = f"SELECT track, event_id, us, cost_us, forced, row_number() OVER (PARTITION BY track ORDER BY us, event_id) AS k FROM {taps(d)} AS s"
+    never, wait, held = -(1 << 60), _us(d.k.tap_interval_seconds), "us + CAST({duty} * {x}cost_us AS BIGINT)"
     if d.spark:
-        ready = f"x.t >= a.free AND (x.forced OR x.t >= a.last + {int(d.k.tap_interval_seconds)})"
-        return f"""SELECT track, taps FROM (SELECT track, aggregate(array_sort(collect_list(struct(k, t, cost, forced))),
-            CAST(struct(-1L AS last, -1L AS free, 0L AS taps) AS STRUCT<last: BIGINT, free: BIGINT, taps: BIGINT>),
-            (a, x) -> CASE WHEN {ready} THEN named_struct('last', x.t, 'free', x.t + CAST({d.k.tap_duty} * x.cost AS BIGINT), 'taps', a.taps + 1L) ELSE a END).taps AS taps
+        ready = f"x.us >= a.free AND (x.forced OR x.us >= a.last + {wait}L)"
+        return f"""SELECT track, taps FROM (SELECT track, aggregate(array_sort(collect_list(struct(k, us, cost_us, forced))),
+            CAST(struct({never}L AS last, {never}L AS free, 0L AS taps) AS STRUCT<last: BIGINT, free: BIGINT, taps: BIGINT>),
+            (a, x) -> CASE WHEN {ready} THEN named_struct('last', x.us, 'free', x.{held.format(duty=d.k.tap_duty, x='x.')}, 'taps', a.taps + 1L) ELSE a END).taps AS taps
           FROM ({rows}) AS r GROUP BY track) AS e"""
-    ready = f"r.t >= s.free AND (r.forced OR r.t >= s.last + {int(d.k.tap_interval_seconds)})"
+    ready = f"r.us >= s.free AND (r.forced OR r.us >= s.last + {wait})"
     return f"""WITH RECURSIVE r AS ({rows}), step AS (
-      SELECT track, 0::BIGINT AS k, -1::BIGINT AS last, -1::BIGINT AS free, 0::BIGINT AS taps FROM r WHERE k = 1
+      SELECT track, 0::BIGINT AS k, {never}::BIGINT AS last, {never}::BIGINT AS free, 0::BIGINT AS taps FROM r WHERE k = 1
       UNION ALL
-      SELECT r.track, r.k, CASE WHEN {ready} THEN r.t ELSE s.last END, CASE WHEN {ready} THEN r.t + CAST({d.k.tap_duty} * r.cost AS BIGINT) ELSE s.free END,
+      SELECT r.track, r.k, CASE WHEN {ready} THEN r.us ELSE s.last END, CASE WHEN {ready} THEN r.{held.format(duty=d.k.tap_duty, x='r.')} ELSE s.free END,
         CASE WHEN {ready} THEN s.taps + 1 ELSE s.taps END FROM step AS s JOIN r ON r.track = s.track AND r.k = s.k + 1)
       SELECT track, max(taps) AS taps FROM step GROUP BY track"""

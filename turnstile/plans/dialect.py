@@ -109,6 +109,23 @@ class Dialect:
     def numbers(self, first: str, last: str) -> str:
         return f"sequence({first}, {last})" if self.spark else f"generate_series({first}, {last})"
 
+    def fail_unless(self, holds: str, message: str, value: str) -> str:
+        """``value`` where ``holds`` is true or unknown; where it is false the query fails with the message."""
+        fail = f"raise_error('{message}')" if self.spark else f"error('{message}')"
+        return f"CASE WHEN coalesce({holds}, true) THEN {value} ELSE {fail} END"
+
+    def metric_map(self, key: str, value: str) -> str:
+        """An aggregate: a map from one row a key, no two alike."""
+        if self.spark:
+            return f"map_from_entries(array_sort(collect_list(struct({key}, {value}))))"
+        return f"map_from_entries(list(struct_pack(k := {key}, v := {value}) ORDER BY {key}))"
+
+    def entries(self, m: str) -> str:
+        """A map as text, in the order of its keys: maps have no order of their own to compare by."""
+        if self.spark:
+            return f"array_join(transform(array_sort(map_entries({m})), e -> concat(e.key, '=', coalesce(CAST(e.value AS STRING), 'null'))), ',')"
+        return f"array_to_string(list_transform(list_sort(map_entries({m})), lambda e: e.key || '=' || coalesce(CAST(e.value AS VARCHAR), 'null')), ',')"
+
     # Scalars.
     def us(self, ts: str) -> str:
         return f"unix_micros(CAST({ts} AS TIMESTAMP))" if self.spark else f"epoch_us({ts})"

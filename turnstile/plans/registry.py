@@ -1,9 +1,11 @@
-"""The registry of SQL operators."""
+"""The registry of operators: SQL texts, and functions of DataFrames."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,18 @@ Text = Callable[[Dialect], str]
 _TEXTS: dict[str, Text] = {}
 
 
+@dataclass(frozen=True)
+class Frames:
+    """An operator that is a function of settings and of the domain views it names; its oracle is a DuckDB text."""
+
+    run: Callable[..., DataFrame]
+    views: tuple[str, ...]
+    oracle: Callable[[], str] | None
+
+
+_FRAMES: dict[str, Frames] = {}
+
+
 def sql(text: Text) -> Text:
     """Register an operator under its function's name."""
     if text.__name__ in _TEXTS:
@@ -22,6 +36,36 @@ def sql(text: Text) -> Text:
     return text
 
 
+def frames(*views: str, oracle: Callable[[], str] | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Register ``run(settings, **views)`` under its name."""
+
+    def register(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        if run.__name__ in _TEXTS or run.__name__ in _FRAMES:
+            raise ValueError(f"{run.__name__} is registered twice")
+        _FRAMES[run.__name__] = Frames(run, views, oracle)
+        return run
+
+    return register
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, its lineage cut by a reliable checkpoint.
+
+    In the folder that the cluster names in ``spark.checkpoint.dir``; one of its own
+    only where everything runs in one process and none is named.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="turnstile-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def _longs(df: DataFrame) -> DataFrame:
     """Ordinals are INT in Spark and BIGINT elsewhere."""
     return df.select(*[df[c].cast("long").alias(c) if t == "int" else df[c] for c, t in df.dtypes])
@@ -30,6 +74,9 @@ def _longs(df: DataFrame) -> DataFrame:
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     """The operator over the given tables, as the driver calls it."""
 
+    if name in _FRAMES:
+        return _frames_query(name)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _longs(spark.sql(_TEXTS[name](Dialect(spark=True, root=sf_dir, k=FIXTURE))))
 
@@ -37,6 +84,19 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _frames_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    from turnstile.sources import bindings
+
+    operator = _FRAMES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = Dialect(spark=True, root=sf_dir, k=FIXTURE)
+        return operator.run(FIXTURE, **{v: spark.sql(f"SELECT * FROM {getattr(bindings, v)(d)} AS v0") for v in operator.views})
+
+    run.__name__, run.__doc__ = name, operator.run.__doc__
+    return run
+
+
 def apply(name: str, settings: Settings = DEFAULTS, **views: DataFrame) -> DataFrame:
     """The operator over a user's own tables, which stand for the domain views it reads.
 
@@ -47,6 +107,11 @@ def apply(name: str, settings: Settings = DEFAULTS, **views: DataFrame) -> DataF
     """
     if not views:
         raise ValueError(f"{name} needs the tables it is to be applied to")
+    if name in _FRAMES:
+        missing = [v for v in _FRAMES[name].views if v not in views]
+        if missing:
+            raise ValueError(f"{name} reads {missing}, which were not named")
+        return _FRAMES[name].run(settings, **{v: views[v] for v in _FRAMES[name].views})
     spark = next(iter(views.values())).sparkSession
     named = {}
     for view, df in views.items():
@@ -60,8 +125,9 @@ def apply(name: str, settings: Settings = DEFAULTS, **views: DataFrame) -> DataF
 
 
 def names() -> list[str]:
-    return list(_TEXTS)
+    return [*_TEXTS, *_FRAMES]
 
 
-def duckdb_sql(name: str) -> str:
-    return _TEXTS[name](DUCKDB)
+def oracles() -> dict[str, str]:
+    """The DuckDB text of every operator that has one."""
+    return {name: text(DUCKDB) for name, text in _TEXTS.items()} | {name: f.oracle() for name, f in _FRAMES.items() if f.oracle}

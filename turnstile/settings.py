@@ -46,6 +46,7 @@ class Settings:
     co_presence_cap: int = 4000
     recent_mints: int = 4
     retired_rows: int = 500
+    last_seen: int = 4
     cooldown_seconds: float = 5.0
     card_gain: float = 1.25
     enrol_best: int = 5
@@ -57,6 +58,9 @@ class Settings:
     tap_rows: int = 40
     chunk_rows: int = 200
     window_rows: int = 500
+    window_from: int = 0
+    window_to: int = 1 << 62
+    segment_seconds: float = 3600.0
     tap_interval_seconds: float = 2.0
     tap_duty: float = 3.0
     payload_bytes: int = 32_768
@@ -99,6 +103,9 @@ FIXTURE = replace(
     stall_seconds=600.0,
     flush_seconds=3600.0,
     sample_cap=3,
+    window_from=100,
+    window_to=60_000,
+    segment_seconds=86_400.0,
     tap_rows=4,
     tap_interval_seconds=7200.0,
     payload_bytes=200,

@@ -54,6 +54,20 @@ def gallery(d: Dialect) -> str:
     return f"(SELECT * FROM {templates(d)} AS t0)"
 
 
+@view
+def encounters(d: Dialect) -> str:
+    """Faces of frames in order: run_id, frame, t_ms, n, track and body (null: none), staff, and the template that was seen."""
+    return f"""(SELECT run_id, CAST(id / 12 - id % 12 / 12.0E0 AS BIGINT) AS frame, CAST(id / 12 - id % 12 / 12.0E0 AS BIGINT) * 500 AS t_ms, id AS n,
+      CASE WHEN id % 29 <> 0 THEN id % 3 END AS track, CASE WHEN id % 31 <> 0 THEN id % 12 - id % 4 % 2 END AS body, staff,
+      id, vec, quality, appearance FROM {templates(d)} AS t0)"""
+
+
+@view
+def run_boxes(d: Dialect) -> str:
+    """Boxes of runs' frames: run_id, frame, n, x, y, w, h."""
+    return f"(SELECT frame % 64 AS run_id, frame, CAST(n AS BIGINT) AS n, x, y, w, h FROM {boxes(d)} AS b)"
+
+
 @view
 def cannot_link(d: Dialect) -> str:
     """Pairs of keys that must stay apart, smaller first: a, b."""
@@ -69,9 +83,17 @@ def manual(d: Dialect) -> str:
 
 @view
 def merges(d: Dialect) -> str:
-    """Asked merges: keep, gone, only_singleton. Some name a key that isn't there, or a key twice."""
-    return f"""(SELECT DISTINCT CASE WHEN key % 50 = 41 THEN key WHEN key % 30 = 21 THEN -key ELSE key - 1 END AS keep, key AS gone, key % 20 = 11 AS only_singleton
-      FROM {templates(d)} AS t1 WHERE key % 10 = 1)"""
+    """Asked merges: keep, gone, only_singleton. Some name a key that isn't there, or a key twice; some are chains,
+    rings or two keepers of one key, and some chains lead two keys together that must stay apart."""
+    keys = f"(SELECT DISTINCT key FROM {templates(d)} AS t1)"
+    return f"""(SELECT CASE WHEN key % 50 = 41 THEN key WHEN key % 30 = 21 THEN -key ELSE key - 1 END AS keep, key AS gone, key % 20 = 11 AS only_singleton
+      FROM {keys} AS k1 WHERE key % 10 = 1
+      UNION ALL SELECT key - 1, key, false FROM {keys} AS k2 WHERE key % 10 IN (2, 3)
+      UNION ALL SELECT CASE WHEN key % 10 = 5 THEN key + 1 ELSE key - 1 END, key, false FROM {keys} AS k3 WHERE key % 20 IN (5, 6)
+      UNION ALL SELECT key - 2, key, false FROM {keys} AS k4 WHERE key % 20 = 8
+      UNION ALL SELECT key - 1, key, false FROM {keys} AS k5 WHERE key % 20 = 8
+      UNION ALL SELECT key + 3, key, false FROM {keys} AS k6 WHERE key % 30 = 24
+      UNION ALL SELECT key - 4, key, false FROM {keys} AS k7 WHERE key > 30 AND key % 30 = 1)"""
 
 
 @view
@@ -99,9 +121,13 @@ def sightings(d: Dialect) -> str:
 
 @view
 def acts(d: Dialect) -> str:
-    """Sightings as acts on tracks: mints and matches with a cosine; whether their clothes clash with the lock's, whether they were folded."""
+    """Sightings as acts on tracks: mints and matches with a cosine; body and clothes; whether their clothes clash with the lock's, whether they were folded.
+
+    Acts of a run at one time are a frame.
+    """
     return f"""(SELECT run_id, track, event_id, us, event_id % 23 AS key, stage = 'view' OR event_id % 5 = 0 AS minted,
-      (event_id * 37 % 100) / 100.0E0 AS cosine, event_id % 9 = 0 AS clash, event_id % 4 = 0 AS folded FROM {sightings(d)} AS s0)"""
+      (event_id * 37 % 100) / 100.0E0 AS cosine, CASE WHEN event_id % 8 <> 3 THEN track END AS body, CASE WHEN event_id % 6 <> 5 THEN (event_id * 13 % 100) / 100.0E0 END AS look,
+      event_id % 9 = 0 AS clash, event_id % 4 = 0 AS folded FROM {sightings(d)} AS s0)"""
 
 
 @view
@@ -196,15 +222,55 @@ def landmarks(d: Dialect) -> str:
 
 @view
 def verdicts(d: Dialect) -> str:
-    """Verdicts of frames: run, a key, a cosine, a body and its clothes for every box."""
-    return f"""(SELECT frame % 8 AS run_id, frame, n, CAST(floor(x) AS BIGINT) % 4 AS key, conf AS cosine, n AS body,
+    """Verdicts of frames: run, a key, a cosine, a body (some boxes hold two faces, some faces stand in none) and its clothes for every face."""
+    return f"""(SELECT frame % 8 AS run_id, frame, n, CAST(floor(x) AS BIGINT) % 4 AS key, conf AS cosine, CASE WHEN n % 7 <> 6 THEN n - n % 3 % 2 END AS body,
       CASE WHEN n % 6 <> 5 THEN tax * 10 END AS look, n % 5 = 0 AS minted, frame % 13 = 0 AS staff FROM {boxes(d)} AS b0)"""
 
 
 @view
 def frames(d: Dialect) -> str:
-    return f"""(SELECT o_orderkey AS seq, o_custkey % 8 AS run_id, {d.us('o_orderdate')} AS us, o_totalprice AS cost,
-      o_orderstatus AS status, o_orderpriority AS priority FROM {d.t('orders')})"""
+    """Frames of runs: seq, run_id, us, cost, the ledger's slot, how the run ended there, priority."""
+    return f"""(SELECT o_orderkey AS seq, o_custkey % 8 AS run_id, {d.us('o_orderdate')} AS us, o_totalprice AS cost, o_orderkey % 700 AS slot,
+      CASE o_orderstatus WHEN 'F' THEN 'source-ended' WHEN 'O' THEN 'operator-stopped' ELSE 'source-stalled' END AS end_reason, o_orderpriority AS priority FROM {d.t('orders')})"""
+
+
+@view
+def stores(d: Dialect) -> str:
+    """Galleries and staff stores with their last use, and the time it is: run_id, staff, last_us, now_us."""
+    return f"""(SELECT run_id, run_id % 4 = 0 AS staff, max(us) AS last_us, (SELECT max(us) FROM {frames(d)} AS f1) AS now_us FROM {frames(d)} AS f0 GROUP BY run_id)"""
+
+
+@view
+def tallies(d: Dialect) -> str:
+    """What became of a frame's faces: frame, faces, kept, enrolled, matched, minted, near_misses."""
+    return f"""(SELECT frame, count(*) AS faces, count(CASE WHEN conf >= 0.92 THEN 1 END) AS kept, CASE WHEN count(*) >= 4 THEN count(CASE WHEN conf >= 0.99 THEN 1 END) ELSE 0 END AS enrolled,
+      count(CASE WHEN conf >= 0.98 THEN 1 END) AS matched, count(CASE WHEN conf >= 0.96 THEN 1 END) AS minted, count(CASE WHEN conf >= 0.94 THEN 1 END) AS near_misses
+      FROM {boxes(d)} AS b0 GROUP BY frame)"""
+
+
+@view
+def enrolments(d: Dialect) -> str:
+    """Faces of enrolment runs: run_id, frame, n, conf, and whether the gate kept the face."""
+    return f"(SELECT frame % 8 AS run_id, frame, n, conf, conf >= 0.91 AS kept FROM {boxes(d)} AS b0)"
+
+
+@view
+def later_boxes(d: Dialect) -> str:
+    """Boxes of the frame after each frame: frame (the earlier one), n, x, y, w, h."""
+    after = f"(SELECT frame, lead(frame) OVER (PARTITION BY frame % 64 ORDER BY frame) AS later FROM (SELECT DISTINCT frame FROM {boxes(d)} AS b1) AS f1)"
+    return f"(SELECT f.frame, b.n, b.x, b.y, b.w, b.h FROM {after} AS f JOIN {boxes(d)} AS b ON b.frame = f.later)"
+
+
+@view
+def taps(d: Dialect) -> str:
+    """Occasions for a tap in order: track, event_id, us, what it costs (microseconds), forced."""
+    return f"(SELECT track, event_id, us, CAST(floor(value) AS BIGINT) * 60000000 AS cost_us, forced FROM {sightings(d)} AS s0)"
+
+
+@view
+def watched(d: Dialect) -> str:
+    """Until when each run was watched: run_id, until_us."""
+    return f"(SELECT run_id, max(max(us)) OVER () AS until_us FROM {sightings(d)} AS s0 GROUP BY run_id)"
 
 
 #: Zones: a square, a triangle and a concave polygon, in the boxes' coordinates.
