@@ -16,8 +16,9 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from turnstile.llm import filter_audit, importance, packing, queries
+from turnstile.llm import filter_audit, importance, packing, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -308,3 +309,23 @@ def test_audit_empty(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert filter_audit.audit(docs.limit(0), labels).count() == 0
     assert sorted(map(tuple, filter_audit.audit(docs, labels).collect())) == audited(ROWS, [])
+
+
+# ---------------------------------------------------------------- sharding: an id with many texts
+
+
+def test_an_id_with_many_texts_crowds_no_bucket(spark):
+    """Half of all rows have one id and texts of their own: their shard gets more buckets, each of about the usual size."""
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS doc_id", "concat('text ', id) AS text").repartition(4)
+    found = sharding.shard_records(rows, 6, bucket_rows=64)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    got = found.select("doc_id", "text", "shard", "slot").collect()
+    assert len(got) == 6000 and len({(r.shard, r.slot) for r in got}) == 6000
+    by_shard = Counter(r.shard for r in got)
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in by_shard.items()) and max(by_shard.values()) > 3000
+    # Buckets as the operator deals them: the fullest is near the size asked for.
+    per = [max(1, math.ceil(by_shard.get(s, 0) / 64)) for s in range(6)]
+    assert str(per).replace(" ", "").strip("[]") in plan.replace(" ", "")
+    h = F.xxhash64(F.lit(11), F.col("doc_id"), F.col("text"), F.lit(1))
+    buckets = found.select("shard", F.pmod(h, F.get(F.array(*map(F.lit, per)), F.col("shard"))).alias("b")).groupBy("shard", "b").count()
+    assert buckets.agg(F.max("count")).first()[0] < 4 * 64

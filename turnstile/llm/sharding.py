@@ -78,15 +78,18 @@ def shard_records(
     names = [c if c in (id_col, text_col) else f"__column_{i}" for i, c in enumerate(given)]
     plain = plain.toDF(*names)
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long")
-    # One row comes to the driver.
-    whole = plain.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    buckets = max(1, math.ceil(whole.bytes / shards / bucket_bytes), math.ceil(whole.rows / shards / bucket_rows))
-    tasks = min(MOST_TASKS, max(1, math.ceil(whole.bytes / TASK_BYTES)))
+    # A row a shard comes to the driver: each shard gets buckets for its own rows and bytes, so that an id with many texts crowds none.
+    chosen = plain.select(_best(id_col, shards, seed)["s"].alias("shard"), size.alias("bytes"))
+    totals = chosen.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).collect()
+    needed = {t.shard: max(1, math.ceil(t.bytes / bucket_bytes), math.ceil(t.rows / bucket_rows)) for t in totals}
+    buckets = F.array(*[F.lit(needed.get(s, 1)) for s in range(shards)])
+    tasks = min(MOST_TASKS, max(1, math.ceil(sum(t.bytes for t in totals) / TASK_BYTES)))
 
     def placed(rows: DataFrame, copy: Column) -> DataFrame:
         h = F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in names], copy)
         best = rows.withColumn("__shard_best", _best(id_col, shards, seed)).withColumn("__shard_h", h)
-        return best.withColumn("shard", F.col("__shard_best.s")).withColumn("__shard_bucket", F.pmod("__shard_h", F.lit(buckets)).cast("int"))
+        own = best.withColumn("shard", F.col("__shard_best.s"))
+        return own.withColumn("__shard_bucket", F.pmod("__shard_h", F.get(buckets, F.col("shard"))).cast("int"))
 
     def counted(rows: DataFrame) -> DataFrame:
         return materialize(rows.groupBy("shard", "__shard_bucket").agg(F.count("*").alias("n")), "shard-counts")
@@ -94,7 +97,7 @@ def shard_records(
     rows = placed(plain, F.lit(1))
     counts = counted(rows)
     fullest = counts.agg(F.max("n").alias("n")).first().n or 0
-    if fullest > 4 * bucket_rows + whole.rows / shards / buckets:
+    if fullest > 4 * bucket_rows:  # rows alike in all columns have one hash
         copies = plain.groupBy(*names).agg(F.count("*").alias("__shard_n"))
         numbered = copies.withColumn("__shard_copy", F.explode(F.sequence(F.lit(1), F.col("__shard_n").cast("int"))))
         rows = placed(numbered, F.col("__shard_copy"))
