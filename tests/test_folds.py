@@ -189,7 +189,7 @@ def test_crossings_and_metrics_streams(spark, tmp_path):
     rows = [(7, 1, "click", 2.0 * h, (pd.Timestamp("2026-01-01") + pd.Timedelta(hours=h)).to_pydatetime()) for h in hours]
     spark.createDataFrame(rows, "track long, run_id long, stage string, value double, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema("track long, run_id long, stage string, value double, ts timestamp").parquet(str(tmp_path / "in"))
-    run_stream(crossings_stream(read()), str(tmp_path / "c1"), "crossings")
+    run_stream(crossings_stream(read(), "6 hours"), str(tmp_path / "c1"), "crossings")
     got = sorted((r.first.hour, r.face_frames) for r in spark.table("crossings").collect())
     assert got == [(0, 3), (20, 2)]  # the session of hour 60 is still open
     run_stream(metrics_stream(read(), "6 hours"), str(tmp_path / "c2"), "metrics")

@@ -210,3 +210,32 @@ def test_where_nothing_can_be_left_out_the_full_product_runs(spark):
     assert one == sorted(tuple(r) for r in apply("cosine_top1", probes=probes, gallery=gallery).collect())
     assert apply("cosine_top1_cells", probes=probes.limit(0), gallery=gallery).count() == 0
     assert apply("cosine_top1_cells", probes=probes, gallery=gallery.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+def test_the_review_queue_in_blocks(spark, monkeypatch, block):
+    """Keys whose templates lie in several blocks, against all pairs."""
+    from turnstile.operators import review
+
+    monkeypatch.setattr(review, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        v = rng.normal(size=8) + 0.4
+        look = None if i % 4 == 0 else (np.abs(rng.normal(size=6))).tolist()
+        rows.append((i, 1, i % 40, 0, (v / np.linalg.norm(v)).tolist(), 90.0, look, False))
+    apart = {(1, 2), (3, 9)}
+    want = {}
+    for x in rows:
+        for y in rows:
+            if x[2] < y[2]:
+                cosine, like = want.get((x[2], y[2]), (-1.0, None))
+                over = None if x[6] is None or y[6] is None else float(np.minimum(x[6], y[6]).sum())
+                want[x[2], y[2]] = max(cosine, float(np.dot(x[4], y[4]))), over if like is None else like if over is None else max(like, over)
+    k = Settings(review_floor=0.80, match_threshold=0.93, review_limit=50)
+    band = {p: v for p, v in want.items() if 0.80 <= v[0] < 0.93 and p not in apart}
+    order = sorted(band, key=lambda p: (band[p][1] is None, -round(band[p][1] or 0, 9), -round(band[p][0], 9), p))
+    got = apply("review_queue", k, templates=spark.createDataFrame(rows, TEMPLATE), cannot_link=spark.createDataFrame(sorted(apart), "a long, b long")).orderBy("place").collect()
+    assert [(r.key_a, r.key_b) for r in got] == order[:50] and len(order) > 60
+    assert all(r.considered == len(order) and r.dropped == len(order) - 50 for r in got)
+    assert all(abs(r.cosine - band[r.key_a, r.key_b][0]) < 1e-6 and abs(r.likeness - band[r.key_a, r.key_b][1]) < 1e-6 for r in got)

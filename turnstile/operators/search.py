@@ -27,24 +27,26 @@ def _answering(rows: str) -> str:
     return f"(SELECT *, (id % {BLOCKS} + {BLOCKS}) % {BLOCKS} AS block FROM {rows} AS a1)"
 
 
-def _scored(d: Dialect, extra: str = "") -> str:
+def _scored(d: Dialect, extra: str = "", staff: bool = False) -> str:
     """Every probe with every other template, and their cosine (vectors are unit)."""
-    return f"""SELECT p.id AS probe, p.key AS probe_key, g.id AS id, g.key AS key, {d.dot('p.vec', 'g.vec')} AS cosine
+    return f"""SELECT p.id AS probe, p.key AS probe_key, g.id AS id, g.key AS key{', g.staff AS staff' if staff else ''}, {d.dot('p.vec', 'g.vec')} AS cosine
       FROM {_asking(d, probes(d))} AS p JOIN {_answering(gallery(d))} AS g ON g.block = p.block AND g.id <> p.id {extra}"""
 
 
-def _by_key(d: Dialect, extra: str = "") -> str:
-    """The best row of each key for each probe; ties go to the lowest id."""
+def _by_key(d: Dialect, extra: str = "", staff: bool = False) -> str:
+    """The best row of each key for each probe; ties go to the lowest id. With ``staff`` also the best of its staff rows."""
     top = "struct(cosine AS cosine, -id AS back)" if d.spark else "struct_pack(cosine := cosine, back := -id)"
-    return f"""SELECT probe, probe_key, key, top.cosine AS cosine, -top.back AS id
-      FROM (SELECT probe, probe_key, key, max({top}) AS top FROM ({_scored(d, extra)}) AS s0 GROUP BY probe, probe_key, key) AS s1"""
+    more, also = (", max(CASE WHEN staff THEN cosine END) AS own_staff", ", own_staff") if staff else ("", "")
+    return f"""SELECT probe, probe_key, key, top.cosine AS cosine, -top.back AS id{also}
+      FROM (SELECT probe, probe_key, key, max({top}) AS top{more} FROM ({_scored(d, extra, staff)}) AS s0 GROUP BY probe, probe_key, key) AS s1"""
 
 
-def _best(d: Dialect, extra: str = "") -> str:
-    """Each probe's best row, and the best row of any other key."""
+def _best(d: Dialect, extra: str = "", staff: bool = False) -> str:
+    """Each probe's best row, and the best row of any other key; with ``staff`` the best cosine of staff."""
     order = "OVER (PARTITION BY probe ORDER BY cosine DESC, id)"
-    return f"""SELECT * FROM (SELECT *, row_number() {order} AS rn, lead(key) {order} AS rival, lead(cosine) {order} AS rival_cosine
-      FROM ({_by_key(d, extra)}) AS b0) AS b1 WHERE rn = 1"""
+    also = ", max(own_staff) OVER (PARTITION BY probe) AS staff" if staff else ""
+    return f"""SELECT * FROM (SELECT *, row_number() {order} AS rn, lead(key) {order} AS rival, lead(cosine) {order} AS rival_cosine{also}
+      FROM ({_by_key(d, extra, staff)}) AS b0) AS b1 WHERE rn = 1"""
 
 
 @sql
@@ -69,8 +71,7 @@ def match_verdict(d: Dialect) -> str:
     return f"""SELECT probe, CASE WHEN staff >= {d.k.match_threshold} THEN 'staff' WHEN cosine >= {d.k.match_threshold} THEN 'match' ELSE 'mint' END AS verdict,
       CASE WHEN staff >= {d.k.match_threshold} THEN NULL WHEN cosine >= {d.k.match_threshold} THEN key END AS key,
       round(cosine, 6) AS cosine
-      FROM (SELECT t.*, s.staff FROM ({_best(d)}) AS t LEFT JOIN (
-        SELECT probe, max(cosine) AS staff FROM ({_scored(d, 'AND g.staff')}) AS s1 GROUP BY probe) AS s ON s.probe = t.probe) AS v"""
+      FROM ({_best(d, staff=True)}) AS v"""
 
 
 @sql
@@ -202,12 +203,8 @@ def overlap(d: Dialect) -> str:
         WHERE c.a = least(m.key, m.rival) AND c.b = greatest(m.key, m.rival))"""
 
 
-@sql
-def review_queue(d: Dialect) -> str:
-    """Pairs of keys in the review band, measured clothes first, and how many were dropped.
-
-    Only the pairs at the top are put in order in one place; their number is counted apart.
-    """
+def review_queue_sql(d: Dialect) -> str:
+    """The review queue as one text, for the oracle; :mod:`turnstile.operators.review` runs it in blocks."""
     k = d.k
     order = "CASE WHEN likeness IS NULL THEN 1 ELSE 0 END, round(likeness, 9) DESC, round(cosine, 9) DESC, key_a, key_b"
     return f"""WITH q AS (
