@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from turnstile.catalog import apply
 from turnstile.sources.readers import read_frames, read_manifest, read_zones
 
@@ -35,9 +37,21 @@ def test_a_manifest_is_read_and_judged(spark, tmp_path):
     assert found == {0: None, 1: "path", 2: "actual", 3: "tags", 4: "label", 5: "label"}
 
 
+def test_a_manifest_of_another_version_is_an_error(spark, tmp_path):
+    clip = {"label": "a", "path": "/a.mp4", "actualUnique": 3, "tags": []}
+    for version, ok in ((1, True), (2, False), ("x", False)):
+        (tmp_path / f"{version}.json").write_text(json.dumps({"version": version, "clips": [clip]}))
+        manifest = read_manifest(spark, str(tmp_path / f"{version}.json"))
+        if ok:
+            assert manifest.count() == 1 and manifest.first().label == "a"
+        else:
+            with pytest.raises(Exception, match="version not supported"):
+                manifest.collect()
+
+
 def test_zones_from_json(spark, tmp_path):
-    (tmp_path / "z.json").write_text('{"label": "door", "points": [[0, 0], [4, 0], [4, 4], [0, 4]]}\n{"label": "till", "mode": "detections", "points": [[9, 9], [12, 9]]}\n')
+    (tmp_path / "z.json").write_text('{"label": "door", "points": [[0, 0], [4, 0], [4, 4], [0, 4]]}\n{"label": "till", "mode": "detections", "points": [[9, 9], [12, 9], [12, 12]]}\n')
     corners = read_zones(spark, str(tmp_path / "z.json"))
     boxes = spark.createDataFrame([(1, 1, 2.0, 2.0), (1, 2, 5.0, 2.0)], "frame long, n long, x double, y double")
     assert [(r.n, r.label) for r in apply("point_in_polygon", boxes=boxes, corners=corners).collect()] == [(1, "door")]
-    assert {r.label: r.valid for r in apply("zone_corners", corners=corners).collect()} == {"door": True, "till": False}
+    assert {r.label: r.valid for r in apply("zone_corners", corners=corners).collect()} == {"door": True, "till": True}

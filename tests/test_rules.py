@@ -183,3 +183,55 @@ def test_what_cannot_be_is_an_error(spark):
     ]:
         with pytest.raises(Exception, match=message):
             apply(name, **views).collect()
+
+
+def test_landmarks_move_with_their_face_and_pack_in_order(spark):
+    faces = spark.createDataFrame([(1, 1, 10.0, 20.0, 30.0, 40.0, 0.9)], "frame long, n long, x double, y double, w double, h double, conf double")
+    marks = spark.createDataFrame([(1, 1, i, 100.0 + i, 200.0 + i) for i in (3, 1, 5, 2, 4)], "frame long, n long, i long, x double, y double")
+    boxes = spark.createDataFrame([(1, 1, 7.0, 9.0)], "frame long, n long, x double, y double")
+    assert rows(apply("offset_landmarks", marks5=marks, boxes=boxes)) == [(1, 1, i, 107.0 + i, 209.0 + i) for i in range(1, 6)]
+    assert rows(apply("face_row_pack", faces=faces, marks5=marks)) == [(1, 1, 15, 101.0, 205.0, 0.9)]
+    with pytest.raises(Exception, match="five landmarks"):
+        apply("face_row_pack", faces=faces, marks5=marks.where("i < 5")).collect()
+
+
+def test_tracks_and_raw_boxes_are_told_apart(spark):
+    box = "frame long, n long, x double, y double, w double, h double"
+    faces = spark.createDataFrame([(1, 1, 4.0, 4.0, 2.0, 2.0)], box)
+    boxes, tracks = spark.createDataFrame([(1, 7, 0.0, 0.0, 10.0, 10.0)], box), spark.createDataFrame([(1, 8, 1.0, 1.0, 10.0, 10.0), (1, 9, 0.0, 0.0, 10.0, 10.0)], box)
+    assert rows(apply("face_body_assoc", faces=faces, boxes=boxes)) == [(1, 1, 7)]
+    assert rows(apply("face_track_assoc", faces=faces, tracks=tracks)) == [(1, 1, 9)]
+
+
+def test_armed_floors_count_what_they_cannot_see(spark):
+    faces = spark.createDataFrame([(1, 1, 80.0, None, 0.9, None), (1, 2, 70.0, 5.0, None, None)], "frame long, n long, width_px double, ied double, frontality double, sharpness double")
+    got = {r.name: (r.floor_at, r.faces, r.unmeasured) for r in apply("armed_floors", Settings(ied_floor=10.0, sharpness_floor=20.0), faces=faces).collect()}
+    assert got == {"width": (56.0, 2, 0), "ied": (10.0, 2, 1), "sharpness": (20.0, 2, 2)}
+
+
+def test_pictures_give_signals_or_null(spark):
+    import numpy as np
+
+    from turnstile.functions import pixels
+
+    rng = np.random.default_rng(0)
+    noise, dark = rng.integers(0, 256, (40, 48, 3), dtype=np.uint8), np.zeros((40, 48, 3), np.uint8)
+    thin = rng.integers(0, 256, (1, 48, 3), dtype=np.uint8)
+    images = spark.createDataFrame([(i, bytearray(x.tobytes()), 48, x.shape[0]) for i, x in enumerate((noise, dark, thin))] + [(3, None, 48, 40)], "image_id long, pixels binary, width int, height int")
+    got = {r.image_id: r for r in apply("image_signals", Settings(letterbox_side=64, frame_width=24), images=images).collect()}
+    assert got[0].sharpness == pixels.sharpness(noise, (0, 0, 48, 40)) and got[0].mass == 1.0 and (got[0].width, got[0].height) == (24, 20)
+    assert got[0].scale == pytest.approx(64 / 48) and got[0].boxed_bytes == 64 * 64 * 3
+    assert got[1].sharpness == 0.0 and got[1].mass is None and got[2].sharpness is None and got[3].sharpness is None and got[3].width is None
+
+
+def test_settings_of_the_environment_reach_an_operator(spark, monkeypatch):
+    boxes = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0, 0.6, False), (1, 2, 1.0, 0.0, 10.0, 10.0, 0.9, False)], "frame long, n long, x double, y double, w double, h double, conf double, excluded boolean")
+    assert rows(apply("nms", Settings.from_env(), boxes=boxes)) == [(1, 2)]
+    monkeypatch.setenv("TURNSTILE_NMS_IOU", "0.95")
+    assert rows(apply("nms", Settings.from_env(), boxes=boxes)) == [(1, 1), (1, 2)]
+
+
+def test_payload_bytes_are_those_of_the_json(spark):
+    acts = spark.createDataFrame([(1, k, k % 2 == 0) for k in range(8)], "run_id long, event_id long, minted boolean")
+    got = apply("match_payload", acts=acts).first()
+    assert (got.mints, got.matches, got.bytes) == (4, 4, len('{"mints":[0,2,4,6],"matches":[1,3,5,7]}'))

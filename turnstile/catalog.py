@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstile.operators import bounds, evals, folds, gate, merging, reconcile, reports, review, search, spatial, stats, stories, texts  # noqa: F401  (they register)
+from turnstile.operators import bounds, evals, folds, gate, merging, pictures, reconcile, reports, review, search, spatial, stats, stories, texts  # noqa: F401  (they register)
 from turnstile.plans import registry
 from turnstile.plans.registry import apply  # noqa: F401  (for users)
 

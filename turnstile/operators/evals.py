@@ -97,6 +97,13 @@ def scores(d: Dialect) -> str:
       ON k.clip = s.clip AND k.half = s.half"""
 
 
+@sql
+def run_exit_code(d: Dialect) -> str:
+    """What a harness run exits with: 0 where every clip was scored and passed, else 2."""
+    return f"""SELECT half, count(*) AS clips, count(CASE WHEN verdict = 'errored' THEN 1 END) AS errored, count(CASE WHEN verdict = 'fail' THEN 1 END) AS failed,
+      CASE WHEN count(CASE WHEN verdict <> 'pass' THEN 1 END) > 0 THEN 2 ELSE 0 END AS exit_code FROM ({scores(d)}) AS v GROUP BY half"""
+
+
 @sql
 def eval_score(d: Dialect) -> str:
     return f"SELECT clip, half, verdict, criticals, uniq, actual, round(err, 6) AS err, round(rate, 6) AS rate FROM ({scores(d)}) AS v"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.sources.bindings import faces, landmarks
+from turnstile.sources.bindings import faces, landmarks, marks5
 
 
 def judged(d: Dialect) -> str:
@@ -47,10 +47,11 @@ def gate_unmeasured(d: Dialect) -> str:
 
 @sql
 def armed_floors(d: Dialect) -> str:
+    """The floors that are armed, and how many faces came without the signal that each looks at."""
     k = d.k
-    floors = (("width", k.sub_canon_width), ("ied", k.ied_floor), ("frontality", k.frontality_floor), ("sharpness", k.sharpness_floor))
-    rows = ", ".join(f"('{n}', {v})" for n, v in floors)
-    return f"SELECT name, CAST(floor_at AS DOUBLE) AS floor_at FROM (VALUES {rows}) AS f(name, floor_at) WHERE floor_at > 0"
+    floors = (("width", "width_px", k.sub_canon_width), ("ied", "ied", k.ied_floor), ("frontality", "frontality", k.frontality_floor), ("sharpness", "sharpness", k.sharpness_floor))
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST({v} AS DOUBLE) AS floor_at, count(*) AS faces, count(*) - count({c}) AS unmeasured FROM {faces(d)} AS f" for n, c, v in floors)
+    return f"SELECT name, floor_at, faces, unmeasured FROM ({rows}) AS r WHERE floor_at > 0"
 
 
 @sql
@@ -71,9 +72,12 @@ def enrol_score(d: Dialect) -> str:
 
 @sql
 def face_row_pack(d: Dialect) -> str:
-    """Box, five landmarks and score as one row of 15 numbers."""
-    marks = ", ".join(f"x + w * {i} / 6, y + h * {i} / 6" for i in range(1, 6))
-    return f"SELECT frame, n, {d.size('packed')} AS numbers, {d.item('packed', 5)} AS eye_x, {d.item('packed', 14)} AS mouth_y, {d.item('packed', 15)} AS conf FROM (SELECT frame, n, {d.array('x', 'y', 'w', 'h', marks, 'conf')} AS packed FROM {faces(d)} AS f) AS p"
+    """Box, five landmarks and score as one row of 15 numbers; a face with other than five landmarks is an error."""
+    marks = f"(SELECT frame, n, {d.sorted_list(d.struct(i='i', x='x', y='y'), 'i')} AS marks FROM {marks5(d)} AS m0 GROUP BY frame, n)"
+    at = lambda i, c: f"{d.item('marks', i)}.{c}"
+    five = d.fail_unless(f"{d.size('marks')} = 5", "a face has five landmarks", d.array("x", "y", "w", "h", *[at(i, c) for i in range(1, 6) for c in "xy"], "conf"))
+    return f"""SELECT frame, n, {d.size('packed')} AS numbers, {d.item('packed', 5)} AS eye_x, {d.item('packed', 14)} AS mouth_y, {d.item('packed', 15)} AS conf FROM (
+      SELECT f.frame, f.n, {five} AS packed FROM {faces(d)} AS f JOIN {marks} AS k ON k.frame = f.frame AND k.n = f.n) AS p"""
 
 
 @sql

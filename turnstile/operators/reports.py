@@ -55,11 +55,10 @@ def face_payload(d: Dialect) -> str:
 def match_payload(d: Dialect) -> str:
     """Matches and mints of each run within the budget: older mints are shed first, then matches beyond the first ten.
 
-    Both lists start at the cap of rows; bytes are those of the ids' text.
+    Both lists start at the cap of rows; bytes are those of the JSON that is sent.
     """
     ids = lambda c: d.sorted_list(f"CASE WHEN {c} THEN event_id END", "event_id")
-    told = lambda x: d.join(d.each(x, "e", f"CAST(e AS {d.text})"), ",")
-    size = lambda a, b: f"({d.octets(told(a))} + {d.octets(told(b))})"
+    size = lambda a, b: f"CAST({d.octets(d.to_json(d.struct(mints=a, matches=b)))} AS BIGINT)"
     budget = d.k.payload_bytes
     kept = d.keep("all_mints", "e", "e IS NOT NULL")
     met = d.keep("all_matches", "e", "e IS NOT NULL")

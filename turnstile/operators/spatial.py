@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import sql
-from turnstile.sources.bindings import boxes, corners, faces, lettered, loose_boxes, predictions, raw_grid, tracks
+from turnstile.sources.bindings import boxes, corners, faces, lettered, loose_boxes, marks5, predictions, raw_grid, tracks
 
 
 def iou(a: str, b: str) -> str:
@@ -93,15 +93,26 @@ def zone_mark(d: Dialect) -> str:
     return f"SELECT frame, n, true AS in_zone FROM ({_inside(d, points, 'frame, n', 'faces', 'detections')}) AS i WHERE {d.size('hits')} > 0"
 
 
-@sql
-def face_track_assoc(d: Dialect) -> str:
-    """A face belongs to the box that holds its centre; ties go to the nearest centre, then the first box."""
+def _held(d: Dialect, rows: str) -> str:
+    """Each face with the box that holds its centre; ties go to the nearest centre, then the first box."""
     return f"""SELECT frame, face, box FROM (SELECT f.frame, f.n AS face, b.n AS box, row_number() OVER (PARTITION BY f.frame, f.n ORDER BY
         (b.x + b.w / 2 - f.x - f.w / 2) * (b.x + b.w / 2 - f.x - f.w / 2) + (b.y + b.h / 2 - f.y - f.h / 2) * (b.y + b.h / 2 - f.y - f.h / 2), b.n) AS rn
-      FROM {faces(d)} AS f JOIN {boxes(d)} AS b ON f.frame = b.frame AND f.x + f.w / 2 BETWEEN b.x AND b.x + b.w
+      FROM {faces(d)} AS f JOIN {rows} AS b ON f.frame = b.frame AND f.x + f.w / 2 BETWEEN b.x AND b.x + b.w
         AND f.y + f.h / 2 BETWEEN b.y AND b.y + b.h) AS t WHERE rn = 1"""
 
 
+@sql
+def face_track_assoc(d: Dialect) -> str:
+    """The track a face belongs to: evidence about one person over time."""
+    return _held(d, tracks(d))
+
+
+@sql
+def face_body_assoc(d: Dialect) -> str:
+    """The raw person box a face belongs to: its extent in this frame, where a track's box may be a guess."""
+    return _held(d, boxes(d))
+
+
 @sql
 def clamp_box(d: Dialect) -> str:
     """Corners rounded half to even and clamped to the frame; null where nothing is left."""
@@ -118,6 +129,13 @@ def offset_face(d: Dialect) -> str:
       JOIN {boxes(d)} AS b ON b.frame = f.frame AND b.n = f.n"""
 
 
+@sql
+def offset_landmarks(d: Dialect) -> str:
+    """Landmarks move with their face from its crop to the frame."""
+    return f"""SELECT m.frame, m.n, m.i, round(m.x + b.x, 6) AS x, round(m.y + b.y, 6) AS y FROM {marks5(d)} AS m
+      JOIN {boxes(d)} AS b ON b.frame = m.frame AND b.n = m.n"""
+
+
 @sql
 def torso_rect(d: Dialect) -> str:
     """Below the face, to 2.5 face heights or the box's end, 15 % in from the sides; null under 24 pixels."""

@@ -35,6 +35,9 @@ class Settings:
     track_max_misses: int = 30
     track_min_hits: int = 3
     track_velocity: float = 0.5
+    letterbox_side: int = 416
+    frame_width: int = 0
+    frame_height: int = 0
     # Reconciliation.
     heal_seconds: float = 20.0
     heal_cosine: float = 0.45
@@ -103,6 +106,9 @@ FIXTURE = replace(
     stall_seconds=600.0,
     flush_seconds=3600.0,
     sample_cap=3,
+    letterbox_side=64,
+    frame_width=40,
+    frame_height=32,
     window_from=100,
     window_to=60_000,
     segment_seconds=86_400.0,

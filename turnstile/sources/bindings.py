@@ -180,15 +180,17 @@ def predictions(d: Dialect) -> str:
 
 @view
 def raw_grid(d: Dialect) -> str:
-    """Raw outputs of a 32 x 32 image at strides 8, 16 and 32: n, stride, gx, gy, px, py, pw, ph."""
-    grid = []
-    for stride in (8, 16, 32):
-        per = 32 // stride
-        grid += [f"({stride}, {i % per}, {i // per}, {len(grid) + i})" for i in range(per * per)]
-    raw = "((n * 37 + {k} * 11) % 19 - 9) / 7.0E0"
-    px, py, pw, ph = (raw.format(k=k) for k in range(4))
-    return f"""(SELECT CAST(n AS BIGINT) AS n, stride, gx, gy, {px} AS px, {py} AS py, {pw} AS pw, {ph} AS ph
-      FROM (VALUES {', '.join(grid)}) AS g(stride, gx, gy, n))"""
+    """Raw outputs of a detector's grids at strides 8, 16 and 32: n, stride, gx, gy, px, py, pw, ph."""
+    part = lambda i: f"CAST({d.item('embedding', i)} AS DOUBLE)"
+    return f"""(SELECT vec_id AS n, CASE vec_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END AS stride, vec_id % 52 AS gx, vec_id % 40 AS gy,
+      {part(1)} AS px, {part(2)} AS py, {part(3)} AS pw, {part(4)} AS ph FROM {d.t('embeddings')} WHERE embedding IS NOT NULL)"""
+
+
+@view
+def images(d: Dialect) -> str:
+    """Raw pixels, three bytes each, in rows of 48: image_id, pixels, width, height. Spark only: bytes of pages stand for them."""
+    return f"""(SELECT page_id AS image_id, substring(CAST(html AS BINARY), 1, CAST(octet_length(html) DIV 144 AS INT) * 144) AS pixels, 48 AS width, CAST(octet_length(html) DIV 144 AS INT) AS height
+      FROM {d.t('pages')} WHERE octet_length(html) >= 144)"""
 
 
 @view
@@ -220,6 +222,14 @@ def landmarks(d: Dialect) -> str:
       FROM {faces(d)} AS f)"""
 
 
+@view
+def marks5(d: Dialect) -> str:
+    """Landmarks of faces, five a face: frame, n, i (eyes, nose, corners of the mouth), x, y."""
+    at = (("0.3", "0.35"), ("0.7", "0.35"), ("0.5", "0.6"), ("0.35", "0.8"), ("0.65", "0.8"))
+    points = d.array(*[d.struct(i=str(i), x=f"x + w * {a}", y=f"y + h * {b}") for i, (a, b) in enumerate(at, 1)])
+    return f"(SELECT frame, n, CAST(p.i AS BIGINT) AS i, p.x AS x, p.y AS y FROM (SELECT frame, n, p FROM {faces(d)} AS f {d.rows(points, 'e', 'p')}) AS m)"
+
+
 @view
 def verdicts(d: Dialect) -> str:
     """Verdicts of frames: run, a key, a cosine, a body (some boxes hold two faces, some faces stand in none) and its clothes for every face."""

@@ -41,9 +41,12 @@ CLIP = "label string, path string, actualUnique long, tags array<string>, notes
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Clips of a JSON manifest ``{"clips": [...]}``, as ``manifest_validate`` takes them: clip (its place), label, path, actual, tags.
 
-    What is missing or of another type is null, or without tags an empty list, and is judged there.
+    What is missing or of another type is null, or without tags an empty list, and is judged there. A
+    manifest of another version than 1 (none given is 1) is an error.
     """
-    whole = spark.read.schema(f"clips array<struct<{', '.join(f.replace(' ', ':', 1) for f in CLIP.split(', '))}>>").option("multiLine", True).json(path)
+    whole = spark.read.schema(f"version string, clips array<struct<{', '.join(f.replace(' ', ':', 1) for f in CLIP.split(', '))}>>").option("multiLine", True).json(path)
+    known = F.coalesce(F.col("version"), F.lit("1")) == "1"
+    whole = whole.select(F.when(known, F.col("clips")).otherwise(F.raise_error(F.concat(F.lit("manifest version not supported: "), "version"))).alias("clips"))
     clips = whole.select(F.posexplode("clips").alias("clip", "c"))
     return clips.select(
         F.col("clip").cast("long").alias("clip"),
