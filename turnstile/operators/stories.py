@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from turnstile.operators.folds import Gallery, Template, fold_in_order, templates_of
+from turnstile.operators.folds import DIGITS, Gallery, Template, fold_in_order, templates_of
+from turnstile.plans.dialect import DUCKDB
 from turnstile.plans.registry import frames
-from turnstile.settings import DEFAULTS, Settings
+from turnstile.settings import DEFAULTS, FIXTURE, Settings
+from turnstile.sources import bindings
 
 STORY_DDL = "run_id long, frame long, n long, id long, key long, people long, merged long, healed long, split long, vetoed long, uncertain long"
 
@@ -193,7 +195,124 @@ def tell(run_id: int, rows: pd.DataFrame, story: Story) -> list[tuple]:
 READ = ["run_id", "frame", "t_ms", "n", "track", "body", "staff", "id", "vec", "quality", "appearance"]
 
 
-@frames("encounters")
+def story_sql() -> str:
+    """The stories as a recursive query, one small step a row: the oracle.
+
+    A frame's program is: M, match a face; S, settle one face that shares a key; B, hold bodies apart; then for
+    each face F, what its track remembers, H, heal one mint, and L, the lock; and O, what is told.
+    """
+    k, d = FIXTURE, DUCKDB
+    cosine = lambda a, b: f"round(list_sum(list_transform(list_zip({a}, {b}), lambda zz: zz[1] * zz[2])), {DIGITS})"
+    of_key = lambda rows, key: f"list_filter({rows}, lambda p: p.key = {key})"
+    differ = lambda a, b: (
+        f"(len(list_filter(bodies, lambda u: u.key = {a})) > 0 AND len(list_filter(bodies, lambda u: u.key = {b})) > 0 AND (len(list_filter(bodies, lambda u: u.key IN ({a}, {b}) AND u.body IS NULL)) > 0 "
+        f"OR len(list_intersect(list_transform(list_filter(bodies, lambda u: u.key = {a}), lambda u: u.body), list_transform(list_filter(bodies, lambda u: u.key = {b}), lambda u: u.body))) = 0))"
+    )
+    near = f"list_max(list_transform(list_filter(grown, lambda v: v.id <> r.id), lambda v: {cosine('v.vec', 'r.vec')}))"
+    goes = f"-list_sort(list_transform(grown, lambda r: struct_pack(near := -{near}, quality := coalesce(r.quality, '-inf'::DOUBLE), id := -r.id)))[1].id"
+    crowded = f"list_max(flatten(list_transform(own, lambda r: list_transform(list_filter(own, lambda v: v.id <> r.id), lambda v: {cosine('v.vec', 'r.vec')}))))"
+    row = "struct_pack(key := {key}, id := y.id, vec := y.vec, quality := y.quality, look := y.look)"
+    template = "STRUCT(key BIGINT, id BIGINT, vec DOUBLE[], quality DOUBLE, look DOUBLE[])"
+    face = "STRUCT(n BIGINT, id BIGINT, vec DOUBLE[], quality DOUBLE, look DOUBLE[], track BIGINT, body BIGINT, key BIGINT, is_new BOOLEAN, cos DOUBLE, added BOOLEAN)"
+    memory = "STRUCT(track BIGINT, key BIGINT, look DOUBLE[], since BIGINT)"
+    pair = "STRUCT(a BIGINT, b BIGINT)"
+    seen = "struct_pack(n := y.n, id := y.id, vec := y.vec, quality := y.quality, look := y.look, track := y.track, body := y.body, key := {key}, is_new := is_new, cos := cos, added := {added})"
+    carried = "run_id, k, op, slot, frame, t"
+    state = "people, minted, apart, asserted, bodies, mints, locks, found, tasks, doomed, n_people, merged, healed, split, vetoed, uncertain"
+    fresh = f"struct_pack(track := e.track, key := e.key, look := e.look, since := t)"
+    ranked = "list_sort(list_transform(list_filter(range(1, len(found) + 1), lambda j: found[j].key = found[i].key), lambda j: struct_pack(m := NOT found[j].is_new, c := -coalesce(found[j].cos, -1.0), j := j)))"
+    shared = f"""flatten(list_transform(list_filter(range(1, len(found) + 1), lambda i: len(list_filter(found[1:i - 1], lambda u: u.key = found[i].key)) = 0),
+        lambda i: list_transform([{ranked}], lambda o: list_transform(o[2:], lambda z: struct_pack(i := z.j, keeper := o[1].j)))[1]))"""
+    together = f"""list_transform(flatten(list_transform(range(1, len(keys) + 1), lambda i: list_transform(range(i + 1, len(keys) + 1), lambda j: struct_pack(a := keys[i], b := keys[j])))), lambda z: z)"""
+    return f"""WITH RECURSIVE face AS (
+      SELECT run_id, frame, t_ms AS t, n, row_number() OVER (PARTITION BY run_id, frame ORDER BY n) AS q, count(*) OVER (PARTITION BY run_id, frame) AS many,
+        struct_pack(n := n, id := id, vec := vec, quality := quality, look := appearance, track := CAST(track AS BIGINT), body := CAST(body AS BIGINT)) AS x
+      FROM {bindings.encounters(d)} AS e0 WHERE NOT staff),
+    framed AS (SELECT run_id, frame, min(t_ms) AS t FROM {bindings.encounters(d)} AS e1 GROUP BY run_id, frame),
+    code AS (
+      SELECT run_id, frame, t, 0 AS phase, q, 0 AS part, 'M' AS op, q AS slot, x FROM face
+      UNION ALL SELECT run_id, frame, t, 1, q, 0, 'S', q, x FROM face
+      UNION ALL SELECT run_id, frame, t, 2, 0, 0, 'B', 0, NULL FROM framed
+      UNION ALL SELECT run_id, frame, t, 3, q, 0, 'F', q, x FROM face
+      UNION ALL SELECT run_id, frame, t, 3, q, h, 'H', h, x FROM face, range(1, {k.recent_mints + 1}) AS u(h)
+      UNION ALL SELECT run_id, frame, t, 3, q, {k.recent_mints + 1}, 'L', q, x FROM face
+      UNION ALL SELECT run_id, frame, t, 4, 0, 0, 'O', 0, NULL FROM framed),
+    program AS (SELECT run_id, frame, t, op, slot, x, q, row_number() OVER (PARTITION BY run_id ORDER BY frame, phase, q, part) AS k FROM code),
+    step AS (
+      SELECT run_id, 0::BIGINT AS k, '' AS op, 0::BIGINT AS frame, []::{template}[] AS people, 0::BIGINT AS minted, []::{pair}[] AS apart, []::{pair}[] AS asserted,
+        []::STRUCT(key BIGINT, body BIGINT)[] AS bodies, []::{memory}[] AS mints, []::{memory}[] AS locks, []::{face}[] AS found, []::STRUCT(i BIGINT, keeper BIGINT)[] AS tasks, []::{memory}[] AS doomed,
+        0::BIGINT AS n_people, 0::BIGINT AS merged, 0::BIGINT AS healed, 0::BIGINT AS split, 0::BIGINT AS vetoed, 0::BIGINT AS uncertain
+      FROM (SELECT DISTINCT run_id FROM framed) AS r0
+      UNION ALL
+      -- 6: merges of H and L, and what follows from them.
+      SELECT run_id, k, op, frame,
+        CASE WHEN folds THEN list_concat(list_filter(people, lambda p: p.key NOT IN (keep, gone)), CASE WHEN len(grown) <= {k.template_cap} THEN grown ELSE list_filter(grown, lambda r: r.id <> goes) END) ELSE people END AS people,
+        minted, CASE WHEN folds THEN list_distinct(list_filter(list_transform(apart, lambda p: struct_pack(a := least(CASE WHEN p.a = gone THEN keep ELSE p.a END, CASE WHEN p.b = gone THEN keep ELSE p.b END),
+            b := greatest(CASE WHEN p.a = gone THEN keep ELSE p.a END, CASE WHEN p.b = gone THEN keep ELSE p.b END))), lambda p: p.a <> p.b)) ELSE apart END AS apart,
+        asserted, bodies,
+        CASE WHEN op = 'L' AND e.track IS NOT NULL AND e.is_new AND NOT folds THEN list_concat(list_filter(mints, lambda m: m.track <> e.track),
+          list_transform([list_append(list_filter(mints, lambda m: m.track = e.track), {fresh})], lambda o: o[greatest(1, len(o) - {k.recent_mints - 1}):])[1]) ELSE mints END AS mints,
+        CASE WHEN op = 'L' AND e.track IS NOT NULL AND NOT e.is_new AND e.cos >= {k.lock_cosine} THEN list_append(list_filter(locks, lambda m: m.track <> e.track), {fresh})
+          WHEN op = 'L' AND clash THEN list_filter(locks, lambda m: m.track <> e.track) ELSE locks END AS locks,
+        CASE WHEN op = 'L' AND folds THEN list_transform(range(1, len(found) + 1), lambda i: CASE WHEN i = slot THEN struct_pack(n := found[i].n, id := found[i].id, vec := found[i].vec, quality := found[i].quality,
+          look := found[i].look, track := found[i].track, body := found[i].body, key := keep, is_new := found[i].is_new, cos := found[i].cos, added := found[i].added) ELSE found[i] END) ELSE found END AS found,
+        tasks, doomed, CASE WHEN folds THEN greatest(0, n_people - 1) ELSE n_people END AS n_people, merged + CASE WHEN folds AND op = 'L' THEN 1 ELSE 0 END AS merged,
+        healed + CASE WHEN folds AND op = 'H' THEN 1 ELSE 0 END AS healed, split, vetoed + CASE WHEN clash THEN 1 ELSE 0 END AS vetoed, uncertain + CASE WHEN unsure THEN 1 ELSE 0 END AS uncertain
+      FROM (SELECT *, {goes} AS goes FROM (SELECT *, CASE WHEN folds THEN list_concat(list_filter(people, lambda p: p.key = keep), list_transform(list_filter(people, lambda p: p.key = gone),
+            lambda p: struct_pack(key := keep, id := p.id, vec := p.vec, quality := p.quality, look := p.look))) ELSE []::{template}[] END AS grown
+        FROM (SELECT *, tries AND NOT clash AND len({of_key('people', 'gone')}) = 1 AND keep <> gone AND len({of_key('people', 'keep')}) > 0
+              AND len(list_filter(apart, lambda p: p.a = least(keep, gone) AND p.b = greatest(keep, gone))) = 0 AS folds
+          FROM (SELECT *, coalesce(tries AND alike < {k.clothing_refuse}, false) AS clash, coalesce(tries AND alike >= {k.clothing_refuse} AND alike < {k.clothing_uncertain}, false) AS unsure
+            FROM (SELECT *, CASE WHEN tries AND before IS NOT NULL AND e.look IS NOT NULL THEN {d.overlap('before', 'e.look')} END AS alike
+              -- 5: what H and L try to fold: a doomed mint into the match, a mint into the lock.
+              FROM (SELECT * EXCLUDE (held), CASE op WHEN 'H' THEN doomed[slot].key WHEN 'L' THEN e.key END AS gone, CASE op WHEN 'H' THEN e.key WHEN 'L' THEN held.key END AS keep,
+                  CASE op WHEN 'H' THEN doomed[slot].look WHEN 'L' THEN held.look END AS before,
+                  coalesce(CASE op WHEN 'H' THEN slot <= len(doomed) WHEN 'L' THEN e.track IS NOT NULL AND e.is_new AND held.key IS NOT NULL AND held.key <> e.key AND NOT {differ('e.key', 'held.key')} END, false) AS tries
+                FROM (SELECT * EXCLUDE (locks0), locks0 AS locks, CASE WHEN op = 'L' THEN list_filter(locks0, lambda m: m.track = e.track)[1] END AS held
+                  -- 4: B and F.
+                  FROM (SELECT {carried}, people, minted, e, tasks, found, split, merged, healed, vetoed, uncertain,
+                      CASE WHEN op = 'L' AND e.track IS NOT NULL AND e.is_new THEN list_filter(locks, lambda m: t - m.since <= {k.lock_seconds * 1000}) ELSE locks END AS locks0,
+                      CASE WHEN op = 'B' THEN list_distinct(list_concat(apart, news)) ELSE apart END AS apart, CASE WHEN op = 'B' THEN list_concat(asserted, news) ELSE asserted END AS asserted, bodies,
+                      n_people + CASE WHEN op = 'F' AND e.is_new THEN 1 ELSE 0 END AS n_people,
+                      CASE WHEN op = 'F' AND heals THEN list_concat(list_filter(mints, lambda m: m.track <> e.track), list_filter(live, lambda m: m.key = e.key)) ELSE mints END AS mints,
+                      CASE WHEN op = 'F' THEN CASE WHEN heals THEN list_filter(live, lambda m: m.key <> e.key AND NOT {differ('m.key', 'e.key')}) ELSE []::{memory}[] END ELSE doomed END AS doomed
+                    FROM (SELECT *, CASE WHEN op = 'F' THEN coalesce(e.track IS NOT NULL AND NOT e.is_new AND e.cos >= {k.heal_cosine}, false) ELSE false END AS heals,
+                        CASE WHEN op = 'F' THEN list_filter(mints, lambda m: m.track = e.track AND t - m.since <= {k.heal_seconds * 1000}) ELSE []::{memory}[] END AS live,
+                        CASE WHEN op = 'B' THEN list_filter({together}, lambda z: len(list_filter(asserted, lambda p: p.a = z.a AND p.b = z.b)) = 0 AND {differ('z.a', 'z.b')})[1:greatest(0, {k.co_presence_cap} - len(asserted))] ELSE []::{pair}[] END AS news
+                      FROM (SELECT *, CASE WHEN op IN ('F', 'L') THEN found[slot] WHEN op = 'H' THEN found[q] END AS e,
+                          CASE WHEN op = 'B' THEN list_sort(list_distinct(list_transform(found, lambda u: u.key))) ELSE []::BIGINT[] END AS keys
+                        FROM (SELECT * EXCLUDE (bodies), CASE WHEN op = 'B' THEN list_transform(found, lambda u: struct_pack(key := u.key, body := u.body)) ELSE bodies END AS bodies
+                          -- 3: the gallery learns what M or S matched.
+                          FROM (SELECT {carried}, q, apart, asserted, bodies, mints, locks, tasks, doomed, n_people, merged, healed, vetoed, uncertain, split + CASE WHEN op = 'S' AND acts THEN 1 ELSE 0 END AS split,
+                              minted + CASE WHEN acts AND is_new THEN 1 ELSE 0 END AS minted,
+                              CASE WHEN NOT acts THEN people WHEN is_new THEN list_append(people, {row.format(key='minted + 1')}) WHEN enrols THEN list_concat(list_filter(people, lambda p: p.key <> key),
+                                CASE WHEN len(grown) <= {k.template_cap} THEN grown ELSE list_filter(grown, lambda r: r.id <> goes) END) ELSE people END AS people,
+                              CASE WHEN NOT acts THEN found WHEN op = 'M' THEN list_append(found, {seen.format(key='CASE WHEN is_new THEN minted + 1 ELSE key END', added='is_new OR enrols')})
+                                ELSE list_transform(range(1, len(found) + 1), lambda i: CASE WHEN i = tasks[slot].i THEN {seen.format(key='CASE WHEN is_new THEN minted + 1 ELSE key END', added='is_new OR enrols')} ELSE found[i] END) END AS found
+                            FROM (SELECT *, CASE WHEN acts AND enrols THEN {goes} END AS goes
+                              FROM (SELECT *, CASE WHEN acts AND enrols THEN list_append(own, {row.format(key='key')}) ELSE []::{template}[] END AS grown
+                                FROM (SELECT *, coalesce(acts AND NOT is_new AND cos >= {k.match_threshold + k.enrol_confidence} AND cos < {k.enrol_max_cosine} AND coalesce(cos - rival >= {k.enrol_margin}, true)
+                                      AND (len(own) < {k.template_cap} OR cos < {crowded}) AND NOT coalesce(likeness < {k.clothing_clash}, false), false) AS enrols
+                                  FROM (SELECT *, best.key AS key, -best.c AS cos, coalesce(-best.c < {k.match_threshold}, true) AS is_new, CASE WHEN acts THEN {of_key('people', 'best.key')} ELSE []::{template}[] END AS own,
+                                      CASE WHEN acts THEN list_max(list_transform(list_filter(people, lambda p: p.key <> best.key), lambda p: {cosine('p.vec', 'y.vec')})) END AS rival,
+                                      CASE WHEN acts THEN list_max(list_transform(list_filter(people, lambda p: p.key = best.key AND p.look IS NOT NULL AND y.look IS NOT NULL), lambda p: {d.overlap('p.look', 'y.look')})) END AS likeness
+                                    FROM (SELECT * EXCLUDE (people0), people0 AS people, CASE WHEN acts THEN list_sort(list_transform(list_filter(people0, lambda p: p.key IS DISTINCT FROM without),
+                                          lambda p: struct_pack(c := -{cosine('p.vec', 'y.vec')}, id := p.id, key := p.key)))[1] END AS best
+                                      -- 2: whom M or S match, and what a wrong match had learnt is forgotten.
+                                      FROM (SELECT * EXCLUDE (people), CASE WHEN op = 'S' AND acts AND y.added AND len(list_filter(people, lambda p: p.key = y.key)) > 1 THEN list_filter(people, lambda p: p.id <> y.id) ELSE people END AS people0,
+                                          CASE WHEN op = 'S' THEN y.key END AS without
+                                        FROM (SELECT *, CASE WHEN op = 'M' THEN true WHEN op = 'S' AND slot <= len(tasks) THEN coalesce(keeper.body <> y.body AND {d.overlap('keeper.look', 'y.look')} < {k.same_frame_clothing}, false) ELSE false END AS acts
+                                          FROM (SELECT *, CASE op WHEN 'M' THEN struct_pack(n := x.n, id := x.id, vec := x.vec, quality := x.quality, look := x.look, track := x.track, body := x.body, key := NULL::BIGINT, is_new := NULL::BOOLEAN,
+                                                cos := NULL::DOUBLE, added := NULL::BOOLEAN) WHEN 'S' THEN found[tasks[slot].i] END AS y, CASE WHEN op = 'S' THEN found[tasks[slot].keeper] END AS keeper
+                                            -- 1: the next step of the program.
+                                            FROM (SELECT * EXCLUDE (tasks), CASE WHEN op = 'S' AND slot = 1 THEN {shared} WHEN op = 'M' THEN []::STRUCT(i BIGINT, keeper BIGINT)[] ELSE tasks END AS tasks
+                                              FROM (SELECT s.* EXCLUDE (k, op, frame, found), g.k, g.op, g.frame, g.t, g.slot, g.x, g.q, CASE WHEN s.op IN ('O', '') THEN []::{face}[] ELSE s.found END AS found
+                                                FROM step AS s JOIN program AS g ON g.run_id = s.run_id AND g.k = s.k + 1) AS a0) AS a1) AS a2) AS a3) AS a4) AS a5) AS a6) AS a7) AS a8) AS a9) AS b0) AS b1) AS b2) AS b3) AS b4) AS b5) AS b6) AS b7) AS b8) AS b9) AS c0) AS c1)
+    SELECT e.run_id, e.frame, e.n, e.id, list_filter(o.found, lambda u: u.n = e.n)[1].key AS key, o.n_people AS people, o.merged, o.healed, o.split, o.vetoed, o.uncertain
+    FROM {bindings.encounters(d)} AS e JOIN step AS o ON o.run_id = e.run_id AND o.frame = e.frame AND o.op = 'O'"""
+
+
+@frames("encounters", oracle=story_sql)
 def reconcile_full(k: Settings, encounters: DataFrame) -> DataFrame:
     """The whole story of each run: the key of every face, and the running counts."""
     return fold_in_order(encounters.select(*READ), "run_id", ["frame", "n"], ["frame"], lambda: Story(k), tell, STORY_DDL)
