@@ -59,7 +59,7 @@ GROUP = 8192
 SET_SHINGLE, LEAST = 5, 0.8
 WIDE_SHINGLE, WIDE_RADIUS, TABLES = 2, 10, 24
 #: Rows of a group that sends all its pairs; larger ones are decided where they meet.
-SMALL = 32
+SMALL = 64
 #: MinHashes that spare a large group most exact comparisons: of two sets of similarity 0.8 about
 #: 102.5 of 128 bytes agree, fewer than ``AGREE`` of them once in some 7,000 pairs.
 _MULTIPLY = np.array([xxhash.xxh32_intdigest(b"multiply %d" % i, SEED) | 1 for i in range(128)], np.uint32)
