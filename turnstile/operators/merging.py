@@ -25,21 +25,24 @@ from turnstile.sources import bindings
 
 def roots(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``edges(gone, keep)``, one a key: ``(gone, root)`` of those that end, and the ``gone`` of the smallest key of each ring."""
-    jumps = cut(edges.select("gone", F.col("keep").alias("up"), F.col("gone").alias("low")))
+    known = edges.select(F.col("gone").alias("up"), F.lit(True).alias("open"))
+    jumps = edges.select("gone", F.col("keep").alias("up"), F.col("gone").alias("low")).join(known, "up", "left")
+    jumps = cut(jumps.select("gone", "up", "low", F.coalesce("open", F.lit(False)).alias("open")))
     reach, size = 1, jumps.count()
-    far = jumps.select(F.col("gone").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"))
-    while True:
-        joined = jumps.join(far, "up", "left")
-        if reach > size or not joined.where("next IS NOT NULL").limit(1).count():
-            break
-        jumps = cut(joined.select("gone", F.coalesce("next", "up").alias("up"), F.least("low", F.coalesce("next_low", "low")).alias("low")))
-        far = jumps.select(F.col("gone").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"))
+    while reach <= size and jumps.where("open").limit(1).count():
+        far = jumps.select(F.col("gone").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"), F.col("open").alias("next_open"))
+        jumped = jumps.join(far, "up", "left")
+        jumps = cut(
+            jumped.select(
+                "gone", F.coalesce("next", "up").alias("up"), F.least("low", F.coalesce("next_low", "low")).alias("low"), F.coalesce("next_open", F.lit(False)).alias("open")
+            )
+        )
         reach *= 2
     # After so many steps a pointer that still goes on stands on a ring, and every key of a ring is stood on.
-    going = joined.where("next IS NOT NULL")
+    going = jumps.where("open")
     stood = going.select(F.col("up").alias("gone")).distinct()
     ring = going.join(stood, "gone", "left_semi").where("gone = low").select("gone")
-    return joined.where("next IS NULL").select("gone", F.col("up").alias("root")), ring
+    return jumps.where("NOT open").select("gone", F.col("up").alias("root")), ring
 
 
 def resolve(templates: DataFrame, merges: DataFrame, cannot_link: DataFrame) -> DataFrame:
@@ -68,7 +71,6 @@ def resolve(templates: DataFrame, merges: DataFrame, cannot_link: DataFrame) ->
         edges = cut(edges.join(ring, "gone", "left_anti"))
         ends, _ = roots(edges)
     while True:
-        ends = cut(ends)
         at = {side: ends.select(F.col("gone").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab"}
         met = apart.join(at["a"], "a", "left").join(at["b"], "b", "left")
         met = met.where(F.coalesce("root_a", "a") == F.coalesce("root_b", "b"))

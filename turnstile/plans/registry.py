@@ -49,10 +49,10 @@ def frames(*views: str, oracle: Callable[[], str] | None = None) -> Callable[[Ca
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as it is now, its lineage cut by a reliable checkpoint.
+    """``df`` as it is now, its lineage cut: a table written once in the folder that the cluster shares.
 
-    In the folder that the cluster names in ``spark.checkpoint.dir``; one of its own
-    only where everything runs in one process and none is named.
+    The folder is that of ``spark.checkpoint.dir``; one of its own only where everything runs
+    in one process and none is named. The table goes when the application ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -60,10 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
     if not root:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="turnstile-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(root)
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="turnstile-"))
+        root = context.getCheckpointDir()
+    place = f"{root.rstrip('/')}/turnstile/cut-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    path = context._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def _longs(df: DataFrame) -> DataFrame:
