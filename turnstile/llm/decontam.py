@@ -152,7 +152,8 @@ def find_windows(
 
     A null text has no words. A null item id counts as an item with the empty
     id; items without words have no window; repeated items count once. Columns
-    of ``docs`` with the added names are replaced. Empty tables are fine.
+    of ``docs`` with the added names are replaced. Empty tables are fine. A very
+    long text is scanned whole in its task, its words one list in memory.
     """
     bound_batches(docs.sparkSession)
     added = T.StructType.fromDDL(

@@ -106,7 +106,8 @@ def find_licenses(
 
     Null and empty texts have no license. A null id stays null. Rows with one id
     and one text give one result. Other columns are not read. An empty table
-    gives an empty table.
+    gives an empty table. A very long text with a marker word is one value, and so
+    is the list of its shingles.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates

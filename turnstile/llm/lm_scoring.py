@@ -177,7 +177,7 @@ def score_texts(
     Repeated rows are scored each, and each teaches. Other columns are not read.
     An empty table gives an empty table. Rows are told apart by their place in
     the input, so an input whose order may change between reads should be
-    written down first.
+    written down first. A very long text is one value in a task, its words are rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)

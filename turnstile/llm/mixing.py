@@ -109,7 +109,9 @@ def mix(
     last; a null id is an id. Rows of size 0 follow their source's rate and add
     no words. Repeated rows tie; a sample that ends among them takes as many as
     it needs. Columns of ``docs`` named like the four above are replaced; all
-    other columns stay. An empty table gives an empty table.
+    other columns stay. An empty table gives an empty table. A very long text is
+    counted as one value and moves only if it is among ``columns``. Rows of one id and
+    text that differ elsewhere tie: which of them a sample takes follows their places.
     """
     own = {"size", "source_size", "target", "copies"}
     names = [c for c in (docs.columns if columns is None else columns) if c.lower() not in own]

@@ -231,7 +231,8 @@ def cascade(
     A null or empty text has no words and is rejected. Columns of ``docs`` with
     those names are replaced; all others stay, whatever they are called. An
     empty table gives an empty table. The sample (at most ``sample_rows`` texts
-    of at most ``sample_bytes``) decides the order of the rules alone.
+    of at most ``sample_bytes``) decides the order of the rules alone. A very long
+    text is judged whole in its task; repeated rows fare alike.
     """
     bound_batches(docs.sparkSession)
     if steps is None:

@@ -151,7 +151,8 @@ def dedup_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A null text is empty. A text too short for a span stays whole. Null ids come last in the order of documents. Rows with one id
     and one text are one document and never remove each other. Other columns are
-    not read. An empty table gives an empty table.
+    not read. An empty table gives an empty table. A very long text is one value
+    where it is cut and where it is put together again; its spans are rows.
     """
     bound_batches(docs.sparkSession)
     removed = repeated_sentences(docs, id_col=id_col, text_col=text_col)

@@ -69,7 +69,8 @@ def shard_records(
     A null text has no bytes; null ids are one id and share a shard, as the law
     wants. Repeated rows each have a slot, however many they are. Columns of
     ``docs`` named like the four above are replaced; columns must be of types
-    that Spark can group by. An empty table stays empty.
+    that Spark can group by. An empty table stays empty. A very long text is one
+    value in its bucket.
     """
     own = ("size", "shard", "slot", "grown_shard")
     plain = docs.drop(*own)

@@ -360,7 +360,8 @@ def near_duplicates(
     the document's own included. Texts without words (null, empty, blank) have
     fingerprint 0, which links like any other. A null id takes part and gets its
     component's id, null if all its members' ids are null. Repeated rows stay.
-    Other columns are not read. An empty table gives an empty table.
+    Other columns are not read. An empty table gives an empty table. A very long
+    text is hashed in pieces in its task; only its fingerprint goes on.
     """
     bound_batches(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")

@@ -378,7 +378,9 @@ def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A null text is empty; a text under ``DEPTH`` bytes loses nothing. Null ids
     come last in the order of documents. Rows with one id and one text are one
     document and never remove each other; of texts with one id the order is that
-    of their names. Other columns are not read. An empty table stays empty.
+    of their names. Other columns are not read. An empty table stays empty. A very
+    long text is one value where it is cut into segments and where it is put together
+    again; between the two its segments are rows.
     """
     bound_batches(docs.sparkSession)
     ranges = repeated_starts(docs, id_col=id_col, text_col=text_col)

@@ -252,7 +252,8 @@ def score_toxicity(
     A null or empty text has no windows and gets the score of no evidence. A
     null id isn't held out. Rows of ``labels`` without id or label teach
     nothing; without labels of both kinds all scores are 0, or 1 if all are
-    toxic. Repeated rows are scored each. Other columns are not read.
+    toxic. Repeated rows are scored each. Other columns are not read. A very long text is
+    one value, scored word by word. An empty table gives an empty table.
     """
     bound_batches(docs.sparkSession)
     model = train(*labelled_sample(docs, labels, sample, sample_bytes, folds, fold, id_col=id_col, text_col=text_col, seed=seed))
