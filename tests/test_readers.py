@@ -55,3 +55,11 @@ def test_zones_from_json(spark, tmp_path):
     boxes = spark.createDataFrame([(1, 1, 2.0, 2.0), (1, 2, 5.0, 2.0)], "frame long, n long, x double, y double")
     assert [(r.n, r.label) for r in apply("point_in_polygon", boxes=boxes, corners=corners).collect()] == [(1, "door")]
     assert {r.label: r.valid for r in apply("zone_corners", corners=corners).collect()} == {"door": True, "till": True}
+
+
+def test_images_are_left_out_of_the_scan_unless_asked_for(spark, tmp_path):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    (tmp_path / "in" / "a" / "1.jpg").write_bytes(HEAD)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    frames = read_frames(spark, str(tmp_path / "in"))
+    assert "content" not in plan(frames.select("run_id", "seq")) and "content" in plan(frames.select("image"))

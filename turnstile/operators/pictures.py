@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from turnstile.functions.columns import image_bytes, jpeg_dims
 from turnstile.functions.pixels import clothing_column, fit_column, letterbox_column, sharpness
 from turnstile.plans.registry import frames
 from turnstile.settings import Settings
@@ -24,6 +25,25 @@ def _sharpness(pixels: Column, width: Column, height: Column) -> Column:
     return run(pixels, width, height)
 
 
+def _wire_sql() -> str:
+    """What the headers were made of."""
+    sized = "page_id % 7 <> 3 AND page_id % 5 <> 0"
+    return f"""SELECT page_id AS image_id, CASE WHEN page_id % 7 <> 3 THEN CAST(octet_length(encode(html)) + CASE WHEN page_id % 5 <> 0 THEN 18 ELSE 0 END AS BIGINT) END AS bytes,
+      CASE WHEN {sized} THEN page_id % 500 + 1 END AS width, CASE WHEN {sized} THEN page_id % 300 + 1 END AS height FROM pages WHERE html IS NOT NULL"""
+
+
+@frames("wire", oracle=_wire_sql)
+def wire_images(k: Settings, wire: DataFrame) -> DataFrame:
+    """Frames from base64: how many bytes, and the size that the header tells; null where the text is no base64, or no header is there."""
+
+    @pandas_udf("width long, height long")
+    def dims(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([jpeg_dims(None if x is None else bytes(x)) or (None, None) for x in data], columns=["width", "height"], dtype="Int64")
+
+    decoded = wire.select("image_id", image_bytes("data").alias("content"))
+    return decoded.select("image_id", F.octet_length("content").cast("long").alias("bytes"), dims("content").alias("d")).select("image_id", "bytes", "d.width", "d.height")
+
+
 @frames("images")
 def image_signals(k: Settings, images: DataFrame) -> DataFrame:
     """Of each image its sharpness, the clothing descriptor's mass, the letterbox's scale and the size it is sent in.
