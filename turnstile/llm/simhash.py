@@ -540,21 +540,31 @@ def one_of_each(
     pairs, large = materialize(pairs, "pairs"), materialize(large, "large-rows")
 
     def cut(node, text) -> Iterable[tuple]:
-        yield node, shingle_set(text).tobytes()
+        own = shingle_set(text)
+        yield node, own.tobytes(), sketch(own).tobytes()
 
     # Only the texts that some pair or large group names are taken apart; only they are dealt.
     asked = pairs.select("node").union(pairs.select("up")).union(large.select("node")).distinct()
     needed = materialize(nodes.join(asked, "node").select("key", "node"), "needed")
     texts = source.select("key", "t").join(broadcast_if_small(needed, 16), "key").groupBy("node").agg(F.first("t").alias("t"))
-    sets = materialize(map_rows(texts, ["node", "t"], pa.schema([("node", long), ("s", pa.binary())]), "node long, s binary", cut), "shingle-sets")
-    decided = materialize(decide_large(large, sets, radius), "decided")
+    both_kinds = pa.schema([("node", long), ("s", pa.binary()), ("k", pa.binary())])
+    sets = materialize(map_rows(texts, ["node", "t"], both_kinds, "node long, s binary, k binary", cut), "shingle-sets")
+    decided = materialize(decide_large(large, sets.select("node", "s"), radius), "decided")
 
     def checked(node, up, x, y) -> Iterable[tuple]:
         if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
             yield node, up
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, len(_ADD)) for i in (2, 3))
+            yield batch.filter(pa.array((x == y).sum(axis=1) >= AGREE)).select([0, 1])
+
     def verified(some: DataFrame) -> DataFrame:
-        both = some.join(sets, "node").join(sets.select(F.col("node").alias("up"), F.col("s").alias("u")), "up")
+        # The sketches refuse most pairs, so that few carry their sets.
+        marked = some.select("node", "up").join(sets.select("node", "k"), "node").join(sets.select(F.col("node").alias("up"), F.col("k").alias("l")), "up")
+        left = materialize(marked.select("node", "up", "k", "l").mapInArrow(likely, "node long, up long"), "likely")
+        both = left.join(sets.select("node", "s"), "node").join(sets.select(F.col("node").alias("up"), F.col("s").alias("u")), "up")
         return materialize(map_rows(both, ["node", "up", "s", "u"], schema("node", "up"), "node long, up long", checked), "verified")
 
     # The forests first; of the other pairs only those that would join what is still apart.
