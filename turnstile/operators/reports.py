@@ -73,7 +73,7 @@ def match_payload(d: Dialect) -> str:
 @sql
 def clip_report(d: Dialect) -> str:
     """A line for each clip; critical ones rank first over all of a set."""
-    error = f"coalesce({d.printf('%+.2f %%', 'round(err * 100, 4)')}, 'no score')"
+    error = f"coalesce({d.percent('err * 100')}, 'no score')"
     text = lambda c: f"CAST({c} AS {d.text})"
     line = f"concat(CASE WHEN criticals > 0 THEN 'CRITICAL ' ELSE '' END, 'clip ', {text('clip')}, ': ', verdict, ', counted ', {text('uniq')}, ' of ', {text('actual')}, ', ', {error})"
     return f"""SELECT half, clip, row_number() OVER (PARTITION BY half ORDER BY CASE WHEN criticals > 0 THEN 0 ELSE 1 END, clip) AS rank, {line} AS line
