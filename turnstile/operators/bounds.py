@@ -27,6 +27,8 @@ from turnstile.settings import Settings
 MOST_CENTRES = 1024
 #: Rows of a cell that one task meets at once; larger cells are cut.
 CELL_ROWS = 4096
+#: Rows of probes and cells that a task makes at once.
+ASKED = 8_192
 #: Share of all pairs from which the full product is run.
 NOTHING_LEFT_OUT = 0.9
 #: Sums of products differ by their order of summation.
@@ -64,38 +66,60 @@ class Cells:
 
     def blocks(self) -> np.ndarray:
         """Parts of each cell."""
-        return np.maximum(1, -(-self.size // CELL_ROWS))
+        return self.__dict__.get("parts", np.maximum(1, -(-self.size // CELL_ROWS)))
+
+    def _meets(self, batch: pd.DataFrame, first: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+        """Some of the probes at a time, with the places of probes and the cells they have to meet."""
+        parts = self.blocks()
+        step = max(1, ASKED if first else ASKED // max(1, int(parts.sum())))
+        for a in range(0, len(batch), step):
+            some = batch.iloc[a : a + step]
+            vectors = _matrix(some["vec"])
+            dots = vectors @ self.centres.T
+            # The first cell is where the closest centre is: it gives the highest bar.
+            top = np.where(self.size > 0, dots, -np.inf).argmax(axis=1)
+            if first:
+                yield some, np.arange(len(some)), top
+                continue
+            promise = np.where(self.size > 0, dots + np.linalg.norm(vectors, axis=1)[:, None] * self.radius + SLACK, -np.inf)
+            meets = promise >= some["best"].fillna(-np.inf).to_numpy(float)[:, None]
+            meets[np.arange(len(some)), top] = False
+            yield some, *np.nonzero(meets)
+
+    def __getstate__(self) -> dict:
+        """What tasks need: numbers of cells, no tables."""
+        return {"centres": self.centres, "radius": self.radius, "size": self.size, "parts": self.blocks()}
 
     def open_to(self, probes: DataFrame, first: bool) -> DataFrame:
         """``probe, vec, cell, block`` of the cells that probes have to meet.
 
         The most promising cell alone with ``first``; otherwise all others that may hold what is as good as ``best``.
         """
-        centres, radius, blocks, size = self.centres, self.radius, self.blocks(), self.size
+        cells = self
 
         def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = cells.blocks()
             for batch in batches:
-                if not len(batch):
-                    continue
-                vectors = _matrix(batch["vec"])
-                dots = vectors @ centres.T
-                promise = np.where(size > 0, dots + np.linalg.norm(vectors, axis=1)[:, None] * radius + SLACK, -np.inf)
-                # The first cell is where the closest centre is: it gives the highest bar.
-                top = np.where(size > 0, dots, -np.inf).argmax(axis=1)
-                if first:
-                    at, cell = np.arange(len(batch)), top
-                else:
-                    best = batch["best"].fillna(-np.inf).to_numpy(float)
-                    meets = promise >= best[:, None]
-                    meets[np.arange(len(batch)), top] = False
-                    at, cell = np.nonzero(meets)
-                times = blocks[cell]
-                at, cell = np.repeat(at, times), np.repeat(cell, times)
-                block = np.concatenate([np.arange(n) for n in times]) if len(times) else np.zeros(0, np.int64)
-                yield pd.DataFrame({"probe": batch["probe"].to_numpy()[at], "vec": batch["vec"].to_numpy()[at], "cell": cell.astype("int64"), "block": block.astype("int64")})
+                for some, at, cell in cells._meets(batch, first):
+                    times = parts[cell]
+                    at, cell = np.repeat(at, times), np.repeat(cell, times)
+                    block = np.concatenate([np.arange(n) for n in times]) if len(times) else np.zeros(0, np.int64)
+                    yield pd.DataFrame({"probe": some["probe"].to_numpy()[at], "vec": some["vec"].to_numpy()[at], "cell": cell.astype("int64"), "block": block.astype("int64")})
 
         return probes.mapInPandas(choose, "probe long, vec array<double>, cell long, block long")
 
+    def pairs(self, probes: DataFrame) -> int:
+        """Pairs that ``open_to`` (not ``first``) leads to, about where cells are cut; nothing but the sums is made."""
+        cells = self
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = cells.blocks()
+            rows = -(-cells.size // parts) * parts
+            for batch in batches:
+                yield pd.DataFrame({"n": [sum(int(rows[cell].sum()) for _, _, cell in cells._meets(batch, False))]})
+
+        return int(probes.mapInPandas(add, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
     def met(self, asked: DataFrame) -> DataFrame:
         """The best row of each probe among the cells it meets: cosine, then the lowest id."""
         parts = F.element_at(F.array(*[F.lit(int(n)) for n in self.blocks()]), (F.col("cell") + 1).cast("int"))
@@ -118,13 +142,10 @@ def _search(probes: DataFrame, gallery: DataFrame, centres: int) -> tuple[DataFr
         return None, 0, 0
     first = cut(cells.met(cells.open_to(asking, True)))
     bar = asking.join(first.select("probe", F.col("top.cosine").alias("best")), "probe", "left")
-    asked = cut(cells.open_to(bar, False))
-    sizes = [int(-(-n // b)) for n, b in zip(cells.size.tolist(), cells.blocks().tolist(), strict=True)]
-    each = F.element_at(F.array(*[F.lit(n) for n in sizes]), (F.col("cell") + 1).cast("int"))
-    met = int(asked.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]) + int(asking.count() * cells.size.mean())
+    met = cells.pairs(bar) + int(asking.count() * cells.size.mean())
     if met > NOTHING_LEFT_OUT * everything:
         return None, everything, everything
-    tops = first.unionByName(cells.met(asked)).groupBy("probe").agg(F.max("top").alias("top"))
+    tops = first.unionByName(cells.met(cells.open_to(bar, False))).groupBy("probe").agg(F.max("top").alias("top"))
     return tops, met, everything
 
 
