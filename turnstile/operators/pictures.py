@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from turnstile.functions.columns import image_bytes, jpeg_dims
-from turnstile.functions.pixels import clothing_column, fit_column, letterbox_column, sharpness
+from turnstile.functions.pixels import clothing, fit, letterbox, sharpness
 from turnstile.plans.registry import frames
 from turnstile.settings import Settings
 
 
-def _sharpness(pixels: Column, width: Column, height: Column) -> Column:
-    @pandas_udf("double")
-    def run(data: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+def _measured(pixels: Column, width: Column, height: Column, k: Settings) -> Column:
+    """What the pixel functions say of each image; what they paint stays in the task, one image at a time."""
+
+    @pandas_udf("sharpness double, look array<double>, scale double, boxed_bytes int, width int, height int")
+    def run(data: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
         def one(d, x, y):
-            return None if d is None else sharpness(np.frombuffer(d, np.uint8).reshape(int(y), int(x), 3), (0, 0, int(x), int(y)))
+            if d is None:
+                return (None,) * 6
+            image = np.frombuffer(d, np.uint8).reshape(int(y), int(x), 3)
+            canvas, scale = letterbox(image, k.letterbox_side, k.letterbox_side)
+            small = fit(image, k.frame_width, k.frame_height)
+            return sharpness(image, (0, 0, int(x), int(y))), clothing(image), scale, canvas.nbytes, small.shape[1], small.shape[0]
 
-        return pd.Series([one(*row) for row in zip(data, w, h, strict=True)], dtype=float)
+        return pd.DataFrame([one(*row) for row in zip(data, w, h, strict=True)], columns=["sharpness", "look", "scale", "boxed_bytes", "width", "height"])
 
     return run(pixels, width, height)
 
@@ -50,13 +57,6 @@ def image_signals(k: Settings, images: DataFrame) -> DataFrame:
 
     An image under two pixels has no sharpness, one too small or too dark no descriptor; that is null, never 0.
     """
-    args = [F.col("pixels"), F.col("width"), F.col("height")]
-    signals = images.select(
-        "image_id", _sharpness(*args).alias("sharpness"), clothing_column(*args).alias("look"),
-        letterbox_column(*args, side=k.letterbox_side).alias("boxed"), fit_column(*args, k.frame_width, k.frame_height).alias("sent"),
-    )
-    mass = F.round(F.aggregate("look", F.lit(0.0), lambda s, v: s + v), 6)
-    return signals.select(
-        "image_id", "sharpness", mass.alias("mass"), F.col("boxed.scale").alias("scale"), F.octet_length("boxed.pixels").alias("boxed_bytes"),
-        F.col("sent.width").alias("width"), F.col("sent.height").alias("height"),
-    )
+    signals = images.select("image_id", _measured(F.col("pixels"), F.col("width"), F.col("height"), k).alias("m"))
+    mass = F.round(F.aggregate("m.look", F.lit(0.0), lambda s, v: s + v), 6)
+    return signals.select("image_id", "m.sharpness", mass.alias("mass"), "m.scale", "m.boxed_bytes", "m.width", "m.height")
