@@ -1,12 +1,14 @@
 """Searches and siblings by matrices: what the texts give that join all pairs, on rows of every kind."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from turnstile.catalog import apply
-from turnstile.operators import blocks, folds
+from turnstile.operators import blocks, bounds, folds, review
 from turnstile.plans.dialect import Dialect
 from turnstile.plans.registry import _TEXTS
 from turnstile.settings import Settings
@@ -99,3 +101,56 @@ def test_one_template_galleries_fold_as_the_text_does(spark):
     got, want = ([str(tuple(r)) for r in df.collect()] for df in (apply("gallery_fold_cap1", K, templates=templates), full(spark, "gallery_fold_cap1", templates=templates)))
     assert sorted(got) == sorted(want)
     assert "aggregate" not in apply("gallery_fold_cap1", K, templates=templates)._jdf.queryExecution().toString()
+
+
+def test_a_frame_costs_a_tracker_little_and_old_checkpoints_open():
+    rng = np.random.default_rng(2)
+    frames = [np.c_[rng.integers(0, 120, (4, 2)), rng.integers(40, 140, (4, 2))] for _ in range(1500)]
+    tracker, start = folds.Tracker(), time.process_time()
+    for boxes in frames:
+        tracker.step(boxes)
+    assert time.process_time() - start < 1500 * 3e-4
+    old = folds.Tracker.__new__(folds.Tracker)
+    old.__setstate__({"settings": tracker.settings, "state": tracker.state, "frame": tracker.frame, "born": tracker.born})
+    assert old.step(frames[0]) == tracker.step(frames[0]) and (old.state == tracker.state).all()
+
+
+def test_pictures_stay_in_their_tasks(spark):
+    images = spark.createDataFrame([(1, bytearray(48 * 40 * 3), 48, 40)], "image_id long, pixels binary, width int, height int")
+    plan = apply("image_signals", K, images=images)._jdf.queryExecution().optimizedPlan().toString()
+    assert "boxed.pixels" not in plan and ".pixels" not in plan
+
+
+def test_cells_are_asked_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(bounds, "ASKED", 64)
+    gallery = spark.createDataFrame(people(False), SCHEMA).select("id", "key", "vec")
+    cells = bounds.Cells(gallery, 10)
+    batch = gallery.selectExpr("id AS probe", "vec", "-1.0D AS best").toPandas()
+    met = list(cells._meets(batch, False))
+    assert sum(len(some) for some, _, _ in met) == len(batch) and max(len(at) for _, at, _ in met) <= 64
+    each = sum(int(cells.size[cell].sum()) for _, _, cell in met)
+    assert cells.pairs(gallery.selectExpr("id AS probe", "vec", "-1.0D AS best")) == each
+
+
+def test_blocks_of_the_review_queue_grow_with_the_table(spark):
+    """Each template was sent once for every 2,048 templates."""
+    templates = spark.range(300_000).selectExpr("id", "id % 7 AS key", "array(1.0D) AS vec")
+    assert "cast(24 as bigint)" in review.closest_keys(templates, 0.0)._jdf.queryExecution().analyzed().toString()
+
+
+def test_maxima_of_keys_survive_small_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys, vec, block = rng.integers(0, 9, 80), rng.normal(size=(80, 4)), rng.integers(0, 2, 80)
+    table = pa.table({"key": keys, "vec": vec.tolist(), "block": block})
+    want = {}
+    for i in range(80):
+        for j in range(80):
+            if keys[i] < keys[j]:
+                pair = (int(keys[i]), int(keys[j]))
+                want[pair] = max(want.get(pair, -9.0), float(vec[i] @ vec[j]))
+    monkeypatch.setattr(review, "HELD", 100)
+    got = {}
+    for low, high in ((0, 0), (0, 1), (1, 1)):
+        for a, b, c in review.key_maxima(table, low, high, -9.0):
+            got[a, b] = max(got.get((a, b), -9.0), c)
+    assert got == pytest.approx(want)

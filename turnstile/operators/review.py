@@ -21,8 +21,13 @@ from turnstile.plans.dialect import DUCKDB
 from turnstile.plans.registry import cut, frames
 from turnstile.settings import Settings
 
-#: Templates of one block; two blocks meet in a task.
+#: Templates of one block, two of which meet in a task. Rows are sent once a block, so blocks grow with
+#: the table, from ``BLOCK`` to ``BLOCK_ROWS`` templates, before there are more than ``BLOCKS`` of them.
 BLOCK = 2048
+BLOCKS = 24
+BLOCK_ROWS = 65_536
+#: Products held at once.
+HELD = 1 << 22
 
 _BEST = pa.schema([("key_a", pa.int64()), ("key_b", pa.int64()), ("cosine", pa.float64())])
 _LIKE = pa.schema([("key_a", pa.int64()), ("key_b", pa.int64()), ("likeness", pa.float64())])
@@ -36,26 +41,33 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
 def key_maxima(table: pa.Table, low: int, high: int, floor: float) -> Iterator[tuple[int, int, float]]:
     """The best cosine of each two keys between the rows of two blocks, where it reaches ``floor``."""
 
-    def side(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def side(block: int) -> tuple[np.ndarray, np.ndarray]:
         rows = table.filter(pa.compute.equal(table["block"], block)).sort_by("key")
-        keys = rows["key"].to_numpy()
-        first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, int)
-        return keys[first], first, _vectors(rows["vec"]) if len(keys) else np.zeros((0, 0))
+        return rows["key"].to_numpy(), _vectors(rows["vec"]) if rows.num_rows else np.zeros((0, 0))
 
-    (keys_a, first_a, a), (keys_b, first_b, b) = side(low), side(high)
+    def firsts(keys: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+
+    (keys_a, a), (keys_b, b) = side(low), side(high)
     if not len(keys_a) or not len(keys_b):
         return
-    best = np.maximum.reduceat(np.maximum.reduceat(a @ b.T, first_a, axis=0), first_b, axis=1)
-    for i, j in zip(*np.nonzero(best >= floor), strict=True):
-        one, other = int(keys_a[i]), int(keys_b[j])
-        if one < other or (one > other and low != high):
-            yield min(one, other), max(one, other), float(best[i, j])
+    first_b = firsts(keys_b)
+    step = max(1, HELD // len(keys_b))
+    for s in range(0, len(keys_a), step):  # a key that is cut here gives two rows, of which the better one counts
+        own = keys_a[s : s + step]
+        first = firsts(own)
+        best = np.maximum.reduceat(np.maximum.reduceat(a[s : s + step] @ b.T, first, axis=0), first_b, axis=1)
+        for i, j in zip(*np.nonzero(best >= floor), strict=True):
+            one, other = int(own[first[i]]), int(keys_b[first_b[j]])
+            if one < other or (one > other and low != high):
+                yield min(one, other), max(one, other), float(best[i, j])
 
 
 def closest_keys(templates: DataFrame, floor: float) -> DataFrame:
     """``key_a, key_b, cosine`` of all pairs of keys whose closest templates reach ``floor``."""
     rows = templates.where("vec IS NOT NULL").select("key", "id", "vec")
-    blocks = max(1, -(-rows.count() // BLOCK))
+    n = rows.count()
+    blocks = max(1, min(-(-n // BLOCK), BLOCKS), -(-n // BLOCK_ROWS))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     dealt = dealt.select("key", "vec", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
