@@ -24,11 +24,13 @@ Components then come from alternating minimum-label steps over that forest.
 :func:`one_of_each` is the other use: near copies by the Jaccard similarity of
 their shingles. At a similarity of 0.8 in five words the fingerprints of five-word
 shingles differ by 10 bits in the mean, which no exact search by bits can follow at
-scale. There the fingerprints are those of two-word shingles, whose bits move less,
-rows meet that agree on sampled bits, the pivots discard, and the sets of five-word
-shingles themselves decide. Small groups send all their pairs to be decided. A large
-group gets its members' sets and sends a spanning forest of the decided links, so
-that a family of thousands costs about its size and loses no link.
+scale. There a quick search finds most links and an exact one the rest. In the quick one the
+fingerprints are those of two-word shingles, whose bits move less, rows meet that agree
+on sampled bits, the pivots discard, and the sets of five-word shingles themselves
+decide. Small groups send all their pairs to be decided. A large group gets its
+members' sets and sends a spanning forest of the decided links, so that a family of
+thousands costs about its size. The exact one (:mod:`turnstile.llm.set_links`) then
+looks for every link between what is still apart.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ from pyspark.sql import functions as F
 
 from turnstile.llm.common import Sink, bound_batches, broadcast_if_small, discard, map_rows, materialize, utf8
 from turnstile.llm.repeats import first_in_order, keyed_texts
+from turnstile.llm.set_links import alike, decided, missing_links, node_of, sets_of, shingle_set  # noqa: F401  shingle_set is part of this module
 
 SHINGLE = 4
 SEED = 42
@@ -54,9 +57,8 @@ RADIUS = 4
 PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(16)], np.uint64)
 #: Distinct fingerprints that one search takes at once; twice that in a task.
 GROUP = 8192
-#: Near copies by shingle sets: words of a shingle and least similarity; words of a
-#: fingerprint's shingle, bits that may differ, and tables of sampled bits.
-SET_SHINGLE, LEAST = 5, 0.8
+#: Near copies, the quick search: words of a fingerprint's shingle, bits that may differ, and
+#: tables of sampled bits.
 WIDE_SHINGLE, WIDE_RADIUS, TABLES = 2, 10, 24
 #: Rows of a group that sends all its pairs; larger ones are decided where they meet.
 SMALL = 64
@@ -379,21 +381,6 @@ def near_duplicates(
 # ---------------------------------------------------------------- near copies by shingle sets
 
 
-def shingle_set(text: bytes, shingle: int = SET_SHINGLE) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles; of all its words where they are fewer."""
-    words = text.lower().split()
-    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
-
-
-def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
-    """Whether two sets have a Jaccard similarity of ``least``."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= least * (len(a) + len(b) - shared)
-
-
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """A byte of each of 128 minima of a set of hashes."""
     low = hashes.astype(np.uint32)
@@ -518,8 +505,9 @@ def one_of_each(
     """``doc_id`` and ``key`` (:func:`keyed_texts`) of one row of each group of near copies, and of all rows.
 
     Texts link if they have the same words, or if the Jaccard similarity of their
-    sets of ``SET_SHINGLE``-word shingles is ``LEAST`` or more and their
-    fingerprints lead to each other. Of each group the row with the smallest id
+    sets of five-word shingles is 0.8 or more (:mod:`turnstile.llm.set_links`); no
+    link is left out. ``radius`` and ``tables`` bear on how many of them the quick
+    search finds first. Of each group the row with the smallest id
     comes, null last, then the smallest key. Rows without an id take part by their
     texts; rows that share id and text are one. Texts without words are copies.
     """
@@ -529,8 +517,7 @@ def one_of_each(
     schema = lambda *names: pa.schema([(n, long) for n in names])
 
     def named(doc, key, text) -> Iterable[tuple]:
-        node = xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED) - (1 << 63)
-        yield doc, key, node, (fingerprint(text, WIDE_SHINGLE) ^ (1 << 63)) - (1 << 63)
+        yield doc, key, node_of(text), (fingerprint(text, WIDE_SHINGLE) ^ (1 << 63)) - (1 << 63)
 
     ddl = "doc_id long, key long, node long, fp long"
     rows = materialize(map_rows(source, ["doc_id", "key", "t"], schema("doc_id", "key", "node", "fp"), ddl, named), "named")
@@ -539,41 +526,22 @@ def one_of_each(
     pairs, large = candidates(with_pivots(nodes.select("fp", F.col("node").alias("least"))).withColumnRenamed("least", "node"), radius, tables)
     pairs, large = materialize(pairs, "pairs"), materialize(large, "large-rows")
 
-    def cut(node, text) -> Iterable[tuple]:
-        own = shingle_set(text)
-        yield node, own.tobytes(), sketch(own).tobytes()
-
     # Only the texts that some pair or large group names are taken apart; only they are dealt.
     asked = pairs.select("node").union(pairs.select("up")).union(large.select("node")).distinct()
     needed = materialize(nodes.join(asked, "node").select("key", "node"), "needed")
-    texts = source.select("key", "t").join(broadcast_if_small(needed, 16), "key").groupBy("node").agg(F.first("t").alias("t"))
-    both_kinds = pa.schema([("node", long), ("s", pa.binary()), ("k", pa.binary())])
-    sets = materialize(map_rows(texts, ["node", "t"], both_kinds, "node long, s binary, k binary", cut), "shingle-sets")
-    decided = materialize(decide_large(large, sets.select("node", "s"), radius), "decided")
-
-    def checked(node, up, x, y) -> Iterable[tuple]:
-        if alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
-            yield node, up
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, len(_ADD)) for i in (2, 3))
-            yield batch.filter(pa.array((x == y).sum(axis=1) >= AGREE)).select([0, 1])
-
-    def verified(some: DataFrame) -> DataFrame:
-        # The sketches refuse most pairs, so that few carry their sets.
-        marked = some.select("node", "up").join(sets.select("node", "k"), "node").join(sets.select(F.col("node").alias("up"), F.col("k").alias("l")), "up")
-        left = materialize(marked.select("node", "up", "k", "l").mapInArrow(likely, "node long, up long"), "likely")
-        both = left.join(sets.select("node", "s"), "node").join(sets.select(F.col("node").alias("up"), F.col("s").alias("u")), "up")
-        return materialize(map_rows(both, ["node", "up", "s", "u"], schema("node", "up"), "node long, up long", checked), "verified")
+    sets = sets_of(source, needed)
+    in_large = materialize(decide_large(large, sets.select("node", "s"), radius), "decided")
 
     # The forests first; of the other pairs only those that would join what is still apart.
-    first = materialize(verified(pairs.where("tree")).unionByName(decided), "first-links")
+    first = materialize(decided(pairs.where("tree"), sets).unionByName(in_large), "first-links")
     now = components(first)
     apart = pairs.where("NOT tree").join(now, "node", "left").withColumn("a", F.coalesce("root", "node")).drop("root")
     apart = apart.join(now.select(F.col("node").alias("up"), "root"), "up", "left").where(F.col("a") != F.coalesce("root", "up"))
-    roots = components(first.unionByName(verified(apart.select("node", "up"))))
+    roots = components(first.unionByName(decided(apart, sets)))
     discard(sets, pairs, large)
+    # What fingerprints and sampled bits missed: every other link, by the sets alone.
+    missed = missing_links(source, nodes.select("node", "key"), roots)
+    roots = components(roots.select("node", F.col("root").alias("up")).unionByName(missed))
     grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = materialize(grouped.groupBy("root").agg(F.min(first_in_order()).alias("one")).select("one.doc_id", "one.key"), "chosen")
     return chosen, rows.select("doc_id", "key")
