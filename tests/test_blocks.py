@@ -70,6 +70,54 @@ def test_searches_score_no_pair_in_rows(spark):
         assert "zip_with" not in apply(name, K, **views)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("odd,sizes", [(False, (16, 4, 64)), (True, (2, 4, 7)), (True, (8192, 64, 1 << 15))])
+def test_clothes_of_a_key_equal_the_join_of_all_pairs(spark, odd, sizes, monkeypatch):
+    for name, size in zip(("LOOK_ROWS", "FEW", "TILE"), sizes, strict=True):
+        monkeypatch.setattr(blocks, name, size)
+    rows = [list(r) for r in people(odd)]
+    if odd:
+        rows[45][4] = [float("nan"), *([0.1] * 5)]
+        rows[46][1] = None
+        for r in rows[200:210]:  # two keys of few rows
+            r[1] = 200 + r[0] % 2
+    templates = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    got, want = apply("hist_intersection", K, templates=templates), full(spark, "hist_intersection", templates=templates)
+    assert got.dtypes == want.dtypes
+    got_rows, want_rows = ([str(tuple(r)) for r in df.collect()] for df in (got, want))
+    assert len(got_rows) > 2000 and sorted(got_rows) == sorted(want_rows)
+    if not odd:  # pairs were scored one by one in a join whose tasks were whole keys
+        assert "zip_with" not in got._jdf.queryExecution().toString()
+    longer = templates.union(spark.createDataFrame([(900, 1, None, None, [0.1] * 7, False)], SCHEMA))
+    with pytest.raises(Exception, match="differ in length"):
+        apply("hist_intersection", K, templates=longer).collect()
+
+
+def test_overlaps_come_a_tile_at_a_time(monkeypatch):
+    monkeypatch.setattr(blocks, "TILE", 50)
+    rng = np.random.default_rng(6)
+    ids, others, looks, other_looks = rng.permutation(40), np.sort(rng.permutation(np.arange(40, 200))[:120]), rng.random((40, 6)), rng.random((120, 6))
+    found = list(blocks.overlaps(ids, looks, others, other_looks.T, False))
+    assert max(len(f[0]) for f in found) <= 50
+    got = {(a, b): c for f in found for a, b, c in zip(*(x.tolist() for x in f), strict=True)}
+    assert got == {(i, j): round(sum(map(min, x, y)), 6) for i, x in zip(ids.tolist(), looks.tolist(), strict=True) for j, y in zip(others.tolist(), other_looks.tolist(), strict=True)}
+
+
+def test_six_digits_are_those_of_sql(spark):
+    rng = np.random.default_rng(7)
+    ties = [(2 * k + 1) / 2e6 for k in rng.integers(-(10**6), 10**6, 3000).tolist()]
+    near = [float(np.nextafter(x, s)) for x in ties[:500] for s in (-9, 9)]
+    x = np.array([*ties, *near, *rng.random(3000), *(rng.random(1000) * 1e9), -1e-9, 0.0, 1e15 + 0.5, 123456789.0000005])
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x.tolist()], "x double").selectExpr("round(x, 6)").collect()]
+    assert [repr(v) for v in blocks.six_digits(x).tolist()] == [repr(v) for v in want]
+
+
+def test_a_descriptor_is_added_up_once(spark):
+    """Spark added up all numbers again for each number."""
+    look = Dialect(spark=True).shares("a")
+    assert spark.sql(f"SELECT {look} FROM VALUES (array(1.0D, 2.0D, 5.0D)), (array()), (array(1.0D, NULL)) AS t(a)").collect() == [([0.125, 0.25, 0.625],), ([],), ([None, None],)]
+    assert look.index("aggregate") < look.index("whole ->") and look.count("aggregate") == 1
+
+
 def test_pruning_looks_again_only_where_it_must(monkeypatch):
     """Every eviction took a whole product of its key; now rows that go are as scoring anew says, ties included."""
     rng = np.random.default_rng(1)
